@@ -1,12 +1,17 @@
 """The queries of this subpackage and their SQL."""
 
-from . import minhash, mixing, packing, quality, suffix
+from . import html, language, minhash, mixing, packing, quality, scoring, suffix, urls, vectors
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
     "op2_packing": packing.op2_packing,
+    "op3_url_filter": urls.op3_url_filter,
     "op4_quality": quality.op4_quality,
+    "op5_neighbours": vectors.op5_neighbours,
+    "op6_html": html.op6_html,
+    "op7_scoring": scoring.op7_scoring,
     "op8_suffix_dedup": suffix.op8_suffix_dedup,
     "op9_mixing": mixing.op9_mixing,
+    "op10_language": language.op10_language,
 }
 ORACLES = {"op4_quality": quality.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
