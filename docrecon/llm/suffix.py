@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ from .common import materialise, mix64, session, shuffle_width, utf8
 LENGTH, GRAM = 50, 20
 #: Documents are dealt in chunks of about so many bytes of text (a longer document is a chunk alone).
 CHUNK_BYTES = 3 << 20
+#: Buckets of anchors for each shuffle partition; more of them spread evenly and keep a bucket small in memory.
+BUCKETS = 3
 #: Depth of the multikey quicksort, in bytes; groups that still agree go to blind tries.
 SHALLOW = 24
 _SPAN = LENGTH - GRAM + 1
@@ -332,13 +335,13 @@ def _regions(buckets: int):
             heads = np.zeros(len(mine), _REGION)
             heads["hash"], heads["doc"], heads["anchor"], heads["place"], heads["size"] = c.hashes[mine], c.ids[c.doc[mine]], mine, c.p[mine] - c.lo[mine], c.hi[mine] - c.lo[mine] + LENGTH
             cuts = np.searchsorted(bucket, np.arange(buckets + 1))
-            raw = c.buf.tobytes()
+            raw, squeeze = c.buf.tobytes(), zstandard.ZstdCompressor(level=3).compress
             for b in np.flatnonzero(np.diff(cuts)).tolist():
                 part = mine[cuts[b] : cuts[b + 1]]
                 cols["bucket"].append(b)
                 cols["chunk"].append(left.column("chunk")[0].as_py())
-                cols["heads"].append(heads[cuts[b] : cuts[b + 1]].tobytes())
-                cols["bytes"].append(b"".join([raw[x:y] for x, y in zip(c.lo[part].tolist(), (c.hi[part] + LENGTH).tolist(), strict=True)]))
+                cols["heads"].append(squeeze(heads[cuts[b] : cuts[b + 1]].tobytes()))
+                cols["bytes"].append(squeeze(b"".join([raw[x:y] for x, y in zip(c.lo[part].tolist(), (c.hi[part] + LENGTH).tolist(), strict=True)])))
         return pa.table({"bucket": pa.array(cols["bucket"], pa.int64()), "chunk": pa.array(cols["chunk"], pa.int64()), "heads": pa.array(cols["heads"], pa.binary()), "bytes": pa.array(cols["bytes"], pa.binary())})
 
     return run
@@ -349,10 +352,11 @@ _FOUND = np.dtype([("anchor", "<i4"), ("lo", "<i2"), ("hi", "<i2")])
 
 def _sorted_bucket(table: pa.Table) -> pa.Table:
     """For one bucket: rows (chunk, found) with the windows lo to hi (after the region's first) of an anchor that start in a smaller document too."""
-    heads = np.concatenate([np.frombuffer(x.as_buffer(), _REGION) for x in table.column("heads")])
-    counts = [len(x.as_buffer()) // _REGION.itemsize for x in table.column("heads")]
+    expand = zstandard.ZstdDecompressor().decompress
+    each = [np.frombuffer(expand(x.as_buffer()), _REGION) for x in table.column("heads")]
+    counts, heads = [len(x) for x in each], np.concatenate(each)
     owner = np.repeat(np.arange(len(counts)), counts)
-    raw = b"".join(x.as_py() for x in table.column("bytes"))
+    raw = b"".join(expand(x.as_buffer()) for x in table.column("bytes"))
     ends = np.cumsum(heads["size"].astype(np.int64))
     begin = ends - heads["size"]
     # the same region under the same anchor counts once, with the least document
@@ -466,7 +470,7 @@ def _groups(df: DataFrame):
 def _solved(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(chunk, blob) and (chunk, found) for docs whose last two columns are the id and the text."""
     spark = session(docs)
-    buckets = shuffle_width(spark)
+    buckets = BUCKETS * shuffle_width(spark)
     chunks = materialise(docs.mapInArrow(_chunks, "chunk long, blob binary"), "chunks")
     seen = chunks.mapInArrow(_seen(buckets), "bucket long, chunk long, hashes binary, often binary")
     shared = seen.groupBy("bucket").applyInArrow(_shared, "chunk long, hashes binary")
