@@ -495,7 +495,7 @@ def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     own = [F.col(f"`{c}`") for c in docs.columns]
     chunks, found = _solved(docs.select(*own, F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")))
-    schema = to_arrow_schema(docs.schema, timezone="UTC")
+    schema = to_arrow_schema(docs.schema)
     return _groups(chunks).cogroup(_groups(found)).applyInArrow(_rewrite(schema, docs.columns.index(text_col)), docs.schema)
 
 
