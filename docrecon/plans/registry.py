@@ -1,8 +1,275 @@
-"""Queries by name, and their SQL."""
+"""Queries by name, and the DuckDB SQL of each that SQL can express."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import columns as C
+from ..operators import evidence, links, pages, rules
+from . import derive
+
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
+OURS = "FR00000000001"
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _rate(currency: Column) -> Column:
+    out = F
+    for c, r in derive.RATES.items():
+        out = out.when(currency == c, r)
+    return out.otherwise(F.lit(None).cast("double"))
+
+
+def _joined(spark, d: str) -> DataFrame:
+    """Invoices with their declarations, if any: an equi-join on the order."""
+    i = derive.invoices(spark, d)
+    x = derive.declarations(spark, d).select("id", F.col("total").alias("d_total"), F.col("currency").alias("d_currency"), F.col("vat").alias("d_vat"), "duty", "n_lines", F.col("hs6").alias("d_hs6"))
+    return i.join(x, "id", "left")
+
+
+def _close(a: str, b: str, absolute: float, relative: float) -> str:
+    return f"(abs({a} - {b}) <= {absolute} OR abs({a} - {b}) / greatest(abs({a}), abs({b}), 1) <= {relative})"
+
+
+_BASE = f"""WITH i AS ({derive.INVOICES}), x AS ({derive.DECLARATIONS}),
+j AS (SELECT i.*, x.total AS d_total, x.currency AS d_currency, x.vat AS d_vat, duty, n_lines, x.hs6 AS d_hs6, CASE i.currency {' '.join(f"WHEN '{c}' THEN {r}::DOUBLE" for c, r in derive.RATES.items())} END AS rate FROM i LEFT JOIN x ON i.id = x.id),
+k AS (SELECT *, coalesce(currency <> d_currency AND d_currency = 'EUR' AND rate > 0 AND {_close('total / rate', 'd_total', 2.0, 0.25)}, false) AS fx, coalesce({_close('total', 'd_total', 1.0, 0.02)}, false) AS same FROM j),
+v AS (SELECT *, CASE WHEN d_currency IS NULL THEN 'NOK' WHEN currency IS NULL THEN 'WARN' WHEN currency = d_currency THEN 'OK' WHEN fx THEN 'OK' WHEN same THEN 'WARN' ELSE 'NOK' END AS currency_match,
+  CASE WHEN fx THEN 'OK' WHEN d_total IS NULL THEN 'NOK' WHEN total IS NULL THEN 'WARN' WHEN same THEN 'OK' WHEN estimated AND total < d_total THEN 'WARN' ELSE 'NOK' END AS amount_match FROM k)"""
+
+
+def _checked(spark, d: str) -> DataFrame:
+    j = _joined(spark, d)
+    currency, value = rules.value_currency(F.col("total"), F.col("currency"), F.col("d_total"), F.col("d_currency"), _rate(F.col("currency")), F.col("estimated"))
+    return j.withColumns({"currency_match": currency, "amount_match": value})
+
+
+@query(f"{_BASE} SELECT id, currency_match, amount_match FROM v WHERE n_lines IS NOT NULL")
+def value_currency_checks(spark, d: str) -> DataFrame:
+    return _checked(spark, d).filter("n_lines is not null").select("id", "currency_match", "amount_match")
+
+
+_STATUS = "CASE WHEN n_lines IS NULL THEN 'MANQUE_DOC' WHEN currency_match = 'NOK' OR amount_match = 'NOK' THEN 'KO_BLOQUANT' WHEN currency_match = 'WARN' OR amount_match = 'WARN' THEN 'OK_A_CONTROLER' ELSE 'OK' END"
+
+
+def _status(spark, d: str) -> DataFrame:
+    checks = F.array(rules.check("currency_match", F.col("currency_match")), rules.check("amount_match", F.col("amount_match")))
+    return _checked(spark, d).withColumn("checks", checks).withColumn("status", rules.status(F.lit(True), F.col("n_lines").isNotNull(), F.col("checks")))
+
+
+@query(f"{_BASE} SELECT {_STATUS} AS status, count(*) AS n, {_STATUS} IN ('KO_BLOQUANT', 'KO', 'MANQUE_DOC') AS anomaly FROM v GROUP BY 1, 3")
+def dossier_status_summary(spark, d: str) -> DataFrame:
+    return rules.summary(_status(spark, d).select("status"))
+
+
+@query(f"{_BASE} SELECT id, {_STATUS} AS status, coalesce(CASE WHEN n_lines IS NOT NULL THEN concat_ws('; ', CASE WHEN currency_match = 'NOK' THEN 'currency_match' END, CASE WHEN amount_match = 'NOK' THEN 'amount_match' END) END, '') AS blocking FROM v")
+def synthesis_report(spark, d: str) -> DataFrame:
+    bad = F.transform(F.filter("checks", lambda c: (c["status"] == "NOK") & (c["severity"] == "CRITICAL")), lambda c: c["code"])
+    return _status(spark, d).select("id", "status", F.when(F.col("n_lines").isNotNull(), F.array_join(bad, "; ")).otherwise("").alias("blocking"))
+
+
+@query(f"{_BASE} SELECT id, code FROM (SELECT id, 'currency_match' AS code FROM v WHERE n_lines IS NOT NULL AND currency_match = 'WARN' UNION ALL SELECT id, 'amount_match' FROM v WHERE n_lines IS NOT NULL AND amount_match = 'WARN')")
+def warnings_report(spark, d: str) -> DataFrame:
+    return _status(spark, d).filter("n_lines is not null").select("id", F.explode("checks").alias("c")).filter("c.status = 'WARN'").select("id", "c.code")
+
+
+@query(f"""{_BASE}, e AS (SELECT id, d_vat, same, n_lines, CASE WHEN id % 13 = 0 THEN NULL WHEN id % 5 < 3 THEN '{OURS}' ELSE vat END AS expected, CASE WHEN id % 3 = 0 THEN '{OURS}' ELSE d_vat END AS declared FROM k)
+SELECT id, CASE WHEN expected IS NULL THEN CASE WHEN declared = '{OURS}' THEN 'WARN' ELSE 'NOK' END WHEN expected <> '{OURS}' THEN CASE WHEN declared = '{OURS}' AND same THEN 'WARN' ELSE 'NOK' END ELSE 'OK' END AS tva_scope,
+CASE WHEN expected = '{OURS}' THEN CASE WHEN declared = expected THEN 'OK' ELSE 'NOK' END END AS tva_match_decl FROM e WHERE n_lines IS NOT NULL""")
+def entity_checks(spark, d: str) -> DataFrame:
+    k = F.col("id")
+    expected = F.when(k % 13 == 0, F.lit(None)).when(k % 5 < 3, OURS).otherwise(F.col("vat"))
+    declared = F.when(k % 3 == 0, OURS).otherwise(F.col("d_vat"))
+    near = F.coalesce(C.close(F.col("total"), F.col("d_total"), 1.0, 0.02), F.lit(False))
+    scope, match = rules.entity(expected, declared, F.array(F.lit(OURS)), F.lit(False), near)
+    return _joined(spark, d).filter("n_lines is not null").select("id", scope.alias("tva_scope"), match.alias("tva_match_decl"))
+
+
+_CONFUSED = " OR ".join(f"(x = '{x}' AND y IN ({', '.join(repr(y) for y in ys)}))" for x, ys in C.CONFUSABLE.items())
+_PAIR = f"""p AS (SELECT p_partkey AS id, (420000 + p_partkey % 5000)::VARCHAR AS a, (420000 + (p_partkey * 7 + 3) % 5000)::VARCHAR AS b FROM part),
+q AS (SELECT id, a, b, unnest([1,2,3,4,5,6]) AS k FROM p), r AS (SELECT id, a, b, substr(a, k, 1) AS x, substr(b, k, 1) AS y FROM q)"""
+
+
+@query(f"WITH {_PAIR} SELECT id, a, b, count_if(x <> y) BETWEEN 1 AND 2 AND bool_and(x = y OR {_CONFUSED}) AS confusable FROM r GROUP BY id, a, b")
+def hs_confusable_pairs(spark, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    p = spark.read.parquet(f"{d}/part.parquet").select(k.alias("id"), (420000 + k % 5000).cast("string").alias("a"), (420000 + (k * 7 + 3) % 5000).cast("string").alias("b"))
+    return p.select("id", "a", "b", C.confusable(F.col("a"), F.col("b")).alias("confusable"))
+
+
+@query(f"""WITH x AS ({derive.DECLARATIONS}), e AS (SELECT id, hs6, CASE WHEN id % 17 = 0 THEN [] WHEN id % 3 = 0 THEN list_sort(list_distinct(list_append(hs6, '990000'))) ELSE hs6[1:2] END AS inv FROM x)
+SELECT id, CASE WHEN len(inv) = 0 THEN 'WARN' WHEN len(list_filter(inv, lambda z: NOT list_contains(hs6, z))) = 0 THEN 'OK' ELSE 'NOK' END AS hs_subset FROM e""")
+def hs_subset_checks(spark, d: str) -> DataFrame:
+    k = F.col("id")
+    inv = F.when(k % 17 == 0, F.array().cast("array<string>")).when(k % 3 == 0, F.array_distinct(F.concat("hs6", F.array(F.lit("990000"))))).otherwise(F.slice("hs6", 1, 2))
+    return derive.declarations(spark, d).select("id", rules.tariff(inv, F.col("hs6")).alias("hs_subset"))
+
+
+@query(f"""WITH x AS ({derive.DECLARATIONS}), e AS (SELECT id, CASE WHEN id % 6 = 0 THEN duty + 40 WHEN id % 6 < 4 THEN duty END AS declared, CASE WHEN id % 9 = 0 THEN NULL WHEN id % 4 = 0 THEN duty * 1.05 WHEN id % 4 = 1 THEN duty * 1.01 ELSE duty + 0.3 END AS paid FROM x)
+SELECT id, CASE WHEN declared IS NULL OR paid IS NULL THEN 'NOK' WHEN {_close('declared', 'paid', 0.5, 0.02)} THEN 'OK' ELSE 'NOK' END AS duties_match FROM e""")
+def prestation_duty_check(spark, d: str) -> DataFrame:
+    k, duty = F.col("id"), F.col("duty")
+    none = F.lit(None).cast("double")
+    declared = rules.declared_duties(F.when((k % 6 < 4) & (duty != 0), duty).otherwise(none), none, none, F.when(k % 6 == 0, duty + 40).when(k % 6 < 4, duty).otherwise(none))
+    paid = F.when(k % 9 == 0, none).when(k % 4 == 0, duty * 1.05).when(k % 4 == 1, duty * 1.01).otherwise(duty + 0.3)
+    return derive.declarations(spark, d).select("id", rules.duties(declared, paid).alias("duties_match"))
+
+
+def _scored(spark, d: str) -> DataFrame:
+    none = F.lit(None).cast("string")
+    few = F.col("id") % 7 < 2
+    i = derive.invoices(spark, d).filter(few).select("pool", F.col("id").alias("invoice_id"), none.alias("folder"), C.ref_key(F.col("ref")).alias("ref"), none.alias("awb"), "total", "vat", F.array().cast("array<string>").alias("hs6"), F.lit("").alias("lead"))
+    x = derive.declarations(spark, d).filter(few).select("pool", F.col("id").alias("declaration_id"), F.col("id").alias("ord"), none.alias("folder"), F.array(F.when(F.col("id") % 2 == 0, C.ref_key(F.col("ref"))).otherwise("NONE")).alias("refs"), F.array().cast("array<string>").alias("awbs"), "total", "currency", F.when(F.col("id") % 4 == 0, 1.08).alias("fx"), "vat", F.array().cast("array<string>").alias("hs6"), F.lit("").alias("lead"))
+    return links.invoice_declaration_score(i, x)
+
+
+_SCORED = f"""WITH i AS (SELECT * FROM ({derive.INVOICES}) WHERE id % 7 < 2), x AS (SELECT * FROM ({derive.DECLARATIONS}) WHERE id % 7 < 2),
+y AS (SELECT id, pool, total, currency, vat, CASE WHEN id % 4 = 0 THEN 1.08::DOUBLE END AS fx, CASE WHEN id % 2 = 0 THEN regexp_replace(upper(ref), '[^A-Z0-9]', '', 'g') ELSE 'NONE' END AS ref FROM x),
+z AS (SELECT i.pool, i.id AS invoice_id, y.id AS declaration_id, y.id AS ord, regexp_replace(upper(i.ref), '[^A-Z0-9]', '', 'g') AS r, y.ref AS s, i.total AS t, y.total AS u, y.currency AS c, y.fx, i.vat = y.vat AS v FROM i JOIN y ON i.pool = y.pool),
+s AS (SELECT pool, invoice_id, declaration_id, ord, (CASE WHEN contains(r, s) OR contains(s, r) THEN 80 ELSE 0 END + CASE WHEN {_close('t', 'u', 1.0, 0.01)} THEN 35 WHEN fx > 0 AND c <> 'EUR' AND {_close('t / fx', 'u', 1.0, 0.01)} THEN 20 ELSE 0 END + CASE WHEN v THEN 20 ELSE 0 END)::INT AS score FROM z),
+m AS (SELECT *, max(score) OVER (PARTITION BY pool, invoice_id) AS best, row_number() OVER (PARTITION BY pool, invoice_id ORDER BY score DESC, ord) AS n FROM s)"""
+
+
+@query(f"{_SCORED} SELECT * FROM s")
+def invoice_decl_score(spark, d: str) -> DataFrame:
+    return _scored(spark, d)
+
+
+@query(f"{_SCORED} SELECT pool, invoice_id, declaration_id, ord, score FROM m WHERE score >= 60 OR (best < 60 AND n = 1 AND score >= 15)")
+def invoice_decl_matches(spark, d: str) -> DataFrame:
+    return links.matches(_scored(spark, d))
+
+
+@query(f"{_SCORED} SELECT id FROM x WHERE id NOT IN (SELECT declaration_id FROM m WHERE score >= 60 OR (best < 60 AND n = 1 AND score >= 15))")
+def orphan_declarations(spark, d: str) -> DataFrame:
+    used = links.matches(_scored(spark, d)).select(F.col("declaration_id").alias("id")).distinct()
+    return links.orphans(derive.declarations(spark, d).filter("id % 7 < 2").select("id"), used, "id")
+
+
+@query(f"""WITH i AS ({derive.INVOICES}), s AS (SELECT pool AS bundle_id, id AS prestation_id, id AS ord, (id % 5 * 20)::INT AS score FROM i),
+r AS (SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY score DESC, ord) AS n FROM s) SELECT bundle_id, prestation_id, score FROM r WHERE n = 1 AND score >= 30""")
+def best_prestation(spark, d: str) -> DataFrame:
+    i = derive.invoices(spark, d).select(F.col("pool").alias("bundle_id"), F.col("id").alias("prestation_id"), F.col("id").alias("ord"), (F.col("id") % 5 * 20).cast("int").alias("score"))
+    return links.best_prestation(i)
+
+
+@query("""WITH b AS (SELECT o_custkey % 10 AS pool, o_orderkey AS ord, 'D' || o_orderkey % 50 AS member, CASE o_orderkey % 3 WHEN 0 THEN 'n:N' || o_custkey % 40 WHEN 1 THEN 'a:A' || o_custkey % 30 ELSE 's:S' || o_orderkey END AS merge_key FROM orders WHERE o_orderkey % 3 < 2 OR o_orderkey % 4 = 0),
+f AS (SELECT pool, merge_key, member, min(ord) AS ord FROM b GROUP BY ALL)
+SELECT pool, merge_key, ord, n_bundles, members FROM (SELECT pool, merge_key, string_agg(member, ',' ORDER BY ord) AS members FROM f GROUP BY ALL) JOIN (SELECT pool, merge_key, min(ord) AS ord, count(*) AS n_bundles FROM b GROUP BY ALL) USING (pool, merge_key)""")
+def merge_bundles(spark, d: str) -> DataFrame:
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    b = spark.read.parquet(f"{d}/orders.parquet").filter((k % 3 < 2) | (k % 4 == 0))
+    b = b.select((c % 10).alias("pool"), k.alias("ord"), F.concat(F.lit("D"), k % 50).alias("member"), F.when(k % 3 == 0, F.concat(F.lit("N"), c % 40)).alias("number"), F.when(k % 3 == 1, F.concat(F.lit("A"), c % 30)).alias("awb"), F.lit("").alias("mrn"), F.concat(F.lit("S"), k).alias("sources"))
+    return links.merge_bundles(b)
+
+
+_RAW = "CASE p_partkey % 6 WHEN 0 THEN '426' || lpad((p_partkey % 1000)::VARCHAR, 6, '0') WHEN 1 THEN '100900' WHEN 2 THEN '4202.22.' || lpad((p_partkey % 100)::VARCHAR, 2, '0') WHEN 3 THEN lpad(p_partkey::VARCHAR, 10, '3') || '0' WHEN 4 THEN 'HS ' || p_partkey ELSE lpad(p_partkey::VARCHAR, 9, '6') END"
+
+
+@query(f"""WITH a AS (SELECT p_partkey AS id, regexp_replace({_RAW}, '[^0-9]', '', 'g') AS d FROM part), b AS (SELECT id, CASE WHEN d = '100900' THEN '' WHEN starts_with(d, '426') THEN '420' || substr(d, 4) ELSE d END AS d FROM a),
+c AS (SELECT id, CASE WHEN length(d) = 9 THEN d || '0' WHEN length(d) = 11 AND ends_with(d, '0') THEN substr(d, 1, 10) ELSE d END AS d FROM b) SELECT id, CASE WHEN length(d) BETWEEN 6 AND 10 THEN d END AS hs FROM c""")
+def normalize_hs(spark, d: str) -> DataFrame:
+    k = F.col("p_partkey")
+    s = k.cast("string")
+    raw = F.when(k % 6 == 0, F.concat(F.lit("426"), F.lpad((k % 1000).cast("string"), 6, "0"))).when(k % 6 == 1, "100900").when(k % 6 == 2, F.concat(F.lit("4202.22."), F.lpad((k % 100).cast("string"), 2, "0"))).when(k % 6 == 3, F.concat(F.lpad(s, 10, "3"), F.lit("0"))).when(k % 6 == 4, F.concat(F.lit("HS "), s)).otherwise(F.lpad(s, 9, "6"))
+    return spark.read.parquet(f"{d}/part.parquet").select(k.alias("id"), C.tariff_code(raw).alias("hs"))
+
+
+_CENTS = "lpad((o_orderkey * 37 % 100)::VARCHAR, 2, '0')"
+_WHOLE = "(o_orderkey % 900 + 100)::VARCHAR"
+
+
+@query(f"""SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 4 THEN NULL ELSE (CASE WHEN o_orderkey % 5 IN (0, 1, 2) THEN '1' ELSE '' END || {_WHOLE} || '.' || {_CENTS})::DOUBLE END AS amount FROM orders""")
+def parse_amounts(spark, d: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    whole, cents = (k % 900 + 100).cast("string"), F.lpad((k * 37 % 100).cast("string"), 2, "0")
+    text = F.when(k % 5 == 0, F.concat(F.lit("1 "), whole, F.lit(","), cents)).when(k % 5 == 1, F.concat(F.lit("1,"), whole, F.lit("."), cents)).when(k % 5 == 2, F.concat(F.lit("1."), whole, F.lit(","), cents)).when(k % 5 == 3, F.concat(F.lit(" "), whole, F.lit(","), cents)).otherwise(F.concat(F.lit("n/a "), whole))
+    return spark.read.parquet(f"{d}/orders.parquet").select(k.alias("id"), C.amount(text).alias("amount"))
+
+
+@query("SELECT o_orderkey AS id, CASE o_orderkey % 4 WHEN 3 THEN NULL ELSE strftime(o_orderdate, '%Y-%m-%d') END AS iso FROM orders")
+def parse_dates(spark, d: str) -> DataFrame:
+    k, day = F.col("o_orderkey"), F.col("o_orderdate")
+    text = F.when(k % 4 == 0, F.date_format(day, "dd/MM/yy")).when(k % 4 == 1, F.concat(F.lit("le "), F.date_format(day, "d.M.yyyy"))).when(k % 4 == 2, F.date_format(day, "yyyy-MM-dd")).otherwise("soon")
+    return spark.read.parquet(f"{d}/orders.parquet").select(k.alias("id"), C.iso_date(text).alias("iso"))
+
+
+@query("SELECT c_custkey AS id, regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g') AS key, regexp_replace(c_name, '[^A-Z0-9]', '', 'g') AS strict, substr(regexp_replace(upper(c_name), '[^A-Z0-9]', '', 'g'), 1, 15) AS mrn FROM customer")
+def reference_keys(spark, d: str) -> DataFrame:
+    name = F.col("c_name")
+    return spark.read.parquet(f"{d}/customer.parquet").select(F.col("c_custkey").alias("id"), C.ref_key(name).alias("key"), C.ref_key_strict(name).alias("strict"), C.mrn_key(name).alias("mrn"))
+
+
+_KINDS = " ".join(f"WHEN '{p}' THEN '{k}'" for p, k in zip(derive.PHRASES, ["prestation_dhl", "unknown", "invoice_dhl_hawb", "declaration_delta_ie_akanea", "unknown", "packing_list", "invoice_generic", "cgv", "awb", "invoice_generic", "declaration_h7", "prestation_dsv"], strict=True))
+
+
+@query(f"WITH p AS ({derive.PAGES}) SELECT path, page_no, CASE text {_KINDS} END AS doc_type FROM p")
+def classify_pages(spark, d: str) -> DataFrame:
+    return derive.pages(spark, d).select("path", "page_no", pages.classify(F.col("text")).alias("doc_type"))
+
+
+@query()
+def segment_pages(spark, d: str) -> DataFrame:
+    return pages.segments(derive.pages(spark, d).withColumn("doc_type", pages.classify(F.col("text"))).select("path", "page_no", "doc_type", "text"))
+
+
+_TAGS = "regexp_replace(html, '<[^>]{1,10}>', ' ', 'g')"
+
+
+@query(f"SELECT page_id, md5({_TAGS}) AS clean_md5, length({_TAGS}) AS n_chars FROM pages")
+def clean_markup(spark, d: str) -> DataFrame:
+    text = pages.clean_markup(F.col("html"))
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", F.md5(text).alias("clean_md5"), F.length(text).cast("long").alias("n_chars"))
+
+
+_WORDS = " + ".join(f"((length(u) - length(replace(u, '{w}', ''))) // {len(w)}) * 250" for w in pages.SCORE_WORDS)
+_MARKS = " + ".join(f"len(regexp_extract_all(u, '{p}')) * {w}" for w, p in pages.SCORE_PATTERNS)
+
+
+@query(f"WITH d AS (SELECT doc_id, text, upper(replace(text, 'ß', 'ss')) AS u FROM documents) SELECT doc_id, coalesce(least(length(text), 4000) + {_WORDS} + {_MARKS}, 0)::BIGINT AS score FROM d")
+def text_quality(spark, d: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", pages.quality_score(F.col("text")).alias("score"))
+
+
+@query("SELECT conv_id, arg_min(turn, (-length(text), turn)) AS turn, max(length(text))::BIGINT AS score FROM conversations GROUP BY conv_id")
+def best_text_variant(spark, d: str) -> DataFrame:
+    c = spark.read.parquet(f"{d}/conversations.parquet").select("conv_id", "turn", F.length("text").cast("long").alias("score"))
+    return pages.best_variant(c, "conv_id", "turn", "score")
+
+
+@query()
+def sum_evidence(spark, d: str) -> DataFrame:
+    money = F.round("l_extendedprice", 2)
+    lines = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", money.alias("x"))).alias("a"))
+    values = F.transform(F.sort_array("a"), lambda s: s["x"])
+    target = F.when(F.col("l_orderkey") % 2 == 0, F.aggregate(F.slice(values, 1, 2), F.lit(0.0), lambda a, x: a + x)).otherwise(F.lit(77.77))
+    return lines.select("l_orderkey", evidence.is_sum_of(values, target).alias("proved"))
+
+
+@query("SELECT s_suppkey AS id, left(regexp_replace('D/' || s_nationkey, '[\\\\/*?:\\[\\]]', '_', 'g'), 31) || CASE WHEN row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) > 1 THEN '_' || row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) ELSE '' END AS tab FROM supplier")
+def safe_tab_names(spark, d: str) -> DataFrame:
+    from pyspark.sql import Window as W
+
+    base = F.substring(F.regexp_replace(F.concat(F.lit("D/"), "s_nationkey"), r"[\\/*?:\[\]]", "_"), 1, 31)
+    s = spark.read.parquet(f"{d}/supplier.parquet").select(F.col("s_suppkey").alias("id"), base.alias("base"))
+    n = F.row_number().over(W.partitionBy("base").orderBy("id"))
+    return s.withColumn("n", n).select("id", F.when(F.col("n") > 1, F.concat(F.substring("base", 1, 31), F.lit("_"), F.col("n"))).otherwise(F.col("base")).alias("tab"))
+
+
+@query()
+def run_summary_json(spark, d: str) -> DataFrame:
+    s = rules.summary(_status(spark, d).select("status"))
+    return s.agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("status", "n"))).alias("by_status"), F.sum(F.when(F.col("anomaly"), F.col("n")).otherwise(0)).alias("anomalies"))).alias("summary"))
