@@ -19,6 +19,8 @@ COLLECTIONS, SIDE_HASHES = 12, 2
 SHINGLE, PERCENT = 5, 75
 #: Bits of the fixed-size filter (1 MB) that keeps sets of documents without candidates out of the shuffle.
 FILTER_BITS = 1 << 23
+#: Buckets of up to so many members join their pairs; larger ones are compared in blocks of at most CELL members a side.
+SMALL_BUCKET, CELL = 32, 512
 _POWER = np.uint64(0x9E3779B97F4A7C15)
 _SEEDS = mix64(np.arange(1, 2 * COLLECTIONS * SIDE_HASHES + 1, dtype=np.uint64) * _POWER) | np.uint64(1)
 
@@ -85,9 +87,13 @@ def _filter_of(ids: DataFrame) -> bytes:
     return bits.tobytes()
 
 
-def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose full sets reach the similarity."""
-    ids = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
+def _alike(x: np.ndarray, y: np.ndarray) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, hashes): the full sets of the documents of those ids. The fixed-size filter spares the others the shuffle."""
     shared = session(docs).sparkContext.broadcast(_filter_of(ids))
 
     def sets(batches):
@@ -101,27 +107,85 @@ def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
                 found = [(i, s) for i, s in found if len(s)]
                 yield pa.record_batch([ids.take(pa.array([i for i, _ in found], pa.int64())), pa.array([s.tobytes() for _, s in found], pa.binary())], names=["id", "hashes"])
 
+    return docs.mapInArrow(sets, "id long, hashes binary").join(ids, "id", "left_semi")
+
+
+def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose full sets reach the similarity."""
+
     def judge(batches):
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
+            keep = [_alike(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column(2), b.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
-    known = materialise(docs.mapInArrow(sets, "id long, hashes binary").join(ids, "id", "left_semi"), "sets")
+    known = materialise(_sets(docs, pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()), "sets")
     both = pairs.join(known.select(F.col("id").alias("u"), F.col("hashes").alias("x")), "u").join(known.select(F.col("id").alias("v"), F.col("hashes").alias("y")), "v")
     return both.select("u", "v", "x", "y").mapInArrow(judge, "u long, v long")
 
 
+def _cell(table: pa.Table) -> pa.Table:
+    """Links (u, v) between two blocks of one family: pairs that share a left and a right key, lie in different components
+    and are not linked through others yet are compared on full sets."""
+    side, rep = table.column("side").to_numpy(), table.column("rep").to_numpy()
+    _, group = np.unique(table.column("component").to_numpy(), return_inverse=True)
+    keys = np.array(table.column("keys").to_pylist(), np.int64).reshape(len(side), 2 * COLLECTIONS)
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
+    n = np.array([len(s) for s in sets])
+    root = np.arange(int(group.max()) + 1 if len(group) else 0)
+
+    def top(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)  # side 2 stands on both
+    u, v = [], []
+    for i in left.tolist():
+        same = keys[right] == keys[i]
+        ok = same[:, :COLLECTIONS].any(axis=1) & same[:, COLLECTIONS:].any(axis=1) & (100 * np.minimum(n[right], n[i]) >= PERCENT * np.maximum(n[right], n[i]))
+        ok &= (side[right] != side[i]) | (right > i)
+        for j in right[ok].tolist():
+            x, y = top(group[i]), top(group[j])
+            if x != y and _alike(sets[i], sets[j]):
+                root[x] = y
+                u.append(int(rep[i]))
+                v.append(int(rep[j]))
+    return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+
+def _families(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """Links (u, v) within families; members has (family, rep, component, keys).
+
+    Most of a family is one component already. Only the others are compared, with it and among themselves, in cells of two
+    blocks; a member goes to as many cells as there are blocks of others, so no task holds a family whole.
+    """
+    sizes = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n"))
+    facts = sizes.groupBy("family").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("n"))
+    blocks = lambda n: F.ceil(n / CELL).cast("long")
+    facts = facts.select("family", F.col("main.component").alias("main"), blocks(F.col("main.n")).alias("nm"), blocks(F.col("n") - F.col("main.n")).alias("nn")).filter("nn > 0")
+    sets = _sets(docs, members.select(F.col("rep").alias("id")))
+    full = members.join(facts, "family").join(sets.withColumnRenamed("id", "rep"), "rep")
+    place = F.pmod(F.xxhash64("rep"), F.when(F.col("component") == F.col("main"), F.col("nm")).otherwise(F.col("nn")))
+    full = materialise(full.withColumn("b", place), "family")
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    own = ["rep", "component", "keys", "hashes"]
+    main = full.filter("component = main").select("family", F.lit(0).alias("kind"), F.col("b").alias("i"), upto("nn").alias("j"), F.lit(0).alias("side"), *own)
+    other = full.filter("component <> main")
+    cross = other.select("family", F.lit(0).alias("kind"), upto("nm").alias("i"), F.col("b").alias("j"), F.lit(1).alias("side"), *own)
+    among = other.withColumn("k", upto("nn")).select("family", F.lit(1).alias("kind"), F.least("b", "k").alias("i"), F.greatest("b", "k").alias("j"), F.when(F.col("b") == F.col("k"), 2).when(F.col("b") < F.col("k"), 0).otherwise(1).alias("side"), *own)
+    cells = main.union(cross).union(among)
+    return cells.groupBy("family", "kind", "i", "j").applyInArrow(_cell, "u long, v long")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs.
 
     Rows with equal sets are one class from the start, so groups of copies cost one representative. The collections alone
-    prune first: a document without a left and a right key that another one has makes no table rows. In each table bucket
-    all members are compared with the smallest one; only in buckets that then still hold several components are the
-    members of different components compared. Every link is confirmed on full sets.
+    prune first: a document without a left and a right key that another one has makes no table rows. In each bucket of a
+    diagonal table all members are compared with the smallest one. Buckets of any table that then still hold several
+    components are finished: small ones join their pairs of different components; large ones, put together into families,
+    compare what is outside a family's main component block by block. Every link is confirmed on full sets.
 
     A null or empty text has an empty set and links with nothing. A null doc_id is never linked: component_id and kept are
     null. Rows that repeat a doc_id share its component. An empty table gives an empty result. Other columns are ignored.
@@ -138,28 +202,35 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     single = classes.select("rep", "n", F.posexplode("keys").alias("side", "key")).select("rep", "n", "side", F.xxhash64("side", "key").alias("key"))
     seen = single.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
-    sides = single.join(seen, "key", "left_semi").groupBy("rep", "n").agg(F.collect_list(F.when(F.col("side") < COLLECTIONS, F.col("key"))).alias("a"), F.collect_list(F.when(F.col("side") >= COLLECTIONS, F.col("key"))).alias("b"))
-    tables = sides.filter("size(a) > 0 and size(b) > 0").select("rep", "n", "b", F.explode("a").alias("a")).select("rep", "n", "a", F.explode("b").alias("b")).select("rep", "n", F.xxhash64("a", "b").alias("t"))
-    tables = materialise(tables, "tables")
-
-    first = tables.groupBy("t").agg(F.min(F.struct("rep", "n")).alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("t", "p")
+    left = F.col("side") < COLLECTIONS
+    key = F.struct("side", "key")
+    sides = single.join(seen, "key", "left_semi").groupBy("rep", "n").agg(F.collect_list(F.when(left, key)).alias("a"), F.collect_list(F.when(~left, key)).alias("b"))
+    tables = sides.filter("size(a) > 0 and size(b) > 0").select("rep", "n", "b", F.explode("a").alias("a")).select("rep", "n", "a", F.explode("b").alias("b"))
+    tables = materialise(tables.select("rep", "n", F.xxhash64("a.key", "b.key").alias("t"), (F.col("a.side") + COLLECTIONS == F.col("b.side")).alias("diagonal")), "tables")
+
+    own = tables.filter("diagonal")
+    first = own.groupBy("t").agg(F.min(F.struct("rep", "n")).alias("p"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("t", "p")
     fits = "100 * least(n, m) >= 75 * greatest(n, m)"
-    star = tables.join(first, "t").select(F.col("p.rep").alias("u"), F.col("rep").alias("v"), "n", F.col("p.n").alias("m")).filter(f"u <> v and {fits}").select("u", "v").distinct()
+    star = own.join(first, "t").select(F.col("p.rep").alias("u"), F.col("rep").alias("v"), "n", F.col("p.n").alias("m")).filter(f"u <> v and {fits}").select("u", "v").distinct()
     star = materialise(star, "star")
-    sure = materialise(_confirmed(docs, star), "links")
-    links.append(sure)
-    label = components(links[0].union(sure))
-
-    placed = tables.join(label.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    mixed = placed.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("t")
-    rest = materialise(placed.join(mixed, "t", "left_semi"), "rest")
-    x = rest.select("t", F.col("rep").alias("u"), "n", F.col("component").alias("cu"))
-    y = rest.select("t", F.col("rep").alias("v"), F.col("n").alias("m"), F.col("component").alias("cv"))
+    label = components(links[0].union(_confirmed(docs, star)))
+
+    placed = tables.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "t", F.coalesce("component", "rep").alias("component"))
+    mixed = placed.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("head"), F.count(F.lit(1)).alias("c")).filter("lo <> hi").select("t", "head", "c")
+    rest = materialise(placed.join(mixed, "t"), "rest")
+    small = rest.filter(F.col("c") <= SMALL_BUCKET)
+    x = small.select("t", F.col("rep").alias("u"), "n", F.col("component").alias("cu"))
+    y = small.select("t", F.col("rep").alias("v"), F.col("n").alias("m"), F.col("component").alias("cv"))
     more = x.join(y, "t").filter(f"u < v and cu <> cv and {fits}").select("u", "v").distinct().join(star, ["u", "v"], "left_anti")
     more = materialise(more, "more")
-    if more.limit(1).count():
-        found = materialise(_confirmed(docs, more), "found")
-        label = components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).union(found))
+    found = _confirmed(docs, more)
+    large = rest.filter(F.col("c") > SMALL_BUCKET).select(F.col("rep").alias("u"), F.col("head").alias("v"))
+    if large.limit(1).count():
+        family = components(large).select(F.col("node").alias("rep"), F.col("component").alias("family"))
+        members = family.join(classes.select("rep", "keys"), "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left")
+        members = members.select("family", "rep", F.coalesce("component", "rep").alias("component"), "keys")
+        found = found.union(_families(docs, materialise(members, "members")))
+    label = components(label.select(F.col("node").alias("u"), F.col("component").alias("v")).union(found))
 
     of_class = classes.select("fp", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
     out = sketch.join(of_class, "fp", "left")
