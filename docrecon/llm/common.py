@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import atexit
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -101,7 +100,3 @@ def lines(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
 def word_count(text: str):
     """A Column: the number of words of a text, 0 where it is null."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
-
-
-def repo_file(name: str) -> str:
-    return os.path.join(os.path.dirname(os.path.abspath(__file__)), name)
