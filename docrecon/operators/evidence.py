@@ -24,17 +24,17 @@ def written(text: Column, value: Column) -> Column:
 
 @F.pandas_udf(T.BooleanType())
 def is_sum_of(values: pd.Series, target: pd.Series) -> pd.Series:
-    """Two or more of the (at most 40 smallest) amounts add up to the target, within 1.00 or half a percent. Sums of cents are a bit set."""
+    """Two or more of the (at most 40 smallest) amounts add up to the target, within 1.00 or half a percent. Distinct sums of cents up to the target are kept."""
 
     def one(amounts, wanted) -> bool:
         if amounts is None or wanted is None or not np.isfinite(wanted) or wanted <= 0:
             return False
         goal, slack = round(wanted * 100), round(max(1.0, wanted * 0.005) * 100)
         cents = sorted(c for c in (round(float(a) * 100) for a in amounts if a is not None and np.isfinite(a)) if 0 < c <= goal + slack)[:MOST_VALUES]
-        mask, once, more = (1 << (goal + slack + 1)) - 1, 0, 0  # sums of exactly one value, of two or more
+        once, more, top = np.zeros(0, np.int64), np.zeros(0, np.int64), goal + slack  # sums of exactly one value, of two or more
         for c in cents:
-            more |= ((more | once) << c) & mask
-            once |= 1 << c
-        return bool(more >> max(0, goal - slack))
+            sums = np.concatenate([more, more + c, once + c])
+            more, once = np.unique(sums[sums <= top]), np.append(once, c)
+        return bool(len(more)) and bool(more[-1] >= goal - slack)
 
     return pd.Series([one(a, t) for a, t in zip(values, target, strict=True)])
