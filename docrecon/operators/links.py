@@ -33,16 +33,17 @@ def invoice_declaration_score(invoices: DataFrame, declarations: DataFrame) -> D
         + _points(F.coalesce(F.array_contains("d_awbs", F.col("i_awb")), F.lit(False)), 60)
         + F.when(near, 35).when(converted, 20).otherwise(0)
         + _points(F.coalesce(F.col("i_vat") == F.col("d_vat"), F.lit(False)), 20)
-        + F.least(F.lit(20), 8 * F.size(F.array_intersect("i_hs6", "d_hs6")))
+        + F.when((F.size("i_hs6") > 0) & (F.size("d_hs6") > 0), F.least(F.lit(20), 8 * F.size(F.array_intersect("i_hs6", "d_hs6")))).otherwise(0)
         + _points(F.coalesce((F.col("i_lead") != "") & (F.col("i_lead") == F.col("d_lead")), F.lit(False)), 70)
     )
     return both.select("pool", "invoice_id", "declaration_id", "ord", F.when(folders & (F.col("i_folder") != F.col("d_folder")), 0).otherwise(score).cast("int").alias("score"))
 
 
 def matches(scored: DataFrame) -> DataFrame:
-    """For each invoice all declarations of a sure score; if none is, the best one of at least the least score, the first of equal ones."""
+    """For each invoice all declarations of a sure score; if none is, the best one of at least the least score, the first of equal ones.
+    Pairs below the least score go before the windows: most pairs of a pool share nothing."""
     one = W.partitionBy("pool", "invoice_id")
-    ranked = scored.withColumn("best", F.max("score").over(one)).withColumn("n", F.row_number().over(one.orderBy(F.desc("score"), "ord")))
+    ranked = scored.filter(F.col("score") >= LEAST).withColumn("best", F.max("score").over(one)).withColumn("n", F.row_number().over(one.orderBy(F.desc("score"), "ord")))
     return ranked.filter((F.col("score") >= SURE) | ((F.col("best") < SURE) & (F.col("n") == 1) & (F.col("score") >= LEAST))).select("pool", "invoice_id", "declaration_id", "ord", "score")
 
 
