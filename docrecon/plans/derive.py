@@ -10,6 +10,15 @@ def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+#: Ids that make one dossier of the pools of bounded size.
+DOSSIER = 64
+
+
+def dossiers(rows: DataFrame) -> DataFrame:
+    """Rows with pools of at most DOSSIER ids each, however many rows there are."""
+    return rows.withColumn("pool", F.floor(F.col("id") / DOSSIER))
+
+
 def _one_of(key, values):
     out = F
     for i, v in enumerate(values[:-1]):

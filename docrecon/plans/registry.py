@@ -128,14 +128,24 @@ def prestation_duty_check(spark, d: str) -> DataFrame:
     return derive.declarations(spark, d).select("id", rules.duties(declared, paid).alias("duties_match"))
 
 
-def _scored(spark, d: str) -> DataFrame:
+def _pairs(i: DataFrame, x: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
-    few = F.col("id") % 7 < 2
-    i = derive.invoices(spark, d).filter(few).select("pool", F.col("id").alias("invoice_id"), none.alias("folder"), C.ref_key(F.col("ref")).alias("ref"), none.alias("awb"), "total", "vat", F.array().cast("array<string>").alias("hs6"), F.lit("").alias("lead"))
-    x = derive.declarations(spark, d).filter(few).select("pool", F.col("id").alias("declaration_id"), F.col("id").alias("ord"), none.alias("folder"), F.array(F.when(F.col("id") % 2 == 0, C.ref_key(F.col("ref"))).otherwise("NONE")).alias("refs"), F.array().cast("array<string>").alias("awbs"), "total", "currency", F.when(F.col("id") % 4 == 0, 1.08).alias("fx"), "vat", F.array().cast("array<string>").alias("hs6"), F.lit("").alias("lead"))
+    i = i.select("pool", F.col("id").alias("invoice_id"), none.alias("folder"), C.ref_key(F.col("ref")).alias("ref"), none.alias("awb"), "total", "vat", F.array().cast("array<string>").alias("hs6"), F.lit("").alias("lead"))
+    x = x.select("pool", F.col("id").alias("declaration_id"), F.col("id").alias("ord"), none.alias("folder"), F.array(F.when(F.col("id") % 2 == 0, C.ref_key(F.col("ref"))).otherwise("NONE")).alias("refs"), F.array().cast("array<string>").alias("awbs"), "total", "currency", F.when(F.col("id") % 4 == 0, 1.08).alias("fx"), "vat", F.array().cast("array<string>").alias("hs6"), F.lit("").alias("lead"))
     return links.invoice_declaration_score(i, x)
 
 
+def _scored(spark, d: str) -> DataFrame:
+    """The rows that the SQL takes: two of seven, in its 499 pools."""
+    few = F.col("id") % 7 < 2
+    return _pairs(derive.invoices(spark, d).filter(few), derive.declarations(spark, d).filter(few))
+
+
+def _scored_all(spark, d: str) -> DataFrame:
+    """Every invoice and declaration, in pools of bounded size: pairs grow with the rows."""
+    return _pairs(derive.dossiers(derive.invoices(spark, d)), derive.dossiers(derive.declarations(spark, d)))
+
+
 _SCORED = f"""WITH i AS (SELECT * FROM ({derive.INVOICES}) WHERE id % 7 < 2), x AS (SELECT * FROM ({derive.DECLARATIONS}) WHERE id % 7 < 2),
 y AS (SELECT id, pool, total, currency, vat, CASE WHEN id % 4 = 0 THEN 1.08::DOUBLE END AS fx, CASE WHEN id % 2 = 0 THEN regexp_replace(upper(ref), '[^A-Z0-9]', '', 'g') ELSE 'NONE' END AS ref FROM x),
 z AS (SELECT i.pool, i.id AS invoice_id, y.id AS declaration_id, y.id AS ord, regexp_replace(upper(i.ref), '[^A-Z0-9]', '', 'g') AS r, y.ref AS s, i.total AS t, y.total AS u, y.currency AS c, y.fx, i.vat = y.vat AS v FROM i JOIN y ON i.pool = y.pool),
@@ -159,6 +169,23 @@ def orphan_declarations(spark, d: str) -> DataFrame:
     return links.orphans(derive.declarations(spark, d).filter("id % 7 < 2").select("id"), used, "id")
 
 
+# The same over all rows. They have no SQL; the tests hold them against brute force.
+@query()
+def invoice_decl_score_all(spark, d: str) -> DataFrame:
+    return _scored_all(spark, d)
+
+
+@query()
+def invoice_decl_matches_all(spark, d: str) -> DataFrame:
+    return links.matches(_scored_all(spark, d))
+
+
+@query()
+def orphan_declarations_all(spark, d: str) -> DataFrame:
+    used = links.matches(_scored_all(spark, d)).select(F.col("declaration_id").alias("id")).distinct()
+    return links.orphans(derive.declarations(spark, d).select("id"), used, "id")
+
+
 @query(f"""WITH i AS ({derive.INVOICES}), s AS (SELECT pool AS bundle_id, id AS prestation_id, id AS ord, (id % 5 * 20)::INT AS score FROM i),
 r AS (SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY score DESC, ord) AS n FROM s) SELECT bundle_id, prestation_id, score FROM r WHERE n = 1 AND score >= 30""")
 def best_prestation(spark, d: str) -> DataFrame:
