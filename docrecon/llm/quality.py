@@ -23,6 +23,8 @@ RULES = [
     ("dup_line_ratio", ">", 0.5),
     ("stop_word_ratio", "<", 0.005),
 ]
+#: The rules of quality_filter. op4_quality and its SQL keep RULES; there a bound of 0.5 lets fragments joined by bars pass, as each bar is also a word.
+FILTER_RULES = [("symbols_per_word", ">", 0.1), *RULES[1:]]
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
@@ -92,12 +94,12 @@ def quality_verdict(q: str, rules=None) -> tuple[Column, Column]:
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text passes the rules, with the columns of docs. Null and empty texts are rejected (no words)."""
+    """The rows of docs whose text passes FILTER_RULES, with the columns of docs. Null and empty texts are rejected (no words)."""
     q, row = free_name(docs, "quality"), free_name(docs, "quality_row")
     # A predicate would sink below the projections and there repeat the counts at each use; a column that is not
     # deterministic keeps it above them.
     counted = quality_counts(docs, text_col, q).withColumn(row, F.monotonically_increasing_id())
-    return counted.filter(quality_verdict(q)[1] & (F.col(row) >= 0)).drop(q, row)
+    return counted.filter(quality_verdict(q, FILTER_RULES)[1] & (F.col(row) >= 0)).drop(q, row)
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

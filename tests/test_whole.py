@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import duckdb
 import pytest
 
+from docrecon.llm import quality
 from docrecon.plans import derive
 from docrecon.plans.registry import QUERIES
 
@@ -65,3 +66,13 @@ def test_every_invoice_and_declaration(spark, brute):
     got = QUERIES["invoice_decl_matches_all"](spark, DIR).collect()
     assert {(r["invoice_id"], r["declaration_id"]) for r in got} == matched and len(got) == len(matched)
     assert sorted(r["id"] for r in QUERIES["orphan_declarations_all"](spark, DIR).collect()) == sorted(orphans)
+
+
+def test_quality_filter_drops_labelled_junk(spark):
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality")
+    docs = spark.read.parquet(f"{d}/documents.parquet").join(labels, "doc_id")
+    passed = quality.quality(docs).filter("not base_failed").select("doc_id").join(labels, "doc_id")
+    kept = {r["doc_id"] for r in quality.quality_filter(docs).select("doc_id").collect()}
+    clean, junk = ({r["doc_id"] for r in passed.filter(f"quality = {q}").collect()} for q in (1, 0))
+    assert clean and junk and clean <= kept and not junk & kept
