@@ -60,5 +60,7 @@ def orphans(rows: DataFrame, used: DataFrame, key: str) -> DataFrame:
 def merge_bundles(bundles: DataFrame) -> DataFrame:
     """Dossiers of a pool with the same key (number, waybill, MRN or sources: the first there is) become one; members in first-seen order, once."""
     key = F.coalesce(*(F.when(F.col(c) != "", F.concat(F.lit(c[0] + ":"), F.col(c))) for c in ("number", "awb", "mrn", "sources")))
-    members = F.array_distinct(F.transform(F.sort_array(F.collect_list(F.struct("ord", "member"))), lambda x: x["member"]))
-    return bundles.withColumn("merge_key", key).groupBy("pool", "merge_key").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n_bundles"), F.array_join(members, ",").alias("members"))
+    # one row a member first: a key's group then grows with its members, not with its dossiers
+    once = bundles.withColumn("merge_key", key).groupBy("pool", "merge_key", "member").agg(F.min("ord").alias("ord"), F.count(F.lit(1)).alias("n"))
+    members = F.transform(F.sort_array(F.collect_list(F.struct("ord", "member"))), lambda x: x["member"])
+    return once.groupBy("pool", "merge_key").agg(F.min("ord").alias("ord"), F.sum("n").alias("n_bundles"), F.array_join(members, ",").alias("members"))

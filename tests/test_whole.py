@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 from docrecon.llm import quality
+from docrecon.operators import links
 from docrecon.plans import derive
 from docrecon.plans.registry import QUERIES
 
@@ -76,3 +77,24 @@ def test_quality_filter_drops_labelled_junk(spark):
     kept = {r["doc_id"] for r in quality.quality_filter(docs).select("doc_id").collect()}
     clean, junk = ({r["doc_id"] for r in passed.filter(f"quality = {q}").collect()} for q in (1, 0))
     assert clean and junk and clean <= kept and not junk & kept
+
+
+def test_every_bundle_is_merged(spark):
+    bundles = defaultdict(list)
+    orders = rows("SELECT o_orderkey AS k, o_custkey AS c FROM orders ORDER BY o_orderkey")
+    for r in orders:
+        k, c = r["k"], r["c"]
+        bundles[c % 10, [f"n:N{c % 40}", f"a:A{c % 30}", f"s:S{k}"][k % 3]].append(k)
+    want = {key: (min(ks), len(ks), ",".join(dict.fromkeys(f"D{k % 50}" for k in ks))) for key, ks in bundles.items()}
+    got = QUERIES["merge_bundles_all"](spark, DIR).collect()
+    assert {(r["pool"], r["merge_key"]): (r["ord"], r["n_bundles"], r["members"]) for r in got} == want and len(got) == len(want)
+    assert sum(r["n_bundles"] for r in got) == len(orders)
+
+
+def test_members_are_gathered_once(spark, capsys):
+    table = spark.createDataFrame([(1, i, f"D{i % 3}", "N1", "", "", "") for i in range(300)], "pool long, ord long, member string, number string, awb string, mrn string, sources string")
+    merged = links.merge_bundles(table)
+    assert [tuple(r) for r in merged.collect()] == [(1, "n:N1", 0, 300, "D0,D1,D2")]
+    merged.explain()
+    plan = capsys.readouterr().out
+    assert "member" in "".join(re.findall(r"keys=\[[^\]]*\]", plan))
