@@ -24,16 +24,31 @@ NEVER = frozenset("nav footer header aside form menu button select dialog head".
 NOT_MAIN = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|comments?|replies|reply|discussion|disqus|sidebar|side|menu|nav\w*|footer|header|share|social|related|newsletter|subscribe|popup|modal|breadcrumbs?|widget|login|search)(?=$|[\s_-])", re.I)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)|[^<]+|<", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?(?:false|until-found))|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>"']+)))?""")
+_NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
+#: Names of a layout around the main text say what stands beside it: has-sidebar, no-sidebar.
+_LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|with|without)[_-][\w-]*", re.I)
 _CLOSES_P = BLOCKS - {"br", "body", "html", "head", "title"}
 
 
+def hidden(attributes: str) -> bool:
+    """Whether a tag's attributes hide it: hidden itself, aria-hidden=true or display:none in its style."""
+    for m in _ATTRIBUTE.finditer(attributes):
+        name, value = m.group(1).lower(), (m.group(2) or m.group(3) or m.group(4) or "").strip().lower()
+        if name == "hidden" and value not in ("false", "until-found") or name == "aria-hidden" and value == "true" or name == "style" and _NOT_SHOWN.search(value):
+            return True
+    return False
+
+
 def blocks(page: str) -> Iterator[tuple[str, tuple[str, ...], int]]:
     """(text, open elements, tags before it) of a page's pieces of text in order; a piece without words is skipped.
 
-    An open element is its name, with a ! in front where its kind or its class, id or role is never main text.
+    An open element is its name, with a ! in front where its kind or its class, id or role is never main text. A class, id or
+    role marks no wrapper of a main element or of the page's first article; hidden elements and those of NEVER stay marked.
     """
     stack: list[str] = []
+    named: list[bool] = []  # marked by class, id or role alone
+    articles = 0
     text: list[str] = []
     tags = 0
 
@@ -63,7 +78,7 @@ def blocks(page: str) -> Iterator[tuple[str, tuple[str, ...], int]]:
         if close:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i].lstrip("!") == name:
-                    del stack[i:]
+                    del stack[i:], named[i:]
                     break
             continue
         if name in RAW:
@@ -74,15 +89,22 @@ def blocks(page: str) -> Iterator[tuple[str, tuple[str, ...], int]]:
         if name in VOID or rest.endswith("/"):
             continue
         if name in _CLOSES_P and "p" in stack:
-            del stack[len(stack) - 1 - stack[::-1].index("p") :]
+            i = len(stack) - 1 - stack[::-1].index("p")
+            del stack[i:], named[i:]
         elif name == "li" and "li" in stack:
             i = len(stack) - 1 - stack[::-1].index("li")
             if not {"ul", "ol"} & set(stack[i:]):
-                del stack[i:]
+                del stack[i:], named[i:]
         names = " ".join(a or b or c for a, b, c in _NAMES.findall(rest))
         inside = {"article", "main"} & set(stack)
-        never = (name in NEVER and not (name == "header" and inside)) or NOT_MAIN.search(names) and name not in ("body", "html", "article", "main") or _HIDDEN.search(rest)
-        stack.append("!" + name if never else name)
+        if name == "main" or name == "article" and not articles:
+            stack = [x[1:] if by else x for x, by in zip(stack, named, strict=True)]
+            named = [False] * len(stack)
+        articles += name in ("main", "article")
+        never = (name in NEVER and not (name == "header" and inside)) or hidden(rest)
+        by_name = not never and name not in ("body", "html", "article", "main") and NOT_MAIN.search(_LAYOUT.sub("", names)) is not None
+        stack.append("!" + name if never or by_name else name)
+        named.append(by_name)
     yield from done()
 
 

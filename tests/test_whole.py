@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import duckdb
 import pytest
 
-from docrecon.llm import quality
+from docrecon.llm import html, quality
 from docrecon.operators import links
 from docrecon.plans import derive
 from docrecon.plans.registry import QUERIES
@@ -98,3 +98,16 @@ def test_members_are_gathered_once(spark, capsys):
     merged.explain()
     plan = capsys.readouterr().out
     assert "member" in "".join(re.findall(r"keys=\[[^\]]*\]", plan))
+
+
+@pytest.mark.parametrize("wrapper", ['div class="overflow-hidden"', "div style='overflow:hidden'", 'div class="has-sidebar"', 'div class="page no-sidebar"', 'div class="layout--with-sidebar"', "div class='sidebar-layout sidebar'", 'div data-state="hidden"', 'div aria-hidden="false"', 'div title="display:none"'])
+@pytest.mark.parametrize("inner", ["article", "main"])
+def test_wrapped_articles_stay(wrapper, inner):
+    page = f'<body><nav>Home</nav><{wrapper}><{inner}><p>The whole story of the sea and its stones.</p></{inner}></div><footer>Site</footer></body>'
+    assert html.main_text(page, html.Weights()) == "The whole story of the sea and its stones."
+
+
+@pytest.mark.parametrize("tag", ["div hidden", 'div hidden=""', 'div class="a" hidden="hidden"', 'div aria-hidden="true"', 'div style="color:red; display : none"', 'div class="sidebar"', 'div class="comments"'])
+def test_hidden_and_furniture_go(tag):
+    page = f"<article><p>The whole story of the sea.</p><{tag}><p>Not of it at all</p></div><p>Its end.</p></article><{tag}><article><p>A reply to the story</p></article></div>"
+    assert html.main_text(page, html.Weights()) == "The whole story of the sea. Its end."
