@@ -13,8 +13,8 @@ from .common import lines, mix64, session, utf8
 
 #: n-grams of GRAM bytes are counted in SLOTS; each language's model is one row of so many numbers.
 GRAM, SLOTS, HELD_OUT = 3, 1 << 14, 5
-#: Steps of the mixture, languages it may hold at most, and the price of one more language in log-likelihood per log of the text's n-grams.
-STEPS, MOST, PENALTY = 8, 3, 6.0
+#: A mixture is settled when a step adds less than SETTLED to its log-likelihood. PENALTY is the price of one more language in log-likelihood per log of the text's n-grams.
+SETTLED, PENALTY = 0.01, 6.0
 #: Texts are worked on in parts of at most so many bytes; a longer text is a part alone.
 PART_BYTES = 1 << 20
 _LETTER = re.compile(r"[^\W\d_]")
@@ -94,23 +94,38 @@ def fit_languages(docs: DataFrame) -> tuple[list[str], np.ndarray, int]:
     return names, np.log(counts / counts.sum(axis=1, keepdims=True)), usual
 
 
-def _mixture(doc: np.ndarray, starts: np.ndarray, c: np.ndarray, p: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Proportions and log-likelihood of each document from its distinct n-grams: c how often, p likelihood under each language."""
-    share, one = allowed / allowed.sum(axis=1, keepdims=True), np.ones(p.shape[1])
+def _mixture(doc: np.ndarray, starts: np.ndarray, c: np.ndarray, p: np.ndarray, allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Proportions and log-likelihood of each document from its distinct n-grams (c how often, p likelihood under each
+    language), and how much more any proportions can reach: the logarithm is concave, so its slope bounds the rest.
+
+    Steps go on until the document's likelihood settles; those that have settled leave.
+    """
+    n = len(starts)
+    share = allowed / allowed.sum(axis=1, keepdims=True)
+    likelihood, gap = np.empty(n), np.empty(n)
     total = np.add.reduceat(c, starts)
-    for _ in range(STEPS):
-        r = share[doc] * p
-        r *= (c / (r @ one))[:, None]
-        share = np.add.reduceat(r, starts, axis=0) / total[:, None]
-    return share, np.add.reduceat(c * np.log((share[doc] * p) @ one), starts)
+    live, before = np.arange(n), np.full(n, -np.inf)
+    while len(live):
+        mixed = np.einsum("ij,ij->i", share[live[doc]], p)
+        now = np.add.reduceat(c * np.log(mixed), starts)
+        slope = np.add.reduceat(p * (c / mixed)[:, None], starts, axis=0)
+        likelihood[live], gap[live] = now, np.maximum((slope * allowed[live]).max(axis=1) - total[live], 0.0)
+        on = (now - before >= SETTLED) & (gap[live] >= SETTLED)
+        held = live[on]
+        share[held] *= slope[on] / total[held][:, None]
+        keep = on[doc]
+        doc, c, p = (np.cumsum(on) - 1)[doc[keep]], c[keep], p[keep]
+        starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1])) if len(doc) else starts[:0]
+        live, before = held, now[on]
+    return share, likelihood, gap
 
 
 def judge(counts: np.ndarray, logp: np.ndarray, usual: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """For each row of counts: the main language's place, and its share of the chosen mixture.
 
     The mixture of all languages orders them; the sets of the first one, two, and so on compete by likelihood less a penalty
-    per further language. No set is likelier than all languages together, so where even those don't earn one penalty the
-    first language stands alone. A row without n-grams takes the usual language with score 1 / languages.
+    per further language, up to all languages. No set is likelier than the bound for all languages together, so a document
+    leaves the search as soon as even that bound, less the next set's penalties, is no better than what it has. A row without n-grams takes the usual language with score 1 / languages.
     """
     n, languages = len(counts), len(logp)
     best, score = np.full(n, usual), np.full(n, 1.0 / languages)
@@ -123,26 +138,29 @@ def judge(counts: np.ndarray, logp: np.ndarray, usual: int = 0) -> tuple[np.ndar
     logs = logp.T[slot]
     logs -= logs.max(axis=1, keepdims=True)
     p = np.maximum(np.exp(logs), 1e-300)
-    share, most = _mixture(doc, starts, c, p, np.ones((len(rows), languages)))
+    share, most, gap = _mixture(doc, starts, c, p, np.ones((len(rows), languages)))
+    most += gap
     order = np.argsort(-share, axis=1, kind="stable")
     price = PENALTY * np.log(np.add.reduceat(c, starts) + 1)
     value = np.add.reduceat(c * logs[np.arange(len(doc)), order[doc, 0]], starts)
     best[rows], score[rows] = order[:, 0], 1.0
-    open_ = np.flatnonzero(most - value > price)
-    if len(open_):
-        keep = np.isin(doc, open_)
-        doc, c, p = np.searchsorted(open_, doc[keep]), c[keep], p[keep]
+    live = np.arange(len(rows))
+    for k in range(2, languages + 1):
+        open_ = most[live] - (k - 1) * price[live] > value[live]
+        live = live[open_]
+        if not len(live):
+            break
+        keep = open_[doc]
+        doc, c, p = (np.cumsum(open_) - 1)[doc[keep]], c[keep], p[keep]
         starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-        value = value[open_]
-        for k in range(2, min(MOST, languages) + 1):
-            allowed = np.zeros((len(open_), languages))
-            np.put_along_axis(allowed, order[open_, :k], 1.0, axis=1)
-            part, likelihood = _mixture(doc, starts, c, p, allowed)
-            v = likelihood - (k - 1) * price[open_]
-            better = v > value
-            value = np.where(better, v, value)
-            at = rows[open_[better]]
-            best[at], score[at] = part[better].argmax(axis=1), part[better].max(axis=1)
+        allowed = np.zeros((len(live), languages))
+        np.put_along_axis(allowed, order[live, :k], 1.0, axis=1)
+        part, likelihood, _ = _mixture(doc, starts, c, p, allowed)
+        v = likelihood - (k - 1) * price[live]
+        better = v > value[live]
+        at = live[better]
+        value[at] = v[better]
+        best[rows[at]], score[rows[at]] = part[better].argmax(axis=1), part[better].max(axis=1)
     return best, np.clip(score, 0.0, 1.0)
 
 
