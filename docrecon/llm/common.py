@@ -1,8 +1,9 @@
-"""Shared helpers: scratch tables, bounded Arrow batches and word splitting."""
+"""Shared helpers: scratch tables, bounded slices of Arrow batches and word splitting."""
 
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -14,47 +15,86 @@ from pyspark.sql import functions as F
 
 #: The word pattern of all contracts: a run of anything but space and tab to carriage return.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
-BATCH_ROWS = 1000
+#: Rows of a side that may be broadcast once they have been counted; a larger side meets its rows by a salted join.
+BROADCAST_ROWS = 100_000
+_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-_made: list[str] = []
-
-
-def session(df: DataFrame) -> SparkSession:
-    """The session of a frame, with Arrow batches bounded so that long texts fit a Python worker."""
-    spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return spark
+#: Scratch tables that still exist: path to (file system, path), which outlive the session that wrote them.
+_made: dict[str, tuple] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; where that is unset (a local session), a folder of our own."""
+    """The shared folder of spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own; a cluster is refused."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="docrecon-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write a frame as Parquet into the shared folder and read it back: the lineage is cut there, so a lost executor costs no recomputation."""
+@contextlib.contextmanager
+def _setting(spark: SparkSession, key: str, value: str):
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def materialise(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
+    """Write a frame as Parquet into the shared folder and read it back: the lineage is cut there, so a lost executor costs no recomputation.
+
+    The shuffle files that writing took go at once, and so do the scratch tables of done, which nothing reads any more.
+    """
     spark = df.sparkSession
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _made.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    _made[path] = (place.getFileSystem(context._jsc.hadoopConfiguration()), place)
+    with _setting(spark, _FREE_SHUFFLES, "true"):
+        df.write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    discard(*done)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete scratch tables; a frame that is none, or is gone already, is passed over."""
+    for t in tables:
+        _delete(getattr(t, "_scratch", None))
+
+
+def _delete(path: str | None) -> None:
+    if path in _made:
+        system, place = _made.pop(path)
+        system.delete(place, True)
+
+
+@contextlib.contextmanager
+def scratch_scope(*keep: DataFrame):
+    """On leaving, all scratch tables made within go, but those appended to the list that this yields."""
+    before, kept = set(_made), list(keep)
+    try:
+        yield kept
+    finally:
+        stay = before | {getattr(t, "_scratch", None) for t in kept}
+        for path in [p for p in _made if p not in stay]:
+            _delete(path)
 
 
 @atexit.register
 def _clear() -> None:
-    spark = SparkSession.getActiveSession()
-    try:
-        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-        for path in _made:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
-    except Exception:  # noqa: BLE001 - the JVM may be gone at exit; the files then stay in the scratch folder
-        pass
+    """Deletes what is left when the driver ends, also after its session has stopped."""
+    for path in list(_made):
+        try:
+            _delete(path)
+        except Exception as e:  # noqa: BLE001 - the JVM may be gone first
+            print(f"scratch table {path} stays: {type(e).__name__}")
+            return
 
 
 def free_name(df: DataFrame, name: str) -> str:
@@ -65,10 +105,6 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
-def shuffle_width(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a string column end to end, and the n + 1 offsets; a null is empty."""
     column = column.cast(pa.large_string())
@@ -90,13 +126,18 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def lines(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Slices of at most so many rows."""
+#: Bytes of a slice that is worked on at once (a longer text is a slice alone).
+SLICE_BYTES = 4 << 20
+
+
+def lines(batches: Iterator[pa.RecordBatch], size: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Slices of at most so many rows, and fewer where rows are large."""
     for batch in batches:
-        for i in range(0, batch.num_rows, size):
-            yield batch.slice(i, size)
+        size_here = max(1, min(size, batch.num_rows * SLICE_BYTES // max(1, batch.nbytes)))
+        for i in range(0, batch.num_rows, size_here):
+            yield batch.slice(i, size_here)
 
 
 def word_count(text: str):
-    """A Column: the number of words of a text, 0 where it is null."""
+    """A Column: the number of words of a text (a column's name, in backticks where it needs them), 0 where it is null."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_PATTERN)), F.lit(0)).cast("long")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise, scratch_scope
 
 
 def _edges(df: DataFrame) -> DataFrame:
@@ -16,23 +16,29 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, component): the smallest node reachable over undirected edges (u, v); only nodes that have an edge.
 
     Every round points each node's larger neighbours at its smallest one (large star), then each node and its smaller
-    neighbours at the smallest of them (small star); both are an aggregation and a join on the same key. Once nothing
-    changes the graph is a forest of stars. Rounds grow with the logarithm of the nodes. An empty input gives an empty result.
+    neighbours at the smallest of them (small star); both are an aggregation and a join on the same key. The smallest
+    neighbours are written first, so that the join reads both sides from exchanges and a node with very many neighbours is
+    split (skew join) or meets a broadcast side. Once nothing changes the graph is a forest of stars. Rounds grow with the
+    logarithm of the nodes. An empty input gives an empty result.
     """
-    now = materialise(_edges(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))), "edges")
-    before = None
-    for _ in range(rounds):
-        both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = _edges(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")))
-        large = materialise(large, "large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        now = materialise(_edges(small), "small")
-        state = now.agg(F.count(F.lit(1)), F.sum("v"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if state == before:
-            break
-        before = state
-    else:
-        raise RuntimeError("components: no fixed point was reached")
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    with scratch_scope() as kept:
+        now = materialise(_edges(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))), "edges")
+        before = None
+        for _ in range(rounds):
+            both = now.select("u", "v").union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+            large = materialise(_edges(both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))), "large", now, least)
+            least = materialise(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+            small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
+            now = materialise(_edges(small), "small", large, least)
+            state = now.agg(F.count(F.lit(1)), F.sum("v"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
+            if state == before:
+                break
+            before = state
+        else:
+            raise RuntimeError("components: no fixed point was reached")
+        out = now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        out = materialise(out, "components")
+        discard(now)
+        kept.append(out)
+    return out

@@ -12,7 +12,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import session
 
 #: Weights are fitted on at most so many labelled pages (the first by hash of the page): those that mark one article element.
 MAX_LABELLED = 500
@@ -180,7 +179,6 @@ def fit_weights(pages: DataFrame) -> Weights:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(page_id, url, text, n_chars) for each row of pages. A null or empty page has an empty text. Without labelled pages the
     weights are those of paragraphs and known furniture alone. Repeated rows are read alike; an empty table gives no rows."""
-    session(pages)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
     weights = fit_weights(rows)
 

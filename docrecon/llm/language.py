@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lines, mix64, session, utf8
+from .common import lines, mix64, utf8
 
 #: n-grams of GRAM bytes are counted in SLOTS; each language's model is one row of so many numbers.
 GRAM, SLOTS, HELD_OUT = 3, 1 << 14, 5
@@ -170,7 +170,6 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     Predictions use the text alone. A null text or one without a letter is und with score 0, as is every text when nothing
     can be learned. Repeated rows are judged alike; an empty table gives no rows.
     """
-    session(docs)
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     names, logp, usual = fit_languages(rows.filter(~F.col("held_out")))
 

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, session
+from .common import lines, materialise, mix64, scratch_scope
 from .graph import components
 
 #: Each side has so many collections of SIDE_HASHES minima; every pair of a left and a right collection is a table.
@@ -55,7 +55,7 @@ _SKETCH = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("fp", pa.binary()),
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in lines(batches):
         n, fp, keys = [], [], []
         for text in b.column(1):
             s = shingles(text.as_py())
@@ -94,11 +94,11 @@ def _alike(x: np.ndarray, y: np.ndarray) -> bool:
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, hashes): the full sets of the documents of those ids. The fixed-size filter spares the others the shuffle."""
-    shared = session(docs).sparkContext.broadcast(_filter_of(ids))
+    shared = docs.sparkSession.sparkContext.broadcast(_filter_of(ids))
 
     def sets(batches):
         bits = np.frombuffer(shared.value, np.uint8)
-        for b in batches:
+        for b in lines(batches):
             ids = b.column(0).cast(pa.int64()).fill_null(0)
             s = _slot(ids.to_numpy(zero_copy_only=False))
             at = np.flatnonzero((bits[s >> 3] >> (s & 7).astype(np.uint8)) & 1)
@@ -190,15 +190,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A null or empty text has an empty set and links with nothing. A null doc_id is never linked: component_id and kept are
     null. Rows that repeat a doc_id share its component. An empty table gives an empty result. Other columns are ignored.
     """
-    spark = session(docs)
-    docs = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    with scratch_scope() as kept:
+        out = _near_duplicates(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")))
+        kept.append(out)
+    return out
+
+
+def _near_duplicates(docs: DataFrame) -> DataFrame:
+    """The same from rows (id, text); what it leaves in scratch is the caller's to clear."""
     sketch = materialise(docs.mapInArrow(_sketch, "id long, n long, fp binary, keys array<long>"), "sketch")
     usable = sketch.filter("n > 0 and id is not null")
     classes = materialise(usable.groupBy("fp").agg(F.min("id").alias("rep"), F.any_value("n").alias("n"), F.any_value("keys").alias("keys")), "classes")
 
     # A doc_id that repeats with other words has several classes, which it links.
     again = usable.groupBy("id").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi").select("id")
-    links = [usable.join(again, "id", "left_semi").join(classes, "fp").select(F.col("rep").alias("u"), F.col("id").alias("v"))]
+    links = usable.join(again, "id", "left_semi").join(classes, "fp").select(F.col("rep").alias("u"), F.col("id").alias("v"))
 
     single = classes.select("rep", "n", F.posexplode("keys").alias("side", "key")).select("rep", "n", "side", F.xxhash64("side", "key").alias("key"))
     seen = single.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key")
@@ -213,16 +219,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fits = "100 * least(n, m) >= 75 * greatest(n, m)"
     star = own.join(first, "t").select(F.col("p.rep").alias("u"), F.col("rep").alias("v"), "n", F.col("p.n").alias("m")).filter(f"u <> v and {fits}").select("u", "v").distinct()
     star = materialise(star, "star")
-    label = components(links[0].union(_confirmed(docs, star)))
+    with scratch_scope() as kept:
+        label = components(links.union(_confirmed(docs, star)))
+        kept.append(label)
 
     placed = tables.join(label.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "n", "t", F.coalesce("component", "rep").alias("component"))
     mixed = placed.groupBy("t").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("rep").alias("head"), F.count(F.lit(1)).alias("c")).filter("lo <> hi").select("t", "head", "c")
-    rest = materialise(placed.join(mixed, "t"), "rest")
+    rest = materialise(placed.join(mixed, "t"), "rest", tables)
     small = rest.filter(F.col("c") <= SMALL_BUCKET)
     x = small.select("t", F.col("rep").alias("u"), "n", F.col("component").alias("cu"))
     y = small.select("t", F.col("rep").alias("v"), F.col("n").alias("m"), F.col("component").alias("cv"))
     more = x.join(y, "t").filter(f"u < v and cu <> cv and {fits}").select("u", "v").distinct().join(star, ["u", "v"], "left_anti")
-    more = materialise(more, "more")
+    more = materialise(more, "more", star)
     found = _confirmed(docs, more)
     large = rest.filter(F.col("c") > SMALL_BUCKET).select(F.col("rep").alias("u"), F.col("head").alias("v"))
     if large.limit(1).count():
@@ -235,7 +243,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of_class = classes.select("fp", "rep").join(label.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
     out = sketch.join(of_class, "fp", "left")
     group = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "id"))
-    return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), group.alias("component_id"), (group == F.col("id")).alias("kept"))
+    return materialise(out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), group.alias("component_id"), (group == F.col("id")).alias("kept")), "near-duplicates")
 
 
 def op1_minhash(spark, sf_dir: str) -> DataFrame:

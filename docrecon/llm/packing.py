@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise, session
+from .common import lines, materialise
 
 SEQUENCE, END_ID = 2048, 1
 #: A document gives whole sequences, then one piece that is a multiple of UNIT and one below UNIT: at most SEQUENCE / UNIT + UNIT lengths.
@@ -81,7 +81,7 @@ def _pieces(path: str | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, count = WordIds.at(path), TaskContext.get().partitionId(), np.zeros(SEQUENCE + 1, np.int64)
         end = np.array([END_ID], "<u4").tobytes()
-        for b in batches:
+        for b in lines(batches):
             docs, rows = b.column(0).to_pylist(), []
             for doc, text in zip(docs, b.column(1), strict=True):
                 ids = words.ids(text.as_py()) + end
@@ -201,7 +201,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabu
     task and a counter within the task. A null or empty text is the end id alone. Repeated rows are packed as often as they
     come. An empty table gives no rows. vocabulary is a path; by default that of the installed public file.
     """
-    spark = session(docs)
+    spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     pieces = materialise(plain.mapInArrow(_pieces(vocabulary), _PIECES), "pieces")
     counts = materialise(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "counts")

@@ -8,7 +8,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lines, session
+from .common import lines
 
 #: Words fall into SLOTS by hash. The commonest slots are classes of their own, the others share classes; class 0 is the text's border.
 SLOTS, CLASSES, OWN = 1 << 16, 128, 95
@@ -157,7 +157,6 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     Vocabulary counts and training cover all texts. A null text or one without words has no tokens, sum 0 and a null score.
     Repeated rows score alike; an empty table gives no rows.
     """
-    session(docs)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     counts = slot_counts(rows)
     of, within = classes_of(counts)

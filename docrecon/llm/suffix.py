@@ -20,13 +20,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, mix64, session, shuffle_width, utf8
+from .common import free_name, materialise, mix64, utf8
 
 LENGTH, GRAM = 50, 20
 #: Documents are dealt in chunks of about so many bytes of text (a longer document is a chunk alone).
 CHUNK_BYTES = 3 << 20
-#: Buckets of anchors for each shuffle partition; more of them spread evenly and keep a bucket small in memory.
-BUCKETS = 3
+#: Text that a bucket of anchors stands for, and text of the chunks of one task: the number of either follows the data.
+BUCKET_BYTES, TASK_BYTES = 24 << 20, 48 << 20
 #: Depth of the multikey quicksort, in bytes; groups that still agree go to blind tries.
 SHALLOW = 24
 _SPAN = LENGTH - GRAM + 1
@@ -175,12 +175,12 @@ def _unpack(blob) -> pa.RecordBatch:
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (chunk, blob); the last two columns of a batch are the document's id and text."""
+    """Rows (chunk, bytes of text, blob); the last two columns of a batch are the document's id and text."""
     part, n, held, size = TaskContext.get().partitionId(), 0, [], 0
 
     def done():
         table = pa.Table.from_batches(held).combine_chunks()
-        return pa.record_batch([pa.array([(part << 32) + n], pa.int64()), pa.array([_pack(table.to_batches()[0])], pa.binary())], names=["chunk", "blob"])
+        return pa.record_batch([pa.array([(part << 32) + n], pa.int64()), pa.array([size], pa.int64()), pa.array([_pack(table.to_batches()[0])], pa.binary())], names=["chunk", "size", "blob"])
 
     for b in batches:
         b = b.set_column(b.num_columns - 1, "t", b.column(b.num_columns - 1).cast(pa.large_string()))
@@ -270,6 +270,11 @@ def _by_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return ((hashes >> np.uint64(40)) % np.uint64(buckets)).astype(np.int64)
 
 
+def _short(hashes: np.ndarray) -> np.ndarray:
+    """What is sent of a hash within its bucket, 32 bits; two hashes that agree there only cost a region that is compared in vain."""
+    return (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+
+
 def _seen(buckets: int):
     """Chunks to rows (bucket, chunk, hashes, often): each anchor hash of a chunk once, and whether several documents have it there."""
 
@@ -287,19 +292,20 @@ def _seen(buckets: int):
                 bucket = _by_bucket(h, buckets)
                 order = np.argsort(bucket, kind="stable")
                 cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                h, often = h[order], often[order]
+                h, often = _short(h[order]), often[order]
                 used = np.flatnonzero(np.diff(cuts))
-                cols = [pa.array(used), pa.array(np.full(len(used), chunk)), pa.array([h[cuts[i] : cuts[i + 1]].tobytes() for i in used], pa.binary()), pa.array([often[cuts[i] : cuts[i + 1]].tobytes() for i in used], pa.binary())]
+                cols = [pa.array(used), pa.array(np.full(len(used), chunk)), pa.array([h[cuts[i] : cuts[i + 1]].tobytes() for i in used], pa.binary()), pa.array([np.packbits(often[cuts[i] : cuts[i + 1]]).tobytes() for i in used], pa.binary())]
                 yield pa.record_batch(cols, names=["bucket", "chunk", "hashes", "often"])
 
     return run
 
 
 def _shared(table: pa.Table) -> pa.Table:
-    """For one bucket: rows (chunk, hashes) of what several documents have."""
-    sizes = [len(x.as_buffer()) // 8 for x in table.column("hashes")]
-    h = np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")])
-    often = np.concatenate([np.frombuffer(x.as_buffer(), bool) for x in table.column("often")])
+    """For one bucket: rows (chunk, bucket, hashes) of what several documents have."""
+    each = [np.frombuffer(x.as_buffer(), np.uint32) for x in table.column("hashes")]
+    sizes = [len(x) for x in each]
+    h = np.concatenate(each)
+    often = np.concatenate([np.unpackbits(np.frombuffer(x.as_buffer(), np.uint8), count=n) for x, n in zip(table.column("often"), sizes, strict=True)]).astype(bool)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     order = np.argsort(h, kind="stable")
     s = h[order]
@@ -312,7 +318,7 @@ def _shared(table: pa.Table) -> pa.Table:
     kept = kept[order]
     used = np.flatnonzero(np.diff(cuts))
     chunks = table.column("chunk").to_numpy()
-    return pa.table({"chunk": pa.array(chunks[used], pa.int64()), "hashes": pa.array([kept[cuts[i] : cuts[i + 1]].tobytes() for i in used], pa.binary())})
+    return pa.table({"chunk": pa.array(chunks[used], pa.int64()), "bucket": pa.array(table.column("bucket").to_numpy()[used], pa.int64()), "hashes": pa.array([kept[cuts[i] : cuts[i + 1]].tobytes() for i in used], pa.binary())})
 
 
 _REGION = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("anchor", "<i4"), ("place", "<i2"), ("size", "<i2")])
@@ -325,10 +331,11 @@ def _regions(buckets: int):
         cols = {"bucket": [], "chunk": [], "heads": [], "bytes": []}
         if left.num_rows and right.num_rows:
             c = Chunk(left.column("blob")[0].as_buffer())
-            shared = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in right.column("hashes")]))
+            shared = np.sort(np.concatenate([np.frombuffer(x.as_buffer(), np.uint32) + (np.uint64(b) << np.uint64(32)) for b, x in zip(right.column("bucket").to_pylist(), right.column("hashes"), strict=True)]))
             _, stands, _ = c.alike()
-            at = np.minimum(np.searchsorted(shared, c.hashes), len(shared) - 1)
-            mine = np.flatnonzero((shared[at] == c.hashes) & (stands == np.arange(len(stands))))
+            keys = _short(c.hashes) + (_by_bucket(c.hashes, buckets).astype(np.uint64) << np.uint64(32))
+            at = np.minimum(np.searchsorted(shared, keys), len(shared) - 1)
+            mine = np.flatnonzero((shared[at] == keys) & (stands == np.arange(len(stands))))
             bucket = _by_bucket(c.hashes[mine], buckets)
             order = np.argsort(bucket, kind="stable")
             mine, bucket = mine[order], bucket[order]
@@ -463,19 +470,26 @@ def _rewrite(schema: pa.Schema, text_at: int):
     return run
 
 
-def _groups(df: DataFrame):
-    return df.groupBy("chunk")
+def _solved(docs: DataFrame):
+    """(chunk, size, blob) and (chunk, found), both grouped by chunk, for docs whose last two columns are the id and the text.
+
+    Buckets and tasks follow the bytes of text. What each step shuffles goes before the next begins; the chunks and the
+    findings stay for the caller. A hot anchor costs its bucket one region of 80 bytes at most for each chunk that has it.
+    """
+    spark = docs.sparkSession
+    chunks = materialise(docs.mapInArrow(_chunks, "chunk long, size long, blob binary"), "chunks")
+    size = chunks.agg(F.sum("size")).first()[0] or 0
+    buckets = max(spark.sparkContext.defaultParallelism, -(-size // BUCKET_BYTES))
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    seen = chunks.select("chunk", "blob").mapInArrow(_seen(buckets), "bucket long, chunk long, hashes binary, often binary")
+    shared = materialise(seen.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_shared, "chunk long, bucket long, hashes binary"), "shared")
 
+    def by_chunk(df):
+        return df.repartition(tasks, "chunk").groupBy("chunk")
 
-def _solved(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(chunk, blob) and (chunk, found) for docs whose last two columns are the id and the text."""
-    spark = session(docs)
-    buckets = BUCKETS * shuffle_width(spark)
-    chunks = materialise(docs.mapInArrow(_chunks, "chunk long, blob binary"), "chunks")
-    seen = chunks.mapInArrow(_seen(buckets), "bucket long, chunk long, hashes binary, often binary")
-    shared = seen.groupBy("bucket").applyInArrow(_shared, "chunk long, hashes binary")
-    regions = _groups(chunks).cogroup(_groups(shared)).applyInArrow(_regions(buckets), "bucket long, chunk long, heads binary, bytes binary")
-    return chunks, regions.groupBy("bucket").applyInArrow(_sorted_bucket, "chunk long, found binary")
+    regions = by_chunk(chunks.select("chunk", "blob")).cogroup(by_chunk(shared)).applyInArrow(_regions(buckets), "bucket long, chunk long, heads binary, bytes binary")
+    found = materialise(regions.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_sorted_bucket, "chunk long, found binary"), "found", shared)
+    return by_chunk(chunks), by_chunk(found)
 
 
 def passage_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -486,17 +500,18 @@ def passage_digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     two = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t"))
     chunks, found = _solved(two)
-    return _groups(chunks).cogroup(_groups(found)).applyInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return chunks.cogroup(found).applyInArrow(_digest, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows and columns of docs with repeated passages cut from the text (a character cut in half goes whole); null stays null."""
+    """The rows and columns of docs, whatever they are called, with repeated passages cut from the text (a character cut in half goes whole); null stays null."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
     own = [F.col(f"`{c}`") for c in docs.columns]
-    chunks, found = _solved(docs.select(*own, F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")))
+    i, t = free_name(docs, "passage_id"), free_name(docs, "passage_text")
+    chunks, found = _solved(docs.select(*own, F.col(f"`{id_col}`").cast("long").alias(i), F.col(f"`{text_col}`").cast("string").alias(t)))
     schema = to_arrow_schema(docs.schema)
-    return _groups(chunks).cogroup(_groups(found)).applyInArrow(_rewrite(schema, docs.columns.index(text_col)), docs.schema)
+    return chunks.cogroup(found).applyInArrow(_rewrite(schema, docs.columns.index(text_col)), docs.schema)
 
 
 def op8_suffix_dedup(spark, sf_dir: str) -> DataFrame:
