@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docrecon.llm.common import free_name, materialise
+from docrecon.llm.common import discard, free_name, materialise, scratch_scope
 from docrecon.llm.minhash import near_duplicates
 from docrecon.llm.mixing import mix
 from docrecon.llm.packing import pack
@@ -47,8 +47,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; what a stage returns is written and read again."""
+    """All stages over the documents table; what a stage returns is written and read again, and then its input and scratch tables go."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"))
-    return STAGES[-1][1](spark, docs, sf_dir)
+        with scratch_scope() as kept:
+            out = materialise(stage(spark, docs, sf_dir), name.replace(" ", "-"), docs)
+            kept.append(out)
+        docs = out
+    packed = STAGES[-1][1](spark, docs, sf_dir)  # its pieces are written already
+    discard(docs)
+    return packed
