@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Rows of a side that may be broadcast once they have been counted; a larger side meets its rows by a salted join.
 BROADCAST_ROWS = 100_000
-_FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: In force while a scratch table is written: shuffle files go at the end of the query, and rows reach Python in small batches.
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 #: Scratch tables that still exist: path to (file system, path), which outlive the session that wrote them.
 _made: dict[str, tuple] = {}
@@ -35,13 +36,15 @@ def scratch_root(spark: SparkSession) -> str:
 
 
 @contextlib.contextmanager
-def _setting(spark: SparkSession, key: str, value: str):
-    before = spark.conf.get(key, None)
-    spark.conf.set(key, value)
+def _settings(spark: SparkSession, values: dict[str, str]):
+    before = {k: spark.conf.get(k) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
 def materialise(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
@@ -54,7 +57,7 @@ def materialise(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
     context = spark.sparkContext
     place = context._jvm.org.apache.hadoop.fs.Path(path)
     _made[path] = (place.getFileSystem(context._jsc.hadoopConfiguration()), place)
-    with _setting(spark, _FREE_SHUFFLES, "true"):
+    with _settings(spark, _WHILE_WRITING):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path

@@ -24,9 +24,9 @@ from .common import free_name, materialise, mix64, utf8
 
 LENGTH, GRAM = 50, 20
 #: Documents are dealt in chunks of about so many bytes of text (a longer document is a chunk alone).
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 2 << 20
 #: Text that a bucket of anchors stands for, and text of the chunks of one task: the number of either follows the data.
-BUCKET_BYTES, TASK_BYTES = 24 << 20, 48 << 20
+BUCKET_BYTES, TASK_BYTES = 20 << 20, 40 << 20
 #: Depth of the multikey quicksort, in bytes; groups that still agree go to blind tries.
 SHALLOW = 24
 _SPAN = LENGTH - GRAM + 1
@@ -221,10 +221,14 @@ class Chunk:
             return
         h = _LETTER[self.buf]
         two = h[:-1] * _STEP + h[1:]
+        del h
         four = two[:-2] * _STEP + two[2:]
+        del two
         eight = four[:-4] * _STEP + four[4:]
         sixteen = eight[:-8] * _STEP + eight[8:]
+        del eight
         gram = mix64(sixteen[:-4] * _STEP + four[16:])
+        del four, sixteen
         value, place = gram, np.arange(len(gram), dtype=np.int32)
         width = 1
         while width < _SPAN:
