@@ -1,4 +1,4 @@
-"""Main text of web pages: the maximum-scoring subsequence of a page's words and tags."""
+"""Main text of web pages: the maximum-scoring subsequence of a page's words and tags, with weights learned from labelled pages."""
 
 from __future__ import annotations
 
@@ -8,25 +8,39 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import discard, lines, materialise
 
-#: Weights are fitted on at most so many labelled pages (the first by hash of the page): those that mark one article element.
+#: Weights are fitted on about so many labelled pages at most (those of least hash): pages that mark one article element.
 MAX_LABELLED = 500
-#: Elements that end a block, that hold no text of a page, and that are never main text.
+#: The most frequent sets of signs of the labelled pages that are fitted.
+MAX_SETS = 5000
+#: Fixed values, of HTML itself: elements that end a block, that hold no text of a page, that have no end, and that only lay out.
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 RAW = frozenset("script style template noscript iframe svg canvas object math textarea title".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-NEVER = frozenset("nav footer header aside form menu button select dialog head".split())
-NOT_MAIN = re.compile(r"(?:^|[\s_-])(?:ad|ads|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|comments?|replies|reply|discussion|disqus|sidebar|side|menu|nav\w*|footer|header|share|social|related|newsletter|subscribe|popup|modal|breadcrumbs?|widget|login|search)(?=$|[\s_-])", re.I)
+LAYOUT = frozenset("html body div span section article main".split())
+#: What a sign weighs, in log odds of main text, before any page is seen. Elements by their meaning in HTML; class, id
+#: and role names by their parts, which must all be known here, at least one in the first row. Labelled pages move these weights.
+PRIOR_ELEMENTS = dict.fromkeys("nav footer aside form menu button select dialog".split(), -3.0) | {"header": -2.0, "p": 1.5} | dict.fromkeys(HEADINGS := ("h1", "h2", "h3", "h4", "h5", "h6"), 1.0)
+PRIOR_NAME, PRIOR_PARTS = -3.5, frozenset("ad ads advert advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice notices comment comments reply replies sidebar menu nav navigation navbar footer header breadcrumb breadcrumbs share sharing social related newsletter subscribe popup modal login signup search".split())
+PRIOR_FILL = frozenset("area bar block box container content form inner item items left links list main outer right section top bottom site page widget wrapper".split())
+#: How strongly a weight is held to its prior, in words of the labelled sample scaled to FIT_WORDS; a word in an article or main element weighs LABEL more at most.
+HOLD, FIT_WORDS, LABEL = 0.5, 2000.0, 4.0
+#: A word's log odds count up to so much either way. Within the chosen region a block goes if its own are at or below DROP.
+MOST, DROP = 6.0, -1.0
+#: A block in an article element whose signs have a prior this low is no example of either kind: articles hold adverts too.
+UNCLEAR = -2.5
+#: What a tag may cost; the labelled pages choose.
+TAG_COSTS = (0.05, 0.1, 0.2, 0.35, 0.5, 0.75, 1.0, 1.5, 2.5)
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)|[^<]+|<", re.S)
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+_NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _ATTRIBUTE = re.compile(r"""([^\s=>"'/]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>"']+)))?""")
 _NOT_SHOWN = re.compile(r"(?:^|;)\s*display\s*:\s*none\b", re.I)
-#: Names of a layout around the main text say what stands beside it: has-sidebar, no-sidebar.
-_LAYOUT = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|with|without)[_-][\w-]*", re.I)
 _CLOSES_P = BLOCKS - {"br", "body", "html", "head", "title"}
 
 
@@ -39,14 +53,25 @@ def hidden(attributes: str) -> bool:
     return False
 
 
-def blocks(page: str) -> Iterator[tuple[str, tuple[str, ...], int]]:
-    """(text, open elements, tags before it) of a page's pieces of text in order; a piece without words is skipped.
+def _signs(name: str, attributes: str) -> frozenset[str]:
+    """An element's signs: its name, unless it only lays out, and its class, id and role names with a point in front. The id of a heading is a link's target and no sign."""
+    own = {f".{x.lower()}" for kind, a, b, c in _NAMES.findall(attributes) for x in (a or b or c).split() if kind.lower() != "id" or name not in HEADINGS}
+    return frozenset(own if name in LAYOUT else own | {name})
 
-    An open element is its name, with a ! in front where its kind or its class, id or role is never main text. A class, id or
-    role marks no wrapper of a main element or of the page's first article; hidden elements and those of NEVER stay marked.
-    """
-    stack: list[str] = []
-    named: list[bool] = []  # marked by class, id or role alone
+
+class Block:
+    """A piece of text with the signs of what is open around it (inside the first article or main element: since its start),
+    whether it is in that article or main element, and the tags since the block before."""
+
+    __slots__ = ("inside", "main", "signs", "tags", "text", "words")
+
+    def __init__(self, text: str, signs: frozenset[str], inside: bool, main: bool, tags: int):
+        self.text, self.signs, self.inside, self.main, self.tags, self.words = text, signs, inside, main, tags, text.count(" ") + 1
+
+
+def blocks(page: str) -> Iterator[Block]:
+    """A page's blocks in order; one without words is skipped, as is what a page does not show."""
+    stack: list[tuple[str, frozenset[str], str]] = []  # name, signs, what it is: article (the first), main, hidden or nothing
     articles = 0
     text: list[str] = []
     tags = 0
@@ -55,8 +80,11 @@ def blocks(page: str) -> Iterator[tuple[str, tuple[str, ...], int]]:
         nonlocal text, tags
         whole = " ".join(html.unescape("".join(text)).split())
         text = []
-        if whole:
-            yield whole, tuple(stack), tags
+        kinds = [k for _, _, k in stack]
+        if whole and "hidden" not in kinds:
+            start = max((i for i, k in enumerate(kinds) if k), default=0)
+            signs = frozenset().union(*(s for _, s, _ in stack[start:]))
+            yield Block(whole, signs, "article" in kinds, "main" in kinds, tags)
             tags = 0
 
     at, end = 0, len(page)
@@ -76,8 +104,8 @@ def blocks(page: str) -> Iterator[tuple[str, tuple[str, ...], int]]:
             yield from done()
         if close:
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i].lstrip("!") == name:
-                    del stack[i:], named[i:]
+                if stack[i][0] == name:
+                    del stack[i:]
                     break
             continue
         if name in RAW:
@@ -87,103 +115,169 @@ def blocks(page: str) -> Iterator[tuple[str, tuple[str, ...], int]]:
             continue
         if name in VOID or rest.endswith("/"):
             continue
-        if name in _CLOSES_P and "p" in stack:
-            i = len(stack) - 1 - stack[::-1].index("p")
-            del stack[i:], named[i:]
-        elif name == "li" and "li" in stack:
-            i = len(stack) - 1 - stack[::-1].index("li")
-            if not {"ul", "ol"} & set(stack[i:]):
-                del stack[i:], named[i:]
-        names = " ".join(a or b or c for a, b, c in _NAMES.findall(rest))
-        inside = {"article", "main"} & set(stack)
-        if name == "main" or name == "article" and not articles:
-            stack = [x[1:] if by else x for x, by in zip(stack, named, strict=True)]
-            named = [False] * len(stack)
-        articles += name in ("main", "article")
-        never = (name in NEVER and not (name == "header" and inside)) or hidden(rest)
-        by_name = not never and name not in ("body", "html", "article", "main") and NOT_MAIN.search(_LAYOUT.sub("", names)) is not None
-        stack.append("!" + name if never or by_name else name)
-        named.append(by_name)
+        names = [x for x, _, _ in stack]
+        if name in _CLOSES_P and "p" in names:
+            del stack[len(names) - 1 - names[::-1].index("p") :]
+        elif name == "li" and "li" in names:
+            i = len(names) - 1 - names[::-1].index("li")
+            if not {"ul", "ol"} & set(names[i:]):
+                del stack[i:]
+        kind = "hidden" if rest and hidden(rest) else "main" if name == "main" else "article" if name == "article" and not articles else ""
+        articles += kind == "article"
+        stack.append((name, _signs(name, rest) if not kind else frozenset(), kind))
     yield from done()
 
 
-def _signs(open_: tuple[str, ...]) -> set[str]:
-    """What a word's weight depends on: the elements around it; an article or main element itself is the label and no sign."""
-    return {x for x in open_ if x not in ("html", "body", "article", "main")} | ({"!"} if any(x[0] == "!" for x in open_) else set()) or {"bare"}
+def prior(sign: str) -> float:
+    """A sign's weight before any page is seen."""
+    if sign[0] != ".":
+        return PRIOR_ELEMENTS.get(sign, 0.0)
+    parts = {x for x in re.split(r"[^a-z]+", sign) if x}
+    return PRIOR_NAME if parts & PRIOR_PARTS and parts <= PRIOR_PARTS | PRIOR_FILL else 0.0
 
 
 class Weights:
-    """Log odds of main text for each sign, from words in and out of the labelled pages' article elements; a tag costs a constant."""
+    """What words and tags score, from the labelled pages' words in and out of their article elements.
 
-    def __init__(self, counts: dict[tuple[str, bool], int] | None = None, tag: float = 0.5):
-        counts = counts or {}
-        total = {k: sum(n for (_, inside), n in counts.items() if inside is k) + 2 for k in (True, False)}
-        self.tag = tag
-        self.of = {s: math.log((counts.get((s, True), 0) + 1) / total[True]) - math.log((counts.get((s, False), 0) + 1) / total[False]) for s, _ in counts}
-        self.of.setdefault("p", 2.0)
-        self.of["!"] = -6.0  # known furniture is never worth a word
+    of_signs: log odds of main text by a block's signs, a logistic regression that is held to the priors. label: what a word
+    or tag in (first) and out (second) of the page's article or main element scores besides, where the page has one. tag: what
+    a tag costs.
+    """
+
+    def __init__(self, counts: list[tuple[frozenset[str], bool, int]] | None = None, tag: float = 0.5):
+        counts, self.tag = counts or [], tag
+        words = {k: sum(n for _, inside, n in counts if inside is k) for k in (True, False)}
+        self.label = (min(LABEL, math.log(words[True] + 1)), -min(LABEL, math.log(words[False] + 1))) if counts else (2.0, -2.0)
+        self.bias, self.weights = 0.5, {}
+        if counts:
+            self._fit(counts)
+        self._known: dict[frozenset[str], float] = {}
+
+    def _fit(self, counts) -> None:
+        names = sorted({s for row in counts for s in row[0]})
+        place = {s: i for i, s in enumerate(names)}
+        row = np.repeat(np.arange(len(counts)), [len(r[0]) for r in counts])
+        col = np.array([place[s] for r in counts for s in sorted(r[0])], np.int64)
+        n = np.array([r[2] for r in counts], float)
+        n *= FIT_WORDS / n.sum()
+        y = np.array([r[1] for r in counts], float)
+        start = np.array([prior(s) for s in names])
+        w, bias, square, square_b = start.copy(), self.bias, np.full(len(names), 1e-6), 1e-6
+        for _ in range(400):  # adaptive gradient steps on a convex loss
+            z = bias + np.bincount(row, w[col], len(counts))
+            error = n * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
+            g = np.bincount(col, error[row], len(names)) + HOLD * (w - start)
+            square += g * g
+            square_b += error.sum() ** 2
+            w -= 0.5 * g / np.sqrt(square)
+            bias -= 0.5 * error.sum() / np.sqrt(square_b)
+        self.bias, self.weights = float(bias), dict(zip(names, w.tolist(), strict=True))
+
+    def of_signs(self, signs: frozenset[str]) -> float:
+        if signs not in self._known:
+            if len(self._known) > 100_000:
+                self._known.clear()
+            self._known[signs] = self.bias + sum(self.weights.get(s, prior(s)) for s in signs)
+        return self._known[signs]
+
+
+def best_span(scores: list[float], costs: list[float]) -> tuple[int, int]:
+    """The contiguous items lo to hi - 1 of the highest sum of scores and of the costs between them; (0, 0) if no sum is above zero. One pass: the best sum that ends at each item either goes on or begins there."""
+    best, span, now, begin = 0.0, (0, 0), 0.0, 0
+    for i, score in enumerate(scores):
+        if i and now + costs[i] > 0:
+            now += costs[i]
+        else:
+            now, begin = 0.0, i
+        now += score
+        if now > best:
+            best, span = now, (begin, i + 1)
+    return span
 
-    def word(self, open_: tuple[str, ...]) -> float:
-        signs = _signs(open_)
-        w = sum(self.of.get(s, -3.0 if s[0] == "!" else 0.3) for s in signs)
-        return max(-2.0, min(2.0, w)) + (1.5 if "article" in open_ or "main" in open_ else 0.0)
 
+def region(parts: list[Block], weights: Weights, tag: float, labelled: bool = True) -> list[Block]:
+    """The blocks of the best contiguous region, but for those whose own signs speak against main text.
 
-def sign_counts(page: str) -> Counter:
-    """Words by (sign, in the article element) of a labelled page."""
-    out: Counter = Counter()
-    for text, open_, _ in blocks(page):
-        inside = "article" in open_ and not any(x[0] == "!" for x in open_)
-        for s in _signs(open_):
-            out[s, inside] += text.count(" ") + 1
-    return out
+    A word scores its block's log odds and its label where the page has an article element or, without one, a main element;
+    the tags between two blocks score against joining them. With labelled=False the page's own labels are not looked at.
+    """
+    which = next((k for k in ("inside", "main") if any(getattr(b, k) for b in parts)), None) if labelled else None
+    own = [weights.of_signs(b.signs) for b in parts]
+    label = [0.0 if which is None else weights.label[0 if getattr(b, which) else 1] for b in parts]
+    scores = [b.words * (max(-MOST, min(MOST, w)) + x) for b, w, x in zip(parts, own, label, strict=True)]
+    costs = [b.tags * min(x - tag, -0.01) for b, x in zip(parts, label, strict=True)]
+    lo, hi = best_span(scores, costs)
+    return [b for b, w in zip(parts[lo:hi], own[lo:hi], strict=True) if w > DROP]
 
 
 def main_text(page: str | None, weights: Weights) -> str:
-    """The blocks of the best contiguous region, without furniture inside it; empty if no region scores above zero.
+    """The main text of a page; empty if no region scores above zero."""
+    return " ".join(b.text for b in region(list(blocks(page or "")), weights, weights.tag))
 
-    Words add their weight, tags subtract; one linear scan keeps the best sum that ends at each block.
-    """
-    parts = list(blocks(page or ""))
-    best, span, now, begin = 0.0, (0, 0), 0.0, 0
-    for i, (text, open_, tags) in enumerate(parts):
-        if now <= 0:
-            now, begin = 0.0, i
-        else:
-            now -= weights.tag * tags
-            if now <= 0:
-                now, begin = 0.0, i
-        now += weights.word(open_) * (text.count(" ") + 1)
-        if now > best:
-            best, span = now, (begin, i + 1)
-    return " ".join(text for text, open_, _ in parts[span[0] : span[1]] if not any(x[0] == "!" for x in open_))
+
+def _labelled(pages: DataFrame) -> DataFrame:
+    """About MAX_LABELLED pages (html) with exactly one article element: those below a hash threshold set by their count, so that no task ranks whole pages."""
+    labelled = pages.filter(F.regexp_count(F.lower("html"), F.lit("<article[\\s>]")) == 1)
+    part = F.pmod(F.xxhash64("html"), F.lit(1024))
+    upto, n = 0, 0
+    for r in labelled.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect():  # 1024 rows at most
+        if n and n + r["n"] > MAX_LABELLED:
+            break
+        upto, n = r["p"] + 1, n + r["n"]
+    return labelled.filter(part < upto).select("html")
 
 
 def fit_weights(pages: DataFrame) -> Weights:
-    """Weights from pages (html) that hold exactly one article element; at most MAX_LABELLED of them, and a bounded table of signs comes back."""
+    """Weights from pages (html) that mark their main text by one article element, at most about MAX_LABELLED of them.
+
+    First the signs: at most MAX_SETS sets with their words come back to the driver. Then what a tag costs: the largest of
+    TAG_COSTS whose regions, found without looking at the labels, share most words with the labelled ones.
+    """
 
     def count(batches):
-        for b in batches:
+        for batch in lines(batches):
             total: Counter = Counter()
-            for page in b.column(0):
-                total.update(sign_counts(page.as_py()))
+            for page in batch.column(0):
+                for b in blocks(page.as_py()):
+                    if not (b.inside and min(map(prior, b.signs), default=0.0) <= UNCLEAR):
+                        total[b.signs, b.inside] += b.words
             if total:
-                keys = list(total)
-                yield pa.record_batch([pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([total[k] for k in keys], pa.int64())], names=["sign", "inside", "n"])
-
-    sample = pages.filter(F.regexp_count(F.lower("html"), F.lit("<article[\\s>]")) == 1).select("html", F.xxhash64("html").alias("h")).orderBy("h").limit(MAX_LABELLED)
-    counts = sample.select("html").mapInArrow(count, "sign string, inside boolean, n long").groupBy("sign", "inside").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "sign").limit(2000)
-    return Weights({(r["sign"], r["inside"]): r["n"] for r in counts.collect()})
+                yield pa.record_batch([pa.array([sorted(s) for s, _ in total], pa.list_(pa.string())), pa.array([k for _, k in total]), pa.array(list(total.values()), pa.int64())], names=["signs", "inside", "words"])
+
+    sample = materialise(_labelled(pages), "labelled-pages")
+    counts = sample.mapInArrow(count, "signs array<string>, inside boolean, words long").groupBy("signs", "inside").agg(F.sum("words").alias("words")).orderBy(F.desc("words"), "signs", "inside").limit(MAX_SETS)
+    weights = Weights([(frozenset(r["signs"]), r["inside"], r["words"]) for r in counts.collect()])
+
+    def compare(batches):
+        for batch in lines(batches):
+            hits, all_ = [0] * len(TAG_COSTS), [0] * len(TAG_COSTS)
+            for page in batch.column(0):
+                parts = list(blocks(page.as_py()))
+                for i, cost in enumerate(TAG_COSTS):
+                    got = region(parts, weights, cost, labelled=False)
+                    hits[i] += 2 * sum(b.words for b in got if b.inside)
+                    all_[i] += sum(b.words for b in got) + sum(b.words for b in parts if b.inside)
+            yield pa.record_batch([pa.array(TAG_COSTS), pa.array(hits, pa.int64()), pa.array(all_, pa.int64())], names=["cost", "hits", "all"])
+
+    if weights.weights:
+        best = sample.mapInArrow(compare, "cost double, hits long, all long").groupBy("cost").agg(F.coalesce(F.try_divide(F.sum("hits"), F.sum("all")), F.lit(0.0)).alias("f1")).orderBy(F.desc(F.round("f1", 6)), F.desc("cost")).first()
+        weights.tag = best["cost"]
+    discard(sample)
+    return weights
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(page_id, url, text, n_chars) for each row of pages. A null or empty page has an empty text. Without labelled pages the
-    weights are those of paragraphs and known furniture alone. Repeated rows are read alike; an empty table gives no rows."""
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).cast("string").alias("html"))
+    """(page_id, url, text, n_chars) for each row of pages.
+
+    A null or empty page has an empty text. White space of any kind within a block becomes one space. A page of any length is
+    read whole, by one task. Without labelled pages the weights are the priors. Repeated rows are read alike; other columns are
+    ignored, whatever they are called; an empty table gives no rows.
+    """
+    rows = pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url"), F.col(f"`{html_col}`").cast("string").alias("html"))
     weights = fit_weights(rows)
 
     def run(batches):
-        for b in batches:
+        for b in lines(batches):
             texts = [main_text(x.as_py(), weights) for x in b.column(2)]
             yield pa.record_batch([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 

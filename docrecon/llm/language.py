@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +16,10 @@ GRAM, SLOTS, HELD_OUT = 3, 1 << 14, 5
 SETTLED, PENALTY = 0.01, 6.0
 #: Texts are worked on in parts of at most so many bytes; a longer text is a part alone.
 PART_BYTES = 1 << 20
-_LETTER = re.compile(r"[^\W\d_]")
+#: A letter is a character of Unicode category L; digits, marks and signs such as a raised 2 or a half are none.
+_LETTER = regex.compile(r"\p{L}")
+#: Values of lang that can be learned: a model row each. More are an error, never cut.
+MAX_LANGUAGES = 1000
 
 
 def _fold(raw: np.ndarray) -> np.ndarray:
@@ -84,6 +86,8 @@ def fit_languages(docs: DataFrame) -> tuple[list[str], np.ndarray, int]:
             yield pa.record_batch([pa.array([lang] * len(slot), pa.string()), pa.array(slot), pa.array(row[slot])], names=["lang", "slot", "n"])
 
     known = docs.filter("lang is not null and text is not null")
+    if known.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
+        raise ValueError(f"lang has more than {MAX_LANGUAGES} values; it is no language column")
     table = known.select("lang", "text").mapInArrow(count, "lang string, slot long, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
     names = sorted(set(table.column("lang").to_pylist()))
     counts = np.zeros((len(names), SLOTS))
@@ -123,9 +127,10 @@ def _mixture(doc: np.ndarray, starts: np.ndarray, c: np.ndarray, p: np.ndarray,
 def judge(counts: np.ndarray, logp: np.ndarray, usual: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """For each row of counts: the main language's place, and its share of the chosen mixture.
 
-    The mixture of all languages orders them; the sets of the first one, two, and so on compete by likelihood less a penalty
-    per further language, up to all languages. No set is likelier than the bound for all languages together, so a document
-    leaves the search as soon as even that bound, less the next set's penalties, is no better than what it has. A row without n-grams takes the usual language with score 1 / languages.
+    The likeliest single language comes first; then the set grows by the language that, mixed with those it has, raises the
+    likelihood most, up to all languages. Sets compete by likelihood less a penalty per further language. No set is likelier
+    than the bound for all languages together, so a document leaves the search as soon as even that bound, less the next set's
+    penalties, is no better than what it has. A row without n-grams takes the usual language with score 1 / languages.
     """
     n, languages = len(counts), len(logp)
     best, score = np.full(n, usual), np.full(n, 1.0 / languages)
@@ -138,12 +143,14 @@ def judge(counts: np.ndarray, logp: np.ndarray, usual: int = 0) -> tuple[np.ndar
     logs = logp.T[slot]
     logs -= logs.max(axis=1, keepdims=True)
     p = np.maximum(np.exp(logs), 1e-300)
-    share, most, gap = _mixture(doc, starts, c, p, np.ones((len(rows), languages)))
+    _, most, gap = _mixture(doc, starts, c, p, np.ones((len(rows), languages)))
     most += gap
-    order = np.argsort(-share, axis=1, kind="stable")
     price = PENALTY * np.log(np.add.reduceat(c, starts) + 1)
-    value = np.add.reduceat(c * logs[np.arange(len(doc)), order[doc, 0]], starts)
-    best[rows], score[rows] = order[:, 0], 1.0
+    single = np.add.reduceat(c[:, None] * logs, starts, axis=0)
+    value = single.max(axis=1)
+    best[rows], score[rows] = single.argmax(axis=1), 1.0
+    held = np.zeros((len(rows), languages))
+    held[np.arange(len(rows)), single.argmax(axis=1)] = 1.0
     live = np.arange(len(rows))
     for k in range(2, languages + 1):
         open_ = most[live] - (k - 1) * price[live] > value[live]
@@ -153,10 +160,16 @@ def judge(counts: np.ndarray, logp: np.ndarray, usual: int = 0) -> tuple[np.ndar
         keep = open_[doc]
         doc, c, p = (np.cumsum(open_) - 1)[doc[keep]], c[keep], p[keep]
         starts = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
-        allowed = np.zeros((len(live), languages))
-        np.put_along_axis(allowed, order[live, :k], 1.0, axis=1)
-        part, likelihood, _ = _mixture(doc, starts, c, p, allowed)
-        v = likelihood - (k - 1) * price[live]
+        top, pick, part = np.full(len(live), -np.inf), np.zeros(len(live), np.int64), np.zeros((len(live), languages))
+        for x in range(languages):
+            allowed = held[live].copy()
+            new = allowed[:, x] == 0
+            allowed[:, x] = 1.0
+            share, likelihood, _ = _mixture(doc, starts, c, p, allowed)
+            better = new & (likelihood > top)
+            top[better], pick[better], part[better] = likelihood[better], x, share[better]
+        held[live, pick] = 1.0
+        v = top - (k - 1) * price[live]
         better = v > value[live]
         at = live[better]
         value[at] = v[better]
@@ -167,8 +180,9 @@ def judge(counts: np.ndarray, logp: np.ndarray, usual: int = 0) -> tuple[np.ndar
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """(doc_id, held_out, lang_pred, score) for each row of docs.
 
-    Predictions use the text alone. A null text or one without a letter is und with score 0, as is every text when nothing
-    can be learned. Repeated rows are judged alike; an empty table gives no rows.
+    Predictions use the text alone, whole, however long. A null text or one without a letter (Unicode category L) is und with
+    score 0, as is every text when nothing can be learned. Repeated rows are judged alike; other columns are ignored; an empty
+    table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     names, logp, usual = fit_languages(rows.filter(~F.col("held_out")))

@@ -2,180 +2,291 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lines
+from .common import discard, lines, materialise
 
-#: Words fall into SLOTS by hash. The commonest slots are classes of their own, the others share classes; class 0 is the text's border.
-SLOTS, CLASSES, OWN = 1 << 16, 128, 95
+#: Words are counted in 2**BITS hash slots; the vocabulary then takes the least power of two of slots that is SPARE times the slots in use.
+BITS, LEAST_BITS, SPARE = 22, 14, 4
+#: Output words form groups of LEAVES: the commonest words are leaves of their own, the first leaf of a group is its share of
+#: the rarer words. Groups grow with the root of the vocabulary.
+LEAVES, LEAST_GROUPS, MOST_GROUPS = 64, 8, 256
 #: Words on each side, hidden units, tokens a training step, and the rate of the adaptive steps.
-SIDE, HIDDEN, STEP_TOKENS, RATE = 2, 24, 1024, 0.05
-#: Training rounds: round r trains on the tokens whose place leaves r, so that all rounds together cover every token once.
-ROUNDS = 2
+SIDE, HIDDEN, STEP_TOKENS, RATE = 2, 24, 4096, 0.05
+#: Tokens of a training shard. Round r trains on the tokens whose place leaves r, so that all rounds together cover every token once.
+SHARD_TOKENS, ROUNDS = 2_000_000, 2
 BLOCK = 16_384
+#: Parameters of shards are added up as whole numbers of 1 / SCALE, so that their mean does not depend on the order.
+SCALE = 1 << 24
+#: Equal rows (doc_id and text) that a task deals to one shard before it takes the next.
+LOT = 256
 
 
-def slots_of(text: str | None) -> np.ndarray:
+def slots_of(text: str | None, bits: int = BITS) -> np.ndarray:
     """The slot of each word of a whole text; A-Z is lower-cased."""
     words = text.encode("utf-8", "replace").lower().split() if text else []
-    return np.fromiter(map(xxhash.xxh32_intdigest, words), np.int64, len(words)) & (SLOTS - 1)
-
-
-def classes_of(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The class of each slot, and the log-probability of a slot within its class (add one half)."""
-    order = np.argsort(-counts, kind="stable")
-    of = np.empty(SLOTS, np.int64)
-    of[order[:OWN]] = 1 + np.arange(OWN)
-    of[order[OWN:]] = 1 + OWN + order[OWN:] % (CLASSES - 1 - OWN)
-    smooth = counts + 0.5
-    return of, np.log(smooth / np.bincount(of, smooth, CLASSES)[of])
+    return np.fromiter(map(xxhash.xxh32_intdigest, words), np.int64, len(words)) & ((1 << bits) - 1)
+
+
+class Vocabulary:
+    """Leaf and share of each slot, from the corpus counts of slots."""
+
+    def __init__(self, counts: np.ndarray):
+        used = int(np.count_nonzero(counts))
+        self.bits = LEAST_BITS
+        while self.bits < BITS and 1 << self.bits < SPARE * used:
+            self.bits += 1
+        counts = counts.reshape(-1, 1 << self.bits).sum(axis=0)  # lower bits of a slot are its slot of fewer bits
+        self.groups = LEAST_GROUPS
+        while self.groups < MOST_GROUPS and (8 * self.groups) ** 2 < used:
+            self.groups *= 2
+        order = np.argsort(-counts, kind="stable")[: self.groups * (LEAVES - 1)]
+        order = order[counts[order] > 0]
+        slots = np.arange(1 << self.bits)
+        leaf = slots % self.groups * LEAVES  # the first leaf of a group
+        rank = np.arange(len(order))
+        leaf[order] = rank % self.groups * LEAVES + 1 + rank // self.groups
+        self.leaf = leaf.astype(np.uint16)
+        whole = np.bincount(leaf, counts, self.groups * LEAVES)
+        self.share = np.log(np.maximum(counts, 0.5) / np.maximum(whole[leaf], 0.5)).astype(np.float32)  # 0 for a word with a leaf of its own
+        self.whole = whole
 
 
 class Window:
-    """tanh of the sum of the neighbours' vectors by place, then a softmax over classes."""
+    """tanh of the sum of the neighbours' vectors by place; a softmax over groups, then one over the leaves of the word's group."""
 
-    def __init__(self, flat: np.ndarray | None = None, unigrams: np.ndarray | None = None):
-        sizes = [2 * SIDE * CLASSES * HIDDEN, HIDDEN * CLASSES, CLASSES]
+    def __init__(self, groups: int, flat: np.ndarray | None = None, whole: np.ndarray | None = None):
+        self.groups = groups
+        shapes = [(2 * SIDE, groups * LEAVES + 1, HIDDEN), (HIDDEN, groups), (groups,), (groups, HIDDEN, LEAVES), (groups, LEAVES)]
+        ends = np.cumsum([int(np.prod(s)) for s in shapes])
         if flat is None:
             rng = np.random.default_rng(11)
-            flat = np.concatenate([rng.normal(0, 0.3, sizes[0]), rng.normal(0, 0.1, sizes[1]), unigrams])
+            whole = np.ones(groups * LEAVES) if whole is None else whole + 1.0
+            by_group = whole.reshape(groups, LEAVES).sum(axis=1)
+            leaf = np.log(whole.reshape(groups, LEAVES) / by_group[:, None])
+            flat = np.concatenate([rng.normal(0, 0.3, ends[0]), rng.normal(0, 0.1, ends[1] - ends[0]), np.log(by_group / by_group.sum()), rng.normal(0, 0.1, ends[3] - ends[2]), leaf.ravel()])
         self.flat = flat.astype(np.float32).copy()
-        a, b = sizes[0], sizes[0] + sizes[1]
-        self.near = self.flat[:a].reshape(2 * SIDE, CLASSES, HIDDEN)
-        self.out = self.flat[a:b].reshape(HIDDEN, CLASSES)
-        self.bias = self.flat[b:]
+        self.near, self.top, self.top_bias, self.leaf, self.leaf_bias = (x.reshape(s) for x, s in zip(np.split(self.flat, ends[:-1]), shapes, strict=True))
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
         h = self.near[0][around[:, 0]]
         for j in range(1, 2 * SIDE):
-            h = h + self.near[j][around[:, j]]
+            h += self.near[j][around[:, j]]
         return np.tanh(h)
 
-    def log_probability(self, around: np.ndarray, centre: np.ndarray) -> np.ndarray:
-        z = self.hidden(around) @ self.out + self.bias
+    @staticmethod
+    def _softmax(z: np.ndarray) -> np.ndarray:
         z -= z.max(axis=1, keepdims=True)
-        return z[np.arange(len(z)), centre] - np.log(np.exp(z).sum(axis=1))
+        np.exp(z, out=z)
+        z /= z.sum(axis=1, keepdims=True)
+        return z
 
-    def learn(self, around: np.ndarray, centre: np.ndarray, square: np.ndarray) -> None:
-        """One adaptive gradient step; square holds the running sums of squared gradients."""
-        h = self.hidden(around)
-        z = h @ self.out + self.bias
-        z -= z.max(axis=1, keepdims=True)
-        g = np.exp(z)
-        g /= g.sum(axis=1, keepdims=True)
-        g[np.arange(len(g)), centre] -= 1
-        g /= len(g)
-        back = (g @ self.out.T) * (1 - h * h)
-        grad = np.empty_like(self.flat)
-        part = grad[: self.near.size].reshape(self.near.shape)
+    def _by_group(self, group: np.ndarray):
+        order = np.argsort(group, kind="stable")
+        used, heads = np.unique(group[order], return_index=True)
+        return zip(used.tolist(), np.split(order, heads[1:]), strict=True)
+
+    def log_probability(self, around: np.ndarray, centre: np.ndarray) -> np.ndarray:
+        """The log-probability of each centre leaf given its neighbours."""
+        h, group, leaf = self.hidden(around), centre // LEAVES, centre % LEAVES
+        p = self._softmax(h @ self.top + self.top_bias)[np.arange(len(h)), group]
+        for g, at in self._by_group(group):
+            q = self._softmax(h[at] @ self.leaf[g] + self.leaf_bias[g])
+            p[at] *= q[np.arange(len(at)), leaf[at]]
+        return np.log(np.maximum(p, 1e-30))
+
+    def learn(self, around: np.ndarray, centre: np.ndarray, square: Window) -> None:
+        """One adaptive gradient step; square holds the running sums of squared gradients in a network's shape."""
+        n = len(centre)
+        h, group, leaf = self.hidden(around), centre // LEAVES, centre % LEAVES
+
+        def step(value, seen, gradient):
+            seen += gradient * gradient
+            value -= RATE * gradient / (np.sqrt(seen) + 1e-6)
+
+        g = self._softmax(h @ self.top + self.top_bias)
+        g[np.arange(n), group] -= 1
+        g /= n
+        back = g @ self.top.T
+        step(self.top, square.top, h.T @ g)
+        step(self.top_bias, square.top_bias, g.sum(axis=0))
+        for k, at in self._by_group(group):
+            own = h[at]
+            e = self._softmax(own @ self.leaf[k] + self.leaf_bias[k])
+            e[np.arange(len(at)), leaf[at]] -= 1
+            e /= n
+            back[at] += e @ self.leaf[k].T
+            step(self.leaf[k], square.leaf[k], own.T @ e)
+            step(self.leaf_bias[k], square.leaf_bias[k], e.sum(axis=0))
+        back *= 1 - h * h
         for j in range(2 * SIDE):
-            hot = np.zeros((CLASSES, len(around)), np.float32)
-            hot[around[:, j], np.arange(len(around))] = 1
-            part[j] = hot @ back
-        grad[self.near.size : self.near.size + self.out.size] = (h.T @ g).ravel()
-        grad[self.near.size + self.out.size :] = g.sum(axis=0)
-        square += grad * grad
-        self.flat -= RATE * grad / (np.sqrt(square) + 1e-6)
-
-
-def around_of(classes: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """The neighbours' classes (left to right) and the own class of every token of those texts."""
-    gap = np.zeros(SIDE, np.int64)
-    line = np.concatenate([x for c in classes for x in (gap, c)] + [gap])
-    at = np.flatnonzero(line)
+            order = np.argsort(around[:, j], kind="stable")
+            used, heads = np.unique(around[order, j], return_index=True)
+            total = np.add.reduceat(back[order], heads, axis=0)
+            seen = square.near[j][used] + total * total
+            square.near[j][used] = seen
+            self.near[j][used] -= RATE * total / (np.sqrt(seen) + 1e-6)
+
+
+def around_of(texts: list[np.ndarray], border: int) -> tuple[np.ndarray, np.ndarray]:
+    """The neighbours' leaves (left to right, the border beyond a text's ends) and the own leaf of every token of those texts."""
+    gap = np.full(SIDE, border, np.int64)
+    line = np.concatenate([x for c in texts for x in (gap, c.astype(np.int64))] + [gap])
+    at = np.flatnonzero(line != border)
     places = [-s for s in range(SIDE, 0, -1)] + list(range(1, SIDE + 1))
     return np.stack([line[at + s] for s in places], axis=1), line[at]
 
 
-def _blocks(batch: pa.RecordBatch, of: np.ndarray):
-    """(slots by text, neighbours, classes) of parts of a batch of about BLOCK tokens."""
-    held, size = [], 0
-    for text in batch.column(batch.num_columns - 1):
-        held.append(slots_of(text.as_py()))
-        size += len(held[-1])
-        if size >= BLOCK:
-            yield held, *around_of([of[s] for s in held])
-            held, size = [], 0
-    if held:
-        yield held, *around_of([of[s] for s in held])
-
-
 def slot_counts(docs: DataFrame) -> np.ndarray:
-    """How often each slot comes over all texts; each task adds up its own."""
+    """How often each slot comes over all texts; each task adds up its own. At most 2**BITS numbers come back."""
 
     def count(batches):
-        total = np.zeros(SLOTS, np.int64)
-        for b in batches:
-            for text in b.column(0):
-                total += np.bincount(slots_of(text.as_py()), minlength=SLOTS) if text.is_valid and len(text.as_py()) > 4000 else 0
-            short = [slots_of(t.as_py()) for t in b.column(0) if t.is_valid and len(t.as_py()) <= 4000]
-            if short:
-                total += np.bincount(np.concatenate(short), minlength=SLOTS)
+        total = np.zeros(1 << BITS, np.int64)
+        for b in lines(batches):
+            held = [slots_of(t.as_py()) for t in b.column(0)]
+            np.add.at(total, np.concatenate(held) if held else [], 1)
         at = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(at), pa.array(total[at])], names=["slot", "n"])
+        yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at])], names=["slot", "n"])
 
-    table = docs.select("text").mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(SLOTS)
-    out[table.column("slot").to_numpy()] = table.column("n").to_numpy()
+    table = materialise(docs.select("text").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")), "slots")
+    got = table.toArrow()
+    discard(table)
+    out = np.zeros(1 << BITS)
+    out[got.column("slot").to_numpy()] = got.column("n").to_numpy()
     return out
 
 
-def train(docs: DataFrame, of: np.ndarray, counts: np.ndarray) -> Window:
-    """Every task trains the network on its own texts; after each round the parameters are averaged by tokens on the executors."""
-    unigrams = np.log((np.bincount(of, counts, CLASSES) + 1) / (counts.sum() + CLASSES))
-    net = Window(unigrams=unigrams)
+_TOKENS = "doc_id {}, n long, share double, key long, ids binary"
+
+
+def _tokens(shared):
+    """Rows (doc_id, text) to (doc_id, tokens, sum of the words' log shares of their leaves, what deals it to a shard, leaves)."""
+
+    def run(batches):
+        v, seen = shared.value, Counter()
+        for b in lines(batches):
+            n, share, key, ids = [], [], [], []
+            for doc, text in zip(b.column(0), b.column(1), strict=True):
+                s = slots_of(text.as_py(), v.bits)
+                leaf = v.leaf[s].tobytes()
+                k = xxhash.xxh3_64_intdigest(leaf, seed=xxhash.xxh32_intdigest(str(doc.as_py())))
+                if len(seen) > 200_000:  # a bound on memory; only the dealing of equal rows begins afresh
+                    seen.clear()
+                seen[k] += 1
+                n.append(len(s))
+                share.append(float(v.share[s].sum(dtype=np.float64)))
+                key.append(xxhash.xxh3_64_intdigest(k.to_bytes(8, "little"), seed=(seen[k] - 1) // LOT) >> 1)
+                ids.append(leaf)
+            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(share, pa.float64()), pa.array(key, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n", "share", "key", "ids"])
+
+    return run
+
+
+def _shard(table: pa.Table) -> pa.Table:
+    """One shard's texts in the order of their keys, as one row (lengths, ids)."""
+    key, ids = table.column("key").to_numpy(), table.column("ids").to_pylist()
+    order = sorted(range(len(key)), key=lambda i: (key[i], ids[i]))
+    held = [ids[i] for i in order]
+    return pa.table({"shard": pa.array([table.column("shard")[0].as_py()], pa.int64()), "lengths": pa.array([np.array([len(x) // 2 for x in held], np.int64).tobytes()], pa.binary()), "ids": pa.array([b"".join(held)], pa.binary())})
+
+
+def train_shard(start: np.ndarray, groups: int, lengths: np.ndarray, ids: np.ndarray, round_: int) -> np.ndarray:
+    """The parameters after one round over one shard, in the order of its texts."""
+    net, square = Window(groups, start), Window(groups, np.full(len(start), 1e-4, np.float32))
+    texts = np.split(ids, np.cumsum(lengths)[:-1])
+    held, size = [], 0
+    for i, t in enumerate(texts):
+        held.append(t)
+        size += len(t)
+        if size >= BLOCK or i == len(texts) - 1:
+            around, centre = around_of(held, groups * LEAVES)
+            pick = np.arange(round_, len(centre), ROUNDS)
+            for j in range(0, len(pick), STEP_TOKENS):
+                net.learn(around[pick[j : j + STEP_TOKENS]], centre[pick[j : j + STEP_TOKENS]], square)
+            held, size = [], 0
+    return net.flat
+
+
+def train(tokens: DataFrame, groups: int, whole: np.ndarray) -> Window:
+    """Texts are dealt to shards by their ids and words, and each shard trains the network; after a round the parameters' mean is the next start.
+
+    Shards, their order and the mean, a sum of whole numbers, are the same however the rows were partitioned before.
+    """
+    net = Window(groups, whole=whole)
+    total = tokens.agg(F.sum("n")).first()[0] or 0
+    if not total:
+        return net
+    n = -(-total // SHARD_TOKENS)
+    tasks = max(1, min(n, tokens.sparkSession.sparkContext.defaultParallelism * 4))
+    shards = tokens.filter("n > 0").select(F.pmod("key", F.lit(n)).alias("shard"), "key", "ids")
+    shards = materialise(shards.repartition(int(tasks), "shard").groupBy("shard").applyInArrow(_shard, "shard long, lengths binary, ids binary"), "shards")
+    context = tokens.sparkSession.sparkContext
     for round_ in range(ROUNDS):
-        start = net.flat
+        start = context.broadcast(net.flat)
 
         def step(batches, start=start, round_=round_):
-            own, square, tokens = Window(start), np.full(len(start), 1e-4, np.float32), 0
-            for b in lines(batches, 500):
-                for _, around, centre in _blocks(b, of):
-                    pick = np.arange(round_, len(centre), ROUNDS)
-                    for i in range(0, len(pick), STEP_TOKENS):
-                        own.learn(around[pick[i : i + STEP_TOKENS]], centre[pick[i : i + STEP_TOKENS]], square)
-                    tokens += len(pick)
-            if tokens:
-                yield pa.record_batch([pa.array(np.arange(len(start))), pa.array(own.flat.astype(np.float64) * tokens), pa.array(np.full(len(start), tokens))], names=["i", "w", "n"])
-
-        table = docs.select("text").mapInArrow(step, "i long, w double, n long").groupBy("i").agg((F.sum("w") / F.sum("n")).alias("w")).toArrow()
-        if table.num_rows:
-            flat = np.zeros(len(start), np.float32)
-            flat[table.column("i").to_numpy()] = table.column("w").to_numpy()
-            net = Window(flat)
+            total, count = None, 0
+            for b in batches:
+                for lengths, ids in zip(b.column(0), b.column(1), strict=True):
+                    flat = train_shard(start.value, groups, np.frombuffer(lengths.as_buffer(), np.int64), np.frombuffer(ids.as_buffer(), np.uint16), round_)
+                    whole = np.rint(flat.astype(np.float64) * SCALE).astype(np.int64)
+                    total, count = whole if total is None else total + whole, count + 1
+            if count:
+                parts = np.array_split(total, 64)
+                yield pa.record_batch([pa.array(np.arange(64)), pa.array([x.tobytes() for x in parts], pa.binary()), pa.array(np.full(64, count))], names=["part", "sum", "n"])
+
+        def add(table: pa.Table) -> pa.Table:
+            whole = np.sum([np.frombuffer(x.as_buffer(), np.int64) for x in table.column("sum")], axis=0)
+            mean = (whole / (SCALE * float(sum(table.column("n").to_pylist())))).astype(np.float32)
+            return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int64()), "mean": pa.array([mean.tobytes()], pa.binary())})
+
+        sums = shards.select("lengths", "ids").repartition(int(tasks)).mapInArrow(step, "part long, sum binary, n long")
+        means = materialise(sums.groupBy("part").applyInArrow(add, "part long, mean binary"), "means")
+        net = Window(groups, np.frombuffer(b"".join(r["mean"] for r in sorted(means.collect(), key=lambda r: r["part"])), np.float32))
+        discard(means)
+        start.destroy()
+    discard(shards)
     return net
 
 
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_tokens, log_likelihood, score) for each row of docs: the sum over tokens of the log-probability of the token
-    given both sides (its class from the network, itself within the class by corpus counts), and that sum per token.
-
-    Vocabulary counts and training cover all texts. A null text or one without words has no tokens, sum 0 and a null score.
-    Repeated rows score alike; an empty table gives no rows.
+    """(doc_id, n_tokens, log_likelihood, score) for each row of docs: the sum over tokens of the log-probability of the word
+    given both sides, and that sum per token.
+
+    The network gives the probability of a word's leaf; a common word has one of its own, rarer ones share the first leaf of a
+    group by their corpus counts. Vocabulary and network grow with the corpus: slots up to 2**BITS, leaves up to MOST_GROUPS *
+    LEAVES. Counts and training cover all texts, whole, and do not depend on how rows are partitioned. A null text or one
+    without words has no tokens, sum 0 and a null score. Repeated rows score alike; other columns are ignored; an empty table
+    gives no rows.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    counts = slot_counts(rows)
-    of, within = classes_of(counts)
-    net = train(rows, of, counts)
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    vocabulary = Vocabulary(slot_counts(rows))
+    context = rows.sparkSession.sparkContext
+    kind = dict(rows.dtypes)["doc_id"]
+    tokens = materialise(rows.mapInArrow(_tokens(context.broadcast(vocabulary)), _TOKENS.format(kind)), "tokens")
+    groups = vocabulary.groups
+    net = train(tokens, groups, vocabulary.whole)
+    shared = context.broadcast(net.flat)
 
     def run(batches):
-        for b in lines(batches, 500):
-            n, total = [], []
-            for held, around, centre in _blocks(b, of):
-                p = np.concatenate([np.zeros(0)] + [net.log_probability(around[i : i + BLOCK], centre[i : i + BLOCK]).astype(np.float64) for i in range(0, len(centre), BLOCK)])
-                p += within[np.concatenate(held)] if len(p) else 0.0
-                ends = np.cumsum([len(s) for s in held])
-                sums = np.append(0.0, np.cumsum(p))
-                n += [len(s) for s in held]
-                total += (sums[ends] - sums[ends - [len(s) for s in held]]).tolist()
-            mean = [t / k if k else None for t, k in zip(total, n, strict=True)]
-            yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(total, pa.float64()), pa.array(mean, pa.float64())], names=["doc_id", "n_tokens", "log_likelihood", "score"])
-
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_tokens long, log_likelihood double, score double")
+        own = Window(groups, shared.value)
+        for b in lines(batches):
+            texts = [np.frombuffer(x.as_buffer(), np.uint16) for x in b.column(3)]
+            n = np.array([len(t) for t in texts])
+            around, centre = around_of(texts, groups * LEAVES)
+            p = np.concatenate([np.zeros(1)] + [own.log_probability(around[i : i + BLOCK], centre[i : i + BLOCK]).astype(np.float64) for i in range(0, len(centre), BLOCK)])
+            sums, ends = np.cumsum(p), np.cumsum(n)
+            total = (sums[ends] - sums[ends - n] + b.column(2).to_numpy()).tolist()
+            mean = [t / k if k else None for t, k in zip(total, n.tolist(), strict=True)]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(total, pa.float64()), pa.array(mean, pa.float64())], names=["doc_id", "n_tokens", "log_likelihood", "score"])
+
+    return tokens.select("doc_id", "n", "share", "ids").mapInArrow(run, f"doc_id {kind}, n_tokens long, log_likelihood double, score double")
 
 
 def op7_scoring(spark, sf_dir: str) -> DataFrame:

@@ -13,8 +13,8 @@ from .common import materialise
 
 #: Fixed values: (host, path, verdict); a rule fits its host and subdomains where the path starts with its path.
 RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
-#: The classifier is fitted on at most so many labelled URLs (the first by hash); statistics of suffixes cover all labelled ones.
-MAX_TRAIN = 20_000
+#: The classifier is fitted on about so many distinct labelled URLs at most (those of least hash); statistics of suffixes cover all labelled ones, each share smoothed by SMOOTH URLs of the overall share.
+MAX_TRAIN, SMOOTH = 20_000, 10
 TREES, DEPTH = 10, 4
 FEATURES = ["length", "depth", "digits", "entropy", "params", "labels", "hyphens", "fragment", "secure", "path_length", "host_suffix", "path_suffix"]
 
@@ -68,11 +68,12 @@ def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
     """(page_id, host, path, rule, verdict) for each row of pages.
 
     URLs that a rule fits are the labelled ones. Suffix features are smoothed shares of blocked URLs among all labelled ones
-    with that last host label or path ending, without the URL's own host: they join as small tables. A null URL or one without
-    :// has an empty host and path and is judged by the trees. With labels of one kind only, that kind is every verdict; with
-    none, allow. Repeated rows are judged alike; an empty table gives no rows.
+    with that last host label or path ending; a training URL's own label is left out of its shares. The trees are fitted on
+    distinct labelled URLs below a hash threshold set by their count, MAX_TRAIN or fewer. A null URL or one without :// has an
+    empty host and path and is judged by the trees. A URL of any length is read whole. With labels of one kind only, that kind
+    is every verdict; with none, allow. Repeated rows are judged alike; other columns are ignored; an empty table gives no rows.
     """
-    rows = _features(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).cast("string").alias("url")))
+    rows = _features(pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url")))
     known = rows.filter("fit is not null").withColumn("label", (F.col("fit.verdict") == "block").cast("double"))
     stats = materialise(known.groupBy("top", "tail").agg(F.sum("label").alias("bad"), F.count(F.lit(1)).alias("n")), "suffixes")
     total = stats.agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")).first()
@@ -81,12 +82,14 @@ def url_verdicts(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
         return rows.select("page_id", "host", "path", "fit.rule", F.coalesce("fit.verdict", other).alias("verdict"))
     prior = total["bad"] / total["n"]
     for key, name in (("top", "host_suffix"), ("tail", "path_suffix")):
-        share = stats.groupBy(key).agg(((F.sum("bad") + 10 * prior) / (F.sum("n") + 10)).alias(name))
-        rows, known = (x.join(share, key, "left").fillna(prior, [name]) for x in (rows, known))
+        sums = materialise(stats.groupBy(key).agg(F.sum("bad").alias("bad"), F.sum("n").alias("n")), "suffix")
+        own, one = F.coalesce(F.col("label"), F.lit(0.0)), F.when(F.col("label").isNull(), 0).otherwise(1)
+        share = (F.coalesce("bad", F.lit(0.0)) - own + SMOOTH * prior) / (F.coalesce("n", F.lit(0)) - one + SMOOTH)
+        rows, known = (x.join(sums, key, "left").withColumn(name, share).drop("bad", "n") for x in (rows.withColumn("label", F.lit(None).cast("double")), known))
     vector = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    order = F.xxhash64("url", "page_id")
-    sample = known.select("label", *FEATURES, order.alias("o"), "page_id").orderBy("o", "page_id").limit(MAX_TRAIN)
-    sample = materialise(sample.drop("o", "page_id"), "labelled").coalesce(2)
+    part = F.pmod(F.xxhash64("url"), F.lit(1_000_000))
+    sample = known.filter(part < int(min(1.0, 0.97 * MAX_TRAIN / total["n"]) * 1_000_000)).dropDuplicates(["url"]).select("label", *FEATURES)
+    sample = materialise(sample, "labelled").coalesce(2)
     if sample.select("label").distinct().count() < 2:
         return rows.select("page_id", "host", "path", "fit.rule", F.coalesce("fit.verdict", F.lit("block" if prior > 0.5 else "allow")).alias("verdict"))
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=7).fit(vector.transform(sample).select("label", "features"))

@@ -2,71 +2,83 @@
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import lines, materialise
 
 NEAREST, EVERY = 20, 20
-LEAF, SHARD_ROWS, QUERY_BLOCK = 128, 20_000, 4096
-#: A branch is skipped when its bound times FACTOR exceeds the distance of the worst neighbour held; 1 is exact.
-FACTOR = 1.15
+#: Points of a leaf; bytes of the vectors of a shard and of a block of queries; blocks that one task answers.
+LEAF, SHARD_BYTES, BLOCK_BYTES, TASK_BLOCKS = 64, 10 << 20, 2 << 20, 16
+#: A branch is skipped when its bound times the factor exceeds the distance of the worst neighbour held; 1 is exact. Unless a
+#: factor is given, each shard takes the largest of FACTORS whose recall against brute force, over at most SAMPLE of its own
+#: points as queries, reaches RECALL.
+FACTORS, SAMPLE, RECALL = (1.0, 1.25, 1.6, 2.0, 2.5, 3.2, 4.0, 5.0, 6.4, 8.0, 10.0, 13.0, 16.0, 20.0, 26.0, 32.0), 64, 0.96
+#: Shards whose answers to a query meet in one step.
+MERGE = 64
 
 
 class VantagePointTree:
-    """Points split at the median distance from a vantage point, down to leaves of at most LEAF points (or of equal distance)."""
+    """Points split at the median distance from a vantage point, down to leaves of at most LEAF points (or of equal distance). A leaf's points lie together."""
 
     def __init__(self, points: np.ndarray, leaf: int = LEAF):
-        self.points, self.leaf = points, leaf
-        self.nodes: list[tuple] = []  # (vantage, low_in, high_in, low_out, high_out, inner, outer) or (members,)
+        self.points, self.order, self.nodes, self.leaf = points, np.arange(len(points)), [], leaf
+        self.leaves = 0
         if len(points):
-            self._grow(np.arange(len(points)))
+            self._grow(0, len(points))
+            self.points = points[self.order]
 
-    def _grow(self, members: np.ndarray) -> int:
+    def _grow(self, lo: int, hi: int) -> int:
         at = len(self.nodes)
-        self.nodes.append((members,))
-        if len(members) <= self.leaf:
-            return at
-        centre = self.points[members].mean(axis=0)
-        vantage = members[int(((self.points[members] - centre) ** 2).sum(axis=1).argmax())]  # a corner splits better than a centre
-        d = np.sqrt(((self.points[members] - self.points[vantage]) ** 2).sum(axis=1))
-        near = d <= np.median(d)
-        if near.all():
-            return at
-        spans = (d[near].min(), d[near].max(), d[~near].min(), d[~near].max())
-        self.nodes[at] = (vantage, *spans, self._grow(members[near]), self._grow(members[~near]))
+        self.nodes.append((lo, hi))  # a leaf, or (vantage, low and high distance inside, the same outside, inner, outer)
+        members = self.order[lo:hi]
+        if hi - lo > self.leaf:
+            own = self.points[members]
+            vantage = own[((own - own.mean(axis=0)) ** 2).sum(axis=1).argmax()]  # a corner splits better than a centre
+            d = np.sqrt(((own - vantage) ** 2).sum(axis=1))
+            near = d <= np.median(d)
+            if not near.all():
+                cut = lo + int(near.sum())
+                self.order[lo:hi] = np.concatenate([members[near], members[~near]])
+                spans = (d[near].min(), d[near].max(), d[~near].min(), d[~near].max())
+                self.nodes[at] = (vantage, *spans, self._grow(lo, cut), self._grow(cut, hi))
+                return at
+        self.leaves += 1
         return at
 
-    def search(self, queries: np.ndarray, k: int, factor: float = FACTOR) -> tuple[np.ndarray, np.ndarray]:
-        """For each query the k nearest points' places and distances (places -1 and infinite distances fill up).
+    def search(self, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each query the k nearest points' places and distances (places -1 and infinite distances fill up), and how many leaves it visited.
 
         All queries go through the tree together. First each descends to its own leaf, for a bound; then every node is
         entered once with the queries that its bound does not exclude.
         """
         n = len(queries)
-        best, who = np.full((n, k), np.inf), np.full((n, k), -1)
+        best, who, visited = np.full((n, k), np.inf), np.full((n, k), -1), np.zeros(n, np.int64)
         if not self.nodes:
-            return who, best
+            return who, best, visited
         first = np.full(n, -1)
+        squares, own = (self.points**2).sum(axis=1), (queries**2).sum(axis=1)
 
         def leaf(at: int, q: np.ndarray) -> None:
-            members = self.nodes[at][0]
-            p, x = self.points[members], queries[q]
-            d = np.sqrt(np.maximum((x**2).sum(axis=1)[:, None] + (p**2).sum(axis=1)[None, :] - 2 * x @ p.T, 0))
+            lo, hi = self.nodes[at]
+            d = np.sqrt(np.maximum(own[q][:, None] + squares[None, lo:hi] - 2 * queries[q] @ self.points[lo:hi].T, 0))
             both = np.concatenate([best[q], d], axis=1)
-            ids = np.concatenate([who[q], np.broadcast_to(members, d.shape)], axis=1)
-            pick = np.argpartition(both, k - 1, axis=1)[:, :k] if both.shape[1] > k else np.argsort(both, axis=1)
+            ids = np.concatenate([who[q], np.broadcast_to(np.arange(lo, hi), d.shape)], axis=1)
+            pick = np.argpartition(both, k - 1, axis=1)[:, :k]
             best[q], who[q] = np.take_along_axis(both, pick, 1), np.take_along_axis(ids, pick, 1)
+            visited[q] += 1
 
-        def away(v: int, q: np.ndarray) -> np.ndarray:
-            return np.sqrt(((queries[q] - self.points[v]) ** 2).sum(axis=1))
+        def away(v: np.ndarray, q: np.ndarray) -> np.ndarray:
+            return np.sqrt(((queries[q] - v) ** 2).sum(axis=1))
 
         stack = [(0, np.arange(n))]
         while stack:  # to the own leaf
             at, q = stack.pop()
-            if len(self.nodes[at]) == 1:
+            if len(self.nodes[at]) == 2:
                 leaf(at, q)
                 first[q] = at
                 continue
@@ -76,7 +88,7 @@ class VantagePointTree:
         stack = [(0, np.arange(n))]
         while stack:
             at, q = stack.pop()
-            if len(self.nodes[at]) == 1:
+            if len(self.nodes[at]) == 2:
                 q = q[first[q] != at]
                 if len(q):
                     leaf(at, q)
@@ -85,103 +97,144 @@ class VantagePointTree:
             d, worst = away(v, q), best[q].max(axis=1)
             for kid, low, high in ((outer, spans[2], spans[3]), (inner, spans[0], spans[1])):
                 bound = np.maximum(np.maximum(low - d, d - high), 0)
-                part = q[bound * factor <= worst + 1e-9]
+                part = q[bound * factor <= worst + 1e-6]
                 if len(part):
                     stack.append((kid, part))
-        return who, best
-
-
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    blobs = column.to_pylist()
-    return np.frombuffer(b"".join(blobs), np.float64).reshape(len(blobs), -1) if blobs else np.zeros((0, 1))
-
-
-def _search_shard(top: float):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Rows of one shard, and blocks of queries: candidates (query_id, vec_id, score)."""
-        rows, ids = _matrix(left.column("v")), left.column("id").to_numpy()
-        out: list[pa.Table] = []
-        if len(rows) and right.num_rows:
-            # equal vectors are one point with its NEAREST + 1 smallest ids: no query needs more of them
-            _, one, of = np.unique(rows.view(np.dtype((np.void, rows.itemsize * rows.shape[1]))).ravel(), return_index=True, return_inverse=True)
-            order = np.lexsort((ids, of))
-            heads = np.searchsorted(of[order], np.arange(len(one) + 1))
-            points = rows[one]
-            lift = np.sqrt(np.maximum(top**2 - (points**2).sum(axis=1), 0))  # one more coordinate makes the nearest by distance those of largest product
-            tree = VantagePointTree(np.column_stack([points, lift]))
-            for block in range(right.num_rows):
-                qid = np.frombuffer(right.column("ids")[block].as_buffer(), np.int64)
-                q = np.frombuffer(right.column("vs")[block].as_buffer(), np.float64).reshape(len(qid), -1)
-                who, _ = tree.search(np.column_stack([q, np.zeros(len(q))]), NEAREST + 1)
-                row, col = np.nonzero(who >= 0)
-                point = who[row, col]
-                n = np.minimum(heads[point + 1] - heads[point], NEAREST + 1)
-                row, point = np.repeat(row, n), np.repeat(point, n)
-                inside = np.arange(len(point)) - np.repeat(np.cumsum(n) - n, n)
-                vec = ids[order[heads[point] + inside]]
-                score = (q[row] * points[point]).sum(axis=1)
-                keep = vec != qid[row]
-                row, vec, score = row[keep], vec[keep], score[keep]
-                o = np.lexsort((vec, -score, row))
-                row, vec, score = row[o], vec[o], score[o]
-                rank = np.arange(len(row)) - np.searchsorted(row, row)
-                keep = rank < NEAREST
-                out.append(pa.table({"query_id": qid[row[keep]], "vec_id": vec[keep], "score": score[keep]}))
-        return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-
-    return run
+        return np.where(who >= 0, self.order[who], -1), best, visited
+
+    def measured_factor(self, queries: np.ndarray, k: int) -> float:
+        """The largest of FACTORS whose recall over the queries reaches RECALL; recall falls as the factor rises, so it is found by halving."""
+        if not len(queries) or not self.nodes:
+            return FACTORS[0]
+        d = (self.points**2).sum(axis=1)[None, :] - 2 * queries @ self.points.T
+        k = min(k, len(self.points))
+        true = self.order[np.argpartition(d, k - 1, axis=1)[:, :k]]
+        lo, hi = 0, len(FACTORS) - 1
+        while lo < hi:
+            mid = (lo + hi + 1) // 2
+            found, _, _ = self.search(queries, k, FACTORS[mid])
+            hits = sum(len(np.intersect1d(a, b)) for a, b in zip(found, true, strict=True))
+            lo, hi = (mid, hi) if hits >= RECALL * true.size else (lo, mid - 1)
+        return FACTORS[lo]
+
+
+_TREE = "dim int, shard long, tree binary, factor double"
+_FOUND = "query_id long, shard long, ids array<long>, scores array<double>, visited long, leaves long, factor double"
+
+
+def _planted(factor: float | None):
+    def build(table: pa.Table) -> pa.Table:
+        """The rows (id, v, dim, shard, top) of one shard as one tree. Equal vectors are one point with its NEAREST + 1 smallest ids: no query needs more of them."""
+        dim, shard, top = (table.column(c)[0].as_py() for c in ("dim", "shard", "top"))
+        rows = np.frombuffer(b"".join(table.column("v").to_pylist()), np.float64).reshape(table.num_rows, dim)
+        ids = table.column("id").to_numpy()
+        _, one, of = np.unique(rows.view(np.dtype((np.void, 8 * dim))).ravel(), return_index=True, return_inverse=True)
+        order = np.lexsort((ids, of))
+        heads = np.searchsorted(of[order], np.arange(len(one) + 1))
+        points = rows[one]
+        lift = np.sqrt(np.maximum(top**2 - (points**2).sum(axis=1), 0))  # one more coordinate makes the nearest by distance those of largest product
+        tree = VantagePointTree(np.column_stack([points, lift]))
+        some = points[np.linspace(0, len(points) - 1, min(SAMPLE, len(points))).astype(np.int64)]
+        own = tree.measured_factor(np.column_stack([some, np.zeros(len(some))]), NEAREST + 1) if factor is None else factor
+        blob = pickle.dumps((tree, points, ids[order], heads), protocol=5)
+        return pa.table({"dim": pa.array([dim], pa.int32()), "shard": pa.array([shard], pa.int64()), "tree": pa.array([blob], pa.binary()), "factor": pa.array([own], pa.float64())})
+
+    return build
+
+
+def _answers(left: pa.Table, right: pa.Table) -> pa.Table:
+    """One shard's tree and some blocks of queries: each query's NEAREST within the shard."""
+    out = []
+    if left.num_rows and right.num_rows:
+        tree, points, ids, heads = pickle.loads(left.column("tree")[0].as_py())
+        factor, shard = left.column("factor")[0].as_py(), left.column("shard")[0].as_py()
+        for block in range(right.num_rows):
+            qid = np.frombuffer(right.column("ids")[block].as_buffer(), np.int64)
+            q = np.frombuffer(right.column("vs")[block].as_buffer(), np.float64).reshape(len(qid), -1)
+            who, _, visited = tree.search(np.column_stack([q, np.zeros(len(q))]), NEAREST + 1, factor)
+            row, col = np.nonzero(who >= 0)
+            point = who[row, col]
+            n = np.minimum(heads[point + 1] - heads[point], NEAREST + 1)
+            row, point = np.repeat(row, n), np.repeat(point, n)
+            inside = np.arange(len(point)) - np.repeat(np.cumsum(n) - n, n)
+            vec = ids[heads[point] + inside]
+            score = (q[row] * points[point]).sum(axis=1)
+            keep = vec != qid[row]
+            row, vec, score = row[keep], vec[keep], score[keep]
+            o = np.lexsort((vec, -score, row))
+            row, vec, score = row[o], vec[o], score[o]
+            keep = np.arange(len(row)) - np.searchsorted(row, row) < NEAREST
+            row, vec, score = row[keep], vec[keep], score[keep]
+            offsets = pa.array(np.searchsorted(row, np.arange(len(qid) + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (vec, score)]
+            out.append(pa.table({"query_id": qid, "shard": np.full(len(qid), shard), "ids": lists[0], "scores": lists[1], "visited": visited, "leaves": np.full(len(qid), tree.leaves), "factor": np.full(len(qid), factor)}))
+    empty = {"query_id": pa.int64(), "shard": pa.int64(), "ids": pa.list_(pa.int64()), "scores": pa.list_(pa.float64()), "visited": pa.int64(), "leaves": pa.int64(), "factor": pa.float64()}
+    return pa.concat_tables(out) if out else pa.schema(list(empty.items())).empty_table()
 
 
 def _blocks(batches):
-    """Rows (id, v) to blocks of queries (ids, vs)."""
-    ids, vs = [], []
+    """Rows (id, v, dim) to blocks of queries of one dimension (dim, ids, vs)."""
+    held: dict[int, tuple[list, list]] = {}
 
-    def done():
-        return pa.record_batch([pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([b"".join(vs)], pa.binary())], names=["ids", "vs"])
+    def done(dim):
+        ids, vs = held.pop(dim)
+        return pa.record_batch([pa.array([dim], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()], pa.binary()), pa.array([b"".join(vs)], pa.binary())], names=["dim", "ids", "vs"])
 
-    for b in batches:
-        for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+    for b in lines(batches):
+        for i, v, dim in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+            ids, vs = held.setdefault(dim, ([], []))
             ids.append(i)
             vs.append(v)
-            if len(ids) == QUERY_BLOCK:
-                yield done()
-                ids, vs = [], []
-    if ids:
-        yield done()
+            if len(ids) * dim * 8 >= BLOCK_BYTES:
+                yield done(dim)
+    for dim in list(held):
+        yield done(dim)
 
 
 def _as_blobs(batches):
-    for b in batches:
+    for b in lines(batches):
         vs = [None if v is None else np.array(v, np.float64) for v in b.column(1).to_pylist()]
         good = [v is not None and len(v) > 0 and bool(np.isfinite(v).all()) and bool(v.any()) for v in vs]
         keep = [i for i, g in enumerate(good) if g and b.column(0)[i].is_valid]
         yield pa.record_batch([b.column(0).take(pa.array(keep, pa.int64())), pa.array([vs[i].tobytes() for i in keep], pa.binary()), pa.array([len(vs[i]) for i in keep], pa.int32()), pa.array([float(np.sqrt((vs[i] ** 2).sum())) for i in keep])], names=["id", "v", "dim", "norm"])
 
 
-def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = EVERY) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each row whose id is divisible by every, its NEAREST other rows by inner product.
+def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", every: int = EVERY, factor: float | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score, visited, factor): for each row whose id is divisible by every, its NEAREST other rows by inner product.
+
+    Rows are dealt by hash to shards of SHARD_BYTES, each of which builds one tree; blocks of queries meet the trees of all
+    shards of their dimension in tasks of one tree and TASK_BLOCKS blocks. The shards' answers meet per query, MERGE at a time.
+    visited is the share of leaves that the query saw, factor the largest that a shard used; with factor=1 the search is exact.
 
-    Rows are dealt to shards by id, so that copies of one vector spread; each shard builds one tree and answers all queries,
-    which come in blocks; the shards' answers meet per query. Vectors that are null, zero, or hold a null or a non-finite
-    number take no part, nor do rows without id; a vector meets only those of its own dimension. Ties go to the smaller
-    vec_id. Empty tables give no rows.
+    Vectors that are null, zero, or hold a null or a non-finite number take no part, nor do rows without id; a vector meets
+    only those of its own dimension. Ties go to the smaller vec_id. Rows that repeat an id and its vector count once; an id with
+    several vectors is one query (the nearest of all of them) and may be found once for each. Empty tables give no rows.
     """
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("e")).mapInArrow(_as_blobs, "id long, v binary, dim int, norm double")
-    rows = materialise(rows, "vectors")
-    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("top")).first()
-    shards = max(1, -(-facts["n"] // SHARD_ROWS))
-    dims = [r["dim"] for r in rows.select("dim").distinct().limit(1000).collect()] or [0]
-    out = None
-    for dim in sorted(dims):
-        own = rows.filter(F.col("dim") == dim)
-        dealt = own.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(shards)).alias("shard"))
-        asked = own.filter(F.col("id") % every == 0).select("id", "v").mapInArrow(_blocks, "ids binary, vs binary").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)).cast("array<long>")))
-        found = dealt.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(_search_shard(facts["top"] or 0.0), "query_id long, vec_id long, score double")
-        out = found if out is None else out.union(found)
-    # per query at most shards times NEAREST rows: two steps, so that none gathers many
-    best = F.slice(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, NEAREST)
-    merged = out.groupBy("query_id").agg(best.alias("b"))
-    return merged.select("query_id", F.posexplode("b").alias("p", "x")).select("query_id", (F.col("p") + 1).cast("int").alias("rank"), "x.vec_id", (-F.col("x.s")).alias("score"))
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").alias("e")).mapInArrow(_as_blobs, "id long, v binary, dim int, norm double")
+    rows = materialise(rows.distinct(), "vectors")
+    dims = rows.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) * F.first("dim") * 8 / SHARD_BYTES).alias("shards"), F.max("norm").alias("top"))
+    dims = materialise(dims, "dimensions")  # one row a dimension: as many as the table has
+    dealt = rows.join(dims, "dim").select("id", "v", "dim", "top", F.pmod(F.xxhash64("id", "v"), "shards").alias("shard"))
+    trees = materialise(dealt.groupBy("dim", "shard").applyInArrow(_planted(factor), _TREE), "trees")
+    blocks = materialise(rows.filter(F.col("id") % every == 0).select("id", "v", "dim").mapInArrow(_blocks, "dim int, ids binary, vs binary").withColumn("g", F.monotonically_increasing_id()), "queries")
+    groups = max(1, -(-blocks.count() // TASK_BLOCKS))
+    upto = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+    left = trees.withColumn("g", upto(F.lit(groups).cast("long")))
+    right = blocks.join(dims, "dim").select("dim", "ids", "vs", F.pmod(F.xxhash64("g"), F.lit(groups)).alias("g"), upto(F.col("shards")).alias("shard"))
+    key = ["dim", "shard", "g"]
+    found = left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(_answers, _FOUND)
+    found = materialise(found, "answers", rows, trees, blocks)
+    shards = dims.agg(F.max("shards")).first()[0] or 1
+    while True:  # MERGE answers at a time, so that no group grows with the table
+        pairs = F.flatten(F.collect_list(F.arrays_zip(F.transform("scores", lambda s: -s).alias("s"), F.col("ids").alias("i"))))
+        best = F.slice(F.sort_array(pairs), 1, NEAREST)
+        merged = found.groupBy("query_id", F.floor(F.col("shard") / MERGE).alias("shard")).agg(best.alias("b"), F.sum("visited").alias("visited"), F.sum("leaves").alias("leaves"), F.max("factor").alias("factor"))
+        if shards <= MERGE:
+            break
+        shards = -(-shards // MERGE)
+        found = materialise(merged.select("query_id", "shard", F.transform("b", lambda x: x["i"]).alias("ids"), F.transform("b", lambda x: -x["s"]).alias("scores"), "visited", "leaves", "factor"), "merged", found)
+    out = merged.select("query_id", F.posexplode("b").alias("p", "x"), (F.col("visited") / F.col("leaves")).alias("visited"), "factor")
+    return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("x.i").alias("vec_id"), (-F.col("x.s")).alias("score"), "visited", "factor")
 
 
 def op5_neighbours(spark, sf_dir: str) -> DataFrame:

@@ -219,19 +219,21 @@ def test_urls(spark):
 
 
 def test_neighbours(spark, monkeypatch):
-    monkeypatch.setattr(vectors, "SHARD_ROWS", 300)
-    monkeypatch.setattr(vectors, "LEAF", 20)
+    monkeypatch.setattr(vectors, "SHARD_BYTES", 300 * 16 * 8)
+    monkeypatch.setattr(vectors, "BLOCK_BYTES", 10 * 16 * 8)
+    monkeypatch.setattr(vectors, "TASK_BLOCKS", 2)
+    monkeypatch.setattr(vectors, "MERGE", 2)
     rng = np.random.default_rng(4)
     v = rng.normal(size=(800, 16)).astype(np.float32) * rng.uniform(0.5, 2, (800, 1)).astype(np.float32)
     v[100:200] = v[100]
-    rows = [(i, v[i].tolist()) for i in range(800)] + [(1000, None), (1020, [0.0] * 16), (1040, [float("nan")] * 16), (1060, [None] + [1.0] * 15)]
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    for factor, least in ((1.0, 1.0), (vectors.FACTOR, 0.9)):
-        # the factor is bound when the search is defined
-        monkeypatch.setattr(vectors.VantagePointTree.search, "__defaults__", (factor,))
+    rows = [(i, v[i].tolist(), "x", 1) for i in range(800)] + [(1000, None, "", 0), (1020, [0.0] * 16, "", 0), (1040, [float("nan")] * 16, "", 0), (1060, [None] + [1.0] * 15, "", 0)]
+    rows += [(2000, [1.0, 2.0], "", 0), (2001, [1.0, 1.0], "", 0), (2020, [3.0], "", 0), (40, v[40].tolist(), "again", 2)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, shard string, id int")
+    for factor, least in ((1.0, 1.0), (None, 0.9)):
         got = defaultdict(list)
-        for r in vectors.nearest(frame).orderBy("query_id", "rank").collect():
+        for r in vectors.nearest(frame, factor=factor).orderBy("query_id", "rank").collect():
             got[r["query_id"]].append((r["vec_id"], r["score"]))
+        assert got.pop(2000) == [(2001, 3.0)]
         hits = 0
         w = v.astype(np.float64)
         for q in range(0, 800, 20):
@@ -244,6 +246,40 @@ def test_neighbours(spark, monkeypatch):
     assert vectors.nearest(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["clusters", "sphere"])
+def test_trees_of_a_full_shard(kind):
+    """At the size of a shard the measured factor keeps recall, and prunes where the vectors have structure."""
+    rng = np.random.default_rng(5)
+    n = vectors.SHARD_BYTES // (64 * 8)
+    x = rng.normal(size=(n, 64)) if kind == "sphere" else rng.normal(size=(200, 64))[rng.integers(0, 200, n)] + 0.3 * rng.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    tree = vectors.VantagePointTree(x)
+    factor = tree.measured_factor(x[np.linspace(0, n - 1, vectors.SAMPLE).astype(int)], 21)
+    q = x[7::40]
+    found, _, visited = tree.search(q, 21, factor)
+    true = np.argpartition(-(q @ x.T), 20, axis=1)[:, :21]
+    recall = sum(len(set(a) & set(b)) for a, b in zip(found.tolist(), true.tolist(), strict=True)) / true.size
+    assert recall >= 0.9
+    if kind == "clusters":
+        assert visited.mean() < 0.4 * tree.leaves
+    exact, _, _ = tree.search(q[:50], 21, 1.0)
+    assert all(set(a) == set(b) for a, b in zip(exact.tolist(), true[:50].tolist(), strict=True))
+
+
+def test_neighbours_of_the_table(spark):
+    d = "/root/testdata/sf0.01"
+    rows = {r["vec_id"]: np.array(r["embedding"], float) for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()}
+    ids, w = np.array(list(rows)), np.stack(list(rows.values()))
+    got = defaultdict(set)
+    for r in vectors.op5_neighbours(spark, d).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q in (i for i in ids.tolist() if i % 20 == 0):
+        order = [i for i in ids[np.argsort(-(w @ rows[q]), kind="stable")].tolist() if i != q][:20]
+        hits += len(got[q] & set(order))
+    assert hits >= 0.9 * 20 * len(got)
+
+
 PAGE = """<html><head><title>T</title><style>p{{}}</style><script>var a="</p>";</script></head><body><header>Site name</header><nav><ul><li><a href="/">Home</a></li><li>News</li></ul></nav>
 <div class="cookie-notice">We use cookies here</div><article><h1>Head &amp; {0}</h1><p>First  words\n of the {0} story<br>go on here &lt;now&gt;.</p><div class="ad">Buy this</div><p>Second part of {0}, which is longer.</p></article>
 <section id="comments"><p>Nice story, thanks a lot</p></section><aside>Other</aside><form>Name<input></form><footer>&copy; Site</footer></body></html>"""
@@ -260,6 +296,40 @@ def test_html(spark):
     assert [got[i]["text"] for i in (31, 32, 33, 34)] == ["", "", "", "open text"]
 
 
+def test_best_span_is_the_maximum_segment():
+    rng = random.Random(7)
+    for _ in range(300):
+        n = rng.randrange(0, 12)
+        scores, costs = [rng.uniform(-3, 3) for _ in range(n)], [-rng.uniform(0, 2) for _ in range(n)]
+        total = lambda lo, hi: sum(scores[lo:hi]) + sum(costs[lo + 1 : hi])  # noqa: E731, B023
+        want = max([0.0] + [total(i, j) for i in range(n) for j in range(i + 1, n + 1)])
+        lo, hi = html.best_span(scores, costs)
+        assert abs(total(lo, hi) - want) < 1e-9
+
+
+def test_the_scan_removes_furniture_by_learned_weights(spark):
+    """Names that no list has: the labelled pages alone tell that zq and the figures' captions are no main text, and that wx is."""
+    page = '<html><body><div class="zq">Menu of the site {0}</div>{1}<div class="wx">Lead of {0} story</div><p>The text of story {0} goes on and on.</p><blockquote>quoted</blockquote><table><tr><td>a</td><td>b</td></tr></table>{2}<center>Other stories of the site</center><div class="zq">Imprint</div></body></html>'
+    rows = [(i, "u", page.format(i, "<article>", "</article>")) for i in range(60)] + [(99, "u", page.format(99, "<div>", "</div>"))]
+    got = {r["page_id"]: r["text"] for r in html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[99] == "Lead of 99 story The text of story 99 goes on and on. quoted a b" and got[5] == got[99].replace("99", "5")
+    assert html.main_text(rows[-1][2], html.Weights()) != got[99]
+
+
+def test_article_content_stays():
+    page = '<body><nav>Home</nav><article><h1>T</h1><p>One two.</p><div class="share-price">Price 12</div><p class="comment-free">free of it</p><h2 id="login">How to log in</h2><blockquote>q</blockquote><table><tr><td>a</td><td>b</td></tr></table><pre>code</pre></article><footer>f</footer></body>'
+    assert html.main_text(page, html.Weights()) == "T One two. Price 12 free of it How to log in q a b code"
+
+
+def test_html_edges(spark):
+    long = "<article>" + "<p>word after word.</p>" * 30_000 + "</article>"
+    rows = [(1, "u", long, "x", 1), (1, "u", long, "x", 2), (None, None, "<p>a\u00a0\u2003b</p>", "y", 3)]
+    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text string, signs int")).collect()
+    assert sorted((r["page_id"] or 0, r["n_chars"]) for r in got) == [(0, 3), (1, 509_999), (1, 509_999)]
+    assert next(r["text"] for r in got if r["page_id"] is None) == "a b"
+    assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_scoring(docs, rows, none):
     got = {r["doc_id"]: r for r in scoring.score(docs).collect()}
     assert len(got) == len(rows)
@@ -267,21 +337,183 @@ def test_scoring(docs, rows, none):
         n = len((t or "").split())
         assert got[d]["n_tokens"] == n and (got[d]["score"] is None) == (n == 0) and got[d]["log_likelihood"] <= 0
     assert scoring.score(none).count() == 0
+    again = scoring.score(docs.coalesce(1)).collect()
+    assert all(abs(r["log_likelihood"] - got[r["doc_id"]]["log_likelihood"]) <= 1e-4 * (1 + r["n_tokens"]) for r in again)
+
+
+def test_scores_by_hand(docs, rows, spark):
+    """A text's score from the trained network, word by word, over the whole vocabulary."""
+    plain = docs.select("doc_id", "text")
+    v = scoring.Vocabulary(scoring.slot_counts(plain))
+    tokens = plain.mapInArrow(scoring._tokens(spark.sparkContext.broadcast(v)), scoring._TOKENS.format("bigint"))
+    net = scoring.train(tokens, v.groups, v.whole)
+    got = {r["doc_id"]: r["log_likelihood"] for r in scoring.score(docs).collect()}
+    border = v.groups * scoring.LEAVES
+    for d, t, *_ in rows[:12]:
+        slots = scoring.slots_of(t, v.bits).tolist()
+        leaves, total = [int(v.leaf[s]) for s in slots], 0.0
+        for i, (s, leaf) in enumerate(zip(slots, leaves, strict=True)):
+            around = [leaves[i + k] if 0 <= i + k < len(leaves) else border for k in (-2, -1, 1, 2)]
+            h = np.tanh(sum(net.near[j][a].astype(float) for j, a in enumerate(around)))
+            z = h @ net.top + net.top_bias
+            p = np.exp(z) / np.exp(z).sum()
+            q = [np.exp(h @ net.leaf[g] + net.leaf_bias[g]) for g in range(v.groups)]
+            whole = np.concatenate([p[g] * x / x.sum() for g, x in enumerate(q)])
+            assert abs(whole.sum() - 1) < 1e-6
+            total += np.log(whole[leaf]) + v.share[s]
+        assert abs(total - got[d]) <= 1e-3 * (1 + len(slots))
+    used = np.flatnonzero(np.bincount([s for _, t, *_ in rows for s in scoring.slots_of(t, v.bits).tolist()], minlength=1 << v.bits))
+    mass = np.bincount(v.leaf[used], np.exp(v.share[used].astype(float)))
+    assert np.allclose(mass[mass > 0], 1, atol=1e-4)  # the words of a leaf share it
+
+
+def test_vocabulary_grows():
+    small, large = (scoring.Vocabulary(np.concatenate([np.ones(n), np.zeros((1 << scoring.BITS) - n)])) for n in (2_000, 900_000))
+    assert (small.bits, small.groups) == (14, 8) and (large.bits, large.groups) == (22, 128)
 
 
 def test_scoring_learns_both_sides():
     rng = np.random.default_rng(1)
-    left = rng.integers(1, 40, 6000)
-    line = np.stack([left, left % 20 + 50, (left * 7) % 20 + 80], axis=1)
-    texts = [row for row in line]
-    around, centre = scoring.around_of(texts)
-    net, square = scoring.Window(unigrams=np.zeros(scoring.CLASSES)), None
-    square = np.full(len(net.flat), 1e-4, np.float32)
+    left = rng.integers(1, 40, 30_000)
+    texts = list(np.stack([left, left % 20 + 50, (left * 7) % 20 + 80], axis=1))
+    around, centre = scoring.around_of(texts, 4 * scoring.LEAVES)
+    net, square = scoring.Window(4), None
+    square = scoring.Window(4, np.full(len(net.flat), 1e-4, np.float32))
     before = net.log_probability(around, centre).mean()
     for i in range(0, len(centre), scoring.STEP_TOKENS):
         net.learn(around[i : i + scoring.STEP_TOKENS], centre[i : i + scoring.STEP_TOKENS], square)
     assert net.log_probability(around, centre).mean() > before + 1.0
-    assert around[0].tolist() == [0, 0, int(line[0][1]), int(line[0][2])]
+    assert around[0].tolist() == [256, 256, *texts[0][1:].tolist()]
+
+
+def test_url_trees_learn(spark):
+    """Digits in the path mark what is blocked: the trees find it where no rule speaks."""
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(8))
+    digits = lambda: "".join(rng.choice("0123456789") for _ in range(24))
+    urls_ = [f"https://{word()}.net/{digits()}" for _ in range(300)] + [f"https://{word()}.org/fr/{word()}" for _ in range(300)]
+    asked = [f"https://{word()}.info/{digits()}" for _ in range(50)] + [f"https://{word()}.info/fr/{word()}" for _ in range(50)]
+    asked += [asked[0], "https://long.info/" + "1" * 20_000]
+    rows = [(i, u, "x", "y") for i, u in enumerate(urls_ + asked)]
+    got = {r["page_id"]: r["verdict"] for r in urls.url_verdicts(spark.createDataFrame(rows, "page_id long, url string, bad string, label string")).collect()}
+    assert len(got) == len(rows)
+    assert sum(got[600 + i] == "block" for i in range(50)) >= 48 and sum(got[650 + i] == "allow" for i in range(50)) >= 48
+    assert got[700] == got[600]
+
+
+def test_url_suffix_shares_leave_the_own_label_out(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(urls.GBTClassifier, "fit", lambda self, frame: seen.append(frame) or (_ for _ in ()).throw(KeyError("stop")))
+    rows = [(0, "https://a.net/x.html"), (1, "https://b.org/fr/x.html"), (2, "https://c.net/y")]
+    with pytest.raises(KeyError):
+        urls.url_verdicts(spark.createDataFrame(rows, "page_id long, url string"))
+    at = urls.FEATURES.index("host_suffix")
+    got = sorted((r["label"], round(r["features"][at], 6)) for r in seen[0].collect())
+    prior = 2 / 3
+    assert got == sorted([(1.0, round((1 + 10 * prior) / 11, 6))] * 2 + [(0.0, round(prior, 6))])
+
+
+def test_letters(spark):
+    rows = [(1, "\u00b2", None), (2, "\u00bd \u00bd", None), (3, "\u2167", None), (4, "_ 12 \u0301", None), (5, "\u5b57", None), (6, "\u00aa", None)] + [(100 + i, "the of and", "en") for i in range(20)]
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert [got[i] for i in range(1, 7)] == ["und", "und", "und", "und", "en", "en"]
+
+
+def test_inclusion_is_unequal_and_exact(spark, docs, rows):
+    table = spark.createDataFrame([("a", float(g), 100.0 * g, 1100.0) for g in range(1, 8)] + [("b", 1.0, 50.0, 0.0), (None, 3.0, 10.0, 5.0)], "source string, g double, words double, want double")
+    got = mixing.inclusion(table).collect()
+    a = sorted((r["g"], r["pi"]) for r in got if r["source"] == "a")
+    assert len({round(p, 9) for _, p in a}) > 3 and abs(sum(100 * g * p for g, p in a) - 1100) < 1e-9
+    assert all(p <= 1 for _, p in a) and a == sorted(a, key=lambda x: x[1])
+    assert {r["source"]: r["pi"] for r in got if r["source"] != "a"} == {"b": 0.0, None: 0.5}
+
+
+def test_mixing_salted(docs, monkeypatch):
+    want = sorted(map(tuple, mixing.mix_report(docs).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", 0)
+    assert sorted(map(tuple, mixing.mix_report(docs).collect())) == want
+
+
+def test_scratch_goes(spark, docs):
+    from docrecon.llm import common
+
+    before = set(common._made)
+    with common.scratch_scope() as kept:
+        out = minhash.near_duplicates(docs)
+        kept.append(out)
+        assert len(set(common._made) - before) == 1
+    common.discard(out, docs)
+    assert set(common._made) == before
+
+
+NAMES = "i t u v n p x g id key bin fp rep size chunk blob hashes label source_size copies pi want plan mix_plan quality q part k base rank"
+
+
+def test_stages_on_hard_tables(spark):
+    """Nulls in any column, repeated rows, ties, an empty table and columns that share names with the operators' own."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{x} string" for x in NAMES.split())
+    extra = tuple("e" for _ in NAMES.split())
+    rng = random.Random(8)
+    a, b = prose(rng, 300), prose(rng, 200)
+    rows = [(1, a, "en", "s", 1), (1, a, "en", "s", 1), (None, b, None, None, None), (2, None, None, "s", 0), (3, "", "en", None, 0), (4, a + " " + b, "en", "s", 9), (None, None, None, None, None)]
+    for table in (spark.createDataFrame([(*r, *extra) for r in rows], schema), spark.createDataFrame([], schema)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, "")
+            assert out.count() >= 0, name
+            if name != "packing":
+                assert out.schema.names == table.schema.names
+
+
+def test_pipeline_by_brute_force(spark, docs, rows, tmp_path):
+    """Each stage of the pipeline against plain Python on its own input."""
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    table = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    n = 0
+    for name, stage in corpus_pipeline.STAGES:
+        before = {r["doc_id"]: r["text"] for r in table.collect()}
+        out = stage(spark, table, str(tmp_path)).collect()
+        if name == "quality rules":
+            kept = {d for d, t in before.items() if len((t or "").split()) >= 50}
+            assert {r["doc_id"] for r in out} <= kept and len(out) > 20
+        elif name == "minhash near-dedup":
+            sets = shingle_sets(list(before.items()))
+            root = {d: d for d in sets}
+            for _ in sets:
+                for x in sets:
+                    for y in sets:
+                        both = len(sets[x] & sets[y])
+                        if x < y and 100 * both >= 75 * len(sets[x] | sets[y]):
+                            root[y] = root[x] = min(root[x], root[y])
+                if n == (n := sum(root.values())):
+                    break
+            assert {r["doc_id"] for r in out} == {d for d in sets if root[d] == d}
+        elif name == "suffix-array dedup":
+            first: dict = {}
+            for d, t in sorted(before.items()):
+                raw = t.encode()
+                gone = bytearray(len(raw))
+                for i in range(len(raw) - 49):
+                    if first.setdefault(raw[i : i + 50], d) < d:
+                        gone[i : i + 50] = b"\1" * 50
+                before[d] = bytes(x for x, g in zip(raw, gone, strict=True) if not g).decode("utf-8", "ignore")
+            assert {r["doc_id"]: r["text"] for r in out} == before
+        elif name == "source mix":
+            taken = {r["doc_id"]: r["taken"] for r in mixing.mix_report(table).collect()}
+            words = defaultdict(int)
+            for r in out:
+                assert r["text"] == before[r["doc_id"]]
+                words[r["doc_id"]] += len(r["text"].split())
+            assert all(words[d] == t for d, t in taken.items())
+        else:
+            copies = defaultdict(int)
+            for r in table.collect():
+                copies[r["doc_id"]] += 1
+            length = defaultdict(int)
+            for r in out:
+                length[r["doc_id"], r["doc_tokens"]] += r["length"]
+            assert {(d, total // copies[d]) for (d, _), total in length.items()} == set(length)
+            return
+        table = spark.createDataFrame(out, docs.schema)
 
 
 def test_pipeline_stages(spark, docs):
@@ -292,3 +524,54 @@ def test_pipeline_stages(spark, docs):
         table = spark.createDataFrame(table.collect(), docs.schema)
         assert table.count() > 0
     assert set(corpus_pipeline.STAGES[-1][1](spark, table, "").columns) >= {"doc_id", "start", "length", "sequence_id"}
+
+
+def test_quality_filter_drops_labelled_junk(spark):
+    d = "/root/testdata/sf0.01"
+    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality")
+    docs = spark.read.parquet(f"{d}/documents.parquet").join(labels, "doc_id")
+    passed = quality.quality(docs).filter("not base_failed").select("doc_id").join(labels, "doc_id")
+    kept = {r["doc_id"] for r in quality.quality_filter(docs).select("doc_id").collect()}
+    clean, junk = ({r["doc_id"] for r in passed.filter(f"quality = {q}").collect()} for q in (1, 0))
+    assert clean and junk and clean <= kept and not junk & kept
+
+
+@pytest.mark.parametrize("wrapper", ['div class="overflow-hidden"', "div style='overflow:hidden'", 'div class="has-sidebar"', 'div class="page no-sidebar"', 'div class="layout--with-sidebar"', "div class='sidebar-layout sidebar'", 'div data-state="hidden"', 'div aria-hidden="false"', 'div title="display:none"'])
+@pytest.mark.parametrize("inner", ["article", "main"])
+def test_wrapped_articles_stay(wrapper, inner):
+    page = f'<body><nav>Home</nav><{wrapper}><{inner}><p>The whole story of the sea and its stones.</p></{inner}></div><footer>Site</footer></body>'
+    assert html.main_text(page, html.Weights()) == "The whole story of the sea and its stones."
+
+
+@pytest.mark.parametrize("tag", ["div hidden", 'div hidden=""', 'div class="a" hidden="hidden"', 'div aria-hidden="true"', 'div style="color:red; display : none"', 'div class="sidebar"', 'div class="comments"'])
+def test_hidden_and_furniture_go(tag):
+    page = f"<article><p>The whole story of the sea.</p><{tag}><p>Not of it at all</p></div><p>Its end.</p></article><{tag}><article><p>A reply to the story</p></article></div>"
+    assert html.main_text(page, html.Weights()) == "The whole story of the sea. Its end."
+
+
+def test_four_languages_share_a_text():
+    logp = np.log(np.full((5, 100), 0.1 / 80))
+    for k in range(5):
+        logp[k, k * 20 : k * 20 + 20] = np.log(0.9 / 20)
+    counts = np.zeros((3, 100), np.int32)
+    counts[0, :80] = np.repeat([70, 50, 45, 35], 20)  # four languages
+    counts[1] = np.repeat([30, 25, 20, 15, 10], 20) * 3  # all five
+    counts[2, 20:40] = 50  # one
+    best, score = language.judge(counts, logp)
+    assert best.tolist() == [0, 0, 1] and score[2] == 1.0
+    for row, n in ((0, 4), (1, 5)):
+        share = np.full(5, 0.0)
+        share[:n] = 1 / n
+        for _ in range(5000):  # brute force: expectation-maximisation to its fixed point
+            r = share[:, None] * np.exp(logp)
+            share = (r / r.sum(axis=0) * counts[row]).sum(axis=1) / counts[row].sum()
+        assert abs(score[row] - share.max()) < 0.01
+
+
+def test_mixture_bound_holds():
+    rng = np.random.default_rng(3)
+    p = rng.uniform(0.01, 1, (40, 3))
+    c = rng.integers(1, 20, 40).astype(float)
+    _, likelihood, gap = language._mixture(np.zeros(40, int), np.array([0]), c, p, np.ones((1, 3)))
+    shares = rng.dirichlet(np.ones(3), 20_000)
+    assert (c * np.log(shares @ p.T)).sum(axis=1).max() <= likelihood[0] + gap[0] + 1e-9
