@@ -5,10 +5,8 @@ import re
 from collections import Counter, defaultdict
 
 import duckdb
-import numpy as np
 import pytest
 
-from docrecon.llm import html, language, quality
 from docrecon.operators import links
 from docrecon.plans import derive
 from docrecon.plans.registry import QUERIES
@@ -70,16 +68,6 @@ def test_every_invoice_and_declaration(spark, brute):
     assert sorted(r["id"] for r in QUERIES["orphan_declarations_all"](spark, DIR).collect()) == sorted(orphans)
 
 
-def test_quality_filter_drops_labelled_junk(spark):
-    d = "/root/testdata/sf0.01"
-    labels = spark.read.parquet(f"{d}/labels.parquet").select("doc_id", "quality")
-    docs = spark.read.parquet(f"{d}/documents.parquet").join(labels, "doc_id")
-    passed = quality.quality(docs).filter("not base_failed").select("doc_id").join(labels, "doc_id")
-    kept = {r["doc_id"] for r in quality.quality_filter(docs).select("doc_id").collect()}
-    clean, junk = ({r["doc_id"] for r in passed.filter(f"quality = {q}").collect()} for q in (1, 0))
-    assert clean and junk and clean <= kept and not junk & kept
-
-
 def test_every_bundle_is_merged(spark):
     bundles = defaultdict(list)
     orders = rows("SELECT o_orderkey AS k, o_custkey AS c FROM orders ORDER BY o_orderkey")
@@ -99,44 +87,3 @@ def test_members_are_gathered_once(spark, capsys):
     merged.explain()
     plan = capsys.readouterr().out
     assert "member" in "".join(re.findall(r"keys=\[[^\]]*\]", plan))
-
-
-@pytest.mark.parametrize("wrapper", ['div class="overflow-hidden"', "div style='overflow:hidden'", 'div class="has-sidebar"', 'div class="page no-sidebar"', 'div class="layout--with-sidebar"', "div class='sidebar-layout sidebar'", 'div data-state="hidden"', 'div aria-hidden="false"', 'div title="display:none"'])
-@pytest.mark.parametrize("inner", ["article", "main"])
-def test_wrapped_articles_stay(wrapper, inner):
-    page = f'<body><nav>Home</nav><{wrapper}><{inner}><p>The whole story of the sea and its stones.</p></{inner}></div><footer>Site</footer></body>'
-    assert html.main_text(page, html.Weights()) == "The whole story of the sea and its stones."
-
-
-@pytest.mark.parametrize("tag", ["div hidden", 'div hidden=""', 'div class="a" hidden="hidden"', 'div aria-hidden="true"', 'div style="color:red; display : none"', 'div class="sidebar"', 'div class="comments"'])
-def test_hidden_and_furniture_go(tag):
-    page = f"<article><p>The whole story of the sea.</p><{tag}><p>Not of it at all</p></div><p>Its end.</p></article><{tag}><article><p>A reply to the story</p></article></div>"
-    assert html.main_text(page, html.Weights()) == "The whole story of the sea. Its end."
-
-
-def test_four_languages_share_a_text():
-    logp = np.log(np.full((5, 100), 0.1 / 80))
-    for k in range(5):
-        logp[k, k * 20 : k * 20 + 20] = np.log(0.9 / 20)
-    counts = np.zeros((3, 100), np.int32)
-    counts[0, :80] = np.repeat([70, 50, 45, 35], 20)  # four languages
-    counts[1] = np.repeat([30, 25, 20, 15, 10], 20) * 3  # all five
-    counts[2, 20:40] = 50  # one
-    best, score = language.judge(counts, logp)
-    assert best.tolist() == [0, 0, 1] and score[2] == 1.0
-    for row, n in ((0, 4), (1, 5)):
-        share = np.full(5, 0.0)
-        share[:n] = 1 / n
-        for _ in range(5000):  # brute force: expectation-maximisation to its fixed point
-            r = share[:, None] * np.exp(logp)
-            share = (r / r.sum(axis=0) * counts[row]).sum(axis=1) / counts[row].sum()
-        assert abs(score[row] - share.max()) < 0.01
-
-
-def test_mixture_bound_holds():
-    rng = np.random.default_rng(3)
-    p = rng.uniform(0.01, 1, (40, 3))
-    c = rng.integers(1, 20, 40).astype(float)
-    _, likelihood, gap = language._mixture(np.zeros(40, int), np.array([0]), c, p, np.ones((1, 3)))
-    shares = rng.dirichlet(np.ones(3), 20_000)
-    assert (c * np.log(shares @ p.T)).sum(axis=1).max() <= likelihood[0] + gap[0] + 1e-9
