@@ -18,10 +18,10 @@ BITS, LEAST_BITS, SPARE = 22, 14, 4
 #: the rarer words. Groups grow with the root of the vocabulary.
 LEAVES, LEAST_GROUPS, MOST_GROUPS = 64, 8, 256
 #: Words on each side, hidden units, tokens a training step, and the rate of the adaptive steps.
-SIDE, HIDDEN, STEP_TOKENS, RATE = 2, 24, 4096, 0.05
+SIDE, HIDDEN, STEP_TOKENS, RATE = 2, 16, 16_384, 0.1
 #: Tokens of a training shard. Round r trains on the tokens whose place leaves r, so that all rounds together cover every token once.
 SHARD_TOKENS, ROUNDS = 2_000_000, 2
-BLOCK = 16_384
+BLOCK = 32_768
 #: Parameters of shards are added up as whole numbers of 1 / SCALE, so that their mean does not depend on the order.
 SCALE = 1 << 24
 #: Equal rows (doc_id and text) that a task deals to one shard before it takes the next.
@@ -44,7 +44,7 @@ class Vocabulary:
             self.bits += 1
         counts = counts.reshape(-1, 1 << self.bits).sum(axis=0)  # lower bits of a slot are its slot of fewer bits
         self.groups = LEAST_GROUPS
-        while self.groups < MOST_GROUPS and (8 * self.groups) ** 2 < used:
+        while self.groups < MOST_GROUPS and (16 * self.groups) ** 2 < used:
             self.groups *= 2
         order = np.argsort(-counts, kind="stable")[: self.groups * (LEAVES - 1)]
         order = order[counts[order] > 0]
@@ -75,21 +75,28 @@ class Window:
         self.near, self.top, self.top_bias, self.leaf, self.leaf_bias = (x.reshape(s) for x, s in zip(np.split(self.flat, ends[:-1]), shapes, strict=True))
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        h = self.near[0][around[:, 0]]
+        h = self.near[0].take(around[:, 0], axis=0)
         for j in range(1, 2 * SIDE):
-            h += self.near[j][around[:, j]]
-        return np.tanh(h)
+            h += self.near[j].take(around[:, j], axis=0)
+        return np.tanh(h, out=h)
 
     @staticmethod
     def _softmax(z: np.ndarray) -> np.ndarray:
-        z -= z.max(axis=1, keepdims=True)
+        np.clip(z, -60, 60, out=z)  # far beyond what is learned, and safe in single precision
         np.exp(z, out=z)
         z /= z.sum(axis=1, keepdims=True)
         return z
 
+    @staticmethod
+    def _sorted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The order of small numbers, the distinct ones, and where each begins in that order."""
+        order = np.argsort(values.astype(np.uint16), kind="stable")
+        s = values[order]
+        heads = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+        return order, s[heads], heads
+
     def _by_group(self, group: np.ndarray):
-        order = np.argsort(group, kind="stable")
-        used, heads = np.unique(group[order], return_index=True)
+        order, used, heads = self._sorted(group)
         return zip(used.tolist(), np.split(order, heads[1:]), strict=True)
 
     def log_probability(self, around: np.ndarray, centre: np.ndarray) -> np.ndarray:
@@ -97,7 +104,7 @@ class Window:
         h, group, leaf = self.hidden(around), centre // LEAVES, centre % LEAVES
         p = self._softmax(h @ self.top + self.top_bias)[np.arange(len(h)), group]
         for g, at in self._by_group(group):
-            q = self._softmax(h[at] @ self.leaf[g] + self.leaf_bias[g])
+            q = self._softmax(h.take(at, axis=0) @ self.leaf[g] + self.leaf_bias[g])
             p[at] *= q[np.arange(len(at)), leaf[at]]
         return np.log(np.maximum(p, 1e-30))
 
@@ -117,7 +124,7 @@ class Window:
         step(self.top, square.top, h.T @ g)
         step(self.top_bias, square.top_bias, g.sum(axis=0))
         for k, at in self._by_group(group):
-            own = h[at]
+            own = h.take(at, axis=0)
             e = self._softmax(own @ self.leaf[k] + self.leaf_bias[k])
             e[np.arange(len(at)), leaf[at]] -= 1
             e /= n
@@ -126,10 +133,9 @@ class Window:
             step(self.leaf_bias[k], square.leaf_bias[k], e.sum(axis=0))
         back *= 1 - h * h
         for j in range(2 * SIDE):
-            order = np.argsort(around[:, j], kind="stable")
-            used, heads = np.unique(around[order, j], return_index=True)
-            total = np.add.reduceat(back[order], heads, axis=0)
-            seen = square.near[j][used] + total * total
+            order, used, heads = self._sorted(around[:, j])
+            total = np.add.reduceat(back.take(order, axis=0), heads, axis=0)
+            seen = square.near[j].take(used, axis=0) + total * total
             square.near[j][used] = seen
             self.near[j][used] -= RATE * total / (np.sqrt(seen) + 1e-6)
 

@@ -369,7 +369,7 @@ def test_scores_by_hand(docs, rows, spark):
 
 def test_vocabulary_grows():
     small, large = (scoring.Vocabulary(np.concatenate([np.ones(n), np.zeros((1 << scoring.BITS) - n)])) for n in (2_000, 900_000))
-    assert (small.bits, small.groups) == (14, 8) and (large.bits, large.groups) == (22, 128)
+    assert (small.bits, small.groups) == (14, 8) and (large.bits, large.groups) == (22, 64)
 
 
 def test_scoring_learns_both_sides():
