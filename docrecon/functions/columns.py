@@ -11,6 +11,11 @@ CONFUSABLE = {"0": "689", "1": "47", "2": "7", "3": "58", "4": "19", "5": "368",
 NOT_A_CODE = "100900"
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value worked out once however often use names it."""
+    return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
+
+
 def close(a: Column, b: Column, absolute: float = 1.0, relative: float = 0.01) -> Column:
     """Within an absolute or a relative tolerance, the latter of the larger of both and 1; null if a side is."""
     gap = F.abs(a - b)
