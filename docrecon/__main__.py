@@ -18,7 +18,7 @@ def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="docrecon", description=__doc__)
     p.add_argument("root")
     p.add_argument("--out", required=True, help="folder for Parquet results")
-    p.add_argument("--profile", help="JSON file: entities, names, addresses (lists of pairs), rates")
+    p.add_argument("--profile", help="JSON file: entities, names, addresses (lists of pairs), keywords, rates")
     p.add_argument("--workbook", help="also write this .xlsx")
     p.add_argument("--webhook", help="also post the summary to this address")
     p.add_argument("--exit-zero", action="store_true")
@@ -28,7 +28,7 @@ def main(args: list[str] | None = None) -> int:
         with open(a.profile, encoding="utf-8") as f:
             conf = json.load(f)
     rates = conf.pop("rates", {})
-    profile = Profile(**{k: [tuple(x) for x in v] for k, v in ({"entities": []} | conf).items()})
+    profile = Profile(**{k: [x if isinstance(x, str) else tuple(x) for x in v] for k, v in ({"entities": []} | conf).items()})
     spark = SparkSession.builder.appName("docrecon").getOrCreate()
     for name, make in (("pages", lambda: run.read(spark, a.root)), ("documents", lambda: run.documents(spark.read.parquet(f"{a.out}/pages"), a.root, profile)), ("bundles", lambda: run.reconcile(spark.read.parquet(f"{a.out}/documents"), rates))):
         make().write.mode("overwrite").parquet(f"{a.out}/{name}")

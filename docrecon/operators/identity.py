@@ -15,11 +15,12 @@ WINDOW = 900
 
 @dataclass(frozen=True)
 class Profile:
-    """A client's entities: (VAT, SIREN) pairs, and upper-case names and addresses with the VAT each stands for; orders count."""
+    """A client's entities: (VAT, SIREN) pairs, upper-case names and addresses with the VAT each stands for, and words that mark its invoices; orders count."""
 
     entities: list[tuple[str, str]]
     names: list[tuple[str, str]] = field(default_factory=list)
     addresses: list[tuple[str, str]] = field(default_factory=list)
+    keywords: list[str] = field(default_factory=list)
 
     @property
     def vats(self) -> list[str]:

@@ -56,6 +56,10 @@ SCORE_PATTERNS = [
 ]
 
 
+#: Fixed value: the shape of a declaration's number, wherever it stands on the page; its first 15 characters tell declarations apart.
+MRN = r"\b([0-9]{2}[A-Z]{2}[A-Z0-9]{12,16})\b"
+
+
 def classify(text: Column, keywords: list[str] | tuple[str, ...] = ()) -> Column:
     """The type of a page: one chain of conditions, built from the rule table."""
     up = F.upper(text)
@@ -84,7 +88,7 @@ def segments(pages: DataFrame) -> DataFrame:
     """(path, seg_no, doc_type, start_page, end_page, text) from (path, page_no, doc_type, text): consecutive pages of a file that
     belong together. A segment's first page sets its type and, for declarations, its id; what it absorbs depends on both, so
     each file's pages fold over one state."""
-    mrn = F.substring(F.regexp_replace(F.upper(F.regexp_extract("text", r"(?i)\b(?:MRN|CRN)\W*([0-9]{2}[A-Z]{2}[A-Z0-9]{11,14})", 1)), "[^A-Z0-9]", ""), 1, 15)
+    mrn = F.substring(F.regexp_extract(F.upper(F.coalesce("text", F.lit(""))), MRN, 1), 1, 15)
     kind = F.regexp_extract("doc_type", "^(declaration|prestation|invoice)_", 1)
     page = F.struct("page_no", "doc_type", F.when(kind == "", F.col("doc_type")).otherwise(kind).alias("kind"), F.when(kind == "declaration", mrn).otherwise(F.when(F.col("doc_type") == "unknown", mrn).otherwise("")).alias("id"))
     files = pages.groupBy("path").agg(F.sort_array(F.collect_list(page)).alias("pages"))

@@ -21,7 +21,7 @@ def read(spark: SparkSession, root: str, read_pdf=None) -> DataFrame:
 def documents(read_pages: DataFrame, root: str, profile: identity.Profile) -> DataFrame:
     """One row a document: fields, its dossier and folder, the buyer's VAT."""
     good = read_pages.filter("error is null").select("path", "page_no", pages.clean_markup(F.col("text")).alias("text"))
-    cut = pages.segments(good.withColumn("doc_type", pages.classify(F.col("text"))))
+    cut = pages.segments(good.withColumn("doc_type", pages.classify(F.col("text"), profile.keywords)))
     found = extract.documents(cut).join(cut.select("path", "seg_no", "text"), ["path", "seg_no"])
     buyer = identity.buyer_vat(F.col("text"), F.col("vat"), profile)["vat"]
     place = S.path_context(F.col("path"), root)
@@ -30,15 +30,15 @@ def documents(read_pages: DataFrame, root: str, profile: identity.Profile) -> Da
 
 def reconcile(docs: DataFrame, rates: dict[str, float]) -> DataFrame:
     """One row an invoice with its matched declaration, if any (of several the best), the checks and the status."""
-    pool, none = F.coalesce("dossier", F.lit("")).alias("pool"), F.lit(None)
+    pool = F.coalesce("dossier", F.lit("")).alias("pool")
     lead = C.leading_ref(F.col("path")).alias("lead")
-    codes = _heads(F.array("hs_code")).alias("hs6")
-    i = docs.filter(F.col("doc_type").startswith("invoice")).select(pool, F.col("id").alias("invoice_id"), "folder", C.ref_key(F.col("number")).alias("ref"), "awb", "total", "vat", codes, lead, "currency")
-    d = docs.filter(F.col("doc_type").startswith("declaration")).select(pool, F.col("id").alias("declaration_id"), F.col("id").alias("ord"), "folder", F.transform("refs", C.ref_key).alias("refs"), F.array_compact(F.array("awb")).alias("awbs"), "total", "currency", none.cast("double").alias("fx"), "vat", codes, lead)
-    kept = links.matches(links.invoice_declaration_score(i.drop("currency"), d)).groupBy("invoice_id").agg(F.max_by("declaration_id", "score").alias("declaration_id"), F.count(F.lit(1)).alias("n_declarations"))
+    codes = _heads(F.coalesce("hs_codes", F.array("hs_code"))).alias("hs6")
+    i = docs.filter(F.col("doc_type").startswith("invoice")).select(pool, F.col("id").alias("invoice_id"), "folder", C.ref_key(F.col("number")).alias("ref"), "awb", "total", "vat", codes, lead, "currency", F.coalesce("estimated", F.lit(False)).alias("estimated"))
+    d = docs.filter(F.col("doc_type").startswith("declaration")).select(pool, F.col("id").alias("declaration_id"), F.col("id").alias("ord"), "folder", F.transform("refs", C.ref_key).alias("refs"), F.coalesce("awbs", F.array().cast("array<string>")).alias("awbs"), "total", "currency", F.col("fx_rate").alias("fx"), "vat", codes, lead)
+    kept = links.matches(links.invoice_declaration_score(i.drop("currency", "estimated"), d)).groupBy("invoice_id").agg(F.min_by("declaration_id", F.struct((-F.col("score")).alias("s"), "ord")).alias("declaration_id"), F.count(F.lit(1)).alias("n_declarations"))
     d = d.select("declaration_id", F.col("total").alias("d_total"), F.col("currency").alias("d_currency"), F.col("hs6").alias("d_hs6"))
     rate = F.coalesce(*(F.when(F.col("currency") == c, F.lit(float(r))) for c, r in rates.items()), F.lit(None).cast("double"))
-    currency, value = rules.value_currency(F.col("total"), F.col("currency"), F.col("d_total"), F.col("d_currency"), rate, F.lit(False))
+    currency, value = rules.value_currency(F.col("total"), F.col("currency"), F.col("d_total"), F.col("d_currency"), rate, F.col("estimated"))
     checks = F.array(rules.check("currency_match", currency), rules.check("amount_match", value), rules.check("hs_subset", rules.tariff(F.col("hs6"), F.col("d_hs6"))))
     out = i.join(kept, "invoice_id", "left").join(d, "declaration_id", "left").withColumn("checks", F.when(F.col("declaration_id").isNotNull(), checks).otherwise(F.slice(checks, 1, 0)))
     return out.withColumn("status", rules.status(F.lit(True), F.col("declaration_id").isNotNull(), F.col("checks"))).select("pool", "invoice_id", "declaration_id", "n_declarations", "total", "currency", "d_total", "d_currency", "checks", "status")
