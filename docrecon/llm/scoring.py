@@ -84,9 +84,16 @@ class Window:
     def _softmax(z: np.ndarray) -> np.ndarray:
         np.clip(z, -60, 60, out=z)  # far beyond what is learned, and safe in single precision
         np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
+        z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
         return z
 
+    @staticmethod
+    def _chance(z: np.ndarray, pick: np.ndarray) -> np.ndarray:
+        """The softmax at one place of each row."""
+        np.clip(z, -60, 60, out=z)
+        np.exp(z, out=z)
+        return z[np.arange(len(z)), pick] / (z @ np.ones(z.shape[1], z.dtype))
+
     @staticmethod
     def _sorted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The order of small numbers, the distinct ones, and where each begins in that order."""
@@ -102,10 +109,9 @@ class Window:
     def log_probability(self, around: np.ndarray, centre: np.ndarray) -> np.ndarray:
         """The log-probability of each centre leaf given its neighbours."""
         h, group, leaf = self.hidden(around), centre // LEAVES, centre % LEAVES
-        p = self._softmax(h @ self.top + self.top_bias)[np.arange(len(h)), group]
+        p = self._chance(h @ self.top + self.top_bias, group)
         for g, at in self._by_group(group):
-            q = self._softmax(h.take(at, axis=0) @ self.leaf[g] + self.leaf_bias[g])
-            p[at] *= q[np.arange(len(at)), leaf[at]]
+            p[at] *= self._chance(h.take(at, axis=0) @ self.leaf[g] + self.leaf_bias[g], leaf[at])
         return np.log(np.maximum(p, 1e-30))
 
     def learn(self, around: np.ndarray, centre: np.ndarray, square: Window) -> None:
