@@ -81,19 +81,27 @@ class Window:
         return np.tanh(h, out=h)
 
     @staticmethod
-    def _softmax(z: np.ndarray) -> np.ndarray:
-        np.clip(z, -60, 60, out=z)  # far beyond what is learned, and safe in single precision
-        np.exp(z, out=z)
+    def _exp(z: np.ndarray, reach: float) -> np.ndarray:
+        """The exponentials of z in place. Hidden units lie in -1 to 1, so that reach bounds z; values far beyond what is learned are clipped, which is safe in single precision."""
+        if not reach < 60:
+            np.clip(z, -60, 60, out=z)
+        return np.exp(z, out=z)
+
+    def _softmax(self, z: np.ndarray, reach: float) -> np.ndarray:
+        self._exp(z, reach)
         z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
         return z
 
-    @staticmethod
-    def _chance(z: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    def _chance(self, z: np.ndarray, pick: np.ndarray, reach: float) -> np.ndarray:
         """The softmax at one place of each row."""
-        np.clip(z, -60, 60, out=z)
-        np.exp(z, out=z)
+        self._exp(z, reach)
         return z[np.arange(len(z)), pick] / (z @ np.ones(z.shape[1], z.dtype))
 
+    def _reach(self) -> tuple[float, np.ndarray]:
+        """Bounds of the outputs of the groups, and of the leaves of each group."""
+        top = np.abs(self.top).sum(axis=0).max() + np.abs(self.top_bias).max()
+        return float(top), np.abs(self.leaf).sum(axis=1).max(axis=1) + np.abs(self.leaf_bias).max(axis=1)
+
     @staticmethod
     def _sorted(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The order of small numbers, the distinct ones, and where each begins in that order."""
@@ -102,37 +110,44 @@ class Window:
         heads = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
         return order, s[heads], heads
 
-    def _by_group(self, group: np.ndarray):
-        order, used, heads = self._sorted(group)
-        return zip(used.tolist(), np.split(order, heads[1:]), strict=True)
+    def _by_group(self, around: np.ndarray, centre: np.ndarray):
+        """Tokens in the order of their groups: that order, the neighbours, groups and leaves in it, and (group, slice) of each group."""
+        order, used, heads = self._sorted(centre // LEAVES)
+        around, centre = around.take(order, axis=0), centre.take(order)
+        runs = [(g, slice(i, j)) for g, i, j in zip(used.tolist(), heads.tolist(), [*heads[1:].tolist(), len(order)], strict=True)]
+        return order, around, centre // LEAVES, centre % LEAVES, runs
 
     def log_probability(self, around: np.ndarray, centre: np.ndarray) -> np.ndarray:
         """The log-probability of each centre leaf given its neighbours."""
-        h, group, leaf = self.hidden(around), centre // LEAVES, centre % LEAVES
-        p = self._chance(h @ self.top + self.top_bias, group)
-        for g, at in self._by_group(group):
-            p[at] *= self._chance(h.take(at, axis=0) @ self.leaf[g] + self.leaf_bias[g], leaf[at])
-        return np.log(np.maximum(p, 1e-30))
+        order, around, group, leaf, runs = self._by_group(around, centre)
+        h, (reach, reaches) = self.hidden(around), self._reach()
+        p = self._chance(h @ self.top + self.top_bias, group, reach)
+        for g, at in runs:
+            p[at] *= self._chance(h[at] @ self.leaf[g] + self.leaf_bias[g], leaf[at], reaches[g])
+        out = np.empty_like(p)
+        out[order] = np.log(np.maximum(p, 1e-30))
+        return out
 
     def learn(self, around: np.ndarray, centre: np.ndarray, square: Window) -> None:
         """One adaptive gradient step; square holds the running sums of squared gradients in a network's shape."""
         n = len(centre)
-        h, group, leaf = self.hidden(around), centre // LEAVES, centre % LEAVES
+        _, around, group, leaf, runs = self._by_group(around, centre)
+        h, (reach, reaches) = self.hidden(around), self._reach()
 
         def step(value, seen, gradient):
             seen += gradient * gradient
             value -= RATE * gradient / (np.sqrt(seen) + 1e-6)
 
-        g = self._softmax(h @ self.top + self.top_bias)
+        g = self._softmax(h @ self.top + self.top_bias, reach)
         g[np.arange(n), group] -= 1
         g /= n
         back = g @ self.top.T
         step(self.top, square.top, h.T @ g)
         step(self.top_bias, square.top_bias, g.sum(axis=0))
-        for k, at in self._by_group(group):
-            own = h.take(at, axis=0)
-            e = self._softmax(own @ self.leaf[k] + self.leaf_bias[k])
-            e[np.arange(len(at)), leaf[at]] -= 1
+        for k, at in runs:
+            own = h[at]
+            e = self._softmax(own @ self.leaf[k] + self.leaf_bias[k], reaches[k])
+            e[np.arange(len(e)), leaf[at]] -= 1
             e /= n
             back[at] += e @ self.leaf[k].T
             step(self.leaf[k], square.leaf[k], own.T @ e)
@@ -162,7 +177,8 @@ def slot_counts(docs: DataFrame) -> np.ndarray:
         total = np.zeros(1 << BITS, np.int64)
         for b in lines(batches):
             held = [slots_of(t.as_py()) for t in b.column(0)]
-            np.add.at(total, np.concatenate(held) if held else [], 1)
+            slot, n = np.unique(np.concatenate(held), return_counts=True) if held else ([], [])
+            total[slot] += n
         at = np.flatnonzero(total)
         yield pa.record_batch([pa.array(at, pa.int32()), pa.array(total[at])], names=["slot", "n"])
 
