@@ -47,6 +47,44 @@ def matches(scored: DataFrame) -> DataFrame:
     return ranked.filter((F.col("score") >= SURE) | ((F.col("best") < SURE) & (F.col("n") == 1) & (F.col("score") >= LEAST))).select("pool", "invoice_id", "declaration_id", "ord", "score")
 
 
+#: Points of a shared folder, reference, waybill and total where one declaration is chosen for an invoice: to repair it, and to check it.
+FOR_REPAIR, FOR_RULES = (100, 60, 60, 0), (100, 80, 80, 20)
+
+
+def best_declaration(linked: DataFrame, invoices: DataFrame, declarations: DataFrame, points: tuple[int, int, int, int]) -> DataFrame:
+    """(bundle_id, invoice_id, declaration_id, score): of an invoice's declarations the one of most points, the first of equal ones, even without any.
+
+    linked: bundle_id, invoice_id, declaration_id, ord; invoices: invoice_id, folder, ref, awb, total; declarations: declaration_id, folder, refs (array), awbs (array), total.
+    """
+    i = invoices.select("invoice_id", *(F.col(c).alias(f"i_{c}") for c in ("folder", "ref", "awb", "total")))
+    d = declarations.select("declaration_id", *(F.col(c).alias(f"d_{c}") for c in ("folder", "refs", "awbs", "total")))
+    folder, ref, awb, amount = points
+    score = (
+        _points(F.coalesce((F.col("i_folder") != "") & (F.col("i_folder") == F.col("d_folder")), F.lit(False)), folder)
+        + _points(F.coalesce((F.col("i_ref") != "") & F.exists("d_refs", lambda r: refs_match(r, F.col("i_ref"))), F.lit(False)), ref)
+        + _points(F.coalesce((F.col("i_awb") != "") & F.array_contains("d_awbs", F.col("i_awb")), F.lit(False)), awb)
+        + _points(F.coalesce(close(F.col("i_total"), F.col("d_total")), F.lit(False)), amount)
+    ).cast("int")
+    scored = linked.join(i, "invoice_id").join(d, "declaration_id").withColumn("score", score)
+    best = F.min(F.struct((-F.col("score")).alias("s"), "ord", "declaration_id"))
+    return scored.groupBy("bundle_id", "invoice_id").agg(best.alias("b")).select("bundle_id", "invoice_id", "b.declaration_id", (-F.col("b.s")).alias("score"))
+
+
+def prestation_bundle_score(bundles: DataFrame, prestations: DataFrame) -> DataFrame:
+    """All pairs within a pool with their score (bundle_id, prestation_id, ord, score).
+
+    A forwarder's invoice of a dossier that none of the bundle's documents is of is ruled out. Empty keys match nothing.
+    bundles: pool, bundle_id, dossiers, mrns, awbs, sources (arrays), duties (their sum over the declarations); prestations: pool, prestation_id, ord, dossier, mrns, awbs (arrays), source, paid.
+    """
+    both = bundles.select("pool", "bundle_id", *(F.col(c).alias(f"b_{c}") for c in ("dossiers", "mrns", "awbs", "sources", "duties"))).join(prestations, "pool")
+    shared = lambda c: F.coalesce(F.arrays_overlap(F.array_remove(F.col(f"b_{c}"), ""), F.col(c)), F.lit(False))
+    holds = lambda c, x: F.coalesce((F.col(x) != "") & F.array_contains(f"b_{c}", F.col(x)), F.lit(False))
+    foreign = F.coalesce((F.col("dossier") != "") & (F.size("b_dossiers") > 0), F.lit(False)) & ~holds("dossiers", "dossier")
+    paid = F.coalesce((F.col("b_duties") != 0) & (F.abs(F.col("paid") - F.col("b_duties")) <= 1.0), F.lit(False))
+    score = _points(holds("dossiers", "dossier"), 100) + _points(shared("mrns"), 90) + _points(shared("awbs"), 60) + _points(paid, 30) + _points(holds("sources", "source"), 40)
+    return both.select("bundle_id", "prestation_id", "ord", F.when(foreign, 0).otherwise(score).cast("int").alias("score"))
+
+
 def best_prestation(scored: DataFrame) -> DataFrame:
     """The forwarder invoice of highest score for each dossier, the first of equal ones, if it reaches the least score."""
     best = F.max(F.struct("score", (-F.col("ord")).alias("o"), "prestation_id"))

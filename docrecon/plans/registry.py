@@ -135,8 +135,8 @@ def _pairs(i: DataFrame, x: DataFrame) -> DataFrame:
     return links.invoice_declaration_score(i, x)
 
 
-def _scored(spark, d: str) -> DataFrame:
-    """Every invoice with every declaration of its dossier, by folder, reference, waybill, total, VAT and leading reference; pairs that share nothing go."""
+def _sides(spark, d: str) -> tuple[DataFrame, DataFrame]:
+    """Invoices and declarations with folders, references, waybills, totals, VAT numbers and leading references."""
     i, x = derive.dossiers(derive.invoices(spark, d)), derive.dossiers(derive.declarations(spark, d))
     k, none = F.col("id"), F.array().cast("array<string>")
     folder = F.concat(F.lit("f"), k % 4)
@@ -144,7 +144,12 @@ def _scored(spark, d: str) -> DataFrame:
     i = i.select("pool", k.alias("invoice_id"), F.when(k % 6 == 0, folder).alias("folder"), C.ref_key(F.col("ref")).alias("ref"), F.when(k % 5 == 0, awb).alias("awb"), "total", "vat", none.alias("hs6"), F.when(k % 9 == 0, lead).otherwise("").alias("lead"))
     refs = F.array(F.when(k % 2 == 0, C.ref_key(F.col("ref"))).otherwise("NONE"))
     x = x.select("pool", k.alias("declaration_id"), k.alias("ord"), F.when(k % 3 == 0, folder).alias("folder"), refs.alias("refs"), F.when(k % 4 == 1, F.array(awb)).otherwise(none).alias("awbs"), "total", "currency", F.when(k % 4 == 0, 1.08).alias("fx"), "vat", none.alias("hs6"), F.when(k % 2 == 0, lead).otherwise("").alias("lead"))
-    return links.invoice_declaration_score(i, x).filter("score > 0")
+    return i, x
+
+
+def _scored(spark, d: str) -> DataFrame:
+    """Every invoice with every declaration of its dossier; pairs that share nothing go."""
+    return links.invoice_declaration_score(*_sides(spark, d)).filter("score > 0")
 
 
 def _scored_all(spark, d: str) -> DataFrame:
@@ -178,6 +183,70 @@ def orphan_declarations(spark, d: str) -> DataFrame:
     return links.orphans(derive.declarations(spark, d).select("id"), used, "id")
 
 
+def _chosen(spark, d: str, points: tuple[int, int, int, int]) -> DataFrame:
+    i, x = _sides(spark, d)
+    bundle = lambda c: F.floor(F.col(c) / 4).alias("bundle_id")
+    linked = i.select("invoice_id", bundle("invoice_id")).join(x.select("declaration_id", "ord", bundle("declaration_id")), "bundle_id")
+    return links.best_declaration(linked, i, x, points)
+
+
+def _chosen_sql(points: tuple[int, int, int, int]) -> str:
+    folder, ref, awb, total = points
+    return f"""{_SCORED}, a AS (SELECT invoice_id // 4 AS bundle_id, invoice_id, declaration_id, ord, (CASE WHEN f = g THEN {folder} ELSE 0 END + CASE WHEN contains(r, s) OR contains(s, r) THEN {ref} ELSE 0 END
+  + CASE WHEN w THEN {awb} ELSE 0 END + CASE WHEN {_close('t', 'u', 1.0, 0.01)} THEN {total} ELSE 0 END)::INT AS score FROM z WHERE invoice_id // 4 = declaration_id // 4),
+b AS (SELECT *, row_number() OVER (PARTITION BY invoice_id ORDER BY score DESC, ord) AS n FROM a) SELECT bundle_id, invoice_id, declaration_id, score FROM b WHERE n = 1"""
+
+
+@query(_chosen_sql(links.FOR_RULES))
+def best_declaration_rules(spark, d: str) -> DataFrame:
+    """The declaration that each invoice of a bundle is checked against."""
+    return _chosen(spark, d, links.FOR_RULES)
+
+
+@query(_chosen_sql(links.FOR_REPAIR))
+def best_declaration_repair(spark, d: str) -> DataFrame:
+    """The declaration that each invoice of a bundle may be repaired from."""
+    return _chosen(spark, d, links.FOR_REPAIR)
+
+
+def _paid(spark, d: str) -> tuple[DataFrame, DataFrame]:
+    """Bundles of declarations, and a forwarder's invoice an order."""
+    x, k = derive.dossiers(derive.declarations(spark, d)), F.col("id")
+    text = lambda prefix, n: F.concat(F.lit(prefix), F.floor(k / n).cast("string"))
+    some = lambda condition, value: F.collect_list(F.when(condition, value))
+    bundles = x.groupBy("pool", F.floor(k / 4).alias("bundle_id")).agg(some(k % 5 != 0, text("D", 32)).alias("dossiers"), some(k % 3 == 0, text("M", 1)).alias("mrns"), some(k % 4 == 1, text("W", 3)).alias("awbs"), some(k % 2 == 0, text("p", 16)).alias("sources"), F.sum(F.when(k % 4 == 0, F.col("duty"))).alias("duties"))
+    paid = F.when(k % 8 == 0, F.col("duty") + 0.4).when(k % 4 == 0, F.col("duty") * 1.5)
+    prestations = x.select("pool", k.alias("prestation_id"), k.alias("ord"), F.when(k % 3 == 0, text("D", 33)).alias("dossier"), F.array(F.when(k % 2 == 0, F.concat(F.lit("M"), k + 1)).otherwise("")).alias("mrns"), F.array(F.when(k % 5 == 0, text("W", 3)).otherwise("")).alias("awbs"), F.when(k % 7 == 0, text("p", 16)).alias("source"), paid.alias("paid"))
+    return bundles, prestations
+
+
+_PAID = f"""WITH x AS ({derive.DECLARATIONS}),
+b AS (SELECT id // {derive.DOSSIER} AS pool, id // 4 AS bundle_id, list('D' || id // 32) FILTER (WHERE id % 5 <> 0) AS dossiers, list('M' || id) FILTER (WHERE id % 3 = 0) AS mrns, list('W' || id // 3) FILTER (WHERE id % 4 = 1) AS awbs, list('p' || id // 16) FILTER (WHERE id % 2 = 0) AS sources, sum(duty) FILTER (WHERE id % 4 = 0) AS duties FROM x GROUP BY ALL),
+p AS (SELECT id // {derive.DOSSIER} AS pool, id AS prestation_id, CASE WHEN id % 3 = 0 THEN 'D' || id // 33 END AS dossier, CASE WHEN id % 2 = 0 THEN 'M' || (id + 1) END AS mrn, CASE WHEN id % 5 = 0 THEN 'W' || id // 3 END AS awb, CASE WHEN id % 7 = 0 THEN 'p' || id // 16 END AS source, CASE WHEN id % 8 = 0 THEN duty + 0.4::DOUBLE WHEN id % 4 = 0 THEN duty * 1.5::DOUBLE END AS paid FROM x),
+s AS (SELECT bundle_id, prestation_id, (CASE WHEN dossier IS NOT NULL AND dossiers IS NOT NULL AND NOT list_contains(dossiers, dossier) THEN 0 ELSE CASE WHEN list_contains(dossiers, dossier) THEN 100 ELSE 0 END + CASE WHEN list_contains(mrns, mrn) THEN 90 ELSE 0 END
+  + CASE WHEN list_contains(awbs, awb) THEN 60 ELSE 0 END + CASE WHEN duties <> 0 AND abs(paid - duties) <= 1.0::DOUBLE THEN 30 ELSE 0 END + CASE WHEN list_contains(sources, source) THEN 40 ELSE 0 END END)::INT AS score FROM b JOIN p USING (pool)),
+w AS (SELECT *, row_number() OVER (PARTITION BY bundle_id ORDER BY score DESC, prestation_id) AS n FROM s)"""
+
+
+@query(f"{_PAID} SELECT bundle_id, prestation_id, prestation_id AS ord, score FROM s WHERE score > 0")
+def prestation_bundle_score(spark, d: str) -> DataFrame:
+    """Forwarders' invoices and bundles of a dossier that share something."""
+    return links.prestation_bundle_score(*_paid(spark, d)).filter("score > 0")
+
+
+@query(f"{_PAID} SELECT bundle_id, prestation_id, score FROM w WHERE n = 1 AND score >= 30")
+def prestation_bundle_matches(spark, d: str) -> DataFrame:
+    """The forwarder's invoice of each bundle."""
+    return links.best_prestation(links.prestation_bundle_score(*_paid(spark, d)))
+
+
+@query(f"{_PAID} SELECT prestation_id FROM p WHERE prestation_id NOT IN (SELECT prestation_id FROM w WHERE n = 1 AND score >= 30)")
+def orphan_prestations(spark, d: str) -> DataFrame:
+    """Forwarders' invoices of no bundle."""
+    bundles, prestations = _paid(spark, d)
+    return links.orphans(prestations.select("prestation_id"), links.best_prestation(links.prestation_bundle_score(bundles, prestations)).distinct(), "prestation_id")
+
+
 # The same by reference, total and VAT alone, every pair with its score. They have no SQL; the tests hold them against brute force.
 @query()
 def invoice_decl_score_all(spark, d: str) -> DataFrame:

@@ -31,7 +31,7 @@ def path_context(path: Column, root: str) -> Column:
     """A struct (dossier, folder) from the directories below the root."""
     parts = F.split(F.regexp_replace(path, rf"^(?:file:)?{re.escape(root.rstrip('/'))}/", ""), "/")
     n = F.size(parts)
-    own = re.search(r"[A-Za-z]{2,4}\d{5,}", root.rstrip("/").rpartition("/")[2])
+    own = re.fullmatch(r"[A-Za-z]{2,4}\d{5,}", root.rstrip("/").rpartition("/")[2])
     if own:
         return F.struct(F.lit(own.string).alias("dossier"), F.when(n > 1, parts[0]).alias("folder"))
     return F.struct(F.when(n > 1, parts[0]).alias("dossier"), F.when(n > 2, parts[1]).alias("folder"))
