@@ -87,8 +87,9 @@ def prestation_bundle_score(bundles: DataFrame, prestations: DataFrame) -> DataF
 
 def best_prestation(scored: DataFrame) -> DataFrame:
     """The forwarder invoice of highest score for each dossier, the first of equal ones, if it reaches the least score."""
-    best = F.max(F.struct("score", (-F.col("ord")).alias("o"), "prestation_id"))
-    return scored.groupBy("bundle_id").agg(best.alias("b")).filter(F.col("b.score") >= PRESTATION_LEAST).select("bundle_id", "b.prestation_id", "b.score")
+    best = F.min(F.struct((-F.col("score")).alias("s"), "ord", "prestation_id"))
+    scored = scored.filter(F.col("score") >= PRESTATION_LEAST)
+    return scored.groupBy("bundle_id").agg(best.alias("b")).select("bundle_id", "b.prestation_id", (-F.col("b.s")).alias("score"))
 
 
 def orphans(rows: DataFrame, used: DataFrame, key: str) -> DataFrame:

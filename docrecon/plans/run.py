@@ -28,17 +28,46 @@ def documents(read_pages: DataFrame, root: str, profile: identity.Profile) -> Da
     return found.withColumns({"vat": F.when(F.col("doc_type").startswith("prestation"), F.col("vat")).otherwise(buyer), "dossier": place["dossier"], "folder": place["folder"], "id": F.concat_ws("#", "path", "seg_no")})
 
 
+def _forwarder(docs: DataFrame, kept: DataFrame, invoices: DataFrame) -> DataFrame:
+    """(invoice_id, prestation_id, duties_match) of the invoices that a forwarder's invoice belongs to: the duties paid against those of all their declarations."""
+    none = F.array().cast("array<string>")
+    keys = lambda a, b: F.array_remove(F.array_distinct(F.transform(F.array_append(F.coalesce(a, none), F.coalesce(b, F.lit(""))), C.ref_key)), "")
+    mrns = F.array_remove(F.transform(F.array_append(F.coalesce("mrns", none), F.coalesce("mrn", F.lit(""))), C.mrn_key), "")
+    parts = F.coalesce("dd", F.lit(0.0)) + F.coalesce("at", F.lit(0.0)) + F.coalesce("tva", F.lit(0.0))
+    d = docs.filter(F.col("doc_type").startswith("declaration")).select(F.col("id").alias("declaration_id"), F.col("path").alias("d_path"), mrns.alias("mrns"), keys(F.col("awbs"), F.col("awb")).alias("awbs"), parts.alias("parts"), rules.declared_duties(F.col("dd"), F.col("at"), F.col("tva"), F.col("tg")).alias("declared"))
+    every = lambda c: F.array_distinct(F.flatten(F.collect_list(c)))
+    sums = kept.join(d, "declaration_id").groupBy("pool", F.col("invoice_id").alias("bundle_id")).agg(every("mrns").alias("mrns"), every("awbs").alias("d_awbs"), F.collect_set("d_path").alias("paths"), F.sum("parts").alias("duties"), F.sum("declared").alias("declared"))
+    own = invoices.select(F.col("invoice_id").alias("bundle_id"), F.col("path").alias("i_path"), F.col("dossier").alias("own_dossier"), F.array_compact(F.array(C.ref_key(F.col("awb")))).alias("i_awbs"))
+    bundles = sums.join(own, "bundle_id").select("pool", "bundle_id", F.array_compact(F.array("own_dossier")).alias("dossiers"), "mrns", F.array_union("d_awbs", "i_awbs").alias("awbs"), F.array_append("paths", F.col("i_path")).alias("sources"), "duties", "declared")
+    paid = F.coalesce("disbursement", F.when(F.coalesce("dd", "at", "tva").isNotNull(), F.round(parts, 2)))
+    p = docs.filter(F.col("doc_type").startswith("prestation")).select(F.coalesce("dossier", F.lit("")).alias("pool"), F.col("id").alias("prestation_id"), F.col("id").alias("ord"), "dossier", mrns.alias("mrns"), keys(F.col("awbs"), F.col("awb")).alias("awbs"), F.col("path").alias("source"), F.col("disbursement").alias("paid"), paid.alias("due"))
+    best = links.best_prestation(links.prestation_bundle_score(bundles, p.drop("due")))
+    both = best.join(p.select("prestation_id", "due"), "prestation_id").join(bundles.select("bundle_id", "declared"), "bundle_id")
+    return both.select(F.col("bundle_id").alias("invoice_id"), "prestation_id", rules.duties(F.col("declared"), F.col("due")).alias("duties_match"))
+
+
 def reconcile(docs: DataFrame, rates: dict[str, float]) -> DataFrame:
-    """One row an invoice with its matched declaration, if any (of several the best), the checks and the status."""
+    """One row an invoice with its matched declarations, the one it is checked against, its forwarder's invoice, the checks and the
+    status; then one row for each declaration and forwarder's invoice that no invoice takes, which lack documents."""
     pool = F.coalesce("dossier", F.lit("")).alias("pool")
     lead = C.leading_ref(F.col("path")).alias("lead")
     codes = _heads(F.coalesce("hs_codes", F.array("hs_code"))).alias("hs6")
-    i = docs.filter(F.col("doc_type").startswith("invoice")).select(pool, F.col("id").alias("invoice_id"), "folder", C.ref_key(F.col("number")).alias("ref"), "awb", "total", "vat", codes, lead, "currency", F.coalesce("estimated", F.lit(False)).alias("estimated"))
+    i = docs.filter(F.col("doc_type").startswith("invoice")).select(pool, F.col("id").alias("invoice_id"), "path", "dossier", "folder", C.ref_key(F.col("number")).alias("ref"), "awb", "total", "vat", codes, lead, "currency", F.coalesce("estimated", F.lit(False)).alias("estimated"))
     d = docs.filter(F.col("doc_type").startswith("declaration")).select(pool, F.col("id").alias("declaration_id"), F.col("id").alias("ord"), "folder", F.transform("refs", C.ref_key).alias("refs"), F.coalesce("awbs", F.array().cast("array<string>")).alias("awbs"), "total", "currency", F.col("fx_rate").alias("fx"), "vat", codes, lead)
-    kept = links.matches(links.invoice_declaration_score(i.drop("currency", "estimated"), d)).groupBy("invoice_id").agg(F.min_by("declaration_id", F.struct((-F.col("score")).alias("s"), "ord")).alias("declaration_id"), F.count(F.lit(1)).alias("n_declarations"))
-    d = d.select("declaration_id", F.col("total").alias("d_total"), F.col("currency").alias("d_currency"), F.col("hs6").alias("d_hs6"))
+    kept = links.matches(links.invoice_declaration_score(i.drop("path", "dossier", "currency", "estimated"), d))
+    linked = kept.select(F.col("pool").alias("bundle_id"), "invoice_id", "declaration_id", "ord")
+    chosen = links.best_declaration(linked, i, d, links.FOR_RULES).select("invoice_id", "declaration_id")
+    chosen = chosen.join(kept.groupBy("invoice_id").agg(F.count(F.lit(1)).alias("n_declarations")), "invoice_id")
+    forwarder = _forwarder(docs, kept, i)
+    x = d.select("declaration_id", F.col("total").alias("d_total"), F.col("currency").alias("d_currency"), F.col("hs6").alias("d_hs6"))
     rate = F.coalesce(*(F.when(F.col("currency") == c, F.lit(float(r))) for c, r in rates.items()), F.lit(None).cast("double"))
     currency, value = rules.value_currency(F.col("total"), F.col("currency"), F.col("d_total"), F.col("d_currency"), rate, F.col("estimated"))
-    checks = F.array(rules.check("currency_match", currency), rules.check("amount_match", value), rules.check("hs_subset", rules.tariff(F.col("hs6"), F.col("d_hs6"))))
-    out = i.join(kept, "invoice_id", "left").join(d, "declaration_id", "left").withColumn("checks", F.when(F.col("declaration_id").isNotNull(), checks).otherwise(F.slice(checks, 1, 0)))
-    return out.withColumn("status", rules.status(F.lit(True), F.col("declaration_id").isNotNull(), F.col("checks"))).select("pool", "invoice_id", "declaration_id", "n_declarations", "total", "currency", "d_total", "d_currency", "checks", "status")
+    checks = F.array(rules.check("currency_match", currency), rules.check("amount_match", value), rules.check("hs_subset", rules.tariff(F.col("hs6"), F.col("d_hs6"))), rules.check("duties_match", F.col("duties_match")))
+    given = F.filter(checks, lambda c: c["status"].isNotNull())
+    out = i.join(chosen, "invoice_id", "left").join(x, "declaration_id", "left").join(forwarder, "invoice_id", "left").withColumn("checks", F.when(F.col("declaration_id").isNotNull(), given).otherwise(F.slice(checks, 1, 0)))
+    out = out.withColumn("status", rules.status(F.lit(True), F.col("declaration_id").isNotNull(), F.col("checks"))).select("pool", "invoice_id", "declaration_id", "n_declarations", "prestation_id", "total", "currency", "d_total", "d_currency", "checks", "status")
+    alone = [("declaration", "declaration_id", kept), ("prestation", "prestation_id", forwarder)]
+    for kind, key, used in alone:
+        rows = docs.filter(F.col("doc_type").startswith(kind)).select(pool, F.col("id").alias(key))
+        out = out.unionByName(links.orphans(rows, used.distinct(), key).withColumn("status", F.lit("MANQUE_DOC")), allowMissingColumns=True)
+    return out

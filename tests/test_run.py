@@ -5,7 +5,8 @@ import json
 from pyspark.sql import functions as F
 
 from docrecon import __main__ as cli
-from docrecon.operators import extract, identity, repair
+from docrecon.operators import extract, identity, links, repair
+from docrecon.plans import run
 from docrecon.sinks import report
 from docrecon.sources.files import sheets
 
@@ -71,3 +72,32 @@ def test_workbook_names_and_run(spark, tmp_path, capsys):
     assert got == {"D1": "OK", "D2": "MANQUE_DOC"}
     assert len(list(sheets(open(book, "rb").read()))) == 4
     assert cli.main([str(root), "--out", out, "--exit-zero"]) == 0
+
+
+def test_choice_and_forwarder_scores(spark):
+    """Ties go to the first, a choice is made even without points, empty keys match nothing, a foreign dossier rules out."""
+    linked = spark.createDataFrame([("b", i, d, d) for i in "xyz" for d in (1, 2)], "bundle_id string, invoice_id string, declaration_id int, ord int")
+    i = spark.createDataFrame([("x", None, "INV1", "W1", 10.0), ("y", "", "", "", None), ("z", "f", "Q", None, 50.0)], "invoice_id string, folder string, ref string, awb string, total double")
+    d = spark.createDataFrame([(1, "", ["INV1"], [""], 50.0), (2, "f", ["B"], ["W1"], 10.0)], "declaration_id int, folder string, refs array<string>, awbs array<string>, total double")
+    pick = lambda points: {r["invoice_id"]: (r["declaration_id"], r["score"]) for r in links.best_declaration(linked, i, d, points).collect()}
+    assert pick(links.FOR_RULES) == {"x": (2, 100), "y": (1, 0), "z": (2, 100)}
+    assert pick(links.FOR_REPAIR) == {"x": (1, 60), "y": (1, 0), "z": (2, 100)}
+    b = spark.createDataFrame([("p", 1, ["D"], ["M"], ["", "W"], ["s"], 9.0), ("p", 2, [], [], [""], [], 0.0)], "pool string, bundle_id int, dossiers array<string>, mrns array<string>, awbs array<string>, sources array<string>, duties double")
+    p = spark.createDataFrame([("p", 1, 1, "D", ["M"], ["W"], "s", 10.0), ("p", 2, 2, "E", ["M"], ["W"], "s", 9.0), ("p", 3, 3, None, [""], [""], None, 0.0)], "pool string, prestation_id int, ord int, dossier string, mrns array<string>, awbs array<string>, source string, paid double")
+    got = {(r["bundle_id"], r["prestation_id"]): r["score"] for r in links.prestation_bundle_score(b, p).collect()}
+    assert got == {(1, 1): 320, (1, 2): 0, (1, 3): 0, (2, 1): 0, (2, 2): 0, (2, 3): 0}
+
+
+def test_reconcile_with_forwarder(spark, tmp_path):
+    """Duties paid against declared, two declarations an invoice, and documents that nothing takes."""
+    cut = spark.createDataFrame([(f"/in/{p}", 1, t, x) for p, t, x in [
+        ("D1/decl.xlsx", "declaration_h7", H7), ("D1/inv.xlsx", "invoice_generic", "Invoice No: INV-77\nHS code 4202220000\nEUR 1234.50"), ("D1/dhl.xlsx", "prestation_dhl", DHL), ("D3/decl.xlsx", "declaration_h7", H7), ("D4/dhl.xlsx", "prestation_dhl", DHL),
+    ]], "path string, seg_no int, doc_type string, text string")
+    docs = extract.documents(cut).withColumns({"id": F.concat_ws("#", "path", "seg_no"), "dossier": F.split("path", "/")[2], "folder": F.lit(None).cast("string")})
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs = spark.read.parquet(str(tmp_path / "docs"))
+    rows = {(r["pool"], r["invoice_id"] is None): r for r in run.reconcile(docs, {}).collect()}
+    assert {k: r["status"] for k, r in rows.items()} == {("D1", False): "KO_BLOQUANT", ("D3", True): "MANQUE_DOC", ("D4", True): "MANQUE_DOC"}
+    one = rows["D1", False]
+    assert (one["declaration_id"], one["prestation_id"], one["n_declarations"]) == ("/in/D1/decl.xlsx#1", "/in/D1/dhl.xlsx#1", 1)
+    assert {c["code"]: c["status"] for c in one["checks"]}["duties_match"] == "NOK"
