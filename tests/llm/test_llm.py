@@ -575,3 +575,33 @@ def test_mixture_bound_holds():
     _, likelihood, gap = language._mixture(np.zeros(40, int), np.array([0]), c, p, np.ones((1, 3)))
     shares = rng.dirichlet(np.ones(3), 20_000)
     assert (c * np.log(shares @ p.T)).sum(axis=1).max() <= likelihood[0] + gap[0] + 1e-9
+
+
+@pytest.mark.parametrize("kind", ["random", "path", "hub", "loops", "none"])
+def test_components(spark, kind):
+    """Against a union-find: scattered edges, a long path, a node of very many neighbours, only loops, no edges."""
+    from docrecon.llm.graph import components
+
+    rng = np.random.default_rng(5)
+    order = rng.permutation(60).tolist()
+    edges = {
+        "random": rng.integers(0, 300, (180, 2)).tolist(),
+        "path": list(zip(order, order[1:], strict=False)),
+        "hub": [(700, i) for i in range(500)] + [(i, i + 1000) for i in range(0, 500, 7)],
+        "loops": [(3, 3), (4, 4)],
+        "none": [],
+    }[kind]
+    parent: dict = {}
+
+    def top(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for u, v in edges:
+        if u != v:
+            a, b = top(u), top(v)
+            parent[max(a, b)] = min(a, b)
+    got = components(spark.createDataFrame([(int(u), int(v)) for u, v in edges], "u long, v long")).collect()
+    assert sorted((r.node, r.component) for r in got) == sorted((x, top(x)) for x in parent)
