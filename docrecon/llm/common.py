@@ -47,16 +47,22 @@ def _settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.set(k, v)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A path of its own in the shared folder; what is written there goes as scratch tables do."""
+    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    _made[path] = (place.getFileSystem(context._jsc.hadoopConfiguration()), place)
+    return path
+
+
 def materialise(df: DataFrame, name: str, *done: DataFrame) -> DataFrame:
     """Write a frame as Parquet into the shared folder and read it back: the lineage is cut there, so a lost executor costs no recomputation.
 
     The shuffle files that writing took go at once, and so do the scratch tables of done, which nothing reads any more.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    context = spark.sparkContext
-    place = context._jvm.org.apache.hadoop.fs.Path(path)
-    _made[path] = (place.getFileSystem(context._jsc.hadoopConfiguration()), place)
+    path = scratch_path(spark, name)
     with _settings(spark, _WHILE_WRITING):
         df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
