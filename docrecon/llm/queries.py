@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL."""
 
-from . import html, language, minhash, mixing, packing, quality, resampling, scoring, suffix, tokenfile, urls, vectors
+from . import alignment, html, language, minhash, mixing, packing, quality, resampling, scoring, suffix, tokenfile, urls, vectors
 
 QUERIES = {
     "op1_minhash": minhash.op1_minhash,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_suffix_dedup": suffix.op8_suffix_dedup,
     "op9_mixing": mixing.op9_mixing,
     "op10_language": language.op10_language,
+    "op11_alignment": alignment.op11_alignment,
     "op12_resampling": resampling.op12_resampling,
     "op13_token_ids": tokenfile.op13_token_ids,
 }

@@ -88,6 +88,8 @@ class Runs:
 class Remembered:
     """Slots of units. New units are handed to learn() all at once."""
 
+    most_units, most_chars = REMEMBERED_UNITS, REMEMBERED_CHARS
+
     def __init__(self):
         self.forget()
 
@@ -111,7 +113,7 @@ class Remembered:
 
     def trim(self) -> None:
         """To be called between slices: forgets all once the bounds are passed."""
-        if self.chars > REMEMBERED_CHARS or len(self.known) > REMEMBERED_UNITS:
+        if self.chars > self.most_chars or len(self.known) > self.most_units:
             self.forget()
 
 
