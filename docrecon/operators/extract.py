@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import amount, iso_date, let
-from . import tariff, totals
+from . import duties, tariff, totals
 
 # Currencies; the order decides for an invoice without a known layout.
 CURRENCIES = "EUR USD GBP CHF CAD JPY CNY HKD KRW SGD MXN BRL INR AED SAR AUD NZD NOK SEK DKK TWD THB MYR".split()
@@ -151,10 +151,12 @@ def declaration(text: Column, doc_type: Column) -> tuple[dict[str, Column], dict
         out[name] = number(found) if shape == "amount" else found
     out["lines"] = _articles(text, doc_type)
     out["printed"] = F.coalesce(*(money_after(text, x) for x in TOTAL_LABELS), *(money_after(text, x, "line") for x in TOTAL_LABELS), money_anywhere(text))
+    out["liquidation"] = duties.article_duties(text)
+    out["table"] = duties.total_duties(text)
     for name, labels in DUTY_LABELS.items():
         coded = total_of(F.flatten(F.array(*(every(text, finder(c, "amount")) for c in TAX_CODES[name]))))
-        # a DAU counts a missing duty as none
-        out[name] = F.coalesce(number(any_of(text, "amount", labels)), coded, F.when(doc_type == "declaration_dau", 0.0))
+        out[name] = number(any_of(text, "amount", labels))
+        out[f"{name}_coded"] = coded
     out["mrn"] = first(text, rf"\b({SHAPES['mrn']})")
     out["refs"] = all_of(text, "reference", INVOICE_CODES)
     out["mrns"] = all_of(text, "reference", PREVIOUS_CODES)
@@ -164,7 +166,13 @@ def declaration(text: Column, doc_type: Column) -> tuple[dict[str, Column], dict
     amounts = _summed(lines, lambda x: x["money"]["total"], 2)
     own = F.get(F.filter(F.transform(lines, lambda x: x["money"]["currency"]), lambda c: c.isNotNull()), F.lit(0))
     codes = F.array_distinct(F.array_compact(F.transform(lines, lambda x: x["hs_code"])))
-    then = {"total": F.coalesce(amounts, printed["total"]), "currency": F.when(amounts.isNotNull(), own).otherwise(printed["currency"]), "hs_codes": codes, "hs_code": F.get(codes, F.lit(0)), "awb": F.get("awbs", F.lit(0))}
+    then = {}
+    for name in DUTY_LABELS:
+        # printed after a label, else in a format's tables, else beside a code; a DAU counts a missing duty as none
+        table = F.when(doc_type == "declaration_delta_ie_dhl", F.col(f"liquidation.{name}")).when(doc_type == "declaration_delta_ie_akanea", F.col(f"table.{name}"))
+        then[name] = F.coalesce(name, table, F.col(f"{name}_coded"), F.when(doc_type == "declaration_dau", 0.0))
+    then["tg"] = F.coalesce("tg", F.when(doc_type == "declaration_delta_ie_akanea", F.col("table.tg")))
+    then |= {"total": F.coalesce(amounts, printed["total"]), "currency": F.when(amounts.isNotNull(), own).otherwise(printed["currency"]), "hs_codes": codes, "hs_code": F.get(codes, F.lit(0)), "awb": F.get("awbs", F.lit(0))}
     for name in ("net_weight_kg", "gross_weight_kg"):
         then[name] = F.coalesce(F.when(doc_type.isin(*WITH_ARTICLES), _summed(lines, lambda x, name=name: x[name], 3)), F.col(name))
     return out, then
@@ -259,7 +267,7 @@ READERS = {
     invoice: ["invoice_entity", "invoice_entity_proforma", "invoice_entity_delivery_note", "invoice_dhl_hawb", "invoice_generic", "invoice_launchmetrics", "invoice_parfumerie_versailles"],
     prestation: ["prestation_dhl", "prestation_schenker", "prestation_dsv", "prestation_worldnet"],
 }
-_BETWEEN = ("printed", "choice", "plain", "found", "bare", "ten")
+_BETWEEN = ("printed", "liquidation", "table", "dd_coded", "at_coded", "tva_coded", "choice", "plain", "found", "bare", "ten")
 
 
 def parse(segments: DataFrame, reader) -> DataFrame:

@@ -5,26 +5,128 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions import spans
 from ..functions.columns import let, tariff_code
 
-# Printed labels of a code, countries beside which one stands, marks of tax and telephone numbers.
-LABELS = ["HS CODE", "H.S. CODE", "HS-CODE", "TARIFF CODE", "TARIF CODE", "CUSTOMS CODE", "CUSTOM CODE", "COMMODITY CODE", "MATRICULE", "IB", "1B"]
+# Printed labels of a code with the shape that its value has, countries beside which one stands, marks of tax and telephone numbers.
+LABELS = [
+    (["CITES CUSTOMS"], "number within 140"),
+    (["CUSTOMS NUMBER CODE"], "number within 180"),
+    (["TARIFF CODE", "TARIF CODE"], "spaced"),
+    (["CUSTOMS CODE", "CUSTOM CODE"], "printed"),
+    (["COMMODITY CODE"], "printed"),
+    (["HS CODE", "H.S. CODE", "HS-CODE"], "printed"),
+    (["1B", "IB"], "plain"),
+    (["MATRICULE"], "long"),
+]
 COUNTRIES = ["UNITED KINGDOM", "FRANCE", "ITALY", "SPAIN", "SWITZERLAND", "JAPAN", "CHINA", "HONG KONG", "KOREA", "MEXICO", "PORTUGAL", "GERMANY", "GB", "FR", "IT", "ES", "CH", "JP", "CN", "HK", "KR", "MX", "PT", "DE", "ITA", "FRA", "ESP", "CHE", "USA", "THA", "AUS", "CAN", "NOR"]
 TAX_MARKS, PHONE_MARKS = ["CHE", "TVA", "VAT", "EORI", "SIRET", "SIREN"], ["TEL", "PHONE", "PH", "FAX", "+"]
 TAX_REACH, PHONE_REACH = 8, 90
 #: The heading of a table of values and the characters of it that are searched; more distinct codes than TABLE_MOST are taken for something else.
-TABLE_HEADS, TABLE_REACH, TABLE_MOST = ["UNIT VALUE", "TOTAL VALUE"], 700, 2
+TABLE_HEADS, TABLE_REACH, TABLE_MOST = ["UNIT VALUE", "TOTAL VALUE", "UNIT VALVE", "TOTAL VALSE"], 700, 2
+TABLE_CURRENCIES = ["CHF", "CHE", "EUR", "USD", "GBP", "AED", "HKD", "SGD", "NOK", "CAD"]
+#: A code whose last digits stand further on in its block, one of an article of these countries; and the words that end a block.
+SPLIT_HEAD, SPLIT_REACH = r"(?iU)\b[1I]B[:\s]*\d{4}[.,]?", 360
+SPLIT_COUNTRIES = ["ITALY", "FRANCE", "SWITZERLAND", "HONG KONG", "CHINA", "JAPAN", "UNITED KINGDOM", "GB", "FR", "IT", "CH", "HK", "CN", "JP"]
+SPLIT_ENDS = ["TOTAL GOODS VALUE", "TOTAL INVOICE AMOUNT", "CURRENCY CODE"]
+#: The grid under a heading, up to the words that end it.
+GRID_HEADS, GRID_ENDS, GRID_REACH = ["CUSTOMS CODE", "CUSTOM CODE"], ["TOTAL GOODS VALUE", "TOTAL INVOICE AMOUNT", "NUMBER OF PARCEL"], 1600
 JEWELLERY, JEWELLERY_WORDS = "7117190090", ["COSTUME JEWELRY", "COSTUME JEWELLERY", "EARRING", "EARRINGS", "BROOCH", "NECKLACE", "BIJOUTERIE FANTAISIE"]
 
-_PRINTED = r"\d[\d .,]{4,15}\d"
+_GAP = r"\s*:?\s*"
+#: What stands between a label and its value, and the value.
+_SHAPES = {"spaced": (_GAP, r"\d[\d ]{5,11}"), "printed": (_GAP, r"\d[\d .,]{5,15}"), "long": (_GAP, r"\d[\d .,]{9,16}"), "plain": ("[: ]+", r"\d{6,10}\b")}
 
 
 def _words(words: list[str]) -> str:
     return "(?:" + "|".join(w.replace(".", r"\.?").replace("+", r"\+").replace("-", r"\W?").replace(" ", r"\s+") for w in words) + ")"
 
 
-def _all(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"(?iU){pattern}"), F.lit(1))
+def _labelled(text: Column) -> Column:
+    """Values after the labels, in the order of the table."""
+    found = []
+    for labels, shape in LABELS:
+        gap, value = _SHAPES[shape] if shape in _SHAPES else (rf"[\s\S]{{0,{shape.rpartition(' ')[2]}}}?\bNO\s+", r"\d{8,10}\b")
+        found.append(F.regexp_extract_all(text, F.lit(rf"(?iU)\b{_words(labels)}{gap}({value})"), F.lit(1)))
+    return F.concat(*found)
+
+
+def _split_lines(text: Column) -> Column:
+    """Codes whose first four digits are labelled and whose others are the last pair of groups in the block that follows, as a point or comma joins them."""
+    country = rf"(?iU)\b{_words(SPLIT_COUNTRIES)}\b"
+
+    def code(b: Column) -> Column:
+        def pair(t: Column) -> Column:
+            def is_pair(i: Column) -> Column:
+                free = spans.stands_free(t, i, i + 1) & ~F.coalesce(F.get(t, i)["before"].rlike(r"\A[.,]\z") & (i > 0), F.lit(False))
+                return spans.digits_at(t, i, 2, 2) & spans.digits_at(t, i + 1, 2, 3) & spans.gap_is(t, i, "[.,]") & free
+
+            places = F.filter(F.transform(t, lambda _, i: i), is_pair)
+            return F.try_element_at(F.transform(places, lambda i: spans.joined(t, i, F.lit(2))), F.lit(-1))
+
+        rest = F.when(b["block"].rlike(country), let(spans.numbers(b["block"]), pair))
+        return F.concat(F.regexp_extract(b["match"], r"(\d{4})", 1), rest)
+
+    return F.array_compact(F.transform(spans.blocks(text, SPLIT_HEAD, SPLIT_REACH, f"(?iU){_words(SPLIT_ENDS)}"), code))
+
+
+def _grid(text: Column) -> Column:
+    """Codes in the grid under a heading: 6 to 11 digits, with or without a space after the fourth and the sixth."""
+    ends = rf"(?iU)(?:\n\s*TOTAL\s*\n\s*TOTA|{_words(GRID_ENDS)})"
+
+    def used(t: Column, i: Column) -> Column:
+        near = lambda k: spans.gap_is(t, i + k, " ")
+        tail = lambda k: near(k - 1) & spans.digits_at(t, i + k, 1, 5)
+        four = spans.digits_at(t, i, 4, 4) & near(0)
+        n = (
+            F.when(four & spans.digits_at(t, i + 1, 2, 2), F.when(tail(2) & spans.stands_free(t, i, i + 2), 3).otherwise(2))
+            .when(four & spans.digits_at(t, i + 1, 3, 7), 2)
+            .when(spans.digits_at(t, i, 6, 6), F.when(tail(1) & spans.stands_free(t, i, i + 1), 2).otherwise(1))
+            .when(spans.digits_at(t, i, 7, 11), 1)
+            .otherwise(0)
+        )
+        return let(n, lambda k: F.when((k > 0) & spans.stands_free(t, i, i + k - 1), k).otherwise(0))
+
+    block = spans.enclosed(text, rf"(?iU)\b{_words(GRID_HEADS)}\b", ends, GRID_REACH)
+    return F.coalesce(let(spans.numbers(block), lambda t: spans.walk(t, used)), F.array().cast("array<string>"))
+
+
+def _value_table(text: Column) -> Column:
+    """Groups of 8 to 10 digits soon after the heading of a table of values that names a currency."""
+    heads = F.regexp_extract_all(text, F.lit(rf"(?iU)\b{_words(TABLE_HEADS)}\b[\s\S]{{0,{TABLE_REACH}}}"), F.lit(0))
+    priced = F.filter(heads, lambda b: b.rlike(rf"(?iU)\b{_words(TABLE_CURRENCIES)}\b"))
+    return F.flatten(F.transform(priced, lambda b: let(spans.numbers(b), lambda t: _free(t, F.filter(F.transform(t, lambda _, i: i), lambda i: spans.digits_at(t, i, 8, 10))))))
+
+
+def _free(tokens: Column, places: Column) -> Column:
+    return F.transform(F.filter(places, lambda i: spans.stands_free(tokens, i, i)), lambda i: F.get(tokens, i)["match"])
+
+
+def _beside_countries(tokens: Column) -> Column:
+    """Groups of 6 to 11 digits after a country, then those before one."""
+    country = _words(COUNTRIES)
+    long = F.filter(F.transform(tokens, lambda _, i: i), lambda i: spans.digits_at(tokens, i, 6, 11))
+    after = F.filter(long, lambda i: F.get(tokens, i)["before"].rlike(rf"(?iU)(?:{country})\s+\|?\s*\z"))
+    before = F.filter(long, lambda i: F.get(tokens, i)["after"].rlike(rf"(?iU)\A\s+{country}\b"))
+    return F.concat(_free(tokens, after), _free(tokens, before))
+
+
+def _grouped(tokens: Column) -> Column:
+    """Codes printed in groups: four digits, two, then four or two and perhaps two more, one sign between each."""
+
+    def used(t: Column, i: Column) -> Column:
+        sign = lambda k: spans.gap_is(t, i + k, r"[.,\s\-]")
+        start = spans.digits_at(t, i, 4, 4) & sign(0) & spans.digits_at(t, i + 1, 2, 2) & sign(1)
+        free = lambda k: spans.stands_free(t, i, i + k)
+        two = spans.digits_at(t, i + 2, 2, 2)
+        return (
+            F.when(start & spans.digits_at(t, i + 2, 4, 4) & free(2), 3)
+            .when(start & two & sign(2) & spans.digits_at(t, i + 3, 2, 2) & free(3), 4)
+            .when(start & two & free(2), 3)
+            .otherwise(0)
+        )
+
+    return spans.walk(tokens, used)
 
 
 def look_alike(code: Column, text: Column, known_ids: list[str] = (), prefixes: list[str] = ()) -> Column:
@@ -45,25 +147,23 @@ def look_alike(code: Column, text: Column, known_ids: list[str] = (), prefixes:
 
 
 def codes(text: Column, awb: Column | None = None, scope: list[str] | None = None, known_ids: list[str] = (), prefixes: list[str] = ()) -> Column:
-    """The distinct codes in the order of these steps: after a label; beside a country; with points, commas or dashes between their
-    groups; in a table of values, only if nothing was found and it has TABLE_MOST at most; the code of costume jewellery by its
-    words, only if there is none yet. Look-alikes and the waybill's number go; with a scope, so does a code whose first six digits are outside it."""
-    country = _words(COUNTRIES)
-    labelled = _all(text, rf"\b{_words(LABELS)}\s*:?\s*({_PRINTED})")
-    beside = F.concat(_all(text, rf"\b{country}\s+\|?\s*(\d{{6,11}})\b"), _all(text, rf"\b(\d{{6,11}})\s+{country}\b"))
-    grouped = _all(text, r"\b(\d{4}[.,\s\-]\d{2}[.,\s\-]\d{2}(?:[.,\s\-]?\d{2})?)\b")
-    blocks = _all(text, rf"\b{_words(TABLE_HEADS)}(?=([\s\S]{{0,{TABLE_REACH}}}))")
-    table = F.flatten(F.transform(F.filter(blocks, lambda b: F.upper(b).rlike(r"\b(?:CHF|CHE|EUR|USD|GBP|AED|HKD|SGD|NOK|CAD)\b")), lambda b: _all(b, r"\b(\d{8,10})\b")))
+    """The distinct codes in the order of these steps: split over lines; after a label; in a grid; in a table of values, only if
+    nothing was found so far and it has TABLE_MOST at most; beside a country; in groups; the code of costume jewellery by its
+    words, only if there is none yet. Look-alikes and the waybill's number go, but for split ones; with a scope, so does a code whose first six digits are outside it."""
+
+    def within(found: Column) -> Column:
+        good = F.filter(F.transform(found, tariff_code), lambda c: c.isNotNull())
+        return good if scope is None else F.filter(good, lambda c: F.substring(c, 1, 6).isin(scope))
 
     def clean(found: Column) -> Column:
-        good = F.filter(F.transform(found, tariff_code), lambda c: c.isNotNull() & ~look_alike(c, text, known_ids, prefixes))
-        if awb is not None:
-            good = F.filter(good, lambda c: ~F.coalesce(c == awb, F.lit(False)))
-        if scope is not None:
-            good = F.filter(good, lambda c: F.substring(c, 1, 6).isin(scope))
-        return F.array_distinct(good)
+        good = F.filter(within(found), lambda c: ~look_alike(c, text, known_ids, prefixes))
+        return good if awb is None else F.filter(good, lambda c: ~F.coalesce(c == awb, F.lit(False)))
 
     none = F.array().cast("array<string>")
-    found = let(F.struct(clean(F.concat(labelled, beside, grouped)).alias("sure"), clean(table).alias("spare")), lambda f: F.when(F.size(f["sure"]) > 0, f["sure"]).when(F.size(f["spare"]) <= TABLE_MOST, f["spare"]).otherwise(none))
+    first = F.concat(within(_split_lines(text)), clean(F.concat(_labelled(text), _grid(text))))
+    spare = F.array_distinct(clean(_value_table(text)))
+    early = let(F.struct(first.alias("first"), spare.alias("spare")), lambda f: F.when((F.size(f["first"]) == 0) & (F.size(f["spare"]) <= TABLE_MOST), f["spare"]).otherwise(f["first"]))
+    late = let(spans.numbers(text), lambda t: clean(F.concat(_beside_countries(t), _grouped(t))))
     jewellery = F.array(F.lit(JEWELLERY)) if scope is None or JEWELLERY[:6] in scope else none
+    found = F.array_distinct(F.concat(early, late))
     return let(found, lambda f: F.when((F.size(f) == 0) & F.upper(text).rlike(rf"\b{_words(JEWELLERY_WORDS)}\b"), jewellery).otherwise(f))

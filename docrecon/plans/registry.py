@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import evidence, links, pages, rules, tariff, totals
+from ..operators import duties, evidence, links, pages, rules, tariff, totals
 from . import derive
 
 QUERIES: dict[str, Callable] = {}
@@ -419,6 +419,77 @@ def extract_hs(spark, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/part.parquet").select(k.alias("id"), F.array_join(tariff.codes(text.otherwise(texts[-1]), scope=scope), ",").alias("codes"))
 
 
+@query(f"""WITH p AS (SELECT p_partkey AS id, (420200 + p_partkey % 100)::VARCHAR AS h, (640300 + p_partkey % 90)::VARCHAR AS g, lpad((p_partkey * 13 % 10000)::VARCHAR, 4, '0') AS r FROM part),
+c AS (SELECT id, CASE id % 9 WHEN 0 THEN [h || substr(r, 1, 2)] WHEN 1 THEN [h || r] WHEN 2 THEN [h || substr(r, 1, 2), g || r] WHEN 3 THEN [h || r, g || r] WHEN 4 THEN [g || r, h || r] WHEN 5 THEN [h || r, g || substr(r, 1, 2)] WHEN 6 THEN [] WHEN 7 THEN ['7117190090'] ELSE [h || r, g || substr(r, 1, 2)] END AS found FROM p),
+s AS (SELECT id, list_filter(found, lambda c: substr(c, 1, 4) = '7117' OR substr(c, 6, 1)::INT % 2 = 0) AS found FROM c)
+SELECT id, array_to_string(found, ',') AS codes FROM s""")
+def hs_steps(spark, d: str) -> DataFrame:
+    """Tariff codes of a text a part that only one step or two in turn find: split over lines, a label far ahead, a grid, a table of
+    values before a country, countries on either side, groups, nothing but a telephone number, words, several labels in the table's order."""
+    k = F.col("p_partkey")
+    h, g, r = (420200 + k % 100).cast("string"), (640300 + k % 90).cast("string"), F.lpad((k * 13 % 10000).cast("string"), 4, "0")
+    part = lambda c, i, n: F.substring(c, i, n)
+    say = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v for v in x))
+    texts = [
+        say("1B:", part(h, 1, 4), ". 1.000 kg bag FRANCE ", part(h, 5, 2), ".", part(r, 1, 2), " IB:6403. shoe of no country 11.22"),
+        say("CITES Customs paper of the bag\nNo ", h, r),
+        say("Customs Code\n", part(h, 1, 4), " ", part(h, 5, 2), " ", part(r, 1, 2), " bag\n", g, r, "\nNumber of parcels 3"),
+        say("Unit value EUR\n2 ", h, r, "\nFrance ", g, r),
+        say(h, r, " Italy | Italy | ", g, r),
+        say("bag ", part(h, 1, 4), ".", part(h, 5, 2), ".", r, ", shoe ", part(g, 1, 4), "-", part(g, 5, 2), "-", part(r, 1, 2)),
+        say("Tel. ", h, r),
+        F.lit("one brooch"),
+        say("HS-Code: ", g, part(r, 1, 2), "\nTarif Code ", h, r),
+    ]
+    text = F
+    for i, t in enumerate(texts[:-1]):
+        text = text.when(k % len(texts) == i, t)
+    scope = [str(x + i) for x in (420200, 640300) for i in range(0, 100, 2)] + ["711719"]
+    return spark.read.parquet(f"{d}/part.parquet").select(k.alias("id"), F.array_join(tariff.codes(text.otherwise(texts[-1]), scope=scope), ",").alias("codes"))
+
+
+_LIQUIDATED = "(l_partkey * 7 % 90000 + 1)"
+
+
+@query(f"""WITH l AS (SELECT l_orderkey, l_linenumber % 4 AS k, {_LIQUIDATED} AS a, l_suppkey % 500 + 9 AS b FROM lineitem)
+SELECT l_orderkey AS id, round(sum(a / 100::DOUBLE) FILTER (k <> 3), 2) AS dd, round(sum(b::DOUBLE) FILTER (k = 1), 2) AS at, round(sum(CASE k WHEN 0 THEN b WHEN 2 THEN b + 0.5::DOUBLE END), 2) AS tva FROM l GROUP BY l_orderkey""")
+def article_duties(spark, d: str) -> DataFrame:
+    """Duties of a declaration an order, an article a line: tables of codes and amounts that are paired by place, with an amount too few, one too many, or none."""
+    money = lambda n: F.concat(F.floor(n / 100).cast("string"), F.lit(","), F.lpad((n % 100).cast("string"), 2, "0"))
+    n, a, b = F.col("l_linenumber") % 4, F.col("l_partkey") * 7 % 90000 + 1, (F.col("l_suppkey") % 500 + 9).cast("string")
+    head = F.concat(F.lit("ARTICLE "), F.col("l_linenumber").cast("string"), F.lit("\nLIQUIDATION\nNature\n"))
+    table = (
+        F.when(n == 0, F.concat(F.lit("U165-FR\nA445\nMontant\n"), money(a), F.lit("\n"), b, F.lit("\n77.10\n")))
+        .when(n == 1, F.concat(F.lit("U165\nM195\nA445\nMontant\n"), money(a), F.lit("\n"), b, F.lit("\nStatut\n")))
+        .when(n == 2, F.concat(F.lit("U165\nB00 TVA\nA445-1A\nBase\n5\nMontant\n"), money(a), F.lit("\n\n "), b, F.lit(".50\n")))
+        .otherwise(F.lit("U165\nMontant\nnone\n"))
+    )
+    end = F.when(n == 1, "Page 1 of 3\n").when(n == 2, "MENTION SPECIALES\n").otherwise("DONNEE COMPLEMENTAIRE\n")
+    article = F.struct("l_linenumber", F.concat(head, table, end).alias("t"))
+    texts = spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(article)), lambda x: x["t"]), "").alias("text"))
+    return texts.select(F.col("l_orderkey").alias("id"), duties.article_duties(F.col("text")).alias("d")).select("id", "d.*")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, o_orderkey % 5 AS k, (o_orderkey * 11 % 70000 + 9)::DOUBLE AS a, (o_custkey % 900 + 9)::DOUBLE AS b FROM orders)
+SELECT id, CASE WHEN k IN (1, 3) THEN b END AS dd, CASE k WHEN 0 THEN 5.0::DOUBLE WHEN 1 THEN b + 0.25::DOUBLE END AS at, CASE WHEN k < 3 THEN a END AS tva, CASE WHEN k < 2 THEN a + b END AS tg FROM o""")
+def total_duties(spark, d: str) -> DataFrame:
+    """Duties of the table of totals that a declaration an order prints cell by cell: names, states and numbers that are no duties stand between."""
+    k, a, b = F.col("o_orderkey") % 5, (F.col("o_orderkey") * 11 % 70000 + 9).cast("string"), (F.col("o_custkey") % 900 + 9).cast("string")
+    total = (F.col("o_orderkey") * 11 % 70000 + 9 + F.col("o_custkey") % 900 + 9).cast("string")
+    say = lambda *x: F.concat(F.lit("Page 1\nLIQUIDATION TOTALE\nT.Nat\nMontant\nStatut\n"), *(F.lit(v) if isinstance(v, str) else v for v in x))
+    texts = [
+        say("A445\nB00 - TVA\n", a, ".00\n6\nM830\nNAT - AUTRES\n5.00\n1\nTotal\n", total, "\nGARANTIE 12.00"),
+        say("A445\nB00\n6\n", a, "\nM195\n", b, ".25\nM830\n", a, "\nU165\nA00\n", b, "\n1\nTotal\nEUR\nTotal\n", total, "\n"),
+        say("A445\n", a, "\nU165\nA00\n6\n1\n", b, "\nMontant total facturé 99.00"),
+        say("U165\nA00\n", b, "\nMontant total à payer\nA445\n", a),
+        F.lit("LIQUIDATION\nA445\n17.00\n"),
+    ]
+    text = F
+    for i, t in enumerate(texts[:-1]):
+        text = text.when(k == i, t)
+    return spark.read.parquet(f"{d}/orders.parquet").select(F.col("o_orderkey").alias("id"), duties.total_duties(text.otherwise(texts[-1])).alias("d")).select("id", "d.*")
+
+
 @query(f"""SELECT o_orderkey AS id, CASE o_orderkey % 5 WHEN 0 THEN 'GBP' WHEN 1 THEN 'EUR' WHEN 2 THEN 'CHF' WHEN 3 THEN 'USD' END AS currency,
 CASE o_orderkey % 5 WHEN 0 THEN ({_WHOLE} || '.' || {_CENTS})::DOUBLE WHEN 1 THEN (o_orderkey % 900 + 101)::DOUBLE + (o_orderkey * 37 % 100) / 100 WHEN 2 THEN ('1' || {_WHOLE} || '.' || {_CENTS})::DOUBLE WHEN 3 THEN round(2 * ({_WHOLE} || '.' || {_CENTS})::DOUBLE, 2) END AS total,
 o_orderkey % 5 = 3 AS estimated FROM orders""".replace("(o_orderkey % 900 + 101)::DOUBLE + (o_orderkey * 37 % 100) / 100", f"((o_orderkey % 900 + 101)::VARCHAR || '.' || {_CENTS})::DOUBLE"))
