@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -106,6 +107,16 @@ def _clear() -> None:
             return
 
 
+def file_system(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system of a path or URI, for tasks that write or read whole files of the shared folder, and the path there."""
+    return pa.fs.FileSystem.from_uri(path) if ":/" in path else (pa.fs.LocalFileSystem(), path)
+
+
+def read_file(fs: pa.fs.FileSystem, path: str) -> bytes:
+    with fs.open_input_stream(path) as f:
+        return f.read()
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """A column name that the frame does not use yet."""
     used = {c.lower() for c in df.columns}

@@ -24,14 +24,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
-from .common import free_name, lines, scratch_path
+from .common import file_system, free_name, lines, read_file, scratch_path
 from .mixing import chance
 from .tokens import ByteIds, UnitIds, public_path, vocabulary
 
@@ -45,10 +44,6 @@ SAMPLE_DOCUMENTS, SAMPLE_IDS, DICTIONARY_BYTES = 2000, 2048, 64 << 10
 BATCH_BYTES = 4 << 20
 
 
-def _fs(path: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (pa.fs.LocalFileSystem(), path)
-
-
 def _units(path: str, _held={}) -> UnitIds:  # noqa: B006 - one a worker, as it remembers
     if path not in _held:
         _held[path] = UnitIds(vocabulary(ByteIds, path, False))
@@ -98,8 +93,8 @@ class _Writer(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         task, units = TaskContext.get().partitionId(), _units(self.vocabulary)
-        fs, folder = _fs(self.path)
-        shared = _read(fs, f"{folder}/{self.dictionary}") if self.dictionary else b""
+        fs, folder = file_system(self.path)
+        shared = read_file(fs, f"{folder}/{self.dictionary}") if self.dictionary else b""
         frames, name, parts, at, ids = Frames(shared, self.width), "", [], len(MAGIC), 0
         out = None
         for b in lines(iterator):
@@ -122,9 +117,9 @@ class _Writer(DataSourceArrowWriter):
         return _Shard(task, name, len(index[0]), ids)
 
     def commit(self, messages: list[WriterCommitMessage]) -> None:
-        fs, folder = _fs(self.path)
+        fs, folder = file_system(self.path)
         shards = sorted((m for m in messages if m and m.documents), key=lambda m: m.task)
-        shared = _read(fs, f"{folder}/{self.dictionary}") if self.dictionary else b""
+        shared = read_file(fs, f"{folder}/{self.dictionary}") if self.dictionary else b""
         about = {"vocabulary": self.vocabulary.rpartition("/")[2], "end_id": self.end, "width": self.width, "dictionary": self.dictionary, "dictionary_sha256": hashlib.sha256(shared).hexdigest()}
         with fs.open_output_stream(f"{folder}/manifest.json") as f:
             f.write(json.dumps(about | {"files": [[m.name, m.documents, m.ids] for m in shards]}).encode())
@@ -137,11 +132,6 @@ class _Writer(DataSourceArrowWriter):
 _INDEX = ("<i8", "<u1", "<u8", "<u8")
 
 
-def _read(fs: pa.fs.FileSystem, path: str) -> bytes:
-    with fs.open_input_stream(path) as f:
-        return f.read()
-
-
 def _index(f, dictionary_sha256: str) -> tuple[list[np.ndarray], int]:
     """The index of an open file, and where its frames end. The dictionary must be the one that the frames were packed with."""
     size = f.size()
@@ -173,9 +163,9 @@ class _Reader(DataSourceReader):
         self.path = path.rstrip("/")
 
     def partitions(self) -> list[InputPartition]:
-        fs, folder = _fs(self.path)
+        fs, folder = file_system(self.path)
         out, start = [], 0
-        for name, _, ids in json.loads(_read(fs, f"{folder}/manifest.json"))["files"]:
+        for name, _, ids in json.loads(read_file(fs, f"{folder}/manifest.json"))["files"]:
             out.append(_Part(name, start))
             start += ids
         return out or [_Part("", 0)]
@@ -183,9 +173,9 @@ class _Reader(DataSourceReader):
     def read(self, part: _Part) -> Iterator[pa.RecordBatch]:
         if not part.name:
             return
-        fs, folder = _fs(self.path)
-        about = json.loads(_read(fs, f"{folder}/manifest.json"))
-        frames = Frames(_read(fs, f"{folder}/{about['dictionary']}") if about["dictionary"] else b"", about["width"])
+        fs, folder = file_system(self.path)
+        about = json.loads(read_file(fs, f"{folder}/manifest.json"))
+        frames = Frames(read_file(fs, f"{folder}/{about['dictionary']}") if about["dictionary"] else b"", about["width"])
         with fs.open_input_file(f"{folder}/{part.name}") as f:
             (doc, null, offset, n), end = _index(f, about["dictionary_sha256"])
             offset = np.append(offset.astype(np.int64), end)
@@ -252,7 +242,7 @@ def write(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
     drawn = drawn.filter(F.col("u") < share).select("text", (F.col("u") / share).alias("u"))  # spread over its own range anew
     windows = drawn.mapInArrow(_windows(tokenizer, end_id, width, SAMPLE_IDS), "ids binary").limit(2 * SAMPLE_DOCUMENTS)
     shared = train_dictionary([bytes(r[0]) for r in windows.collect()])
-    fs, folder = _fs(path)
+    fs, folder = file_system(path)
     fs.create_dir(folder, recursive=True)
     name = f"dictionary-{hashlib.sha256(shared).hexdigest()[:16]}.zdict" if shared else ""
     if shared:
@@ -274,9 +264,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def document(path: str, doc_id: int) -> list[np.ndarray]:
     """The ids of the documents of one id, by the indexes: only their frames are read. A helper for looking into a folder."""
-    fs, folder = _fs(path.rstrip("/"))
-    about = json.loads(_read(fs, f"{folder}/manifest.json"))
-    frames, out = Frames(_read(fs, f"{folder}/{about['dictionary']}") if about["dictionary"] else b"", about["width"]), []
+    fs, folder = file_system(path.rstrip("/"))
+    about = json.loads(read_file(fs, f"{folder}/manifest.json"))
+    frames, out = Frames(read_file(fs, f"{folder}/{about['dictionary']}") if about["dictionary"] else b"", about["width"]), []
     for name, _, _ in about["files"]:
         with fs.open_input_file(f"{folder}/{name}") as f:
             (doc, null, offset, _), end = _index(f, about["dictionary_sha256"])
