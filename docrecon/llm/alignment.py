@@ -153,13 +153,13 @@ def _values(column: pa.Array, kind: str, i: int, j: int) -> tuple[np.ndarray, np
 
 
 def _cogroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows (b, salt, kind, first, a, links, runs, docs, times) in the order of the first four: (row, n_best, count_sum), several for a document.
+    """Over rows (b, salt, kind, first, a, links, runs, docs, times) in the order of the first four: (first, docs, best, total), the shares of a slice's documents side by side.
 
     A group's counts (kind 0) come before its postings (kind 1), so that one pass gives each A id's links in all and their
     maximum, then each document's share. Counts are summed whenever many are gathered: at most one for each A id stays.
     """
     group, counts, waiting, size = None, None, [], 0
-    out, gathered = [], 0
+    out, slices, gathered = [], [], 0
 
     def settle():
         nonlocal waiting, size
@@ -171,8 +171,12 @@ def _cogroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def emit():
         nonlocal out, gathered
         row, best, total = summed(*(np.concatenate(x) for x in zip(*out, strict=True)))
+        firsts = np.unique(np.concatenate(slices))
         out, gathered = [], 0
-        return pa.record_batch([pa.array(row), pa.array(best), pa.array(total)], names=["row", "n_best", "count_sum"])
+        slices.clear()
+        at = np.append(np.searchsorted(row, firsts), len(row))
+        docs = row - np.repeat(firsts, np.diff(at))
+        return pa.record_batch([pa.array(firsts), _cut(docs, "<u2", at), _cut(best, "<i8", at), _cut(total, "<i8", at)], names=["first", "docs", "best", "total"])
 
     for batch in batches:
         if not batch.num_rows:
@@ -197,7 +201,9 @@ def _cogroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             docs, n_docs = _values(batch.column(7), "<u2", i, j)
             times = _values(batch.column(8), "<u4", i, j)[0].astype(np.int64)
             links = np.repeat(links, runs)
-            row = np.repeat(batch.column(3).slice(i, j - i).to_numpy(), n_docs) + docs
+            first = batch.column(3).slice(i, j - i).to_numpy()
+            row = np.repeat(first, n_docs) + docs
+            slices.append(first)
             out.append(summed(row, np.where(links == top, times, 0), links * times))
             gathered += len(out[-1][0])
             if gathered > GATHERED:
@@ -206,6 +212,30 @@ def _cogroup(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield emit()
 
 
+def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Over rows (first, docs, best, total) in the order of first: (row, n_best, count_sum), one a document. A slice's sums are held at a time."""
+    slice_, best, total = None, np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+    seen = np.zeros(1 << 16, bool)
+
+    def done():
+        docs = np.flatnonzero(seen)
+        out = pa.record_batch([pa.array(slice_ + docs), pa.array(best[docs]), pa.array(total[docs])], names=["row", "n_best", "count_sum"])
+        best[:], total[:], seen[:] = 0, 0, False
+        return out
+
+    for batch in batches:
+        for i, first in enumerate(batch.column(0).to_pylist()):
+            if slice_ is not None and first != slice_:
+                yield done()
+            slice_ = first
+            docs = _values(batch.column(1), "<u2", i, i + 1)[0]
+            best[docs] += _values(batch.column(2), "<i8", i, i + 1)[0]
+            total[docs] += _values(batch.column(3), "<i8", i, i + 1)[0]
+            seen[docs] = True
+    if slice_ is not None:
+        yield done()
+
+
 def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_a: str | None = None, path_b: str | None = None, groups: bool = False) -> DataFrame:
     """(doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) for each row of docs, and the groups themselves if asked for.
 
@@ -214,7 +244,8 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_
     A ids, documents and their links. Postings are dealt by B id, sorted and read as two streams, the counts first: a group
     sums its pairs' links over the corpus and their maximum, then adds to each document its links times the count, and those
     whose count is the maximum. An id with more than HOT postings is dealt over several groups by slice, each of which gets all
-    counts of the id; how many groups an id has is a table no longer than B's vocabulary.
+    counts of the id; how many groups an id has is a table no longer than B's vocabulary. A group's task adds up the shares of
+    each slice's documents, and one more shuffle brings a slice's sums together.
 
     Null and empty texts, and those whose bytes either side does not give back, have zeros and an empty digest, and link nothing.
     Repeated rows count as often as they come. A very long text is aligned alone, in memory of some fifty times its bytes. An empty
@@ -229,7 +260,8 @@ def align(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_
     counts = dealt.select("b", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("salt"), F.lit(0).alias("kind"), "first", "a", "links", none.alias("runs"), none.alias("docs"), none.alias("times"))
     postings = dealt.select("b", F.pmod(F.xxhash64("first"), F.col("groups")).cast("int").alias("salt"), F.lit(1).alias("kind"), "first", "a", none.alias("links"), "runs", "docs", "times")
     streams = counts.unionAll(postings).repartition("b", "salt").sortWithinPartitions("b", "salt", "kind", "first")
-    shares = streams.mapInArrow(_cogroup, "row long, n_best long, count_sum long").groupBy("row").agg(F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"))
+    parts = streams.mapInArrow(_cogroup, "first long, docs binary, best binary, total binary")
+    shares = parts.repartition("first").sortWithinPartitions("first").mapInArrow(_shares, "row long, n_best long, count_sum long")
     own = ["doc_id", "n_a", "n_b", "n_groups", "n_links"]
     out = made.filter("b IS NULL").select("row", *own, "groups_sha256", *(["groups"] if groups else [])).join(shares, "row", "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)

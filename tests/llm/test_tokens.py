@@ -204,7 +204,9 @@ def test_cogroup_sums_in_between(monkeypatch, docs, rows, whole):
             stream.append(pa.record_batch(parts, names=["b", "salt", "kind", "first", "a", "links", "runs", "docs", "times"]))
     monkeypatch.setattr(alignment, "GATHERED", 2)
     got = Counter()
-    for out in alignment._cogroup(iter(stream)):
+    parts = list(alignment._cogroup(iter(stream)))
+    assert len(parts) > 5
+    for out in alignment._shares(iter(parts)):
         for r in out.to_pylist():
             got[r["row"] - 100, "best"] += r["n_best"]
             got[r["row"] - 100, "sum"] += r["count_sum"]
