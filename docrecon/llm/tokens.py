@@ -23,8 +23,8 @@ UNIT = re.compile(f"[{SPACE}]*[^{SPACE}]+(?:\r[{SPACE}]*[^{SPACE}]*)*|[{SPACE}]+
 #: Texts with white space before a space: only these need the pattern, others are cut before each space.
 _ODD = r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 _ACROSS = re.compile(f"[^{SPACE}][\t-\f {SPACE[5:]}]")
-#: Characters and units that a worker remembers before it starts afresh; bounds on memory that change no result.
-REMEMBERED_CHARS, REMEMBERED_UNITS = 16_000_000, 1_000_000
+#: Characters, units and parts of units that a worker remembers before it starts afresh; bounds on memory that change no result.
+REMEMBERED_CHARS, REMEMBERED_UNITS, REMEMBERED_PARTS = 12_000_000, 800_000, 500_000
 
 
 def cuts_before_space(pieces) -> bool:
@@ -140,7 +140,7 @@ class ByteIds:
         self.cut = not shape["normalizer"] and (split.get("type"), split.get("use_regex"), split.get("add_prefix_space")) == ("ByteLevel", True, False)
 
     def _part(self, part: str) -> tuple[int, ...]:
-        if len(self.parts) > REMEMBERED_UNITS:
+        if len(self.parts) > REMEMBERED_PARTS:
             self.parts.clear()
         shown = part.replace(" ", "Ġ") if part.isascii() and "\n" not in part else part.encode().decode("latin-1").translate(_SHOWN)
         out = self.parts[part] = tuple([t.id for t in self.tokenizer.model.tokenize(shown)])  # tuples of numbers are no burden to the collector
