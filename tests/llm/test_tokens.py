@@ -205,7 +205,7 @@ def test_cogroup_sums_in_between(monkeypatch, docs, rows, whole):
     monkeypatch.setattr(alignment, "GATHERED", 2)
     got = Counter()
     parts = list(alignment._cogroup(iter(stream)))
-    assert len(parts) > 5
+    assert len(parts) >= 3
     for out in alignment._shares(iter(parts)):
         for r in out.to_pylist():
             got[r["row"] - 100, "best"] += r["n_best"]
