@@ -15,10 +15,10 @@ def _points(condition: Column, points: int) -> Column:
     return F.when(condition, points).otherwise(0)
 
 
-def invoice_declaration_score(invoices: DataFrame, declarations: DataFrame) -> DataFrame:
-    """All pairs within a pool with their score (pool, invoice_id, declaration_id, ord, score).
+def pool_scores(invoices: DataFrame, declarations: DataFrame) -> DataFrame:
+    """All pairs within a pool with their score (pool, invoice_id, declaration_id, ord, score), zeros too: for pools of bounded size.
 
-    The pool is the blocking key: an equi-join, never a cross product. Different sub-folders rule a pair out.
+    Different sub-folders rule a pair out.
     invoices: pool, invoice_id, folder, ref, awb, total, vat, hs6 (array), lead; declarations: pool, declaration_id, ord, folder, refs (array), awbs (array), total, currency, fx, vat, hs6 (array), lead.
     """
     i = invoices.select(*(F.col(c).alias(f"i_{c}") if c not in ("pool", "invoice_id") else F.col(c) for c in invoices.columns))
@@ -39,6 +39,112 @@ def invoice_declaration_score(invoices: DataFrame, declarations: DataFrame) -> D
     return both.select("pool", "invoice_id", "declaration_id", "ord", F.when(folders & (F.col("i_folder") != F.col("d_folder")), 0).otherwise(score).cast("int").alias("score"))
 
 
+#: Characters of a reference that must be found in the one that contains it before both are compared; shorter ones are looked up whole.
+GRAM = 6
+#: Width of the classes of amounts by their logarithm: two that are close are at most one class apart.
+_CLASS = 0.0102
+#: Amounts below it may be close by their difference alone.
+_SMALL = 200
+
+
+def _parts(ref: Column, n: Column) -> Column:
+    """All parts of n characters."""
+    return F.when(F.length(ref) >= n, F.transform(F.sequence(F.lit(1), F.length(ref) - n + 1), lambda k: F.substr(ref, k, n))).otherwise(F.array().cast("array<string>"))
+
+
+def _amount_class(total: Column) -> Column:
+    return F.concat(F.when(total < 0, "-").otherwise(""), F.floor(F.log(F.abs(total)) / _CLASS).cast("string"))
+
+
+def _terms(term: str, keys: Column) -> Column:
+    """Keys of one term, without null ones."""
+    return F.transform(F.filter(F.coalesce(keys, F.array().cast("array<string>")), lambda k: k.isNotNull()), lambda k: F.concat(F.lit(term), k))
+
+
+def _near_classes(total: Column) -> Column:
+    sign, k = F.when(total < 0, "-").otherwise(""), F.floor(F.log(F.abs(total)) / _CLASS)
+    return F.when(total != 0, F.transform(F.array(k - 1, k, k + 1), lambda x: F.concat(sign, x.cast("string"))))
+
+
+def _near_wholes(total: Column, gap: Column) -> Column:
+    return F.when(F.abs(total) <= _SMALL * gap, F.transform(F.sequence(F.floor(total - gap), F.floor(total + gap)), lambda x: x.cast("string")))
+
+
+def shared_terms(invoices: DataFrame, declarations: DataFrame, vat_alone: bool = True) -> DataFrame:
+    """(pool, invoice_id, declaration_id, ord, score) of the pairs of a pool that share a term: a folder, a reference that contains
+    the other, a waybill, an amount, a VAT number, a tariff code, a leading reference. Different sub-folders rule a pair out.
+
+    Each side is a row for each key of each term, and one equi-join on (pool, key) finds the pairs: no pair is formed without a
+    term. A term's points count once a pair, 8 for each tariff code, and are summed. With vat_alone false a VAT number adds its points
+    but makes no pair. For the columns see pool_scores.
+
+    References: the longer one has a key for each part of GRAM characters, the shorter one for its last part; whether it is
+    contained is told after the join. References below GRAM characters are keys themselves, and the other side has parts only of
+    the lengths that its pool has. Amounts: classes by logarithm, and whole numbers where a difference of 1 is more than 1 %.
+    """
+    i = invoices.select("pool", "invoice_id", "folder", F.coalesce("ref", F.lit("")).alias("ref"), "awb", F.col("total").cast("double").alias("total"), "vat", "hs6", "lead")
+    d = declarations.select("pool", "declaration_id", "ord", "folder", F.filter("refs", lambda r: r.isNotNull()).alias("refs"), "awbs", F.col("total").cast("double").alias("total"), F.when((F.col("fx") > 0) & (F.col("currency") != "EUR"), F.col("fx").cast("double")).alias("fx"), "vat", "hs6", "lead")
+    short = lambda ref: F.length(ref) < GRAM
+    lengths = lambda rows, ref: rows.filter(short(F.col(ref))).groupBy("pool").agg(F.collect_set(F.length(ref)).alias("lengths"))
+    none = F.array().cast("array<string>")
+    parts = lambda ref, n: F.flatten(F.transform(F.coalesce(n, F.array().cast("array<int>")), lambda k: F.when(k == 0, F.array(F.lit(""))).otherwise(_parts(ref, k))))
+    last = lambda ref: F.when(short(ref), F.array(ref)).otherwise(F.array(F.substring(ref, -GRAM, GRAM)))
+    # containing parts (c) of one side meet contained keys of the other; i: the invoice's reference is the longer one
+    i = i.join(lengths(d.select("pool", F.explode("refs").alias("r")), "r"), "pool", "left")
+    i_ref, known = F.col("ref"), F.col("ref") != ""
+    i_keys = F.concat(
+        _terms("F", F.array("folder")),
+        _terms("C", F.when(known, F.array_distinct(F.concat(_parts(i_ref, F.lit(GRAM)), parts(i_ref, F.col("lengths")))))),
+        _terms("D", F.when(known, last(i_ref))),
+        _terms("W", F.array("awb")),
+        _terms("T", F.when(F.col("total") != 0, F.array(_amount_class(F.col("total"))))),
+        _terms("S", F.array(F.floor("total").cast("string"))),
+        _terms("V", F.array("vat")) if vat_alone else none,
+        _terms("H", F.array_distinct("hs6")),
+        _terms("L", F.when(F.col("lead") != "", F.array("lead"))),
+    )
+    left = i.select("pool", "invoice_id", F.col("folder").alias("i_folder"), i_ref.alias("i_ref"), F.col("total").alias("i_total"), F.col("vat").alias("i_vat"), F.explode(i_keys).alias("key"))
+    d = d.join(lengths(invoices.filter("ref <> ''").select("pool", "ref"), "ref"), "pool", "left")
+    d_keys = F.concat(
+        _terms("F", F.array("folder")),
+        _terms("C", F.flatten(F.transform("refs", last))),
+        _terms("D", F.flatten(F.transform("refs", lambda r: F.concat(_parts(r, F.lit(GRAM)), parts(r, F.col("lengths")))))),
+        _terms("W", F.array_distinct("awbs")),
+        _terms("T", F.concat(F.coalesce(_near_classes(F.col("total")), none), F.coalesce(_near_classes(F.col("total") * F.col("fx")), none))),
+        _terms("S", F.concat(F.coalesce(_near_wholes(F.col("total"), F.lit(1.0)), none), F.coalesce(_near_wholes(F.col("total") * F.col("fx"), F.col("fx")), none))),
+        _terms("V", F.array("vat")) if vat_alone else none,
+        _terms("H", F.array_distinct("hs6")),
+        _terms("L", F.when(F.col("lead") != "", F.array("lead"))),
+    )
+    right = d.select("pool", "declaration_id", "ord", F.col("folder").alias("d_folder"), "refs", F.col("total").alias("d_total"), "fx", F.col("vat").alias("d_vat"), F.explode(F.array_distinct(d_keys)).alias("key"))
+    met = left.join(right, ["pool", "key"]).filter(F.col("i_folder").isNull() | F.col("d_folder").isNull() | (F.col("i_folder") == F.col("d_folder")))
+    term = F.substring("key", 1, 1)
+    referred = F.exists("refs", lambda r: refs_match(r, F.col("i_ref")))
+    near = F.coalesce(close(F.col("i_total"), F.col("d_total")), F.lit(False))
+    converted = F.coalesce(close(F.col("i_total") / F.col("fx"), F.col("d_total")), F.lit(False))
+    points = F.when(term == "F", 100).when(term.isin("C", "D"), F.when(referred, 80)).when(term == "W", 60).when(term.isin("T", "S"), F.when(near, 35).when(converted, 20)).when(term == "L", 70)
+    met = met.withColumns({"term": F.when(term == "D", "C").when(term == "S", "T").otherwise(term), "points": points, "vat": F.coalesce(F.col("i_vat") == F.col("d_vat"), F.lit(False))})
+    best = [F.coalesce(F.max(F.when(F.col("term") == t, F.col("points"))), F.lit(0)) for t in "FCWTL"]
+    codes = F.least(F.lit(20), 8 * F.count(F.when(F.col("term") == "H", True)))
+    score = sum(best[1:], best[0]) + codes + F.when(F.max("vat"), 20).otherwise(0)
+    real = F.col("points").isNotNull() | F.col("term").isin("V", "H")
+    return met.filter(real).groupBy("pool", "invoice_id", "declaration_id", "ord").agg(score.cast("int").alias("score"))
+
+
+def first_of_vat(invoices: DataFrame, declarations: DataFrame) -> DataFrame:
+    """Of each invoice the first declaration of its pool with its VAT number that no sub-folder rules out, at the points of a VAT number: a row an invoice at most."""
+    d = declarations.filter(F.col("vat").isNotNull()).select("pool", "vat", F.explode(F.array(F.lit("any"), F.when(F.col("folder").isNull(), "none"))).alias("place"), F.struct("ord", "declaration_id").alias("d")).filter("place is not null")
+    first = d.groupBy("pool", "vat", "place").agg(F.min("d").alias("d"))
+    i = invoices.select("pool", "vat", F.when(F.col("folder").isNull(), "any").otherwise("none").alias("place"), "invoice_id")
+    return i.join(first, ["pool", "vat", "place"]).select("pool", "invoice_id", "d.declaration_id", "d.ord", F.lit(20).alias("score"))
+
+
+def match(invoices: DataFrame, declarations: DataFrame) -> DataFrame:
+    """The matches of all pairs of a pool, without forming those that share a VAT number alone: of these only the first can be the best."""
+    pairs = shared_terms(invoices, declarations, vat_alone=False).unionByName(first_of_vat(invoices, declarations))
+    return matches(pairs.groupBy("pool", "invoice_id", "declaration_id", "ord").agg(F.max("score").alias("score")))
+
+
 def matches(scored: DataFrame) -> DataFrame:
     """For each invoice all declarations of a sure score; if none is, the best one of at least the least score, the first of equal ones.
     Pairs below the least score go before the windows: most pairs of a pool share nothing."""

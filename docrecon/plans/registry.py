@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import duties, evidence, links, pages, rules, tariff, totals
+from ..operators import duties, enrich, evidence, links, pages, rules, tariff, totals, variants
 from . import derive
 
 QUERIES: dict[str, Callable] = {}
@@ -132,7 +132,7 @@ def _pairs(i: DataFrame, x: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     i = i.select("pool", F.col("id").alias("invoice_id"), none.alias("folder"), C.ref_key(F.col("ref")).alias("ref"), none.alias("awb"), "total", "vat", F.array().cast("array<string>").alias("hs6"), F.lit("").alias("lead"))
     x = x.select("pool", F.col("id").alias("declaration_id"), F.col("id").alias("ord"), none.alias("folder"), F.array(F.when(F.col("id") % 2 == 0, C.ref_key(F.col("ref"))).otherwise("NONE")).alias("refs"), F.array().cast("array<string>").alias("awbs"), "total", "currency", F.when(F.col("id") % 4 == 0, 1.08).alias("fx"), "vat", F.array().cast("array<string>").alias("hs6"), F.lit("").alias("lead"))
-    return links.invoice_declaration_score(i, x)
+    return links.pool_scores(i, x)
 
 
 def _sides(spark, d: str) -> tuple[DataFrame, DataFrame]:
@@ -148,8 +148,8 @@ def _sides(spark, d: str) -> tuple[DataFrame, DataFrame]:
 
 
 def _scored(spark, d: str) -> DataFrame:
-    """Every invoice with every declaration of its dossier; pairs that share nothing go."""
-    return links.invoice_declaration_score(*_sides(spark, d)).filter("score > 0")
+    """The invoices and declarations of a dossier that share something."""
+    return links.shared_terms(*_sides(spark, d))
 
 
 def _scored_all(spark, d: str) -> DataFrame:
@@ -174,12 +174,12 @@ def invoice_decl_score(spark, d: str) -> DataFrame:
 
 @query(f"{_SCORED} SELECT pool, invoice_id, declaration_id, ord, score FROM m WHERE score >= 60 OR (best < 60 AND n = 1 AND score >= 15)")
 def invoice_decl_matches(spark, d: str) -> DataFrame:
-    return links.matches(_scored(spark, d))
+    return links.match(*_sides(spark, d))
 
 
 @query(f"{_SCORED} SELECT id FROM x WHERE id NOT IN (SELECT declaration_id FROM m WHERE score >= 60 OR (best < 60 AND n = 1 AND score >= 15))")
 def orphan_declarations(spark, d: str) -> DataFrame:
-    used = links.matches(_scored(spark, d)).select(F.col("declaration_id").alias("id")).distinct()
+    used = links.match(*_sides(spark, d)).select(F.col("declaration_id").alias("id")).distinct()
     return links.orphans(derive.declarations(spark, d).select("id"), used, "id")
 
 
@@ -448,6 +448,74 @@ def hs_steps(spark, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/part.parquet").select(k.alias("id"), F.array_join(tariff.codes(text.otherwise(texts[-1]), scope=scope), ",").alias("codes"))
 
 
+_VARIANTS = """SELECT o_custkey AS page, o_orderkey AS reading, (o_orderkey % 7)::INT AS score, [
+  'Page ' || o_custkey,
+  CASE o_orderkey % 5 WHEN 0 THEN 'bag 4202.22.' || (o_orderkey % 90 + 10) || ' blue' WHEN 1 THEN '  Amount ' || (o_orderkey % 900 + 100) || ',50 EUR ' WHEN 2 THEN 'buyer FR12 ' || (123456000 + o_orderkey % 999) ELSE 'no signal ' || o_orderkey % 3 END,
+  CASE o_orderkey % 4 WHEN 0 THEN 'BAG 4202 22 ' || (o_orderkey % 90 + 10) || ', blue!' WHEN 1 THEN 'TOTAL ' || o_orderkey % 50 WHEN 2 THEN '1,5' ELSE 'fax 199$ 10019' END] AS lines FROM orders"""
+
+
+@query(f"""WITH v AS ({_VARIANTS}), b AS (SELECT page, arg_min(reading, (-score, reading)) AS reading FROM v GROUP BY page),
+l AS (SELECT page, reading, unnest(lines) AS line, generate_subscripts(lines, 1) AS n FROM v),
+k AS (SELECT *, regexp_replace(upper(line), '[^A-Z0-9]', '', 'g') AS key, regexp_matches(line, '4202[. ]22|FR12') AS code, contains(line, 'FR12') AS vat, contains(line, ',50 EUR') OR contains(line, '4202.22') AS sure, regexp_matches(line, 'EUR|TOTAL|[$]') AS money FROM l),
+h AS (SELECT b.page, b.reading, string_agg(line, chr(10) ORDER BY n) AS text, bool_or(code) AS code, bool_or(vat) AS vat, bool_or(money) AS money FROM b JOIN k USING (page, reading) GROUP BY b.page, b.reading),
+x AS (SELECT k.page, k.key, min((k.reading, k.n, trim(k.line))) AS first FROM k JOIN h ON h.page = k.page AND h.reading <> k.reading
+  WHERE (k.code AND NOT h.code OR k.vat AND NOT h.vat OR k.sure AND NOT h.money) AND length(k.key) >= 6 AND NOT EXISTS (SELECT 1 FROM k AS o WHERE o.page = h.page AND o.reading = h.reading AND o.key = k.key) GROUP BY k.page, k.key),
+e AS (SELECT page, string_agg(first[3], chr(10) ORDER BY first) AS added, count(*) AS n FROM x GROUP BY page)
+SELECT h.page, h.reading, h.text || coalesce(chr(10) || '{variants.ADDED}' || chr(10) || added, '') AS text, coalesce(n, 0)::INT AS n_added FROM h LEFT JOIN e USING (page)""")
+def merged_readings(spark, d: str) -> DataFrame:
+    """Readings of a page a customer, one an order: the best, and the lines of kinds that it lacks."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    say = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v for v in x))
+    two = (k % 90 + 10).cast("string")
+    a = F.when(k % 5 == 0, say("bag 4202.22.", two, " blue")).when(k % 5 == 1, say("  Amount ", (k % 900 + 100).cast("string"), ",50 EUR ")).when(k % 5 == 2, say("buyer FR12 ", (k % 999 + 123456000).cast("string"))).otherwise(say("no signal ", (k % 3).cast("string")))
+    b = F.when(k % 4 == 0, say("BAG 4202 22 ", two, ", blue!")).when(k % 4 == 1, say("TOTAL ", (k % 50).cast("string"))).when(k % 4 == 2, "1,5").otherwise("fax 199$ 10019")
+    readings = spark.read.parquet(f"{d}/orders.parquet").select(c.alias("page"), k.alias("reading"), (k % 7).cast("int").alias("score"), F.concat_ws("\n", say("Page ", c.cast("string")), a, b).alias("text"))
+    return variants.merge_readings(readings, "page", "reading", "score", "text")
+
+
+@query("""WITH o AS (SELECT o_orderkey AS id, o_orderkey % 10 AS k, (o_orderkey % 900 + 100)::DOUBLE AS a, (70000000 + o_orderkey % 9999999)::VARCHAR AS w, '42022' || (o_orderkey % 10) || (1000 + o_orderkey % 9000) AS h, '640399' || (1000 + o_orderkey % 9000) AS g FROM orders)
+SELECT id, CASE k WHEN 0 THEN w WHEN 1 THEN '99' || w WHEN 2 THEN '12345678' WHEN 9 THEN NULL END AS awb, CASE k WHEN 0 THEN 'text' WHEN 1 THEN 'name' WHEN 2 THEN 'read' END AS awb_source,
+  CASE WHEN k = 0 THEN h WHEN k IN (1, 9) THEN '' WHEN k = 2 THEN g WHEN k = 3 THEN substr(h, 1, 8) WHEN k = 4 THEN g WHEN k = 5 THEN h WHEN k = 6 THEN '' WHEN k = 7 THEN g ELSE '' END AS codes,
+  CASE k WHEN 0 THEN 'text' WHEN 2 THEN 'read' WHEN 3 THEN 'text' WHEN 4 THEN 'read' WHEN 5 THEN 'text' WHEN 7 THEN 'read' END AS hs_source,
+  CASE k WHEN 0 THEN a WHEN 1 THEN 9.0::DOUBLE WHEN 2 THEN a WHEN 3 THEN a * 11 WHEN 4 THEN a WHEN 5 THEN 2 * a WHEN 7 THEN 3.0::DOUBLE END AS total, CASE k WHEN 0 THEN 'text' WHEN 1 THEN 'read' WHEN 2 THEN 'read' WHEN 3 THEN 'text' WHEN 4 THEN 'text' WHEN 5 THEN 'text' WHEN 7 THEN 'read' END AS total_source,
+  CASE k WHEN 0 THEN 'EUR' WHEN 2 THEN 'USD' WHEN 3 THEN 'GBP' WHEN 4 THEN 'USD' WHEN 5 THEN 'CHF' WHEN 7 THEN 'EUR' END AS currency, CASE k WHEN 0 THEN 'text' WHEN 2 THEN 'read' WHEN 3 THEN 'text' WHEN 4 THEN 'text' WHEN 5 THEN 'text' WHEN 7 THEN 'read' END AS currency_source,
+  k = 5 AS estimated, CASE k WHEN 6 THEN 'delivery note' WHEN 7 THEN 'pre-alert' WHEN 8 THEN 'repair table' END AS not_goods FROM o""")
+def enriched_invoices(spark, d: str) -> DataFrame:
+    """Invoices an order whose fields were read in part: filled from labels, the file's name, split codes, totals far off, line sums; papers that are no invoices."""
+    k = F.col("o_orderkey")
+    n, a = k % 10, (k % 900 + 100).cast("string")
+    w, four = (k % 9999999 + 70000000).cast("string"), (k % 9000 + 1000).cast("string")
+    h, g = F.concat(F.lit("42022"), (k % 10).cast("string"), four), F.concat(F.lit("640399"), four)
+    say = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v for v in x))
+    texts = [
+        say("Invoice\nTracking no: ", w, "\nHS Code ", h, "\nTotal EUR ", a),
+        say("Invoice of nothing"),
+        say("Invoice AWB 87654321 HS Code ", h, "\nTotal EUR ", a, ".00"),
+        say("IB:", F.substring(h, 1, 4), ". 1.000 kg FRANCE ", F.substring(h, 5, 2), ".", F.substring(h, 7, 2), "\nTOTAL INCL ", ((k % 900 + 100) * 11).cast("string"), " GBP"),
+        say("Invoice Italy 1234567\nTotal USD ", a),
+        say("Lines\n", h, " bag ", a, ".00 CHF\n", h, " bag ", a, ".00 CHF"),
+        say("Delivery note of the bag"),
+        say("Pre alerte importation, see commercial invoice, AWB ", w, " Total EUR ", a),
+        say("Request ID, client case, SKU number ", h),
+    ]
+    text = F
+    for i, t in enumerate(texts):
+        text = text.when(n == i, t)
+    none = F.lit(None)
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(
+        k.alias("id"),
+        text.otherwise(none.cast("string")).alias("text"),
+        F.when(n == 1, say("in/99", w, "_INV_1.pdf")).otherwise("in/file.pdf").alias("path"),
+        F.when(n == 4, F.lit("A-1234567")).alias("number"),
+        F.when(n == 2, "12345678").alias("awb"),
+        F.when(n.isin(2, 4, 7), F.array(g)).when(n == 3, F.array(F.lit("9999999999"))).otherwise(F.array().cast("array<string>")).alias("hs_codes"),
+        F.when(n.isin(2, 4), "USD").when(n == 7, "EUR").when(n == 3, "EUR").alias("currency"),
+        F.when(n == 1, 9.0).when(n == 2, a.cast("double")).when(n == 3, a.cast("double")).when(n == 4, 4.5).when(n == 7, 3.0).alias("total"),
+    )
+    out = enrich.enrich(rows, enrich.Limits(prefixes=("9999",)))
+    return out.select("id", "awb", "awb_source", F.array_join("hs_codes", ",").alias("codes"), "hs_source", "total", "total_source", "currency", "currency_source", "estimated", "not_goods")
+
+
 _LIQUIDATED = "(l_partkey * 7 % 90000 + 1)"
 
 

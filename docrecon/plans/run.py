@@ -54,7 +54,7 @@ def reconcile(docs: DataFrame, rates: dict[str, float]) -> DataFrame:
     codes = _heads(F.coalesce("hs_codes", F.array("hs_code"))).alias("hs6")
     i = docs.filter(F.col("doc_type").startswith("invoice")).select(pool, F.col("id").alias("invoice_id"), "path", "dossier", "folder", C.ref_key(F.col("number")).alias("ref"), "awb", "total", "vat", codes, lead, "currency", F.coalesce("estimated", F.lit(False)).alias("estimated"))
     d = docs.filter(F.col("doc_type").startswith("declaration")).select(pool, F.col("id").alias("declaration_id"), F.col("id").alias("ord"), "folder", F.transform("refs", C.ref_key).alias("refs"), F.coalesce("awbs", F.array().cast("array<string>")).alias("awbs"), "total", "currency", F.col("fx_rate").alias("fx"), "vat", codes, lead)
-    kept = links.matches(links.invoice_declaration_score(i.drop("path", "dossier", "currency", "estimated"), d))
+    kept = links.match(i, d)
     linked = kept.select(F.col("pool").alias("bundle_id"), "invoice_id", "declaration_id", "ord")
     chosen = links.best_declaration(linked, i, d, links.FOR_RULES).select("invoice_id", "declaration_id")
     chosen = chosen.join(kept.groupBy("invoice_id").agg(F.count(F.lit(1)).alias("n_declarations")), "invoice_id")
