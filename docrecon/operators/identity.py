@@ -15,12 +15,18 @@ WINDOW = 900
 
 @dataclass(frozen=True)
 class Profile:
-    """A client's entities: (VAT, SIREN) pairs, upper-case names and addresses with the VAT each stands for, and words that mark its invoices; orders count."""
+    """A client's entities: (VAT, SIREN) pairs, upper-case names and addresses with the VAT each stands for, and words that mark its invoices; orders count.
+
+    scope holds the six-digit heads of its tariff codes (empty: all), known_ids numbers that are none, prefixes what no code begins with.
+    """
 
     entities: list[tuple[str, str]]
     names: list[tuple[str, str]] = field(default_factory=list)
     addresses: list[tuple[str, str]] = field(default_factory=list)
     keywords: list[str] = field(default_factory=list)
+    scope: list[str] = field(default_factory=list)
+    known_ids: list[str] = field(default_factory=list)
+    prefixes: list[str] = field(default_factory=list)
 
     @property
     def vats(self) -> list[str]:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import extract, identity, links, pages, rules
+from ..operators import enrich, extract, identity, links, pages, repair, rules
 from ..sources import files as S
 
 
@@ -19,13 +19,34 @@ def read(spark: SparkSession, root: str, read_pdf=None) -> DataFrame:
 
 
 def documents(read_pages: DataFrame, root: str, profile: identity.Profile) -> DataFrame:
-    """One row a document: fields, its dossier and folder, the buyer's VAT."""
+    """One row a document: fields, its dossier and folder, the buyer's VAT; invoices are filled from their texts, and papers that are no invoices of goods are marked."""
     good = read_pages.filter("error is null").select("path", "page_no", pages.clean_markup(F.col("text")).alias("text"))
     cut = pages.segments(good.withColumn("doc_type", pages.classify(F.col("text"), profile.keywords)))
     found = extract.documents(cut).join(cut.select("path", "seg_no", "text"), ["path", "seg_no"])
     buyer = identity.buyer_vat(F.col("text"), F.col("vat"), profile)["vat"]
     place = S.path_context(F.col("path"), root)
-    return found.withColumns({"vat": F.when(F.col("doc_type").startswith("prestation"), F.col("vat")).otherwise(buyer), "dossier": place["dossier"], "folder": place["folder"], "id": F.concat_ws("#", "path", "seg_no")})
+    found = found.withColumns({"vat": F.when(F.col("doc_type").startswith("prestation"), F.col("vat")).otherwise(buyer), "dossier": place["dossier"], "folder": place["folder"], "id": F.concat_ws("#", "path", "seg_no")})
+    is_invoice = F.col("doc_type").startswith("invoice")
+    limits = enrich.Limits(tuple(profile.scope) or None, tuple(profile.known_ids), tuple(profile.prefixes))
+    read = F.coalesce("hs_codes", F.when(F.col("hs_code").isNotNull(), F.array("hs_code")))
+    own = enrich.enrich(found.filter(is_invoice).withColumn("hs_codes", read).withColumn("was_estimated", F.coalesce("estimated", F.lit(False))), limits)
+    own = own.withColumns({"hs_code": F.get("hs_codes", F.lit(0)), "estimated": F.col("estimated") | (F.col("was_estimated") & (F.col("total_source") == "read"))}).drop("was_estimated")
+    return own.unionByName(found.filter(~is_invoice), allowMissingColumns=True)
+
+
+def repaired(kept: DataFrame, i: DataFrame, d: DataFrame) -> DataFrame:
+    """The invoices, with total, currency and tariff codes of the declaration that is chosen to repair them, where their own text proves these."""
+    linked = kept.select(F.col("pool").alias("bundle_id"), "invoice_id", "declaration_id", "ord")
+    chosen = links.best_declaration(linked, i, d, links.FOR_REPAIR).select("invoice_id", "declaration_id")
+    x = d.select("declaration_id", F.col("total").alias("r_total"), F.col("currency").alias("r_currency"), F.col("codes").alias("r_codes"))
+    both = i.join(chosen.join(x, "declaration_id"), "invoice_id", "left")
+    text, none = F.coalesce(F.col("text"), F.lit("")), F.array().cast("array<string>")
+    money = repair.total(text, F.coalesce("amounts", F.array().cast("array<double>")), F.col("total"), F.col("currency"), F.col("r_total"), F.col("r_currency"), F.lit(None).cast("double"), F.lit(None).cast("string"))
+    codes = F.when(F.col("r_codes").isNull(), F.col("codes")).otherwise(repair.tariff_codes(text, F.col("codes"), F.coalesce("r_codes", none)))
+    out = both.withColumns({"_m": money, "_c": codes})
+    same = (F.size("_c") == F.size("codes"))
+    out = out.withColumns({"total": F.col("_m.total"), "currency": F.col("_m.currency"), "estimated": F.col("estimated") & ~F.col("_m.repaired"), "codes": F.col("_c"), "hs6": _heads(F.col("_c")), "repaired": F.concat_ws(",", F.when(F.col("_m.repaired"), "total"), F.when(~same, "codes"))})
+    return out.select(*i.columns, "repaired")
 
 
 def _forwarder(docs: DataFrame, kept: DataFrame, invoices: DataFrame) -> DataFrame:
@@ -51,10 +72,14 @@ def reconcile(docs: DataFrame, rates: dict[str, float]) -> DataFrame:
     status; then one row for each declaration and forwarder's invoice that no invoice takes, which lack documents."""
     pool = F.coalesce("dossier", F.lit("")).alias("pool")
     lead = C.leading_ref(F.col("path")).alias("lead")
-    codes = _heads(F.coalesce("hs_codes", F.array("hs_code"))).alias("hs6")
-    i = docs.filter(F.col("doc_type").startswith("invoice")).select(pool, F.col("id").alias("invoice_id"), "path", "dossier", "folder", C.ref_key(F.col("number")).alias("ref"), "awb", "total", "vat", codes, lead, "currency", F.coalesce("estimated", F.lit(False)).alias("estimated"))
-    d = docs.filter(F.col("doc_type").startswith("declaration")).select(pool, F.col("id").alias("declaration_id"), F.col("id").alias("ord"), "folder", F.transform("refs", C.ref_key).alias("refs"), F.coalesce("awbs", F.array().cast("array<string>")).alias("awbs"), "total", "currency", F.col("fx_rate").alias("fx"), "vat", codes, lead)
+    every = F.coalesce("hs_codes", F.array_compact(F.array("hs_code")))
+    codes = [_heads(every).alias("hs6"), every.alias("codes")]
+    of_goods = docs.withColumn("not_goods", F.lit(None).cast("string")) if "not_goods" not in docs.columns else docs
+    of_goods = of_goods if "text" in docs.columns else of_goods.withColumn("text", F.lit(None).cast("string"))
+    i = enrich.usable(of_goods.filter(F.col("doc_type").startswith("invoice"))).select(pool, F.col("id").alias("invoice_id"), "path", "dossier", "folder", C.ref_key(F.col("number")).alias("ref"), "awb", "total", "vat", *codes, lead, "currency", F.coalesce("estimated", F.lit(False)).alias("estimated"), "text", "amounts")
+    d = docs.filter(F.col("doc_type").startswith("declaration")).select(pool, F.col("id").alias("declaration_id"), F.col("id").alias("ord"), "folder", F.transform("refs", C.ref_key).alias("refs"), F.coalesce("awbs", F.array().cast("array<string>")).alias("awbs"), "total", "currency", F.col("fx_rate").alias("fx"), "vat", *codes, lead)
     kept = links.match(i, d)
+    i = repaired(kept, i, d)
     linked = kept.select(F.col("pool").alias("bundle_id"), "invoice_id", "declaration_id", "ord")
     chosen = links.best_declaration(linked, i, d, links.FOR_RULES).select("invoice_id", "declaration_id")
     chosen = chosen.join(kept.groupBy("invoice_id").agg(F.count(F.lit(1)).alias("n_declarations")), "invoice_id")
@@ -65,7 +90,7 @@ def reconcile(docs: DataFrame, rates: dict[str, float]) -> DataFrame:
     checks = F.array(rules.check("currency_match", currency), rules.check("amount_match", value), rules.check("hs_subset", rules.tariff(F.col("hs6"), F.col("d_hs6"))), rules.check("duties_match", F.col("duties_match")))
     given = F.filter(checks, lambda c: c["status"].isNotNull())
     out = i.join(chosen, "invoice_id", "left").join(x, "declaration_id", "left").join(forwarder, "invoice_id", "left").withColumn("checks", F.when(F.col("declaration_id").isNotNull(), given).otherwise(F.slice(checks, 1, 0)))
-    out = out.withColumn("status", rules.status(F.lit(True), F.col("declaration_id").isNotNull(), F.col("checks"))).select("pool", "invoice_id", "declaration_id", "n_declarations", "prestation_id", "total", "currency", "d_total", "d_currency", "checks", "status")
+    out = out.withColumn("status", rules.status(F.lit(True), F.col("declaration_id").isNotNull(), F.col("checks"))).select("pool", "invoice_id", "declaration_id", "n_declarations", "prestation_id", "total", "currency", "d_total", "d_currency", "repaired", "checks", "status")
     alone = [("declaration", "declaration_id", kept), ("prestation", "prestation_id", forwarder)]
     for kind, key, used in alone:
         rows = docs.filter(F.col("doc_type").startswith(kind)).select(pool, F.col("id").alias(key))
