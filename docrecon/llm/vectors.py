@@ -22,6 +22,8 @@ LEAF, SHARD_BYTES, BLOCK_BYTES, TASK_BLOCKS = 64, 10 << 20, 2 << 20, 16
 FACTORS, SAMPLE, RECALL = (1.0, 1.25, 1.6, 2.0, 2.5, 3.2, 4.0, 5.0, 6.4, 8.0, 10.0, 13.0, 16.0, 20.0, 26.0, 32.0), 64, 0.96
 #: What a bound may exceed a distance by, for the rounding of both; points that a shard gives beyond those needed, for that of products.
 MARGIN, SPARE = 1e-6, 8
+#: Search tasks a core at most, where there is so much work.
+TASKS_A_CORE = 50
 #: Shards whose answers to a query meet in one step.
 MERGE = 64
 
@@ -272,8 +274,10 @@ def nearest(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
     blocks = materialise(blocks, "queries")
     groups = max(1, -(-blocks.count() // TASK_BLOCKS))
     blocks = blocks.groupBy("dim", F.pmod(F.xxhash64("k"), F.lit(groups)).alias("g")).agg(F.collect_list("path").alias("paths"))
-    # handles only: a row for each tree and group of blocks of its dimension, and the search is one task's work
-    work = trees.join(blocks, "dim").select("tree", "shard", "factor", "paths").repartition("tree", F.col("paths")[0]).sortWithinPartitions("tree")
+    # handles only: a row for each tree and group of blocks of its dimension. They are few bytes and much work, so that the
+    # number of tasks is set here; a task reads the tree of neighbouring rows once
+    tasks = min(trees.count() * groups, TASKS_A_CORE * spark.sparkContext.defaultParallelism)
+    work = trees.join(blocks, "dim").select("tree", "shard", "factor", "paths").repartition(max(1, tasks), "tree", F.col("paths")[0]).sortWithinPartitions("tree")
     found = materialise(work.mapInArrow(_answers, _FOUND), "answers", rows, trees)
     shards = sizes.agg(F.max("shards")).first()[0] or 1
     while True:  # MERGE answers at a time, so that no group grows with the table
