@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import enrich, extract, identity, links, pages, repair, rules
+from ..sources import customs
 from ..sources import files as S
 
 
@@ -14,8 +15,11 @@ def _heads(codes: Column) -> Column:
     return F.array_distinct(F.array_compact(F.transform(codes, lambda c: F.substring(C.tariff_code(c), 1, 6))))
 
 
-def read(spark: SparkSession, root: str, read_pdf=None) -> DataFrame:
-    return S.pages(S.read_binary(spark, root), read_pdf)
+def read(spark: SparkSession, root: str, pdf_reader: str | None = None, table: str | None = None) -> DataFrame:
+    """The pages of a folder, a file or an archive; with a table, contents that it holds are not parsed again."""
+    if table:
+        return customs.read_with_table(spark, root, table, pdf_reader=pdf_reader)[0]
+    return customs.read(spark, root, pdf_reader=pdf_reader)
 
 
 def documents(read_pages: DataFrame, root: str, profile: identity.Profile) -> DataFrame:

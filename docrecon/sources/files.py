@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 KINDS = {"pdf": "pdf", "xlsx": "excel", "xlsm": "excel", "xls": "excel"}
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+_RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 PAGES = "path string, kind string, page_no int, text string, error string"
 
 
@@ -42,15 +43,29 @@ def read_binary(spark: SparkSession, root: str) -> DataFrame:
     return files.filter(accepted(F.col("path"))).withColumn("kind", F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv))[extension(F.col("path"))])
 
 
+def _sheet_files(z: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """(name, part) of each sheet in the workbook's order, by its relationship; one whose part is missing is an error, not left out."""
+    targets = {}
+    if "xl/_rels/workbook.xml.rels" in z.namelist():
+        for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels")):
+            target = r.get("Target") or ""
+            targets[r.get("Id")] = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+    out = []
+    for n, s in enumerate(ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_NS}sheet"), 1):
+        file = targets.get(s.get(_RELATION), f"xl/worksheets/sheet{n}.xml")
+        if file not in z.namelist():
+            raise ValueError(f"sheet {s.get('name')} has no part {file}")
+        out.append((s.get("name"), file))
+    return out
+
+
 def sheets(content: bytes) -> Iterator[str]:
     """Each sheet of a workbook as text: rows of tab-joined cached values, without blank rows, under a header line."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         shared = []
         if "xl/sharedStrings.xml" in z.namelist():
             shared = ["".join(t.text or "" for t in si.iter(f"{_NS}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml")).iter(f"{_NS}si")]
-        names = [s.get("name") for s in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_NS}sheet")]
-        files = sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)), key=lambda n: int(re.search(r"\d+", n[14:])[0]))
-        for name, file in zip(names, files, strict=False):
+        for name, file in _sheet_files(z):
             rows = []
             for row in ElementTree.fromstring(z.read(file)).iter(f"{_NS}row"):
                 cells: dict[int, str] = {}
