@@ -32,7 +32,7 @@ def main(args: list[str] | None = None) -> int:
     rates = conf.pop("rates", {})
     profile = Profile(**{k: [x if isinstance(x, str) else tuple(x) for x in v] for k, v in ({"entities": []} | conf).items()})
     spark = SparkSession.builder.appName("docrecon").getOrCreate()
-    for name, make in (("pages", lambda: run.read(spark, a.root, a.pdf_reader, a.pages)), ("documents", lambda: run.documents(spark.read.parquet(f"{a.out}/pages"), a.root, profile)), ("bundles", lambda: run.reconcile(spark.read.parquet(f"{a.out}/documents"), rates))):
+    for name, make in (("pages", lambda: run.read(spark, a.root, a.pdf_reader, a.pages)), ("documents", lambda: run.documents(spark.read.parquet(f"{a.out}/pages"), a.root, profile)), ("bundles", lambda: run.reconcile(spark.read.parquet(f"{a.out}/documents"), rates, profile))):
         make().write.mode("overwrite").parquet(f"{a.out}/{name}")
     pages, docs, bundles = (spark.read.parquet(f"{a.out}/{n}") for n in ("pages", "documents", "bundles"))
     errors = pages.filter("error is not null").select("path", "error")

@@ -62,21 +62,23 @@ def total_duties(text: Column) -> Column:
     """
     rest = F.get(F.split(text, r"(?iU)LIQUIDATION\s+TOTALE\s*\n", 2), F.lit(1))
 
-    def fields(lines: Column) -> Column:
-        value = lambda i: amount(F.get(lines, i))
-        plausible = lambda i: F.coalesce((value(i) < TOO_MUCH) & ((value(i) >= LEAST_WHOLE) | F.get(lines, i).rlike("[.,]")), F.lit(False))
+    def fields(cells: Column) -> Column:
+        def plausible(k: Column) -> Column:
+            cell = F.get(cells, k)
+            return F.coalesce((cell["value"] < TOO_MUCH) & ((cell["value"] >= LEAST_WHOLE) | cell["text"].rlike("[.,]")), F.lit(False))
 
         def of(i: Column) -> Column:
-            near = F.filter(F.transform(F.sequence(F.lit(1), F.lit(ROW_REACH)), lambda k: i + k), lambda k: plausible(k))
-            return value(F.get(near, F.lit(0)))
+            near = F.filter(F.transform(F.sequence(F.lit(1), F.lit(ROW_REACH)), lambda k: i + k), plausible)
+            return F.get(cells, F.get(near, F.lit(0)))["value"]
 
         out = {}
         for field in ("dd", "at", "tva"):
             codes = [c for c, f in TOTAL_CODES.items() if f == field]
-            own = F.transform(_places(lines, lambda i, codes=codes: F.get(lines, i).isin(codes)), of)
+            own = F.transform(_places(cells, lambda i, codes=codes: F.get(cells, i)["text"].isin(codes)), of)
             out[field] = F.get(F.array_compact(own), F.lit(0))
-        totals = F.transform(_places(lines, lambda i: F.lower(F.get(lines, i)) == "total"), lambda i: value(i + 1))
+        totals = F.transform(_places(cells, lambda i: F.lower(F.get(cells, i)["text"]) == "total"), lambda i: F.get(cells, i + 1)["value"])
         out["tg"] = F.get(F.array_compact(totals), F.lit(0))
         return F.struct(*(c.alias(n) for n, c in out.items()))
 
-    return let(_lines(F.coalesce(F.get(F.split(rest, TOTAL_ENDS, 2), F.lit(0)), F.lit(""))), fields)
+    lines = _lines(F.coalesce(F.get(F.split(rest, TOTAL_ENDS, 2), F.lit(0)), F.lit("")))
+    return let(F.transform(lines, lambda x: F.struct(x.alias("text"), amount(x).alias("value"))), fields)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import duties, enrich, evidence, links, pages, rules, tariff, totals, variants
+from ..operators import duties, enrich, entities, evidence, identity, links, pages, rules, tariff, totals, variants
 from . import derive
 
 QUERIES: dict[str, Callable] = {}
@@ -98,6 +98,28 @@ def entity_checks(spark, d: str) -> DataFrame:
     return _joined(spark, d).filter("n_lines is not null").select("id", scope.alias("tva_scope"), match.alias("tva_match_decl"))
 
 
+#: Two entities of one client: A and B.
+_TWO = identity.Profile([("FR12900000001", "900000001"), ("FR34900000002", "900000002")], [("ACME PARFUMS", "FR12900000001")])
+_A, _B = _TWO.vats
+
+
+@query(f"""WITH i AS ({derive.INVOICES}), x AS ({derive.DECLARATIONS}), j AS (SELECT i.id, i.id % 8 AS k, i.vat, {_close('i.total', 'x.total', 1.0, 0.02)} AS near FROM i JOIN x ON i.id = x.id)
+SELECT id, CASE WHEN k IN (0, 1) THEN 'WARN' WHEN k = 2 THEN 'NOK' WHEN k = 3 THEN CASE WHEN near THEN 'WARN' ELSE 'NOK' END WHEN k = 4 THEN 'NOK' ELSE 'OK' END AS tva_scope,
+CASE k WHEN 5 THEN 'WARN' WHEN 6 THEN 'OK' WHEN 7 THEN 'NOK' END AS tva_match_decl FROM j""")
+def entity_branches(spark, d: str) -> DataFrame:
+    """Whose goods: invoices that name no one, someone else or the client (by number or by name) against declarations that name no one, one entity, or both."""
+    i, x, k = derive.invoices(spark, d), derive.declarations(spark, d), F.col("id") % 8
+    none = F.lit(None).cast("string")
+    vat = F.when(k < 3, none).when(k == 6, "fr12 900000001").when(k == 7, none).when(k == 5, _A).otherwise(F.col("vat"))
+    text = F.when(k == 7, "Invoice\nSold to Acme Parfums, Paris").when(k == 3, "Invoice\nShip to someone else").otherwise("Invoice")
+    d_vat = F.when(k.isin(0, 3), _A).when(k == 6, _A).when(k == 7, _B).when(k == 1, "FR55555555555").otherwise(none)
+    d_text = F.when(k.isin(1, 5), "importer SIREN 900 000 001, declarant FR34 900000002").when(k == 2, "importer unknown").otherwise("declaration")
+    invoices = i.select(F.col("id").alias("invoice_id"), vat.alias("vat"), text.alias("text"), "total")
+    declarations = x.select(F.col("id").alias("declaration_id"), d_vat.alias("vat"), d_text.alias("text"), "total")
+    linked = x.select(F.col("id").alias("invoice_id"), F.col("id").alias("declaration_id"))
+    return entities.checks(linked, invoices, declarations, _TWO).select(F.col("invoice_id").alias("id"), "tva_scope", "tva_match_decl")
+
+
 _CONFUSED = " OR ".join(f"(x = '{x}' AND y IN ({', '.join(repr(y) for y in ys)}))" for x, ys in C.CONFUSABLE.items())
 _PAIR = f"""p AS (SELECT p_partkey AS id, (420000 + p_partkey % 5000)::VARCHAR AS a, (420000 + (p_partkey * 7 + 3) % 5000)::VARCHAR AS b FROM part),
 q AS (SELECT id, a, b, unnest([1,2,3,4,5,6]) AS k FROM p), r AS (SELECT id, a, b, substr(a, k, 1) AS x, substr(b, k, 1) AS y FROM q)"""

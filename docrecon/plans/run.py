@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import enrich, extract, identity, links, pages, repair, rules
+from ..operators import enrich, entities, extract, identity, links, pages, repair, rules
 from ..sources import customs
 from ..sources import files as S
 
@@ -71,17 +71,16 @@ def _forwarder(docs: DataFrame, kept: DataFrame, invoices: DataFrame) -> DataFra
     return both.select(F.col("bundle_id").alias("invoice_id"), "prestation_id", rules.duties(F.col("declared"), F.col("due")).alias("duties_match"))
 
 
-def reconcile(docs: DataFrame, rates: dict[str, float]) -> DataFrame:
+def reconcile(docs: DataFrame, rates: dict[str, float], profile: identity.Profile | None = None) -> DataFrame:
     """One row an invoice with its matched declarations, the one it is checked against, its forwarder's invoice, the checks and the
     status; then one row for each declaration and forwarder's invoice that no invoice takes, which lack documents."""
     pool = F.coalesce("dossier", F.lit("")).alias("pool")
     lead = C.leading_ref(F.col("path")).alias("lead")
     every = F.coalesce("hs_codes", F.array_compact(F.array("hs_code")))
     codes = [_heads(every).alias("hs6"), every.alias("codes")]
-    of_goods = docs.withColumn("not_goods", F.lit(None).cast("string")) if "not_goods" not in docs.columns else docs
-    of_goods = of_goods if "text" in docs.columns else of_goods.withColumn("text", F.lit(None).cast("string"))
-    i = enrich.usable(of_goods.filter(F.col("doc_type").startswith("invoice"))).select(pool, F.col("id").alias("invoice_id"), "path", "dossier", "folder", C.ref_key(F.col("number")).alias("ref"), "awb", "total", "vat", *codes, lead, "currency", F.coalesce("estimated", F.lit(False)).alias("estimated"), "text", "amounts")
-    d = docs.filter(F.col("doc_type").startswith("declaration")).select(pool, F.col("id").alias("declaration_id"), F.col("id").alias("ord"), "folder", F.transform("refs", C.ref_key).alias("refs"), F.coalesce("awbs", F.array().cast("array<string>")).alias("awbs"), "total", "currency", F.col("fx_rate").alias("fx"), "vat", *codes, lead)
+    docs = docs.withColumns({c: F.lit(None).cast("string") for c in ("not_goods", "text") if c not in docs.columns})
+    i = enrich.usable(docs.filter(F.col("doc_type").startswith("invoice"))).select(pool, F.col("id").alias("invoice_id"), "path", "dossier", "folder", C.ref_key(F.col("number")).alias("ref"), "awb", "total", "vat", *codes, lead, "currency", F.coalesce("estimated", F.lit(False)).alias("estimated"), "text", "amounts")
+    d = docs.filter(F.col("doc_type").startswith("declaration")).select(pool, F.col("id").alias("declaration_id"), F.col("id").alias("ord"), "folder", F.transform("refs", C.ref_key).alias("refs"), F.coalesce("awbs", F.array().cast("array<string>")).alias("awbs"), "total", "currency", F.col("fx_rate").alias("fx"), "vat", *codes, lead, "text")
     kept = links.match(i, d)
     i = repaired(kept, i, d)
     linked = kept.select(F.col("pool").alias("bundle_id"), "invoice_id", "declaration_id", "ord")
@@ -92,8 +91,13 @@ def reconcile(docs: DataFrame, rates: dict[str, float]) -> DataFrame:
     rate = F.coalesce(*(F.when(F.col("currency") == c, F.lit(float(r))) for c, r in rates.items()), F.lit(None).cast("double"))
     currency, value = rules.value_currency(F.col("total"), F.col("currency"), F.col("d_total"), F.col("d_currency"), rate, F.col("estimated"))
     checks = F.array(rules.check("currency_match", currency), rules.check("amount_match", value), rules.check("hs_subset", rules.tariff(F.col("hs6"), F.col("d_hs6"))), rules.check("duties_match", F.col("duties_match")))
+    named = entities.checks(chosen, i, d, profile) if profile and profile.entities else None
+    if named is not None:
+        checks = F.concat(F.array(rules.check("tva_scope", F.col("tva_scope")), rules.check("tva_match_decl", F.col("tva_match_decl"))), checks)
     given = F.filter(checks, lambda c: c["status"].isNotNull())
-    out = i.join(chosen, "invoice_id", "left").join(x, "declaration_id", "left").join(forwarder, "invoice_id", "left").withColumn("checks", F.when(F.col("declaration_id").isNotNull(), given).otherwise(F.slice(checks, 1, 0)))
+    out = i.join(chosen, "invoice_id", "left").join(x, "declaration_id", "left").join(forwarder, "invoice_id", "left")
+    out = out if named is None else out.join(named.drop("declaration_id"), "invoice_id", "left")
+    out = out.withColumn("checks", F.when(F.col("declaration_id").isNotNull(), given).otherwise(F.slice(checks, 1, 0)))
     out = out.withColumn("status", rules.status(F.lit(True), F.col("declaration_id").isNotNull(), F.col("checks"))).select("pool", "invoice_id", "declaration_id", "n_declarations", "prestation_id", "total", "currency", "d_total", "d_currency", "repaired", "checks", "status")
     alone = [("declaration", "declaration_id", kept), ("prestation", "prestation_id", forwarder)]
     for kind, key, used in alone:
