@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import duties, enrich, entities, evidence, identity, links, pages, rules, tariff, totals, variants
+from ..operators import duties, enrich, entities, evidence, extract, identity, links, pages, rules, tariff, totals, variants
 from . import derive
 
 QUERIES: dict[str, Callable] = {}
@@ -470,6 +470,41 @@ def hs_steps(spark, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/part.parquet").select(k.alias("id"), F.array_join(tariff.codes(text.otherwise(texts[-1]), scope=scope), ",").alias("codes"))
 
 
+_FORMATS = ["declaration_delta_ie_dhl", "declaration_delta_ie_akanea", "declaration_dau", "invoice_entity", "invoice_entity_proforma", "invoice_entity_delivery_note", "invoice_dhl_hawb"]
+
+
+@query(f"""WITH o AS (SELECT o_orderkey AS id, o_orderkey % 7 AS k, (o_orderkey % 900 + 100)::DOUBLE AS a, (o_orderkey % 97 + 1)::DOUBLE AS b, '25FR' || lpad(o_orderkey::VARCHAR, 14, '0') AS m, '420222' || (o_orderkey % 9000 + 1000) AS h, '640399' || (o_orderkey % 8000 + 1000) AS g FROM orders)
+SELECT id, [{', '.join(f"'{f}'" for f in _FORMATS)}][k + 1] AS doc_type, CASE WHEN k < 3 THEN m END AS mrn, CASE k WHEN 3 THEN 'E-' || id WHEN 4 THEN 'P-' || id WHEN 5 THEN 'N-' || id WHEN 6 THEN 'C-' || id END AS number,
+CASE k WHEN 1 THEN 'USD' WHEN 4 THEN 'USD' WHEN 6 THEN 'GBP' ELSE 'EUR' END AS currency, CASE k WHEN 0 THEN a + b + 0.5::DOUBLE WHEN 5 THEN NULL ELSE a END AS total,
+CASE WHEN k = 6 THEN '420221' || (id % 90 + 10) WHEN k IN (2, 4) THEN g ELSE h END AS hs_code, CASE k WHEN 0 THEN 1 END AS n_other,
+CASE k WHEN 0 THEN b + 1.25::DOUBLE WHEN 2 THEN b END AS dd, CASE k WHEN 1 THEN b WHEN 2 THEN 0.0::DOUBLE END AS at, CASE k WHEN 0 THEN a WHEN 1 THEN a WHEN 2 THEN 0.0::DOUBLE END AS tva, CASE k WHEN 1 THEN a + b WHEN 2 THEN b END AS tg,
+CASE k WHEN 0 THEN b + 0.5::DOUBLE WHEN 1 THEN 1.5::DOUBLE END AS net_weight_kg, CASE k WHEN 0 THEN '70' || lpad((id % 999999)::VARCHAR, 8, '1') WHEN 6 THEN '80' || lpad((id % 999999)::VARCHAR, 8, '1') END AS awb FROM o""")
+def extracted_documents(spark, d: str) -> DataFrame:
+    """Fields of seven formats, a document an order: articles that add up, tables of duties, codes split over lines, a note's commonest code."""
+    k = F.col("o_orderkey")
+    text = lambda c: c.cast("string")
+    say = lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v for v in x))
+    a, b, m = text(k % 900 + 100), text(k % 97 + 1), say("25FR", F.lpad(text(k), 14, "0"))
+    h, g, w = say("420222", text(k % 9000 + 1000)), say("640399", text(k % 8000 + 1000)), F.lpad(text(k % 999999), 8, "1")
+    total = text(k % 900 + 100 + k % 97 + 1)
+    texts = [
+        say("DELTA IE MRN ", m, "\nMonnaie et montant total facture EUR 9,00\nN380: INV-", text(k), ", N740: 70", w, "\nARTICLE N 1\nCode des marchandises ", h, "\nMasse nette (kg) ", b, ",5\nMontant article facture EUR ", a, ",00\nLIQUIDATION\nU165\nA445\nMontant\n", b, ",00\n", a, "\nDONNEE COMPLEMENTAIRE\nARTICLE N 2\nCode des marchandises ", g, "\nMontant article facture EUR ", b, ",50\nLIQUIDATION\nU165\nMontant\n1,25\nDONNEE COMPLEMENTAIRE\n"),
+        say("Edition Akanea Delta IE MRN ", m, "\nLIQUIDATION TOTALE\nA445\nB00 - TVA\n", a, ".00\n6\nM830\nNAT\n", b, ".00\n1\nTotal\n", total, "\nMontant total facture USD 9,00\nARTICLE N 1\nNomenclature: ", h, "\nMasse nette 1,5 kg\nMontant article facture: USD ", a, ",00\n"),
+        say("DAU MRN ", m, "\n22 Monnaie et montant total facture EUR ", a, ",00\n33 Code des marchandises ", g, "\nTG ", b, ",00\nDD ", b, ",00\n"),
+        say("ACME INVOICE No: E-", text(k), "\nHS Code: ", h, "\nTotal EUR ", a, ".00\n"),
+        say("ACME PROFORMA INVOICE\nProforma No: P-", text(k), "\nHS Code: ", g, "\nTotal USD ", a, ".00\n"),
+        say("DELIVERY NOTE No: N-", text(k), "\n", g, " shoe\n", h, " bag\n", h, " bag\n"),
+        say("COMMERCIAL INVOICE\nInvoice No: C-", text(k), "\nWaybill No: 80", w, "\n1B:4202. 1.000 kg FRANCE 21.", text(k % 90 + 10), "\nTotal Invoice Amount ", a, ".00 GBP\n"),
+    ]
+    n, whole, kind = k % len(texts), F, F
+    for i, (t, f) in enumerate(zip(texts, _FORMATS, strict=True)):
+        whole, kind = whole.when(n == i, t), kind.when(n == i, F.lit(f))
+    cut = spark.read.parquet(f"{d}/orders.parquet").select(text(k).alias("path"), k.alias("seg_no"), kind.alias("doc_type"), whole.alias("text"))
+    docs = extract.documents(cut)
+    other = F.when(F.col("doc_type") == _FORMATS[0], F.size("hs_codes") - 1)
+    return docs.select(F.col("seg_no").alias("id"), "doc_type", "mrn", "number", "currency", "total", "hs_code", other.alias("n_other"), "dd", "at", "tva", "tg", "net_weight_kg", "awb")
+
+
 _VARIANTS = """SELECT o_custkey AS page, o_orderkey AS reading, (o_orderkey % 7)::INT AS score, [
   'Page ' || o_custkey,
   CASE o_orderkey % 5 WHEN 0 THEN 'bag 4202.22.' || (o_orderkey % 90 + 10) || ' blue' WHEN 1 THEN '  Amount ' || (o_orderkey % 900 + 100) || ',50 EUR ' WHEN 2 THEN 'buyer FR12 ' || (123456000 + o_orderkey % 999) ELSE 'no signal ' || o_orderkey % 3 END,
