@@ -17,14 +17,12 @@ el los las y en que es por con una para del se no su al lo como
 
 #: (measure, comparison that rejects, threshold). A text is kept when no rule rejects it. Measures are ratios of the counts below.
 RULES = [
-    ("symbols_per_word", ">", 0.5),
+    ("symbols_per_word", ">", 0.1),  # each bar that joins fragments is a word, too, so that even these stay below 0.5
     ("mean_word_length", ">", 25.0),
     ("mean_word_length", "<", 2.0),
     ("dup_line_ratio", ">", 0.5),
     ("stop_word_ratio", "<", 0.005),
 ]
-#: The rules of quality_filter. op4_quality and its SQL keep RULES; there a bound of 0.5 lets fragments joined by bars pass, as each bar is also a word.
-FILTER_RULES = [("symbols_per_word", ">", 0.1), *RULES[1:]]
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 
 
@@ -76,7 +74,7 @@ def quality_counts(docs: DataFrame, text_col: str = "text", name: str = "q") ->
     return out.withColumn(name, counts).drop(w, s, t)
 
 
-def quality_verdict(q: str, rules=None) -> tuple[Column, Column]:
+def quality_verdict(q: str) -> tuple[Column, Column]:
     """(base_failed, kept) as Columns from the struct of counts; the rule table becomes one boolean expression."""
     c = lambda x: F.col(q)[x]
     one = F.greatest(c("n_words"), F.lit(1))
@@ -88,18 +86,18 @@ def quality_verdict(q: str, rules=None) -> tuple[Column, Column]:
     }
     failed = (c("n_words") < MIN_WORDS) | (100 * c("n_repeat_words") > MAX_REPEAT_PERCENT * c("n_words"))
     bad = F.lit(False)
-    for measure, way, threshold in RULES if rules is None else rules:
+    for measure, way, threshold in RULES:
         bad = bad | (measures[measure] > threshold if way == ">" else measures[measure] < threshold)
     return failed, ~failed & ~bad
 
 
 def quality_filter(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of docs whose text passes FILTER_RULES, with the columns of docs. Null and empty texts are rejected (no words)."""
+    """The rows of docs whose text passes RULES, with the columns of docs. Null and empty texts are rejected (no words)."""
     q, row = free_name(docs, "quality"), free_name(docs, "quality_row")
     # A predicate would sink below the projections and there repeat the counts at each use; a column that is not
     # deterministic keeps it above them.
     counted = quality_counts(docs, text_col, q).withColumn(row, F.monotonically_increasing_id())
-    return counted.filter(quality_verdict(q, FILTER_RULES)[1] & (F.col(row) >= 0)).drop(q, row)
+    return counted.filter(quality_verdict(q)[1] & (F.col(row) >= 0)).drop(q, row)
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
