@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docrecon.llm.common import discard, free_name, materialise, scratch_scope
-from docrecon.llm.minhash import near_duplicates
+from docrecon.llm.common import discard, materialise, scratch_scope
+from docrecon.llm.minhash import near_duplicates, without_ids
 from docrecon.llm.mixing import mix
 from docrecon.llm.packing import pack
 from docrecon.llm.quality import quality_filter
@@ -20,8 +20,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one of smallest doc_id. Rows without a doc_id stay."""
-    gone = near_duplicates(docs).filter("not kept").select(F.col("doc_id").alias(free_name(docs, "gone"))).distinct()
-    return docs.join(gone, docs["doc_id"] == gone[gone.columns[0]], "left_anti")
+    return without_ids(docs, near_duplicates(docs).filter("not kept").select("doc_id"))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import lines, materialise, mix64, scratch_scope
+from .common import free_name, lines, materialise, mix64, scratch_scope
 from .graph import components
 
 #: Each side has so many collections of SIDE_HASHES minima; every pair of a left and a right collection is a table.
@@ -246,6 +246,25 @@ def _near_duplicates(docs: DataFrame) -> DataFrame:
     return materialise(out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), group.alias("component_id"), (group == F.col("id")).alias("kept")), "near-duplicates")
 
 
+def without_ids(docs: DataFrame, gone: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The rows of docs whose id is not among those of gone (one column). Rows without an id stay.
+
+    Each id sets one of FILTER_BITS bits; their words are a table of FILTER_BITS / 64 rows at most, which is broadcast. Rows whose bit
+    is not set stay where they are, and only the others, the rows of gone and few besides, meet gone in a join.
+    """
+    own, bits, word = F.col(f"`{id_col}`").cast("long"), free_name(docs, "bits"), free_name(docs, "word")
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS))
+    mask = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), slot(c).bitwiseAND(F.lit(63)).cast("int"))
+    ids = gone.select(F.col(gone.columns[0]).cast("long").alias("gone")).filter("gone is not null").distinct()
+    words = ids.groupBy(F.shiftright(slot(F.col("gone")), 6).alias(word)).agg(F.bit_or(mask(F.col("gone"))).alias(bits))
+    met = docs.join(F.broadcast(words), F.shiftright(slot(own), 6) == F.col(word), "left")
+    open_ = F.coalesce(F.col(bits).bitwiseAND(mask(own)) != 0, F.lit(False))
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    gone_id = free_name(docs, "gone")
+    rest = met.filter(open_).select(*cols)
+    return met.filter(~open_).select(*cols).unionAll(rest.join(ids.withColumnRenamed("gone", gone_id), own == F.col(gone_id), "left_anti").select(*cols))
+
+
 def op1_minhash(spark, sf_dir: str) -> DataFrame:
     """Near-duplicate components of the whole documents table."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

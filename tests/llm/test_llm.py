@@ -534,6 +534,7 @@ def test_quality_filter_drops_labelled_junk(spark):
     kept = {r["doc_id"] for r in quality.quality_filter(docs).select("doc_id").collect()}
     clean, junk = ({r["doc_id"] for r in passed.filter(f"quality = {q}").collect()} for q in (1, 0))
     assert clean and junk and clean <= kept and not junk & kept
+    assert kept == {r["doc_id"] for r in quality.quality(docs).filter("kept").collect()}
 
 
 @pytest.mark.parametrize("wrapper", ['div class="overflow-hidden"', "div style='overflow:hidden'", 'div class="has-sidebar"', 'div class="page no-sidebar"', 'div class="layout--with-sidebar"', "div class='sidebar-layout sidebar'", 'div data-state="hidden"', 'div aria-hidden="false"', 'div title="display:none"'])
@@ -605,3 +606,16 @@ def test_components(spark, kind):
             parent[max(a, b)] = min(a, b)
     got = components(spark.createDataFrame([(int(u), int(v)) for u, v in edges], "u long, v long")).collect()
     assert sorted((r.node, r.component) for r in got) == sorted((x, top(x)) for x in parent)
+
+
+@pytest.mark.parametrize("bits", [minhash.FILTER_BITS, 128])
+def test_without_ids(spark, monkeypatch, bits):
+    """Rows of the ids go, all others stay, whether the filter tells them apart or hardly any."""
+    monkeypatch.setattr(minhash, "FILTER_BITS", bits)
+    rows = [(i % 700, f"t{i}", i) for i in range(900)] + [(None, "null", 1), (-5, "minus", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, bits string, word long")
+    ids = [*range(0, 700, 9), -5, 10**15, None]
+    out = minhash.without_ids(docs, spark.createDataFrame([(i,) for i in ids + ids], "x long"))
+    assert out.schema == docs.schema
+    assert sorted(map(repr, out.collect())) == sorted(repr(r) for r in docs.collect() if r["doc_id"] is None or r["doc_id"] not in ids)
+    assert minhash.without_ids(docs, spark.createDataFrame([], "x long")).count() == len(rows)
