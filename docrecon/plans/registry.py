@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import duties, enrich, entities, evidence, extract, identity, links, pages, rules, tariff, totals, variants
+from ..streaming import ingest
 from . import derive
 
 QUERIES: dict[str, Callable] = {}
@@ -269,18 +270,25 @@ def orphan_prestations(spark, d: str) -> DataFrame:
     return links.orphans(prestations.select("prestation_id"), links.best_prestation(links.prestation_bundle_score(bundles, prestations)).distinct(), "prestation_id")
 
 
-# The same by reference, total and VAT alone, every pair with its score. They have no SQL; the tests hold them against brute force.
-@query()
+# The same by reference, total and VAT alone, every pair of a dossier with its score; the tests also hold them against brute force.
+_SCORED_ALL = f"""WITH i AS ({derive.INVOICES}), x AS ({derive.DECLARATIONS}),
+y AS (SELECT id, total, currency, vat, CASE WHEN id % 4 = 0 THEN 1.08::DOUBLE END AS fx, CASE WHEN id % 2 = 0 THEN regexp_replace(upper(ref), '[^A-Z0-9]', '', 'g') ELSE 'NONE' END AS ref FROM x),
+z AS (SELECT y.id // {derive.DOSSIER} AS pool, i.id AS invoice_id, y.id AS declaration_id, regexp_replace(upper(i.ref), '[^A-Z0-9]', '', 'g') AS r, y.ref AS s, i.total AS t, y.total AS u, y.currency AS c, y.fx, i.vat = y.vat AS v FROM i JOIN y ON i.id // {derive.DOSSIER} = y.id // {derive.DOSSIER}),
+s AS (SELECT pool, invoice_id, declaration_id, declaration_id AS ord, (CASE WHEN contains(r, s) OR contains(s, r) THEN 80 ELSE 0 END + CASE WHEN {_close('t', 'u', 1.0, 0.01)} THEN 35 WHEN fx > 0 AND c <> 'EUR' AND {_close('t / fx', 'u', 1.0, 0.01)} THEN 20 ELSE 0 END + CASE WHEN v THEN 20 ELSE 0 END)::INT AS score FROM z),
+m AS (SELECT *, max(score) OVER (PARTITION BY pool, invoice_id) AS best, row_number() OVER (PARTITION BY pool, invoice_id ORDER BY score DESC, ord) AS n FROM s)"""
+
+
+@query(f"{_SCORED_ALL} SELECT * FROM s")
 def invoice_decl_score_all(spark, d: str) -> DataFrame:
     return _scored_all(spark, d)
 
 
-@query()
+@query(f"{_SCORED_ALL} SELECT pool, invoice_id, declaration_id, ord, score FROM m WHERE score >= 60 OR (best < 60 AND n = 1 AND score >= 15)")
 def invoice_decl_matches_all(spark, d: str) -> DataFrame:
     return links.matches(_scored_all(spark, d))
 
 
-@query()
+@query(f"{_SCORED_ALL} SELECT id FROM x WHERE id NOT IN (SELECT declaration_id FROM m WHERE score >= 60 OR (best < 60 AND n = 1 AND score >= 15))")
 def orphan_declarations_all(spark, d: str) -> DataFrame:
     used = links.matches(_scored_all(spark, d)).select(F.col("declaration_id").alias("id")).distinct()
     return links.orphans(derive.declarations(spark, d).select("id"), used, "id")
@@ -293,9 +301,12 @@ def best_prestation(spark, d: str) -> DataFrame:
     return links.best_prestation(i)
 
 
-@query("""WITH b AS (SELECT o_custkey % 10 AS pool, o_orderkey AS ord, 'D' || o_orderkey % 50 AS member, CASE o_orderkey % 3 WHEN 0 THEN 'n:N' || o_custkey % 40 WHEN 1 THEN 'a:A' || o_custkey % 30 ELSE 's:S' || o_orderkey END AS merge_key FROM orders),
+_MERGED = """WITH b AS (SELECT o_custkey % 10 AS pool, o_orderkey AS ord, 'D' || o_orderkey % 50 AS member, CASE o_orderkey % 3 WHEN 0 THEN 'n:N' || o_custkey % 40 WHEN 1 THEN 'a:A' || o_custkey % 30 ELSE 's:S' || o_orderkey END AS merge_key FROM orders),
 f AS (SELECT pool, merge_key, member, min(ord) AS ord FROM b GROUP BY ALL)
-SELECT pool, merge_key, ord, n_bundles, members FROM (SELECT pool, merge_key, string_agg(member, ',' ORDER BY ord) AS members FROM f GROUP BY ALL) JOIN (SELECT pool, merge_key, min(ord) AS ord, count(*) AS n_bundles FROM b GROUP BY ALL) USING (pool, merge_key)""")
+SELECT pool, merge_key, ord, n_bundles, members FROM (SELECT pool, merge_key, string_agg(member, ',' ORDER BY ord) AS members FROM f GROUP BY ALL) JOIN (SELECT pool, merge_key, min(ord) AS ord, count(*) AS n_bundles FROM b GROUP BY ALL) USING (pool, merge_key)"""
+
+
+@query(_MERGED)
 def merge_bundles(spark, d: str) -> DataFrame:
     return links.merge_bundles(_bundles(spark.read.parquet(f"{d}/orders.parquet")))
 
@@ -305,7 +316,7 @@ def _bundles(orders: DataFrame) -> DataFrame:
     return orders.select((c % 10).alias("pool"), k.alias("ord"), F.concat(F.lit("D"), k % 50).alias("member"), F.when(k % 3 == 0, F.concat(F.lit("N"), c % 40)).alias("number"), F.when(k % 3 == 1, F.concat(F.lit("A"), c % 30)).alias("awb"), F.lit("").alias("mrn"), F.concat(F.lit("S"), k).alias("sources"))
 
 
-@query()
+@query(_MERGED)
 def merge_bundles_all(spark, d: str) -> DataFrame:
     """The same, held against brute force by the tests."""
     return links.merge_bundles(_bundles(spark.read.parquet(f"{d}/orders.parquet")))
@@ -416,7 +427,8 @@ def safe_tab_names(spark, d: str) -> DataFrame:
     return s.withColumn("n", n).select("id", F.when(F.col("n") > 1, F.concat(F.substring("base", 1, 31), F.lit("_"), F.col("n"))).otherwise(F.col("base")).alias("tab"))
 
 
-@query()
+@query(f"""{_BASE}, n AS (SELECT {_STATUS} AS status, count(*) AS n FROM v GROUP BY 1)
+SELECT '{{"by_status":[' || string_agg('{{"status":"' || status || '","n":' || n || '}}', ',' ORDER BY status) || '],"anomalies":' || sum(CASE WHEN status IN ('KO_BLOQUANT', 'KO', 'MANQUE_DOC') THEN n ELSE 0 END)::BIGINT || '}}' AS summary FROM n""")
 def run_summary_json(spark, d: str) -> DataFrame:
     s = rules.summary(_status(spark, d).select("status"))
     return s.agg(F.to_json(F.struct(F.sort_array(F.collect_list(F.struct("status", "n"))).alias("by_status"), F.sum(F.when(F.col("anomaly"), F.col("n")).otherwise(0)).alias("anomalies"))).alias("summary"))
@@ -630,3 +642,24 @@ def invoice_total(spark, d: str) -> DataFrame:
     text = F.when(k % 5 == 0, footer).when(k % 5 == 1, last).when(k % 5 == 2, misread).when(k % 5 == 3, lines).otherwise("no amount")
     c = F.col("c")
     return spark.read.parquet(f"{d}/orders.parquet").select(k.alias("id"), totals.choice(text).alias("c")).select("id", c["picked"]["currency"].alias("currency"), c["picked"]["total"].alias("total"), c["estimated"].alias("estimated"))
+
+
+@query("""WITH a AS (SELECT date_trunc('hour', ts) AS start, 'D' || user_id % 40 AS dossier, CASE event_id % 3 WHEN 0 THEN 'invoice' WHEN 1 THEN 'declaration' ELSE 'prestation' END AS kind FROM events)
+SELECT start, dossier, count_if(kind = 'invoice')::BIGINT AS invoices, count_if(kind = 'declaration')::BIGINT AS declarations, count_if(kind = 'invoice') > 0 AND count_if(kind = 'declaration') > 0 AS complete FROM a GROUP BY start, dossier""")
+def dossier_completeness(spark, d: str) -> DataFrame:
+    """Documents of a dossier that arrive within an hour, over the table of events; the same plan runs on a stream."""
+    k = F.col("event_id") % 3
+    kind = F.when(k == 0, "invoice").when(k == 1, "declaration").otherwise("prestation")
+    arrivals = spark.read.parquet(f"{d}/events.parquet").select("ts", F.concat(F.lit("D"), F.col("user_id") % 40).alias("dossier"), kind.alias("kind"))
+    return ingest.completeness(arrivals)
+
+
+@query("""WITH v AS (SELECT o_custkey AS id, o_orderkey AS k, CASE o_orderkey % 3 WHEN 0 THEN lower(o_orderpriority) || '.' WHEN 1 THEN ' ' || o_orderpriority ELSE o_orderpriority || ' ;' END AS v FROM orders),
+c AS (SELECT id, k, regexp_replace(trim(v), '[ ,;:.]+$', '') AS v FROM v), f AS (SELECT id, upper(v) AS u, min(k) AS k, arg_min(v, k) AS v FROM c GROUP BY id, upper(v))
+SELECT id, string_agg(v, '|' ORDER BY k) AS vals FROM f GROUP BY id""")
+def ordered_values(spark, d: str) -> DataFrame:
+    """The priorities of a customer's orders as they first come, whatever their case and the signs that end them."""
+    k, p = F.col("o_orderkey"), F.col("o_orderpriority")
+    value = F.when(k % 3 == 0, F.concat(F.lower(p), F.lit("."))).when(k % 3 == 1, F.concat(F.lit(" "), p)).otherwise(F.concat(p, F.lit(" ;")))
+    lists = spark.read.parquet(f"{d}/orders.parquet").groupBy(F.col("o_custkey").alias("id")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", value.alias("v")))).alias("a"))
+    return lists.select("id", F.array_join(C.ordered_distinct(F.transform("a", lambda x: x["v"])), "|").alias("vals"))

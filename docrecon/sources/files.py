@@ -1,4 +1,4 @@
-"""Readers of customs files: listing, path context, workbooks and archives; what fails goes to an error column."""
+"""What a customs file is: its kinds, the context of its path, and the sheets of a workbook from its XML."""
 
 from __future__ import annotations
 
@@ -8,24 +8,12 @@ import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 KINDS = {"pdf": "pdf", "xlsx": "excel", "xlsm": "excel", "xls": "excel"}
 _NS = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
 _RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-PAGES = "path string, kind string, page_no int, text string, error string"
-
-
-def extension(path: Column) -> Column:
-    return F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))
-
-
-def accepted(path: Column) -> Column:
-    """Files that are read: known extensions, no system files, no transport copies."""
-    name = F.element_at(F.split(path, "/"), -1)
-    return extension(path).isin(*KINDS) & ~name.startswith("._") & (name != ".DS_Store") & ~name.rlike("_HWB_|_AWB_|HAWB")
 
 
 def path_context(path: Column, root: str) -> Column:
@@ -38,11 +26,6 @@ def path_context(path: Column, root: str) -> Column:
     return F.struct(F.when(n > 1, parts[0]).alias("dossier"), F.when(n > 2, parts[1]).alias("folder"))
 
 
-def read_binary(spark: SparkSession, root: str) -> DataFrame:
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.filter(accepted(F.col("path"))).withColumn("kind", F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv))[extension(F.col("path"))])
-
-
 def _sheet_files(z: zipfile.ZipFile) -> list[tuple[str, str]]:
     """(name, part) of each sheet in the workbook's order, by its relationship; one whose part is missing is an error, not left out."""
     targets = {}
@@ -79,31 +62,3 @@ def sheets(content: bytes) -> Iterator[str]:
                 if line.strip():
                     rows.append(line)
             yield "\n".join([f"[SHEET:{name}]", *rows])
-
-
-def members(content: bytes) -> Iterator[tuple[str, bytes]]:
-    """Usable files of an archive under safe relative names; nothing is written to disk."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        for info in z.infolist():
-            parts = [p for p in info.filename.replace("\\", "/").split("/") if p not in ("", ".", "..")]
-            if not info.is_dir() and parts and "__MACOSX" not in parts and not parts[-1].startswith("._") and parts[-1].rpartition(".")[2].lower() in KINDS:
-                yield "/".join(parts), z.read(info)
-
-
-def pages(files: DataFrame, read_pdf=None) -> DataFrame:
-    """One row a page or sheet from (path, kind, content); a file that can't be read gives one row with its error. read_pdf takes bytes and yields page texts; none is bundled."""
-
-    def run(batches):
-        for pdf in batches:
-            out = []
-            for path, kind, content in zip(pdf.path, pdf.kind, pdf.content, strict=True):
-                try:
-                    if kind == "pdf" and read_pdf is None:
-                        raise ValueError("no reader for PDF is set")
-                    texts = list(sheets(content) if kind == "excel" else read_pdf(content))
-                    out += [(path, kind, i + 1, t, None) for i, t in enumerate(texts)]
-                except Exception as e:  # noqa: BLE001 - the error is the row
-                    out.append((path, kind, None, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(out, columns=["path", "kind", "page_no", "text", "error"]).astype({"page_no": "Int32"})
-
-    return files.select("path", "kind", "content").mapInPandas(run, PAGES)

@@ -114,3 +114,26 @@ def test_sheets_by_their_relationship(spark, tmp_path):
     del parts["xl/worksheets/sheet2.xml"]
     with pytest.raises(ValueError, match="second has no part"):
         list(files.sheets(archive(parts)))
+
+
+def test_dossiers_as_a_stream(spark, tmp_path):
+    """Arrivals in files, late ones within the watermark too; a window goes out once the watermark has passed it."""
+    from pyspark.sql import functions as F
+
+    from docrecon.streaming import ingest
+
+    schema = "ts timestamp, dossier string, kind string"
+    batches = [
+        [("2025-01-01 10:05:00", "A", "invoice"), ("2025-01-01 10:10:00", "B", "invoice")],
+        [("2025-01-01 11:01:00", "A", "invoice"), ("2025-01-01 10:55:00", "A", "declaration")],  # late, but within ten minutes of the latest
+        [("2025-01-01 12:30:00", "A", "declaration")],
+        [("2025-01-01 10:30:00", "B", "declaration")],  # too late
+    ]
+    for n, rows in enumerate(batches):
+        frame = spark.createDataFrame(rows, "ts string, dossier string, kind string").withColumn("ts", F.to_timestamp("ts"))
+        frame.coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = ingest.completeness(spark.readStream.schema(schema).parquet(f"{tmp_path}/in"))
+        query = stream.writeStream.outputMode("append").format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+        assert query.awaitTermination(120), n
+    got = {(str(r["start"])[11:13], r["dossier"]): (r["invoices"], r["declarations"], r["complete"]) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {("10", "A"): (1, 1, True), ("10", "B"): (1, 0, False), ("11", "A"): (1, 0, False)}
