@@ -1,8 +1,8 @@
-"""Duties in the tables of a declaration: lists of codes and amounts that belong together by their place."""
+"""Duties in the tables of declarations and forwarders' invoices: codes and amounts that belong together by their place."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import spans
@@ -82,3 +82,33 @@ def total_duties(text: Column) -> Column:
 
     lines = _lines(F.coalesce(F.get(F.split(rest, TOTAL_ENDS, 2), F.lit(0)), F.lit("")))
     return let(F.transform(lines, lambda x: F.struct(x.alias("text"), amount(x).alias("value"))), fields)
+
+
+#: A row of a forwarder's table: a code, what it is charged on, the word, the rate, the duty; and the characters after it that may hold its taxes.
+DUTY_ROW, ROW_WINDOW = r"(?iU)\b(\d{10})\s+([\d.,]+)\s+Droits\s+de\s+Douane\s+([\d.,]+)\s+([\d.,]+)", 400
+_ROW_TAXES = {"base_tva": (r"TVA\s+[àa]\s+l['’ ]importation\s+([\d.,]+)\s+([\d.,]+)", 1), "tva": (r"TVA\s+[àa]\s+l['’ ]importation\s+([\d.,]+)\s+([\d.,]+)", 2), "at": (r"Autres\s+Taxes\s+([\d.,]+)\s+([\d.,]+)", 2), "total": (r"Total\s*EUR\s*:?\s*([\d.,]+)", 1)}
+
+
+def duty_rows(text: Column) -> Column:
+    """An array of (hs_code, base, rate, dd, base_tva, tva, at, total), one a row of a forwarder's table of duties, in order.
+
+    A row's taxes are the first of their kind within ROW_WINDOW characters after it; these windows overlap, so that a row whose
+    taxes are printed behind the next row's has them, too. Null fields were not printed. Null of a null text.
+    """
+    whole = rf"({DUTY_ROW})(?=([\s\S]{{0,{ROW_WINDOW}}}))"
+    rows, windows = (F.regexp_extract_all(text, F.lit(whole), F.lit(k)) for k in (1, 6))
+    value = lambda x, pattern, k: let(F.regexp_replace(F.regexp_extract(x, pattern, k), r"[.,]+\z", ""), amount)
+
+    def one(p: Column) -> Column:
+        own = [value(p["left"], DUTY_ROW, k).alias(n) for n, k in (("base", 2), ("rate", 3), ("dd", 4))]
+        taxes = [value(p["right"], f"(?iU){pattern}", k).alias(n) for n, (pattern, k) in _ROW_TAXES.items()]
+        return F.struct(F.regexp_extract(p["left"], DUTY_ROW, 1).alias("hs_code"), *own, *taxes)
+
+    return F.transform(spans.paired(rows, windows), one)
+
+
+def by_code(documents: DataFrame, id_col: str = "id", rows_col: str = "duty_rows") -> DataFrame:
+    """(id, hs_code, n_rows, dd, tva, at): a document's duties by tariff code, null where no row of the code prints one."""
+    rows = documents.select(id_col, F.explode(rows_col).alias("r"))
+    total = lambda c: F.round(F.sum(F.col(f"r.{c}")), 2).alias(c)
+    return rows.groupBy(id_col, F.col("r.hs_code").alias("hs_code")).agg(F.count(F.lit(1)).alias("n_rows"), total("dd"), total("tva"), total("at"))

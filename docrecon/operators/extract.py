@@ -253,6 +253,7 @@ def prestation(text: Column, doc_type: Column) -> tuple[dict[str, Column], dict[
         out[name] = number(found) if shape == "amount" else iso_date(found) if shape == "date" else found
     out["vat"] = F.coalesce(first(text, rf"\b({SHAPES['vat']})"), F.concat(F.lit("FR"), first(text, r"(?iU)\bTVA\s*FR\s*(\d{11})\b")))
     out["currency"] = F.lit("EUR")
+    out["duty_rows"] = duties.duty_rows(text)
     out["mrns"] = F.array_distinct(every(text, rf"\b({SHAPES['mrn']})"))
     beside = every(text, rf"(?U)\b({SHAPES['waybill']})\s+{SHAPES['mrn']}")
     out["awbs"] = F.array_distinct(F.concat(beside, all_of(text, "waybill", ["AWB", "LTA", "HAWB"])))

@@ -122,3 +122,14 @@ def test_article_duties(spark, text, want):
 )
 def test_total_duties(spark, text, want):
     assert tuple(one(spark, text, duties.total_duties)) == want
+
+
+def test_duty_rows_look_ahead(spark):
+    text = "page 2\n4202220000 900,00 Droits de Douane 3,50 31,50\n6403990000 100,00 droits de douane 2 2,00\nTVA à l'importation 1.000,00 200,10\nAutres Taxes 5,00 4,00\nTotal EUR: 235,60."
+    first, second = one(spark, text, duties.duty_rows)
+    assert tuple(first) == ("4202220000", 900.0, 3.5, 31.5, 1000.0, 200.1, 4.0, 235.6)
+    assert tuple(second) == ("6403990000", 100.0, 2.0, 2.0, 1000.0, 200.1, 4.0, 235.6)
+    far = text.replace("TVA", "x" * duties.ROW_WINDOW + "TVA")
+    assert [tuple(r)[4:] for r in one(spark, far, duties.duty_rows)] == [(None,) * 4] * 2
+    assert one(spark, "420222000 900,00 Droits de Douane 3,50 31,50", duties.duty_rows) == []
+    assert one(spark, None, duties.duty_rows) is None
