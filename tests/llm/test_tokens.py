@@ -15,7 +15,7 @@ from docrecon.llm import alignment, resampling, tokenfile, tokens
 
 SCHEMA = "doc_id long, text string, lang string, b int, row string, rank string, first long, bucket string, k long, h long, ids binary"
 WORDS = "the of and sea stone river under light house morning wind carry open slow field Straße été niño don't it's".split()
-CHARS = " \t\n\r\x0b\xa0　 ab'sé1,.<|日▁\x1c\x85×÷ºª"
+CHARS = " \t\n\r\x0b\xa0\u1680\u2003\u2028\u202f\u205f\u3000 ab's\xe91,.<|\u65e5\u2581\x1c\x85\xd7\xf7\xba\xaa"
 SPECIAL = "<|endoftext|>"
 
 
