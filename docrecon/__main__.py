@@ -18,18 +18,19 @@ def main(args: list[str] | None = None) -> int:
     p = argparse.ArgumentParser(prog="docrecon", description=__doc__)
     p.add_argument("root")
     p.add_argument("--out", required=True, help="folder for Parquet results")
-    p.add_argument("--profile", help="JSON file: entities, names, addresses (lists of pairs), keywords, rates, scope, known_ids, prefixes")
+    p.add_argument("--profile", action="append", help="JSON file, of several the later one counts for each of its keys: entities, names, addresses (lists of pairs), keywords, rates, scope, known_ids, prefixes")
     p.add_argument("--pages", help="folder of the table of pages by content, which spares a second parsing")
     p.add_argument("--pdf-reader", help="module:function from a PDF's bytes to its pages' texts")
     p.add_argument("--workbook", help="also write this .xlsx")
     p.add_argument("--webhook", help="also post the summary to this address")
     p.add_argument("--exit-zero", action="store_true")
     a = p.parse_args(args)
-    conf = {}
-    if a.profile:
-        with open(a.profile, encoding="utf-8") as f:
-            conf = json.load(f)
-    rates = conf.pop("rates", {})
+    conf, rates = {}, {}
+    for path in a.profile or []:
+        with open(path, encoding="utf-8") as f:
+            layer = json.load(f)
+        rates |= layer.pop("rates", {})
+        conf |= layer
     profile = Profile(**{k: [x if isinstance(x, str) else tuple(x) for x in v] for k, v in ({"entities": []} | conf).items()})
     spark = SparkSession.builder.appName("docrecon").getOrCreate()
     for name, make in (("pages", lambda: run.read(spark, a.root, a.pdf_reader, a.pages)), ("documents", lambda: run.documents(spark.read.parquet(f"{a.out}/pages"), a.root, profile)), ("bundles", lambda: run.reconcile(spark.read.parquet(f"{a.out}/documents"), rates, profile))):

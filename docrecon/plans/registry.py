@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..operators import duties, enrich, entities, evidence, extract, identity, links, pages, rules, tariff, totals, variants
+from ..operators import duties, enrich, entities, evidence, extract, identity, links, pages, rules, settings, tariff, totals, variants
 from ..streaming import ingest
 from . import derive
 
@@ -678,3 +678,20 @@ def ordered_values(spark, d: str) -> DataFrame:
     value = F.when(k % 3 == 0, F.concat(F.lower(p), F.lit("."))).when(k % 3 == 1, F.concat(F.lit(" "), p)).otherwise(F.concat(p, F.lit(" ;")))
     lists = spark.read.parquet(f"{d}/orders.parquet").groupBy(F.col("o_custkey").alias("id")).agg(F.sort_array(F.collect_list(F.struct("o_orderkey", value.alias("v")))).alias("a"))
     return lists.select("id", F.array_join(C.ordered_distinct(F.transform("a", lambda x: x["v"])), "|").alias("vals"))
+
+
+_LAYERS = """SELECT CASE WHEN s_suppkey % 9 > 1 THEN 'C' || s_nationkey END AS client, 'fx' AS kind, ['EUR', 'USD', 'GBP', 'CHF', 'JPY'][s_suppkey % 5 + 1] AS key, (s_suppkey % 4)::INT AS layer, CASE WHEN s_suppkey % 11 > 0 THEN (s_suppkey % 13)::VARCHAR END AS value FROM supplier"""
+
+
+@query(f"""WITH l AS ({_LAYERS}), f AS (SELECT client, key, arg_max(coalesce(value, '-'), (layer, value IS NOT NULL, coalesce(value, ''))) AS value FROM l GROUP BY client, key),
+o AS (SELECT o_orderkey AS id, 'C' || o_custkey % 30 AS client, ['EUR', 'USD', 'GBP', 'CHF', 'JPY', 'AED'][o_orderkey % 6 + 1] AS currency FROM orders)
+SELECT o.id, o.client, o.currency, nullif(CASE WHEN f.client IS NOT NULL THEN f.value ELSE g.value END, '-') AS rate FROM o LEFT JOIN f ON f.client = o.client AND f.key = o.currency LEFT JOIN f AS g ON g.client IS NULL AND g.key = o.currency""")
+def layered_rates(spark, d: str) -> DataFrame:
+    """The rate of an invoice's currency by its client's settings in layers, else by those of all; a layer may take a rate away."""
+    n = F.col("s_suppkey")
+    currency = lambda k, names: F.element_at(F.array(*map(F.lit, names)), (k + 1).cast("int"))
+    names = ["EUR", "USD", "GBP", "CHF", "JPY"]
+    layers = spark.read.parquet(f"{d}/supplier.parquet").select(F.when(n % 9 > 1, F.concat(F.lit("C"), "s_nationkey")).alias("client"), F.lit("fx").alias("kind"), currency(n % 5, names).alias("key"), (n % 4).cast("int").alias("layer"), F.when(n % 11 > 0, (n % 13).cast("string")).alias("value"))
+    k = F.col("o_orderkey")
+    rows = spark.read.parquet(f"{d}/orders.parquet").select(k.alias("id"), F.concat(F.lit("C"), F.col("o_custkey") % 30).alias("client"), currency(k % 6, [*names, "AED"]).alias("currency"))
+    return settings.looked_up(rows, layers, "fx", "currency", "rate")
