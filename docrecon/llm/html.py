@@ -69,9 +69,49 @@ class Block:
         self.text, self.signs, self.inside, self.main, self.tags, self.words = text, signs, inside, main, tags, text.count(" ") + 1
 
 
+class Open:
+    """The open elements of a page. What is asked of them, however deep they nest, is kept up as they open and close: the places of
+    each name, how many are hidden, an article or main text, and the signs since the last of these (or since the start)."""
+
+    def __init__(self):
+        self.stack: list[tuple[str, frozenset[str], str]] = []  # name, signs, what it is: article (the first), main, hidden or nothing
+        self.places: dict[str, list[int]] = {}
+        self.kinds = Counter()
+        self.signs: list[Counter] = [Counter()]
+
+    def last(self, name: str) -> int:
+        """The place of the innermost open element of that name; -1 if there is none."""
+        at = self.places.get(name)
+        return at[-1] if at else -1
+
+    def push(self, name: str, signs: frozenset[str], kind: str) -> None:
+        self.places.setdefault(name, []).append(len(self.stack))
+        self.stack.append((name, signs, kind))
+        if kind:
+            self.kinds[kind] += 1
+            self.signs.append(Counter())
+        else:
+            self.signs[-1].update(signs)
+
+    def cut(self, at: int) -> None:
+        """Close all elements from a place on."""
+        while len(self.stack) > at:
+            name, signs, kind = self.stack.pop()
+            self.places[name].pop()
+            if kind:
+                self.kinds[kind] -= 1
+                self.signs.pop()
+            else:
+                own = self.signs[-1]
+                for x in signs:
+                    own[x] -= 1
+                    if not own[x]:
+                        del own[x]
+
+
 def blocks(page: str) -> Iterator[Block]:
-    """A page's blocks in order; one without words is skipped, as is what a page does not show."""
-    stack: list[tuple[str, frozenset[str], str]] = []  # name, signs, what it is: article (the first), main, hidden or nothing
+    """A page's blocks in order; one without words is skipped, as is what a page does not show. Time grows with the length of the page, however its elements nest."""
+    opened = Open()
     articles = 0
     text: list[str] = []
     tags = 0
@@ -80,11 +120,8 @@ def blocks(page: str) -> Iterator[Block]:
         nonlocal text, tags
         whole = " ".join(html.unescape("".join(text)).split())
         text = []
-        kinds = [k for _, _, k in stack]
-        if whole and "hidden" not in kinds:
-            start = max((i for i, k in enumerate(kinds) if k), default=0)
-            signs = frozenset().union(*(s for _, s, _ in stack[start:]))
-            yield Block(whole, signs, "article" in kinds, "main" in kinds, tags)
+        if whole and not opened.kinds["hidden"]:
+            yield Block(whole, frozenset(opened.signs[-1]), opened.kinds["article"] > 0, opened.kinds["main"] > 0, tags)
             tags = 0
 
     at, end = 0, len(page)
@@ -103,10 +140,8 @@ def blocks(page: str) -> Iterator[Block]:
         if name in BLOCKS:
             yield from done()
         if close:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            if opened.last(name) >= 0:
+                opened.cut(opened.last(name))
             continue
         if name in RAW:
             if not rest.endswith("/"):
@@ -115,16 +150,13 @@ def blocks(page: str) -> Iterator[Block]:
             continue
         if name in VOID or rest.endswith("/"):
             continue
-        names = [x for x, _, _ in stack]
-        if name in _CLOSES_P and "p" in names:
-            del stack[len(names) - 1 - names[::-1].index("p") :]
-        elif name == "li" and "li" in names:
-            i = len(names) - 1 - names[::-1].index("li")
-            if not {"ul", "ol"} & set(names[i:]):
-                del stack[i:]
+        if name in _CLOSES_P and opened.last("p") >= 0:
+            opened.cut(opened.last("p"))
+        elif name == "li" and opened.last("li") > max(opened.last("ul"), opened.last("ol")):
+            opened.cut(opened.last("li"))
         kind = "hidden" if rest and hidden(rest) else "main" if name == "main" else "article" if name == "article" and not articles else ""
         articles += kind == "article"
-        stack.append((name, _signs(name, rest) if not kind else frozenset(), kind))
+        opened.push(name, _signs(name, rest) if not kind else frozenset(), kind)
     yield from done()
 
 

@@ -619,3 +619,12 @@ def test_without_ids(spark, monkeypatch, bits):
     assert out.schema == docs.schema
     assert sorted(map(repr, out.collect())) == sorted(repr(r) for r in docs.collect() if r["doc_id"] is None or r["doc_id"] not in ids)
     assert minhash.without_ids(docs, spark.createDataFrame([], "x long")).count() == len(rows)
+
+
+@pytest.mark.parametrize("page", ["<div class=a>w" * 100_000, "<p>w<div>" * 50_000, "<li>a<ul>" * 50_000, "<b>" * 100_000 + "w"])
+def test_deep_nesting_takes_linear_time(page):
+    import time
+
+    start = time.process_time()
+    found = list(html.blocks(page))
+    assert found and found[-1].text in ("w", "a") and time.process_time() - start < 20
