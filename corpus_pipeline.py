@@ -13,6 +13,9 @@ from docrecon.llm.quality import quality_filter
 from docrecon.llm.suffix import remove_passages
 
 
+REMEMBERED_WORDS = 100_000
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
     return quality_filter(docs)
@@ -35,8 +38,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
-    return pack(docs)
+    """The pieces of the packed sequences. Workers, which other stages use too, remember fewer words than where packing runs alone."""
+    return pack(docs, remembered=REMEMBERED_WORDS)
 
 
 STAGES = [("quality rules", quality_rules), ("minhash near-dedup", minhash_dedup), ("suffix-array dedup", suffix_dedup), ("source mix", source_mix), ("packing", packing)]

@@ -30,7 +30,8 @@ class WordIds:
     _plain = re.compile(rb"([a-z]+)?([!\"#$%&()*+,\-./:;<=>?@\[\\\]^_`{|}~]+)?")
     _held: dict[str, WordIds] = {}
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int):
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -38,14 +39,15 @@ class WordIds:
         self.known: dict[bytes, bytes] = {}
 
     @classmethod
-    def at(cls, path: str | None) -> WordIds:
+    def at(cls, path: str | None, most: int = REMEMBERED) -> WordIds:
         if path is None:
             import public_tokenizers
 
             path = public_tokenizers.path(VOCABULARY)
         path = str(path)
         if path not in cls._held:
-            cls._held[path] = cls(path)
+            cls._held[path] = cls(path, most)
+        cls._held[path].most = most
         return cls._held[path]
 
     def _word(self, w: bytes) -> bytes:
@@ -61,7 +63,7 @@ class WordIds:
         """The ids as little-endian unsigned 32-bit numbers, without the end id."""
         raw = text.encode("utf-8", "replace") if text else b""
         words = raw.split() if b"<|" in raw else raw.lower().split()
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.most:
             self.known.clear()
         known, word = self.known, self._word
         return b"".join([known.get(w) or word(w) for w in words])
@@ -77,9 +79,9 @@ def cuts(n: int, unit: int = UNIT, size: int = SEQUENCE) -> list[int]:
 _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, part int, k long"
 
 
-def _pieces(path: str | None):
+def _pieces(path: str | None, remembered: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, count = WordIds.at(path), TaskContext.get().partitionId(), np.zeros(SEQUENCE + 1, np.int64)
+        words, part, count = WordIds.at(path, remembered), TaskContext.get().partitionId(), np.zeros(SEQUENCE + 1, np.int64)
         end = np.array([END_ID], "<u4").tobytes()
         for b in lines(batches):
             docs, rows = b.column(0).to_pylist(), []
@@ -193,17 +195,17 @@ def slots(plan: list[tuple[int, dict[int, int]]]) -> list[tuple[int, int, int, i
     return rows
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None) -> DataFrame:
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, remembered: int = REMEMBERED) -> DataFrame:
     """Pieces (doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset) of all rows of docs in sequences of at most SEQUENCE tokens.
 
     Texts are tokenised once; only lengths and checksums move after that. The histogram (at most SEQUENCE / UNIT + UNIT
     lengths) is solved on the driver; each piece finds its place by its rank among the pieces of its length, from counts by
     task and a counter within the task. A null or empty text is the end id alone. Repeated rows are packed as often as they
-    come. An empty table gives no rows. vocabulary is a path; by default that of the installed public file.
+    come. An empty table gives no rows. vocabulary is a path; by default that of the installed public file. A worker remembers the ids of so many words.
     """
     spark = docs.sparkSession
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = materialise(plain.mapInArrow(_pieces(vocabulary), _PIECES), "pieces")
+    pieces = materialise(plain.mapInArrow(_pieces(vocabulary, remembered), _PIECES), "pieces")
     counts = materialise(pieces.groupBy("part", "length").agg(F.count(F.lit(1)).alias("n")), "counts")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     rows = slots(patterns(histogram))
