@@ -197,12 +197,19 @@ def invoice_decl_score(spark, d: str) -> DataFrame:
 
 @query(f"{_SCORED} SELECT pool, invoice_id, declaration_id, ord, score FROM m WHERE score >= 60 OR (best < 60 AND n = 1 AND score >= 15)")
 def invoice_decl_matches(spark, d: str) -> DataFrame:
+    """By all pairs of a dossier: these hold DOSSIER ids at most, where that is quicker than terms."""
+    return links.matches(links.pool_scores(*_sides(spark, d)).filter("score > 0"))
+
+
+@query(f"{_SCORED} SELECT pool, invoice_id, declaration_id, ord, score FROM m WHERE score >= 60 OR (best < 60 AND n = 1 AND score >= 15)")
+def invoice_decl_matches_by_terms(spark, d: str) -> DataFrame:
+    """The same by terms, as a run does it, whose pools have no bound."""
     return links.match(*_sides(spark, d))
 
 
 @query(f"{_SCORED} SELECT id FROM x WHERE id NOT IN (SELECT declaration_id FROM m WHERE score >= 60 OR (best < 60 AND n = 1 AND score >= 15))")
 def orphan_declarations(spark, d: str) -> DataFrame:
-    used = links.match(*_sides(spark, d)).select(F.col("declaration_id").alias("id")).distinct()
+    used = links.matches(links.pool_scores(*_sides(spark, d)).filter("score > 0")).select(F.col("declaration_id").alias("id")).distinct()
     return links.orphans(derive.declarations(spark, d).select("id"), used, "id")
 
 
