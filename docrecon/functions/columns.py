@@ -49,14 +49,17 @@ def refs_match(a: Column, b: Column) -> Column:
 def amount(text: Column, thousands: bool = False) -> Column:
     """A number written the French or English way; the later of comma and point is the decimal sign. With thousands, commas
     between groups of three digits are no decimal signs. Null if it is no number."""
-    bare = F.regexp_replace(F.trim(text), "[   ]", "")
-    comma, point = F.instr(F.reverse(bare), ","), F.instr(F.reverse(bare), ".")
-    alone = F.regexp_replace(bare, ",", ".")
-    if thousands:
-        alone = F.when(bare.rlike(r"^-?\d{1,3}(,\d{3})+$"), F.regexp_replace(bare, ",", "")).otherwise(alone)
-    french, english = F.regexp_replace(F.regexp_replace(bare, r"\.", ""), ",", "."), F.regexp_replace(bare, ",", "")
-    plain = F.when((comma > 0) & (point > 0), F.when(comma < point, french).otherwise(english)).when(comma > 0, alone).otherwise(bare)
-    return F.when(plain.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), plain.try_cast("double"))
+
+    def plain(bare: Column) -> Column:
+        comma, point = F.instr(F.reverse(bare), ","), F.instr(F.reverse(bare), ".")
+        alone = F.regexp_replace(bare, ",", ".")
+        if thousands:
+            alone = F.when(bare.rlike(r"^-?\d{1,3}(,\d{3})+$"), F.regexp_replace(bare, ",", "")).otherwise(alone)
+        french, english = F.regexp_replace(F.regexp_replace(bare, r"\.", ""), ",", "."), F.regexp_replace(bare, ",", "")
+        return F.when(bare.contains(",") & bare.contains("."), F.when(comma < point, french).otherwise(english)).when(bare.contains(","), alone).otherwise(bare)
+
+    number = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+    return let(let(F.regexp_replace(F.trim(text), "[   ]", ""), plain), lambda v: F.when(v.rlike(number), v.try_cast("double")))
 
 
 def iso_date(text: Column) -> Column:

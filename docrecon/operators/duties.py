@@ -86,7 +86,7 @@ def total_duties(text: Column) -> Column:
 
 #: A row of a forwarder's table: a code, what it is charged on, the word, the rate, the duty; and the characters after it that may hold its taxes.
 DUTY_ROW, ROW_WINDOW = r"(?iU)\b(\d{10})\s+([\d.,]+)\s+Droits\s+de\s+Douane\s+([\d.,]+)\s+([\d.,]+)", 400
-_ROW_TAXES = {"base_tva": (r"TVA\s+[àa]\s+l['’ ]importation\s+([\d.,]+)\s+([\d.,]+)", 1), "tva": (r"TVA\s+[àa]\s+l['’ ]importation\s+([\d.,]+)\s+([\d.,]+)", 2), "at": (r"Autres\s+Taxes\s+([\d.,]+)\s+([\d.,]+)", 2), "total": (r"Total\s*EUR\s*:?\s*([\d.,]+)", 1)}
+_ROW_TAXES = {"tva": (r"TVA\s+[àa]\s+l['’ ]importation\s+([\d.,]+)\s+([\d.,]+)", [("base_tva", 1), ("tva", 2)]), "at": (r"Autres\s+Taxes\s+([\d.,]+)\s+([\d.,]+)", [("at", 2)]), "total": (r"Total\s*EUR\s*:?\s*([\d.,]+)", [("total", 1)])}
 
 
 def duty_rows(text: Column) -> Column:
@@ -95,16 +95,18 @@ def duty_rows(text: Column) -> Column:
     A row's taxes are the first of their kind within ROW_WINDOW characters after it; these windows overlap, so that a row whose
     taxes are printed behind the next row's has them, too. Null fields were not printed. Null of a null text.
     """
-    whole = rf"({DUTY_ROW})(?=([\s\S]{{0,{ROW_WINDOW}}}))"
-    rows, windows = (F.regexp_extract_all(text, F.lit(whole), F.lit(k)) for k in (1, 6))
+    # a digit is asked for first: the edge of a word is dear to tell, and most places of a text have no digit
+    whole = rf"(?U)(?=\d)(?=({DUTY_ROW}(?s:.{{0,{ROW_WINDOW}}}))){DUTY_ROW}"
     value = lambda x, pattern, k: let(F.regexp_replace(F.regexp_extract(x, pattern, k), r"[.,]+\z", ""), amount)
 
-    def one(p: Column) -> Column:
-        own = [value(p["left"], DUTY_ROW, k).alias(n) for n, k in (("base", 2), ("rate", 3), ("dd", 4))]
-        taxes = [value(p["right"], f"(?iU){pattern}", k).alias(n) for n, (pattern, k) in _ROW_TAXES.items()]
-        return F.struct(F.regexp_extract(p["left"], DUTY_ROW, 1).alias("hs_code"), *own, *taxes)
+    def one(row: Column, window: Column) -> Column:
+        own = [value(row, DUTY_ROW, k).alias(n) for n, k in (("base", 2), ("rate", 3), ("dd", 4))]
+        found = F.struct(*(F.regexp_extract(window, f"(?iU){pattern}", 0).alias(kind) for kind, (pattern, _) in _ROW_TAXES.items()))
+        taxes = lambda t: [value(t[kind], f"(?iU){pattern}", k).alias(n) for kind, (pattern, fields) in _ROW_TAXES.items() for n, k in fields]
+        return let(found, lambda t: F.struct(F.regexp_extract(row, DUTY_ROW, 1).alias("hs_code"), *own, *taxes(t)))
 
-    return F.transform(spans.paired(rows, windows), one)
+    cut = lambda p: let(F.regexp_extract(p, DUTY_ROW, 0), lambda row: one(row, F.substr(p, F.length(row) + 1)))
+    return F.transform(F.regexp_extract_all(text, F.lit(whole), F.lit(1)), cut)
 
 
 def by_code(documents: DataFrame, id_col: str = "id", rows_col: str = "duty_rows") -> DataFrame:
