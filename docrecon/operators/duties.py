@@ -17,9 +17,14 @@ TOTAL_ENDS = r"(?iU)Montant\s+total\s+facturé|Montant\s+total\s+à\s+payer|GARA
 MOST_AMOUNTS, ROW_REACH, LEAST_WHOLE, TOO_MUCH = 10, 3, 9, 1_000_000
 
 
+def _stripped(line: Column) -> Column:
+    """A line without white space around."""
+    return F.regexp_replace(line, r"(?U)^\s+|\s+$", "")
+
+
 def _lines(block: Column) -> Column:
     """The lines with something in them, without white space around."""
-    return F.filter(F.transform(F.split(block, r"\r?\n"), lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+    return F.filter(F.transform(F.split(block, r"\r?\n"), _stripped), lambda x: x != "")
 
 
 def _places(lines: Column, holds) -> Column:
@@ -34,20 +39,26 @@ def article_duties(text: Column) -> Column:
     """
 
     def pairs(part: Column) -> Column:
-        block = F.get(F.split(part, r"(?iU)LIQUIDATION\s*\n", 2), F.lit(1))
-        codes = F.transform(F.filter(_lines(block), lambda x: x.rlike(r"\A[UMA]\d{3}(?:-[A-Z0-9]{2,4})?\z")), lambda x: F.substring(x, 1, 4))
-        closed = F.regexp_replace(block, r"[^\n]*\z", "")  # an amount's line must be complete
+        cells = F.transform(F.split(F.get(F.split(part, r"(?iU)LIQUIDATION\s*\n", 2), F.lit(1)), r"\r?\n"), _stripped)
 
         def amounts(lines: Column) -> Column:
             printed = lambda i: F.coalesce(F.get(lines, i).rlike(r"\A[\d.,]+\z"), F.lit(False))
             heads = _places(lines, lambda i: F.get(lines, i).endswith("Montant") & printed(i + 1))
-            after = F.slice(lines, F.get(heads, F.lit(0)) + 2, MOST_AMOUNTS)
-            stop = F.array_min(_places(after, lambda i: ~F.get(after, i).rlike(r"\A[\d.,]+\z")))
-            own = F.slice(after, F.lit(1), F.coalesce(stop, F.size(after)))
-            return F.when(F.size(heads) > 0, F.filter(F.transform(own, lambda x: amount(x)), lambda v: v.isNotNull()))
 
-        found = let(_lines(closed), amounts)
-        return F.coalesce(spans.paired(codes, found), F.array().cast("array<struct<left:string,right:double>>"))
+            def under(head: Column) -> Column:
+                after = F.slice(lines, head + 2, MOST_AMOUNTS)
+                stop = F.array_min(_places(after, lambda i: ~F.get(after, i).rlike(r"\A[\d.,]+\z")))
+                own = F.slice(after, F.lit(1), F.coalesce(stop, F.size(after)))
+                return F.filter(F.transform(own, lambda x: amount(x)), lambda v: v.isNotNull())
+
+            return let(F.get(heads, F.lit(0)), lambda head: F.when(head.isNotNull(), under(head)))
+
+        def table(cells: Column) -> Column:
+            codes = F.transform(F.filter(cells, lambda x: x.rlike(r"\A[UMA]\d{3}(?:-[A-Z0-9]{2,4})?\z")), lambda x: F.substring(x, 1, 4))
+            closed = F.filter(F.slice(cells, F.lit(1), F.size(cells) - 1), lambda x: x != "")  # an amount's line must be complete
+            return spans.paired(codes, let(closed, amounts))
+
+        return F.coalesce(let(cells, table), F.array().cast("array<struct<left:string,right:double>>"))
 
     every = F.flatten(F.transform(F.split(text, ARTICLE_ENDS), pairs))
     sums = let(every, lambda p: spans.sums_by(p, list(ARTICLE_CODES)))

@@ -19,3 +19,11 @@ def test_rows_of_duties_take_one_scan(spark):
     text = f"x4202220001 1 Droits de Douane 1 1\n{row}7,é\U0001f600 TVA à l'importation 10,00 2,00. " + row.replace("0000", "0009") + "8"
     spark_rows = spark.createDataFrame([(text,)], "t string").select(duties.duty_rows(F.col("t")).alias("r")).first()["r"]
     assert [tuple(r) for r in spark_rows] == [("4202220000", 900.0, 3.5, 7.0, 10.0, 2.0, None, None), ("4202220009", 900.0, 3.5, 8.0, None, None, None, None)]
+
+
+def test_tables_of_duties_are_cut_once(spark):
+    text = str(duties.article_duties(F.col("t")))
+    assert text.count("LIQUIDATION") == 1
+    assert "[^\\n]*" not in text  # a search for the last line from every place of a text takes the square of a line
+    got = spark.createDataFrame([("LIQUIDATION\nU165\r\nMontant\r\n10,5\r\n20",), ("LIQUIDATION\n U165 \nMontant\n\n7\n",)], "t string").select(duties.article_duties(F.col("t")).alias("d")).collect()
+    assert [r["d"]["dd"] for r in got] == [10.5, 7.0]
