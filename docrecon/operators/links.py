@@ -41,15 +41,45 @@ def pool_scores(invoices: DataFrame, declarations: DataFrame) -> DataFrame:
 
 #: Characters of a reference that must be found in the one that contains it before both are compared; shorter ones are looked up whole.
 GRAM = 6
-#: Width of the classes of amounts by their logarithm: two that are close are at most one class apart.
-_CLASS = 0.0102
+#: A pool's short references are told by so many classes of their letters for each length, however many they are.
+_KINDS = 1024
+#: Width of the classes of amounts by their logarithm: two that are close are at most half a class apart.
+_CLASS = 0.0204
 #: Amounts below it may be close by their difference alone.
 _SMALL = 200
+#: What a pair shares, as bits that are joined over its rows, and the points of each. Of an amount the equal one counts before the converted one.
+_BITS = {"F": 1, "C": 2, "W": 4, "L": 8, "V": 16, "near": 32, "converted": 64}
+_WORTH = {"F": 100, "C": 80, "W": 60, "L": 70, "V": 20}
 
 
-def _parts(ref: Column, n: Column) -> Column:
-    """All parts of n characters."""
-    return F.when(F.length(ref) >= n, F.transform(F.sequence(F.lit(1), F.length(ref) - n + 1), lambda k: F.substr(ref, k, n))).otherwise(F.array().cast("array<string>"))
+def _parts(ref: Column, n: Column, first: Column) -> Column:
+    """The parts of n characters from a place on."""
+    last = F.length(ref) - n + 1
+    return F.when(first <= last, F.transform(F.sequence(first, last), lambda k: F.substr(ref, k, n))).otherwise(F.array().cast("array<string>"))
+
+
+def _kind(ref: Column) -> Column:
+    return (F.length(ref) * _KINDS + F.crc32(ref) % _KINDS).cast("int")
+
+
+def _containing(ref: Column) -> Column:
+    """The parts of a reference that may tell one within it, by what the other side of its pool has (see _references): short ones
+    whole, longer ones by their last GRAM characters, which end where the shortest of them does or later."""
+    short = lambda n: F.when(n == 0, F.array(F.lit(""))).otherwise(_parts(ref, n, F.lit(1)))
+    lengths = F.array_distinct(F.transform(F.coalesce("kinds", F.array().cast("array<int>")), lambda k: F.floor(k / _KINDS).cast("int")))
+    whole = F.filter(F.flatten(F.transform(lengths, short)), lambda r: F.array_contains("kinds", _kind(r)))
+    long = F.when(F.col("least").isNotNull(), _parts(ref, F.lit(GRAM), F.col("least") - GRAM + 1)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(long, whole))
+
+
+def _contained(ref: Column) -> Column:
+    return F.when(F.length(ref) < GRAM, ref).otherwise(F.substring(ref, -GRAM, GRAM))
+
+
+def _references(rows: DataFrame, *more: Column) -> DataFrame:
+    """(pool, kinds, least) of rows (pool, ref): the classes of references below GRAM characters, and the length of the shortest other one."""
+    n = F.length("ref")
+    return rows.groupBy("pool").agg(F.collect_set(F.when(n < GRAM, _kind(F.col("ref")))).alias("kinds"), F.min(F.when(n >= GRAM, n)).alias("least"), *more)
 
 
 def _amount_class(total: Column) -> Column:
@@ -62,53 +92,44 @@ def _terms(term: str, keys: Column) -> Column:
 
 
 def _near_classes(total: Column) -> Column:
-    sign, k = F.when(total < 0, "-").otherwise(""), F.floor(F.log(F.abs(total)) / _CLASS)
-    return F.when(total != 0, F.transform(F.array(k - 1, k, k + 1), lambda x: F.concat(sign, x.cast("string"))))
+    sign, k = F.when(total < 0, "-").otherwise(""), F.log(F.abs(total)) / _CLASS
+    return F.when(total != 0, F.transform(F.array(F.floor(k - 0.5), F.floor(k + 0.5)), lambda x: F.concat(sign, x.cast("string"))))
 
 
 def _near_wholes(total: Column, gap: Column) -> Column:
     return F.when(F.abs(total) <= _SMALL * gap, F.transform(F.sequence(F.floor(total - gap), F.floor(total + gap)), lambda x: x.cast("string")))
 
 
-def shared_terms(invoices: DataFrame, declarations: DataFrame, vat_alone: bool = True) -> DataFrame:
-    """(pool, invoice_id, declaration_id, ord, score) of the pairs of a pool that share a term: a folder, a reference that contains
-    the other, a waybill, an amount, a VAT number, a tariff code, a leading reference. Different sub-folders rule a pair out.
-
-    Each side is a row for each key of each term, and one equi-join on (pool, key) finds the pairs: no pair is formed without a
-    term. A term's points count once a pair, 8 for each tariff code, and are summed. With vat_alone false a VAT number adds its points
-    but makes no pair. For the columns see pool_scores.
-
-    References: the longer one has a key for each part of GRAM characters, the shorter one for its last part; whether it is
-    contained is told after the join. References below GRAM characters are keys themselves, and the other side has parts only of
-    the lengths that its pool has. Amounts: classes by logarithm, and whole numbers where a difference of 1 is more than 1 %.
-    """
+def _met(invoices: DataFrame, declarations: DataFrame, vat_alone: bool) -> DataFrame:
+    """(pool, invoice_id, declaration_id, ord, bits, codes): a row for each key that a pair shares."""
     i = invoices.select("pool", "invoice_id", "folder", F.coalesce("ref", F.lit("")).alias("ref"), "awb", F.col("total").cast("double").alias("total"), "vat", "hs6", "lead")
     d = declarations.select("pool", "declaration_id", "ord", "folder", F.filter("refs", lambda r: r.isNotNull()).alias("refs"), "awbs", F.col("total").cast("double").alias("total"), F.when((F.col("fx") > 0) & (F.col("currency") != "EUR"), F.col("fx").cast("double")).alias("fx"), "vat", "hs6", "lead")
-    short = lambda ref: F.length(ref) < GRAM
-    lengths = lambda rows, ref: rows.filter(short(F.col(ref))).groupBy("pool").agg(F.collect_set(F.length(ref)).alias("lengths"))
     none = F.array().cast("array<string>")
-    parts = lambda ref, n: F.flatten(F.transform(F.coalesce(n, F.array().cast("array<int>")), lambda k: F.when(k == 0, F.array(F.lit(""))).otherwise(_parts(ref, k))))
-    last = lambda ref: F.when(short(ref), F.array(ref)).otherwise(F.array(F.substring(ref, -GRAM, GRAM)))
     # containing parts (c) of one side meet contained keys of the other; i: the invoice's reference is the longer one
-    i = i.join(lengths(d.select("pool", F.explode("refs").alias("r")), "r"), "pool", "left")
+    theirs = _references(d.select("pool", "fx", F.explode_outer("refs").alias("ref")), F.max("fx").alias("most"))
+    small = F.abs("total") <= (_SMALL + 2) * F.greatest(F.lit(1.0), F.coalesce("most", F.lit(1.0)))
     i_ref, known = F.col("ref"), F.col("ref") != ""
     i_keys = F.concat(
         _terms("F", F.array("folder")),
-        _terms("C", F.when(known, F.array_distinct(F.concat(_parts(i_ref, F.lit(GRAM)), parts(i_ref, F.col("lengths")))))),
-        _terms("D", F.when(known, last(i_ref))),
+        _terms("C", F.when(known, _containing(i_ref))),
+        _terms("D", F.when(known, F.array(_contained(i_ref)))),
         _terms("W", F.array("awb")),
         _terms("T", F.when(F.col("total") != 0, F.array(_amount_class(F.col("total"))))),
-        _terms("S", F.array(F.floor("total").cast("string"))),
+        _terms("S", F.when(small, F.array(F.floor("total").cast("string")))),
         _terms("V", F.array("vat")) if vat_alone else none,
         _terms("H", F.array_distinct("hs6")),
         _terms("L", F.when(F.col("lead") != "", F.array("lead"))),
     )
-    left = i.select("pool", "invoice_id", F.col("folder").alias("i_folder"), i_ref.alias("i_ref"), F.col("total").alias("i_total"), F.col("vat").alias("i_vat"), F.explode(i_keys).alias("key"))
-    d = d.join(lengths(invoices.filter("ref <> ''").select("pool", "ref"), "ref"), "pool", "left")
+    term = F.substring("key", 1, 1)
+    referring, priced = term.isin("C", "D"), term.isin("T", "S")
+    vats = lambda name: [] if vat_alone else [F.col("vat").alias(name)]
+    # a row has what its term is told by, and nothing more: rows are many
+    left = i.join(theirs, "pool", "left").withColumn("key", F.explode(i_keys))
+    left = left.select("pool", "key", "invoice_id", F.col("folder").alias("i_folder"), F.when(referring, i_ref).alias("i_ref"), F.when(priced, F.col("total")).alias("i_total"), *vats("i_vat"))
     d_keys = F.concat(
         _terms("F", F.array("folder")),
-        _terms("C", F.flatten(F.transform("refs", last))),
-        _terms("D", F.flatten(F.transform("refs", lambda r: F.concat(_parts(r, F.lit(GRAM)), parts(r, F.col("lengths")))))),
+        _terms("C", F.transform("refs", _contained)),
+        _terms("D", F.flatten(F.transform("refs", _containing))),
         _terms("W", F.array_distinct("awbs")),
         _terms("T", F.concat(F.coalesce(_near_classes(F.col("total")), none), F.coalesce(_near_classes(F.col("total") * F.col("fx")), none))),
         _terms("S", F.concat(F.coalesce(_near_wholes(F.col("total"), F.lit(1.0)), none), F.coalesce(_near_wholes(F.col("total") * F.col("fx"), F.col("fx")), none))),
@@ -116,19 +137,41 @@ def shared_terms(invoices: DataFrame, declarations: DataFrame, vat_alone: bool =
         _terms("H", F.array_distinct("hs6")),
         _terms("L", F.when(F.col("lead") != "", F.array("lead"))),
     )
-    right = d.select("pool", "declaration_id", "ord", F.col("folder").alias("d_folder"), "refs", F.col("total").alias("d_total"), "fx", F.col("vat").alias("d_vat"), F.explode(F.array_distinct(d_keys)).alias("key"))
+    right = d.join(_references(invoices.filter("ref <> ''").select("pool", "ref")), "pool", "left").withColumn("key", F.explode(F.array_distinct(d_keys)))
+    right = right.select("pool", "key", "declaration_id", "ord", F.col("folder").alias("d_folder"), F.when(referring, F.col("refs")).alias("refs"), F.when(priced, F.col("total")).alias("d_total"), F.when(priced, F.col("fx")).alias("fx"), *vats("d_vat"))
     met = left.join(right, ["pool", "key"]).filter(F.col("i_folder").isNull() | F.col("d_folder").isNull() | (F.col("i_folder") == F.col("d_folder")))
-    term = F.substring("key", 1, 1)
     referred = F.exists("refs", lambda r: refs_match(r, F.col("i_ref")))
-    near = F.coalesce(close(F.col("i_total"), F.col("d_total")), F.lit(False))
-    converted = F.coalesce(close(F.col("i_total") / F.col("fx"), F.col("d_total")), F.lit(False))
-    points = F.when(term == "F", 100).when(term.isin("C", "D"), F.when(referred, 80)).when(term == "W", 60).when(term.isin("T", "S"), F.when(near, 35).when(converted, 20)).when(term == "L", 70)
-    met = met.withColumns({"term": F.when(term == "D", "C").when(term == "S", "T").otherwise(term), "points": points, "vat": F.coalesce(F.col("i_vat") == F.col("d_vat"), F.lit(False))})
-    best = [F.coalesce(F.max(F.when(F.col("term") == t, F.col("points"))), F.lit(0)) for t in "FCWTL"]
-    codes = F.least(F.lit(20), 8 * F.count(F.when(F.col("term") == "H", True)))
-    score = sum(best[1:], best[0]) + codes + F.when(F.max("vat"), 20).otherwise(0)
-    real = F.col("points").isNotNull() | F.col("term").isin("V", "H")
-    return met.filter(real).groupBy("pool", "invoice_id", "declaration_id", "ord").agg(score.cast("int").alias("score"))
+    near, converted = close(F.col("i_total"), F.col("d_total")), close(F.col("i_total") / F.col("fx"), F.col("d_total"))
+    bits = F.when(referring, F.when(referred, _BITS["C"])).when(priced, F.when(near, _BITS["near"]).when(converted, _BITS["converted"])).when(term == "H", 0)
+    for k in "FWLV":
+        bits = bits.when(term == k, _BITS[k])
+    same = F.lit(0) if vat_alone else F.when(F.col("i_vat") == F.col("d_vat"), _BITS["V"]).otherwise(0)
+    rows = met.select("pool", "invoice_id", "declaration_id", "ord", bits.bitwiseOR(same).alias("bits"), F.when(term == "H", 1).otherwise(0).alias("codes"))
+    return rows.filter("bits is not null")
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    """The score of each pair from its rows."""
+    has = lambda k: F.col("bits").bitwiseAND(_BITS[k]) != 0
+    score = sum((_points(has(k), points) for k, points in _WORTH.items()), F.when(has("near"), 35).when(has("converted"), 20).otherwise(0))
+    pairs = rows.groupBy("pool", "invoice_id", "declaration_id", "ord").agg(F.bit_or("bits").alias("bits"), F.sum("codes").alias("codes"))
+    return pairs.select("pool", "invoice_id", "declaration_id", "ord", (score + F.least(F.lit(20), 8 * F.col("codes"))).cast("int").alias("score"))
+
+
+def shared_terms(invoices: DataFrame, declarations: DataFrame, vat_alone: bool = True) -> DataFrame:
+    """(pool, invoice_id, declaration_id, ord, score) of the pairs of a pool that share a term: a folder, a reference that contains
+    the other, a waybill, an amount, a VAT number, a tariff code, a leading reference. Different sub-folders rule a pair out.
+
+    Each side is a row for each key of each term, and one equi-join on (pool, key) finds the pairs: no pair is formed without a
+    term. A term's points count once a pair, 8 for each tariff code, and are summed. With vat_alone false a VAT number adds its points
+    but makes no pair. For the columns see pool_scores.
+
+    References: the longer one has a key for each part of GRAM characters that the last part of one in its pool's other side can
+    be, the shorter one for its last part; whether it is contained is told after the join. References below GRAM characters are
+    keys themselves, and the other side has only parts of the classes that its pool has. Amounts: classes by logarithm, and whole
+    numbers where a difference of 1 is more than 1 %.
+    """
+    return _summed(_met(invoices, declarations, vat_alone))
 
 
 def first_of_vat(invoices: DataFrame, declarations: DataFrame) -> DataFrame:
@@ -141,8 +184,9 @@ def first_of_vat(invoices: DataFrame, declarations: DataFrame) -> DataFrame:
 
 def match(invoices: DataFrame, declarations: DataFrame) -> DataFrame:
     """The matches of all pairs of a pool, without forming those that share a VAT number alone: of these only the first can be the best."""
-    pairs = shared_terms(invoices, declarations, vat_alone=False).unionByName(first_of_vat(invoices, declarations))
-    return matches(pairs.groupBy("pool", "invoice_id", "declaration_id", "ord").agg(F.max("score").alias("score")))
+    first = first_of_vat(invoices, declarations).select("pool", "invoice_id", "declaration_id", "ord", F.lit(_BITS["V"]).alias("bits"), F.lit(0).alias("codes"))
+    # pairs and windows are both within an invoice: one shuffle serves them
+    return matches(_summed(_met(invoices, declarations, vat_alone=False).unionByName(first).repartition("pool", "invoice_id")))
 
 
 def matches(scored: DataFrame) -> DataFrame:

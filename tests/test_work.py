@@ -1,9 +1,11 @@
 """How often a plan does a thing: what is dear is done once."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from docrecon.functions.columns import amount
-from docrecon.operators import duties
+from docrecon.operators import duties, links
 
 
 def test_an_amount_is_bared_once(spark):
@@ -27,3 +29,25 @@ def test_tables_of_duties_are_cut_once(spark):
     assert "[^\\n]*" not in text  # a search for the last line from every place of a text takes the square of a line
     got = spark.createDataFrame([("LIQUIDATION\nU165\r\nMontant\r\n10,5\r\n20",), ("LIQUIDATION\n U165 \nMontant\n\n7\n",)], "t string").select(duties.article_duties(F.col("t")).alias("d")).collect()
     assert [r["d"]["dd"] for r in got] == [10.5, 7.0]
+
+
+def test_references_have_no_more_parts_than_can_meet(spark):
+    rows = spark.createDataFrame([("INV1234567", [], 10), ("INV1234567", [], 9), ("INV1234567", [], 6), ("INV1234567", [], None)], "ref string, kinds array<int>, least int")
+    parts = [r["p"] for r in rows.select(links._containing(F.col("ref")).alias("p")).collect()]
+    assert parts == [["234567"], ["123456", "234567"], ["INV123", "NV1234", "V12345", "123456", "234567"], []]
+    kinds = F.array(links._kind(F.lit("V12")), links._kind(F.lit("")), links._kind(F.lit("X")))
+    assert rows.limit(1).select("ref", "least", kinds.alias("kinds")).select(links._containing(F.col("ref")).alias("p")).first()["p"] == ["234567", "V12", ""]
+
+
+def test_terms_find_what_all_pairs_find(spark):
+    rng = random.Random(7)
+    ref = lambda: "".join(rng.choice("AB1") for _ in range(rng.choice([0, 1, 2, 5, 6, 7, 8, 11])))
+    some = lambda f: f() if rng.random() < 0.6 else None
+    total = lambda: rng.choice([0.0, 0.4, -0.5, 99.5, 100.4, 199.5, 200.6, 201.7, 230.0, 10000.0, 10099.0, -10000.0, 9901.0, round(rng.uniform(1, 400), 2)])
+    i = [(n % 3, n, some(lambda: rng.choice("fg")), ref(), some(lambda: f"W{rng.randrange(9)}"), some(total), some(lambda: rng.choice("vw")), [], rng.choice(["", "l"])) for n in range(90)]
+    d = [(n % 4, n, n, some(lambda: rng.choice("fg")), [some(ref) for _ in range(rng.randrange(3))], [f"W{rng.randrange(9)}"], some(total), rng.choice(["USD", "EUR"]), some(lambda: rng.choice([1.08, 0.5, 7.0])), some(lambda: rng.choice("vw")), [], rng.choice(["", "l"])) for n in range(90)]
+    i = spark.createDataFrame(i, "pool int, invoice_id int, folder string, ref string, awb string, total double, vat string, hs6 array<string>, lead string")
+    d = spark.createDataFrame(d, "pool int, declaration_id int, ord int, folder string, refs array<string>, awbs array<string>, total double, currency string, fx double, vat string, hs6 array<string>, lead string")
+    every = links.pool_scores(i, d).filter("score > 0")
+    assert sorted(map(tuple, links.shared_terms(i, d).collect())) == sorted(map(tuple, every.collect()))
+    assert sorted(map(tuple, links.match(i, d).collect())) == sorted(map(tuple, links.matches(every).collect()))
