@@ -22,6 +22,8 @@ SIDE, HIDDEN, STEP_TOKENS, RATE = 2, 16, 16_384, 0.1
 #: Tokens of a training shard. Round r trains on the tokens whose place leaves r, so that all rounds together cover every token once.
 SHARD_TOKENS, ROUNDS = 2_000_000, 2
 BLOCK = 32_768
+#: Rows of outputs that are worked on at once, so that they stay in a core's cache.
+WIDE = 1024
 #: Parameters of shards are added up as whole numbers of 1 / SCALE, so that their mean does not depend on the order.
 SCALE = 1 << 24
 #: Equal rows (doc_id and text) that a task deals to one shard before it takes the next.
@@ -87,11 +89,6 @@ class Window:
             np.clip(z, -60, 60, out=z)
         return np.exp(z, out=z)
 
-    def _softmax(self, z: np.ndarray, reach: float) -> np.ndarray:
-        self._exp(z, reach)
-        z /= (z @ np.ones(z.shape[1], z.dtype))[:, None]
-        return z
-
     def _chance(self, z: np.ndarray, pick: np.ndarray, reach: float) -> np.ndarray:
         """The softmax at one place of each row."""
         self._exp(z, reach)
@@ -110,48 +107,97 @@ class Window:
         heads = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
         return order, s[heads], heads
 
-    def _by_group(self, around: np.ndarray, centre: np.ndarray):
-        """Tokens in the order of their groups: that order, the neighbours, groups and leaves in it, and (group, slice) of each group."""
-        order, used, heads = self._sorted(centre // LEAVES)
-        around, centre = around.take(order, axis=0), centre.take(order)
-        runs = [(g, slice(i, j)) for g, i, j in zip(used.tolist(), heads.tolist(), [*heads[1:].tolist(), len(order)], strict=True)]
-        return order, around, centre // LEAVES, centre % LEAVES, runs
+    def _by_leaf(self, around: np.ndarray, centre: np.ndarray):
+        """Tokens in the order of their leaves: that order, the neighbours and leaves in it, the distinct leaves, where each begins, and
+        parts of whole groups with WIDE rows or more, each as (slice, [(group, slice) of its groups])."""
+        order, used, heads = self._sorted(centre)
+        first = np.flatnonzero(np.append(True, used[1:] // LEAVES != used[:-1] // LEAVES))
+        at, parts, runs, begin = [*heads[first].tolist(), len(order)], [], [], 0
+        for k, g in enumerate((used[first] // LEAVES).tolist()):
+            runs.append((g, slice(at[k], at[k + 1])))
+            if at[k + 1] - begin >= WIDE or at[k + 1] == len(order):
+                parts.append((slice(begin, at[k + 1]), runs))
+                runs, begin = [], at[k + 1]
+        return order, around.take(order, axis=0), centre.take(order), used.astype(np.int64), heads, parts
+
+    def _joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """The weights of the groups and of their leaves, with the bias as the weight of a last hidden unit that is always 1."""
+        return np.concatenate([self.top, self.top_bias[None]]), np.concatenate([self.leaf, self.leaf_bias[:, None]], axis=1)
+
+    def _hidden_and_one(self, around: np.ndarray) -> np.ndarray:
+        h = np.ones((len(around), HIDDEN + 1), np.float32)
+        h[:, :HIDDEN] = self.hidden(around)
+        return h
 
     def log_probability(self, around: np.ndarray, centre: np.ndarray) -> np.ndarray:
         """The log-probability of each centre leaf given its neighbours."""
-        order, around, group, leaf, runs = self._by_group(around, centre)
-        h, (reach, reaches) = self.hidden(around), self._reach()
-        p = self._chance(h @ self.top + self.top_bias, group, reach)
-        for g, at in runs:
-            p[at] *= self._chance(h[at] @ self.leaf[g] + self.leaf_bias[g], leaf[at], reaches[g])
+        order, around, centre, _, _, parts = self._by_leaf(around, centre)
+        h, (top, leaf), (reach, reaches) = self._hidden_and_one(around), self._joined(), self._reach()
+        group, within, p = centre // LEAVES, centre % LEAVES, np.empty(len(centre), np.float32)
+        for i in range(0, len(p), WIDE):
+            p[i : i + WIDE] = self._chance(h[i : i + WIDE] @ top, group[i : i + WIDE], reach)
+        for part, runs in parts:
+            z = np.empty((part.stop - part.start, LEAVES), np.float32)
+            for g, at in runs:
+                np.matmul(h[at], leaf[g], out=z[at.start - part.start : at.stop - part.start])
+            p[part] *= self._chance(z, within[part], max(reaches[g] for g, _ in runs))
         out = np.empty_like(p)
         out[order] = np.log(np.maximum(p, 1e-30))
         return out
 
     def learn(self, around: np.ndarray, centre: np.ndarray, square: Window) -> None:
-        """One adaptive gradient step; square holds the running sums of squared gradients in a network's shape."""
+        """One adaptive gradient step; square holds the running sums of squared gradients in a network's shape.
+
+        The gradient of a softmax is its probabilities less 1 at the own word. Both parts are summed apart, so that a row's outputs
+        are only raised, summed and multiplied: exponentials by weights with a last column of ones give the row's sum as well.
+        """
         n = len(centre)
-        _, around, group, leaf, runs = self._by_group(around, centre)
-        h, (reach, reaches) = self.hidden(around), self._reach()
+        _, around, centre, used, heads, parts = self._by_leaf(around, centre)
+        h, (top, leaf), (reach, reaches) = self._hidden_and_one(around), self._joined(), self._reach()
 
         def step(value, seen, gradient):
             seen += gradient * gradient
             value -= RATE * gradient / (np.sqrt(seen) + 1e-6)
 
-        g = self._softmax(h @ self.top + self.top_bias, reach)
-        g[np.arange(n), group] -= 1
-        g /= n
-        back = g @ self.top.T
-        step(self.top, square.top, h.T @ g)
-        step(self.top_bias, square.top_bias, g.sum(axis=0))
-        for k, at in runs:
-            own = h[at]
-            e = self._softmax(own @ self.leaf[k] + self.leaf_bias[k], reaches[k])
-            e[np.arange(len(e)), leaf[at]] -= 1
-            e /= n
-            back[at] += e @ self.leaf[k].T
-            step(self.leaf[k], square.leaf[k], own.T @ e)
-            step(self.leaf_bias[k], square.leaf_bias[k], e.sum(axis=0))
+        def with_ones(weights):
+            out = np.ones((*weights.shape[:-2], weights.shape[-1], HIDDEN + 1), np.float32)
+            out[..., :HIDDEN] = weights[..., :HIDDEN, :].swapaxes(-1, -2)
+            return out
+
+        of_top, of_leaf = with_ones(top), with_ones(leaf)
+        by_top, by_leaf = np.zeros_like(top), np.zeros_like(leaf)
+        own = np.add.reduceat(h, heads, axis=0)  # of each leaf
+        back = of_top[:, :HIDDEN].take(centre // LEAVES, axis=0)
+        back += of_leaf.reshape(-1, HIDDEN + 1)[:, :HIDDEN].take(centre, axis=0)
+        back *= -1 / n
+        for i in range(0, n, WIDE):
+            at = slice(i, i + WIDE)
+            e = self._exp(h[at] @ top, reach)
+            sums = e @ of_top
+            share = 1 / (sums[:, HIDDEN:] * n)
+            back[at] += sums[:, :HIDDEN] * share
+            by_top += (h[at] * share).T @ e
+        for part, runs in parts:
+            e, sums = np.empty((part.stop - part.start, LEAVES), np.float32), np.empty((part.stop - part.start, HIDDEN + 1), np.float32)
+            places = [(g, at, slice(at.start - part.start, at.stop - part.start)) for g, at in runs]
+            for g, at, here in places:
+                np.matmul(h[at], leaf[g], out=e[here])
+            self._exp(e, max(reaches[g] for g, _ in runs))
+            for g, _, here in places:
+                np.matmul(e[here], of_leaf[g], out=sums[here])
+            share = 1 / (sums[:, HIDDEN:] * n)
+            back[part] += sums[:, :HIDDEN] * share
+            scaled = h[part] * share
+            for g, _, here in places:
+                np.matmul(scaled[here].T, e[here], out=by_leaf[g])
+        by_leaf[used // LEAVES, :, used % LEAVES] -= own / n
+        first = np.flatnonzero(np.append(True, used[1:] // LEAVES != used[:-1] // LEAVES))
+        by_top[:, used[first] // LEAVES] -= np.add.reduceat(own, first, axis=0).T / n
+        step(self.top, square.top, by_top[:HIDDEN])
+        step(self.top_bias, square.top_bias, by_top[HIDDEN])
+        step(self.leaf, square.leaf, by_leaf[:, :HIDDEN])
+        step(self.leaf_bias, square.leaf_bias, by_leaf[:, HIDDEN])
+        h = h[:, :HIDDEN]
         back *= 1 - h * h
         for j in range(2 * SIDE):
             order, used, heads = self._sorted(around[:, j])

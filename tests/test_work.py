@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from docrecon.functions.columns import amount
@@ -51,3 +52,37 @@ def test_terms_find_what_all_pairs_find(spark):
     every = links.pool_scores(i, d).filter("score > 0")
     assert sorted(map(tuple, links.shared_terms(i, d).collect())) == sorted(map(tuple, every.collect()))
     assert sorted(map(tuple, links.match(i, d).collect())) == sorted(map(tuple, links.matches(every).collect()))
+
+
+def test_outputs_of_groups_stay_small(monkeypatch):
+    """Neither a training step nor scores make an array of all tokens by all groups, and both do what the plain sums say."""
+    np = pytest.importorskip("numpy")
+    scoring = pytest.importorskip("docrecon.llm.scoring")
+    groups, n, widest, exp = 32, 5000, [], scoring.Window._exp
+    rng = np.random.default_rng(3)
+    leaves = np.minimum(rng.zipf(1.3, n), groups * scoring.LEAVES - 1).astype(np.uint16)
+    around, centre = scoring.around_of([leaves], groups * scoring.LEAVES)
+    net = scoring.Window(groups, whole=np.bincount(leaves, minlength=groups * scoring.LEAVES).astype(float))
+    monkeypatch.setattr(scoring.Window, "_exp", staticmethod(lambda z, reach: widest.append(z.shape) or exp(z, reach)))
+
+    def plain(flat):  # log-probabilities, and the gradient of their mean by the groups' and leaves' weights
+        w = scoring.Window(groups, flat)
+        h = np.tanh(sum(w.near[j][around[:, j]].astype(float) for j in range(2 * scoring.SIDE)))
+        g, k = centre // scoring.LEAVES, centre % scoring.LEAVES
+        top = np.exp(h @ w.top + w.top_bias)
+        leaf = np.exp(np.einsum("nh,nhl->nl", h, w.leaf[g]) + w.leaf_bias[g])
+        top, leaf = top / top.sum(1, keepdims=True), leaf / leaf.sum(1, keepdims=True)
+        at = np.arange(n)
+        log = np.log(top[at, g] * leaf[at, k])
+        top[at, g] -= 1
+        leaf[at, k] -= 1
+        by_leaf = np.zeros(w.leaf.shape)
+        np.add.at(by_leaf, g, h[:, :, None] * leaf[:, None, :] / n)
+        return log, h.T @ top / n, by_leaf
+
+    log, by_top, by_leaf = plain(net.flat)
+    assert np.allclose(net.log_probability(around, centre), log, atol=1e-4)
+    square = scoring.Window(groups, np.zeros(len(net.flat), np.float32))
+    net.learn(around, centre, square)
+    assert np.allclose(np.sqrt(square.top), np.abs(by_top), atol=1e-6) and np.allclose(np.sqrt(square.leaf), np.abs(by_leaf), atol=1e-6)
+    assert max(rows for rows, columns in widest if columns == groups) <= 1024
