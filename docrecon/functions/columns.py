@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,27 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), lambda x: use(x)), F.lit(0))
 
 
+#: Letters that patterns of labels take for plain ones, once they are capitals, and those.
+_ACCENTS, _PLAIN = "ÉÈÊÀÂÔÎ\u212aİ", "EEEAAOIKI"
+
+
+def words_of(text: Column) -> Column:
+    """The words of a text in plain capitals, one space for whatever stands between them: where a phrase is asked for before its pattern."""
+    up = F.upper(F.regexp_replace(text, r"(?U)\W+", " "))
+    return F.when(F.octet_length(text) == F.length(text), up).otherwise(F.translate(up, _ACCENTS, _PLAIN))
+
+
+def said(words: Column | None, *phrases: str) -> Column:
+    """Whether words_of a text have one of the phrases, with any signs between words; true where they were not worked out. Of a
+    phrase whose signs may be missing only its longest part is asked for. Cheap, and true wherever the phrase's pattern matches."""
+    if words is None:
+        return F.lit(True)
+    out = F.lit(False)
+    for p in dict.fromkeys(re.sub(r"\W+", " ", p).strip().upper().translate(str.maketrans(_ACCENTS, _PLAIN)) for p in phrases):
+        out = out | words.contains(p)
+    return out
+
+
 def close(a: Column, b: Column, absolute: float = 1.0, relative: float = 0.01) -> Column:
     """Within an absolute or a relative tolerance, the latter of the larger of both and 1; null if a side is."""
     gap = F.abs(a - b)
@@ -73,10 +96,10 @@ def iso_date(text: Column) -> Column:
 
 def tariff_code(value: Column) -> Column:
     """The digits of a tariff code in canonical form (6 to 10 digits), or null."""
-    d = F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), r"\D", "")
-    d = F.when(d.startswith("426"), F.concat(F.lit("420"), F.substring(d, 4, 1000))).otherwise(F.when(d == NOT_A_CODE, "").otherwise(d))
-    d = F.when(F.length(d) == 9, F.concat(d, F.lit("0"))).when((F.length(d) == 11) & d.endswith("0"), F.substring(d, 1, 10)).otherwise(d)
-    return F.when(F.length(d).between(6, 10), d)
+    read = lambda d: F.when(d.startswith("426"), F.concat(F.lit("420"), F.substring(d, 4, 1000))).otherwise(F.when(d == NOT_A_CODE, "").otherwise(d))
+    whole = lambda d: F.when(F.length(d) == 9, F.concat(d, F.lit("0"))).when((F.length(d) == 11) & d.endswith("0"), F.substring(d, 1, 10)).otherwise(d)
+    digits = F.regexp_replace(F.coalesce(value.cast("string"), F.lit("")), r"\D", "")
+    return let(let(let(digits, read), whole), lambda d: F.when(F.length(d).between(6, 10), d))
 
 
 def confusable(a: Column, b: Column) -> Column:

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import amount, iso_date, let
+from ..functions.columns import amount, iso_date, let, said, words_of
 from . import duties, tariff, totals
 
 # Currencies; the order decides for an invoice without a known layout.
@@ -49,12 +49,13 @@ def finder(label: str, shape: str, gap: str = "next") -> str:
 
 def first(text: Column, pattern: str, group: int = 1) -> Column:
     """The first capture; null if there is none."""
-    return let(F.trim(F.regexp_extract(text, pattern, group)), lambda v: F.when(v != "", v))
+    return F.get(F.array_remove(F.array(F.trim(F.regexp_extract(text, pattern, group))), ""), F.lit(0))
 
 
-def every(text: Column, pattern: str) -> Column:
-    """All captures in order, with repeats."""
-    return F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+def every(text: Column, pattern: str, if_: Column | None = None) -> Column:
+    """All captures in order, with repeats; none unless a condition holds."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+    return found if if_ is None else F.when(if_, found).otherwise(F.array().cast("array<string>"))
 
 
 def number(text: Column, thousands: bool = False) -> Column:
@@ -62,15 +63,15 @@ def number(text: Column, thousands: bool = False) -> Column:
     return let(F.regexp_replace(text, r"[.,\s]+$", ""), lambda v: amount(v, thousands))
 
 
-def any_of(text: Column, shape: str, tries: list) -> Column:
-    """The value after the first label that has one. A try is a label, or (label, gap)."""
+def any_of(text: Column, shape: str, tries: list, words: Column | None = None) -> Column:
+    """The value after the first label that has one. A try is a label, or (label, gap). With the text's words, labels that it lacks are passed over."""
     pairs = [(t, "next") if isinstance(t, str) else t for t in tries]
-    return F.coalesce(*(first(text, finder(label, shape, gap)) for label, gap in pairs))
+    return F.coalesce(*(F.when(said(words, label), first(text, finder(label, shape, gap))) for label, gap in pairs))
 
 
-def all_of(text: Column, shape: str, labels: list[str]) -> Column:
+def all_of(text: Column, shape: str, labels: list[str], words: Column | None = None) -> Column:
     """The values after all labels, each once, in the labels' order."""
-    return F.array_distinct(F.flatten(F.array(*(F.transform(every(text, finder(x, shape)), lambda v: F.regexp_replace(v, r"[/\-]+$", "")) for x in labels))))
+    return F.array_distinct(F.flatten(F.array(*(F.transform(every(text, finder(x, shape), said(words, x)), lambda v: F.regexp_replace(v, r"[/\-]+$", "")) for x in labels))))
 
 
 def last_vat(text: Column) -> Column:
@@ -83,11 +84,14 @@ def total_of(found: Column) -> Column:
     return let(values, lambda vs: F.when(F.size(vs) > 0, F.aggregate(vs, F.lit(0.0), lambda a, v: a + v)))
 
 
-def money_after(text: Column, label: str, gap: str = "next") -> Column:
+def money_after(text: Column, label: str, gap: str = "next", words: Column | None = None) -> Column:
     """(currency, total) after a label, in either order."""
     ahead = f"(?iU){loose(label)}{GAPS[gap]}({_CURRENCY})" + r"\W{0,12}" + f"({SHAPES['amount']})"
     behind = f"(?iU){loose(label)}{GAPS[gap]}({SHAPES['amount']})" + r"\W{0,4}" + f"({_CURRENCY})"
-    return F.coalesce(_money(first(text, ahead), number(first(text, ahead, 2))), _money(first(text, behind, 2), number(first(text, behind))))
+    # the text is searched for the whole, and that for its parts
+    after = let(F.regexp_extract(text, ahead, 0), lambda m: F.when(m != "", _money(first(m, ahead), number(first(m, ahead, 2)))))
+    before = let(F.regexp_extract(text, behind, 0), lambda m: F.when(m != "", _money(first(m, behind, 2), number(first(m, behind)))))
+    return F.when(said(words, label), F.coalesce(after, before))
 
 
 def _money(currency: Column, total: Column) -> Column:
@@ -131,11 +135,12 @@ def _articles(text: Column, doc_type: Column) -> Column:
     """An array of (item_no, hs_code, net_weight_kg, gross_weight_kg, money, origin_country), one an article heading; the whole text without any."""
     parts = let(F.when(doc_type.isin(*WITH_ARTICLES), F.split(text, ARTICLE)).otherwise(F.array(text)), lambda p: F.when(F.size(p) > 1, F.slice(p, 2, 1_000_000)).otherwise(p))
 
-    def line(block: Column, i: Column) -> Column:
-        money = F.coalesce(money_after(block, "Montant article facture", "line"), money_after(block, "Montant article", "line"), F.lit(None).cast("struct<currency:string,total:double>"))
-        return F.struct((i + 1).alias("item_no"), any_of(block, "code", CODE_LABELS).alias("hs_code"), number(any_of(block, "amount", ["Masse nette (kg)", "Masse nette"])).alias("net_weight_kg"), number(any_of(block, "amount", ["Masse brute (kg)", "Masse brute"])).alias("gross_weight_kg"), money.alias("money"), any_of(block, "country", ["Pays d'origine"]).alias("origin_country"))
+    def line(block: Column, i: Column, words: Column) -> Column:
+        money = F.coalesce(money_after(block, "Montant article facture", "line", words), money_after(block, "Montant article", "line", words), F.lit(None).cast("struct<currency:string,total:double>"))
+        weight = lambda kind: number(any_of(block, "amount", [f"Masse {kind} (kg)", f"Masse {kind}"], words))
+        return F.struct((i + 1).alias("item_no"), any_of(block, "code", CODE_LABELS, words).alias("hs_code"), weight("nette").alias("net_weight_kg"), weight("brute").alias("gross_weight_kg"), money.alias("money"), any_of(block, "country", ["Pays d'origine"], words).alias("origin_country"))
 
-    return F.transform(parts, line)
+    return F.transform(parts, lambda block, i: let(words_of(block), lambda words: line(block, i, words)))
 
 
 def _summed(lines: Column, value, places: int) -> Column:
@@ -143,39 +148,40 @@ def _summed(lines: Column, value, places: int) -> Column:
     return F.when(F.size(values) > 0, F.round(F.aggregate(values, F.lit(0.0), lambda a, v: a + v), places))
 
 
-def declaration(text: Column, doc_type: Column) -> tuple[dict[str, Column], dict[str, Column]]:
-    """The fields of a customs declaration: those read from the text, and those that follow from them. Articles' amounts and weights add up to the total where an article prints its own."""
-    out = {}
+def declaration(text: Column, doc_type: Column, words: Column | None = None) -> list[dict[str, Column]]:
+    """The fields of a customs declaration: those read from the text, those that the text is asked for only where the first lack
+    them, and those that follow. Articles' amounts and weights add up to the total where an article prints its own."""
+    out, labelled = {}, {}
     for name, (shape, tries) in DECLARATION_LABELS.items():
-        found = any_of(text, shape, tries)
-        out[name] = number(found) if shape == "amount" else found
+        found = any_of(text, shape, tries, words)
+        labelled[name] = number(found) if shape == "amount" else found
+    out |= {n: c for n, c in labelled.items() if not n.endswith("_weight_kg")}
     out["lines"] = _articles(text, doc_type)
-    out["printed"] = F.coalesce(*(money_after(text, x) for x in TOTAL_LABELS), *(money_after(text, x, "line") for x in TOTAL_LABELS), money_anywhere(text))
-    out["liquidation"] = duties.article_duties(text)
-    out["table"] = duties.total_duties(text)
+    out["liquidation"] = F.when(doc_type == "declaration_delta_ie_dhl", duties.article_duties(text))
+    out["table"] = F.when(doc_type == "declaration_delta_ie_akanea", duties.total_duties(text))
     for name, labels in DUTY_LABELS.items():
-        coded = total_of(F.flatten(F.array(*(every(text, finder(c, "amount")) for c in TAX_CODES[name]))))
-        out[name] = number(any_of(text, "amount", labels))
-        out[f"{name}_coded"] = coded
+        out[name] = number(any_of(text, "amount", labels, words))
     out["mrn"] = first(text, rf"\b({SHAPES['mrn']})")
-    out["refs"] = all_of(text, "reference", INVOICE_CODES)
-    out["mrns"] = all_of(text, "reference", PREVIOUS_CODES)
-    out["awbs"] = all_of(text, "reference", WAYBILL_CODES)
-    out["vat"] = F.coalesce(any_of(text, "vat", ["FR7", "FR1"]), last_vat(text))
-    lines, printed = F.col("lines"), F.col("printed")
-    amounts = _summed(lines, lambda x: x["money"]["total"], 2)
+    out["refs"] = all_of(text, "reference", INVOICE_CODES, words)
+    out["mrns"] = all_of(text, "reference", PREVIOUS_CODES, words)
+    out["awbs"] = all_of(text, "reference", WAYBILL_CODES, words)
+    out["vat"] = F.coalesce(any_of(text, "vat", ["FR7", "FR1"], words), last_vat(text))
+    lines, printed, amounts = F.col("lines"), F.col("printed"), F.col("amounts")
+    found = F.coalesce(*(money_after(text, x, gap, words) for gap in ("next", "line") for x in TOTAL_LABELS), money_anywhere(text))
+    summed = _summed(lines, lambda x: x["money"]["total"], 2)
     own = F.get(F.filter(F.transform(lines, lambda x: x["money"]["currency"]), lambda c: c.isNotNull()), F.lit(0))
     codes = F.array_distinct(F.array_compact(F.transform(lines, lambda x: x["hs_code"])))
     then = {}
     for name in DUTY_LABELS:
         # printed after a label, else in a format's tables, else beside a code; a DAU counts a missing duty as none
-        table = F.when(doc_type == "declaration_delta_ie_dhl", F.col(f"liquidation.{name}")).when(doc_type == "declaration_delta_ie_akanea", F.col(f"table.{name}"))
-        then[name] = F.coalesce(name, table, F.col(f"{name}_coded"), F.when(doc_type == "declaration_dau", 0.0))
-    then["tg"] = F.coalesce("tg", F.when(doc_type == "declaration_delta_ie_akanea", F.col("table.tg")))
+        table = F.coalesce(F.col(f"liquidation.{name}"), F.col(f"table.{name}"))  # a document has the one of its format
+        coded = total_of(F.flatten(F.array(*(every(text, finder(c, "amount"), said(words, c)) for c in TAX_CODES[name]))))
+        then[name] = F.coalesce(name, table, coded, F.when(doc_type == "declaration_dau", 0.0))
+    then["tg"] = F.coalesce("tg", F.col("table.tg"))
     then |= {"total": F.coalesce(amounts, printed["total"]), "currency": F.when(amounts.isNotNull(), own).otherwise(printed["currency"]), "hs_codes": codes, "hs_code": F.get(codes, F.lit(0)), "awb": F.get("awbs", F.lit(0))}
     for name in ("net_weight_kg", "gross_weight_kg"):
-        then[name] = F.coalesce(F.when(doc_type.isin(*WITH_ARTICLES), _summed(lines, lambda x, name=name: x[name], 3)), F.col(name))
-    return out, then
+        then[name] = F.coalesce(F.when(doc_type.isin(*WITH_ARTICLES), _summed(lines, lambda x, name=name: x[name], 3)), labelled[name])
+    return [out, {"amounts": summed}, {"printed": F.when(amounts.isNull(), found)}, then]
 
 
 # --- invoices ------------------------------------------------------------------------------------------------------------
@@ -191,7 +197,7 @@ INVOICE_LABELS = {
 NUMBER_LABELS = {"invoice_entity_proforma": ["Proforma No", "Proforma invoice No", "Pro forma invoice No", "Proforma invoice"], "invoice_entity_delivery_note": ["Delivery note No", "Delivery note number"]}
 
 
-def generic_total(text: Column) -> Column:
+def generic_total(text: Column, words: Column | None = None) -> Column:
     """(currency, total) of an invoice without a known layout. In turn: a currency whose amount ends a line, a total's line, an
     amount before a currency, an amount after the euro sign. The order of currencies decides."""
     shape = SHAPES["amount"]
@@ -200,35 +206,34 @@ def generic_total(text: Column) -> Column:
         value = F.get(F.filter(F.transform(found, lambda v: number(v, thousands=True)), lambda v: v > 0), F.lit(0))
         return F.when(value.isNotNull(), F.struct(currency.alias("currency"), value.alias("total")))
 
-    ends = [pair(F.lit(c), every(text, rf"(?imU)\b{c}\W{{0,4}}({shape})\W*$")) for c in INVOICE_CURRENCIES]
-    line = pair(F.lit(None).cast("string"), every(text, rf"(?iU)\bTOTAL\b[^\n]*?({shape}[.,]\d\d)\b"))
-    before = [pair(F.lit(c), every(text, rf"(?iU)({shape}) ?{c}\b")) for c in INVOICE_CURRENCIES]
-    return F.coalesce(*ends, line, *before, pair(F.lit("EUR"), every(text, rf"€\s*({shape})")))
+    ends = [pair(F.lit(c), every(text, rf"(?imU)\b{c}\W{{0,4}}({shape})\W*$", said(words, c))) for c in INVOICE_CURRENCIES]
+    line = pair(F.lit(None).cast("string"), every(text, rf"(?iU)\bTOTAL\b[^\n]*?({shape}[.,]\d\d)\b", said(words, "TOTAL")))
+    before = [pair(F.lit(c), every(text, rf"(?iU)({shape}) ?{c}\b", said(words, c))) for c in INVOICE_CURRENCIES]
+    return F.coalesce(*ends, line, *before, pair(F.lit("EUR"), every(text, rf"€\s*({shape})", text.contains("€"))))
 
 
-def invoice(text: Column, doc_type: Column) -> tuple[dict[str, Column], dict[str, Column]]:
-    """The fields of an invoice. A delivery note is in EUR unless it says otherwise and takes its commonest code of ten digits."""
-    out = {name: any_of(text, shape, tries) for name, (shape, tries) in INVOICE_LABELS.items()}
-    out["number"] = F.coalesce(*(F.when(doc_type == t, any_of(text, "number", labels)) for t, labels in NUMBER_LABELS.items()), out["number"])
+def invoice(text: Column, doc_type: Column, words: Column | None = None) -> list[dict[str, Column]]:
+    """The fields of an invoice, those read from the text before those that follow. A delivery note is in EUR unless it says otherwise and takes its commonest code of ten digits."""
+    out = {name: any_of(text, shape, tries, words) for name, (shape, tries) in INVOICE_LABELS.items()}
+    out["number"] = F.coalesce(*(F.when(doc_type == t, any_of(text, "number", labels, words)) for t, labels in NUMBER_LABELS.items()), out["number"])
     out["date"] = iso_date(out["date"])
     out["vat"] = last_vat(text)
-    out["choice"] = totals.choice(text)
-    out["plain"] = generic_total(text)
-    out["found"] = tariff.codes(text)
-    out["bare"] = F.array_distinct(every(text, r"\b(\d{8,10})\b"))
-    out["ten"] = every(text, r"\b(\d{10})\b")
+    out["choice"] = totals.choice(text, words)
+    out["found"] = tariff.codes(text, words=words)
+    out["runs"] = every(text, r"\b(\d{8,10})\b", text.rlike(r"\d{8}"))
     out["amounts"] = F.transform(every(text, r"(?U)(?<![\d.,])(\d[\d ]*(?:[.,]\d{3})*[.,]\d\d)(?!\d)"), lambda v: number(v, thousands=True))
     picked, plain, awb, own = F.col("choice.picked"), F.col("plain"), F.col("awb"), F.col("number")
     generic, note = doc_type == "invoice_generic", doc_type == "invoice_entity_delivery_note"
     money = F.coalesce(F.when(generic, plain), picked, plain)
     codes = F.filter("found", lambda c: ~F.coalesce(c == awb, F.lit(False)))
-    other = F.slice(F.filter("bare", lambda c: ~c.startswith("0") & ~F.coalesce(c == awb, F.lit(False)) & ~F.coalesce(c == own, F.lit(False))), 1, 1)
-    ten = F.col("ten")
-    often = F.array_max(F.transform(F.array_distinct(ten), lambda c: F.struct(F.size(F.filter(ten, lambda x: x == c)).alias("n"), (-F.array_position(ten, c)).alias("at"), c.alias("code"))))
+    other = F.slice(F.filter(F.array_distinct("runs"), lambda c: ~c.startswith("0") & ~F.coalesce(c == awb, F.lit(False)) & ~F.coalesce(c == own, F.lit(False))), 1, 1)
+    ten = F.filter("runs", lambda c: F.length(c) == 10)
+    often = let(ten, lambda ten: F.array_max(F.transform(F.array_distinct(ten), lambda c: F.struct(F.size(F.filter(ten, lambda x: x == c)).alias("n"), (-F.array_position(ten, c)).alias("at"), c.alias("code")))))
     other = F.when(note, F.array_compact(F.array(often["code"]))).otherwise(other)
     hs = F.when(F.size(codes) > 0, codes).otherwise(other)
     estimated = ~generic & F.coalesce(F.col("choice.estimated"), F.lit(False))
-    return out, {"currency": F.coalesce(money["currency"], F.when(note, "EUR")), "total": money["total"], "estimated": estimated, "hs_codes": hs, "hs_code": F.get(hs, F.lit(0))}
+    plainly = {"plain": F.when(generic | picked.isNull(), generic_total(text, words))}
+    return [out, plainly, {"currency": F.coalesce(money["currency"], F.when(note, "EUR")), "total": money["total"], "estimated": estimated, "hs_codes": hs, "hs_code": F.get(hs, F.lit(0))}]
 
 
 # --- forwarders' invoices ------------------------------------------------------------------------------------------------
@@ -245,21 +250,21 @@ PRESTATION_LABELS = {
 }
 
 
-def prestation(text: Column, doc_type: Column) -> tuple[dict[str, Column], dict[str, Column]]:
+def prestation(text: Column, doc_type: Column, words: Column | None = None) -> list[dict[str, Column]]:
     """The fields of a forwarder's invoice; what was disbursed is printed or the sum of duties and taxes."""
     out = {}
     for name, (shape, tries) in PRESTATION_LABELS.items():
-        found = any_of(text, shape, tries)
+        found = any_of(text, shape, tries, words)
         out[name] = number(found) if shape == "amount" else iso_date(found) if shape == "date" else found
     out["vat"] = F.coalesce(first(text, rf"\b({SHAPES['vat']})"), F.concat(F.lit("FR"), first(text, r"(?iU)\bTVA\s*FR\s*(\d{11})\b")))
     out["currency"] = F.lit("EUR")
     out["duty_rows"] = duties.duty_rows(text)
     out["mrns"] = F.array_distinct(every(text, rf"\b({SHAPES['mrn']})"))
     beside = every(text, rf"(?U)\b({SHAPES['waybill']})\s+{SHAPES['mrn']}")
-    out["awbs"] = F.array_distinct(F.concat(beside, all_of(text, "waybill", ["AWB", "LTA", "HAWB"])))
+    out["awbs"] = F.array_distinct(F.concat(beside, all_of(text, "waybill", ["AWB", "LTA", "HAWB"], words)))
     parts = [F.col(c) for c in ("dd", "at", "tva")]
     summed = F.when(F.coalesce(*parts).isNotNull(), F.round(reduce(lambda a, b: a + b, (F.coalesce(p, F.lit(0.0)) for p in parts)), 2))
-    return out, {"disbursement": F.coalesce(F.when(doc_type == "prestation_dhl", summed).otherwise(F.col("disbursement")), summed), "awb": F.get("awbs", F.lit(0))}
+    return [out, {"disbursement": F.coalesce(F.when(doc_type == "prestation_dhl", summed).otherwise(F.col("disbursement")), summed), "awb": F.get("awbs", F.lit(0))}]
 
 
 #: The readers and their formats.
@@ -268,14 +273,15 @@ READERS = {
     invoice: ["invoice_entity", "invoice_entity_proforma", "invoice_entity_delivery_note", "invoice_dhl_hawb", "invoice_generic", "invoice_launchmetrics", "invoice_parfumerie_versailles"],
     prestation: ["prestation_dhl", "prestation_schenker", "prestation_dsv", "prestation_worldnet"],
 }
-_BETWEEN = ("printed", "liquidation", "table", "dd_coded", "at_coded", "tva_coded", "choice", "plain", "found", "bare", "ten")
+_BETWEEN = ("text", "_words", "printed", "liquidation", "table", "choice", "plain", "found", "runs")
 
 
 def parse(segments: DataFrame, reader) -> DataFrame:
     """The fields of the segments that a reader reads, one projection for all its formats: (path, seg_no, doc_type) and a column for each."""
-    read, then = reader(F.coalesce(F.col("text"), F.lit("")), F.col("doc_type"))
-    rows = segments.filter(F.col("doc_type").isin(*READERS[reader])).select("path", "seg_no", "doc_type", *(c.alias(n) for n, c in read.items()))
-    return rows.withColumns(then).drop(*_BETWEEN)
+    read, *steps = reader(F.coalesce(F.col("text"), F.lit("")), F.col("doc_type"), F.col("_words"))
+    segments = segments.filter(F.col("doc_type").isin(*READERS[reader])).withColumn("_words", words_of(F.coalesce(F.col("text"), F.lit(""))))
+    rows = segments.select("path", "seg_no", "doc_type", "text", "_words", *(c.alias(n) for n, c in read.items()))
+    return reduce(DataFrame.withColumns, steps, rows).drop(*_BETWEEN, *(["amounts"] if reader is declaration else []))
 
 
 def documents(segments: DataFrame) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions import spans
-from ..functions.columns import let, tariff_code
+from ..functions.columns import let, said, tariff_code
 
 # Printed labels of a code with the shape that its value has, countries beside which one stands, marks of tax and telephone numbers.
 LABELS = [
@@ -31,6 +33,8 @@ SPLIT_COUNTRIES = ["ITALY", "FRANCE", "SWITZERLAND", "HONG KONG", "CHINA", "JAPA
 SPLIT_ENDS = ["TOTAL GOODS VALUE", "TOTAL INVOICE AMOUNT", "CURRENCY CODE"]
 #: The grid under a heading, up to the words that end it.
 GRID_HEADS, GRID_ENDS, GRID_REACH = ["CUSTOMS CODE", "CUSTOM CODE"], ["TOTAL GOODS VALUE", "TOTAL INVOICE AMOUNT", "NUMBER OF PARCEL"], 1600
+#: What must be in a text for a code beside a country or in groups: a letter before a long number or after one, or groups.
+MAYBE_LATE = r"(?iU)[A-Z]\s+\|?\s*\d{6}|\d{6}\s+[A-Z]|\d{4}[.,\s\-]\d\d[.,\s\-]\d\d"
 JEWELLERY, JEWELLERY_WORDS = "7117190090", ["COSTUME JEWELRY", "COSTUME JEWELLERY", "EARRING", "EARRINGS", "BROOCH", "NECKLACE", "BIJOUTERIE FANTAISIE"]
 
 _GAP = r"\s*:?\s*"
@@ -38,16 +42,26 @@ _GAP = r"\s*:?\s*"
 _SHAPES = {"spaced": (_GAP, r"\d[\d ]{5,11}"), "printed": (_GAP, r"\d[\d .,]{5,15}"), "long": (_GAP, r"\d[\d .,]{9,16}"), "plain": ("[: ]+", r"\d{6,10}\b")}
 
 
+def _NONE() -> Column:
+    return F.array().cast("array<string>")
+
+
 def _words(words: list[str]) -> str:
     return "(?:" + "|".join(w.replace(".", r"\.?").replace("+", r"\+").replace("-", r"\W?").replace(" ", r"\s+") for w in words) + ")"
 
 
-def _labelled(text: Column) -> Column:
+def _heads(words: Column | None, labels: list[str]) -> Column:
+    """Whether one of the labels may be printed: signs within a word may be missing, so of such a label its longest part is asked for."""
+    return said(words, *(max(re.split(r"[.+-]", x), key=len) for x in labels))
+
+
+def _labelled(text: Column, words: Column | None = None) -> Column:
     """Values after the labels, in the order of the table."""
     found = []
     for labels, shape in LABELS:
         gap, value = _SHAPES[shape] if shape in _SHAPES else (rf"[\s\S]{{0,{shape.rpartition(' ')[2]}}}?\bNO\s+", r"\d{8,10}\b")
-        found.append(F.regexp_extract_all(text, F.lit(rf"(?iU)\b{_words(labels)}{gap}({value})"), F.lit(1)))
+        values = F.regexp_extract_all(text, F.lit(rf"(?iU)\b{_words(labels)}{gap}({value})"), F.lit(1))
+        found.append(F.when(_heads(words, labels), values).otherwise(_NONE()))
     return F.concat(*found)
 
 
@@ -129,41 +143,56 @@ def _grouped(tokens: Column) -> Column:
     return spans.walk(tokens, used)
 
 
+def _marked(text: Column, words: Column | None = None) -> Column:
+    """What stands soon after the marks of tax and telephone numbers, up to a long number."""
+    up = F.upper(text)
+
+    def soon_after(whole: Column, marks: list[str], reach: int, between: str) -> Column:
+        return F.regexp_extract_all(whole, F.lit(rf"(?s)(?:{'|'.join(m.replace('+', chr(92) + '+') for m in marks)})(?=({between}{{0,{reach}}}\d{{6,11}}))"), F.lit(1))
+
+    tax, phone = soon_after(F.regexp_replace(up, r"\s+", ""), TAX_MARKS, TAX_REACH, r"[^A-Z0-9]"), soon_after(up, PHONE_MARKS, PHONE_REACH, r".")
+    if words is not None:  # white space may stand within a mark of tax numbers
+        tax = F.when(said(F.replace(words, F.lit(" "), F.lit("")), *TAX_MARKS), tax).otherwise(_NONE())
+        phone = F.when(said(words, *(m for m in PHONE_MARKS if m.isalpha())) | text.contains("+"), phone).otherwise(_NONE())
+    return F.concat(tax, phone)
+
+
 def look_alike(code: Column, text: Column, known_ids: list[str] = (), prefixes: list[str] = ()) -> Column:
     """A code that is a known number of the client (one contains the other), begins as excluded ones do, or stands soon after a mark of tax or telephone numbers."""
-    up = F.upper(text)
-    tight = F.regexp_replace(up, r"\s+", "")
+    return _look_alike(code, _marked(text), known_ids, prefixes)
+
+
+def _look_alike(code: Column, marked: Column, known_ids: list[str], prefixes: list[str]) -> Column:
     out = F.lit(False)
     for known in known_ids:
         out = out | code.contains(known) | F.lit(known).contains(code)
     for p in prefixes:
         out = out | code.startswith(p)
-
-    def soon_after(whole: Column, marks: list[str], reach: int, between: str) -> Column:
-        windows = F.regexp_extract_all(whole, F.lit(rf"(?s)(?:{'|'.join(m.replace('+', chr(92) + '+') for m in marks)})(?=({between}{{0,{reach}}}\d{{6,11}}))"), F.lit(1))
-        return F.exists(windows, lambda w: w.contains(code))
-
-    return out | soon_after(tight, TAX_MARKS, TAX_REACH, r"[^A-Z0-9]") | soon_after(up, PHONE_MARKS, PHONE_REACH, r".")
+    return out | F.exists(marked, lambda w: w.contains(code))
 
 
-def codes(text: Column, awb: Column | None = None, scope: list[str] | None = None, known_ids: list[str] = (), prefixes: list[str] = ()) -> Column:
+def codes(text: Column, awb: Column | None = None, scope: list[str] | None = None, known_ids: list[str] = (), prefixes: list[str] = (), words: Column | None = None) -> Column:
     """The distinct codes in the order of these steps: split over lines; after a label; in a grid; in a table of values, only if
     nothing was found so far and it has TABLE_MOST at most; beside a country; in groups; the code of costume jewellery by its
-    words, only if there is none yet. Look-alikes and the waybill's number go, but for split ones; with a scope, so does a code whose first six digits are outside it."""
+    words, only if there is none yet. Look-alikes and the waybill's number go, but for split ones; with a scope, so does a code whose first six digits are outside it. With the text's words, steps whose labels it lacks are passed over."""
 
     def within(found: Column) -> Column:
         good = F.filter(F.transform(found, tariff_code), lambda c: c.isNotNull())
         return good if scope is None else F.filter(good, lambda c: F.substring(c, 1, 6).isin(scope))
 
-    def clean(found: Column) -> Column:
-        good = F.filter(within(found), lambda c: ~look_alike(c, text, known_ids, prefixes))
+    def clean(found: Column, marked: Column) -> Column:
+        good = F.filter(within(found), lambda c: ~_look_alike(c, marked, known_ids, prefixes))
         return good if awb is None else F.filter(good, lambda c: ~F.coalesce(c == awb, F.lit(False)))
 
-    none = F.array().cast("array<string>")
-    first = F.concat(within(_split_lines(text)), clean(F.concat(_labelled(text), _grid(text))))
-    spare = F.array_distinct(clean(_value_table(text)))
-    early = let(F.struct(first.alias("first"), spare.alias("spare")), lambda f: F.when((F.size(f["first"]) == 0) & (F.size(f["spare"]) <= TABLE_MOST), f["spare"]).otherwise(f["first"]))
-    late = let(spans.numbers(text), lambda t: clean(F.concat(_beside_countries(t), _grouped(t))))
-    jewellery = F.array(F.lit(JEWELLERY)) if scope is None or JEWELLERY[:6] in scope else none
-    found = F.array_distinct(F.concat(early, late))
-    return let(found, lambda f: F.when((F.size(f) == 0) & F.upper(text).rlike(rf"\b{_words(JEWELLERY_WORDS)}\b"), jewellery).otherwise(f))
+    def steps(marked: Column) -> Column:
+        only = lambda condition, found: F.when(condition, found).otherwise(_NONE())
+        grid, table = only(said(words, *GRID_HEADS), _grid(text)), only(said(words, *TABLE_HEADS), _value_table(text))
+        first = F.concat(within(only(said(words, "1B", "IB"), _split_lines(text))), clean(F.concat(_labelled(text, words), grid), marked))
+        early = let(first, lambda f: F.when(F.size(f) == 0, let(F.array_distinct(clean(table, marked)), lambda spare: F.when(F.size(spare) <= TABLE_MOST, spare).otherwise(f))).otherwise(f))
+        late = only(text.rlike(MAYBE_LATE), let(spans.numbers(text), lambda t: clean(F.concat(_beside_countries(t), _grouped(t)), marked)))
+        return F.array_distinct(F.concat(early, late))
+
+    jewellery = F.array(F.lit(JEWELLERY)) if scope is None or JEWELLERY[:6] in scope else _NONE()
+    own = lambda f: (F.size(f) == 0) & said(words, *JEWELLERY_WORDS) & F.upper(text).rlike(rf"\b{_words(JEWELLERY_WORDS)}\b")
+    found = let(let(_marked(text, words), steps), lambda f: F.when(own(f), jewellery).otherwise(f))
+    return F.when(text.isNotNull(), found)

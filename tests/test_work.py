@@ -5,8 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from docrecon.functions.columns import amount
-from docrecon.operators import duties, links
+from docrecon.functions.columns import amount, tariff_code, words_of
+from docrecon.operators import duties, extract, links, tariff, totals
+from tests.test_fields import CODES
 
 
 def test_an_amount_is_bared_once(spark):
@@ -86,3 +87,26 @@ def test_outputs_of_groups_stay_small(monkeypatch):
     net.learn(around, centre, square)
     assert np.allclose(np.sqrt(square.top), np.abs(by_top), atol=1e-6) and np.allclose(np.sqrt(square.leaf), np.abs(by_leaf), atol=1e-6)
     assert max(rows for rows, columns in widest if columns == groups) <= 1024
+
+
+def test_a_tariff_code_is_bared_once(spark):
+    assert str(tariff_code(F.col("t"))).count("regexp_replace") == 1
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(["4262.22", "100900", "420222123", "42022212340", "42022212341", "12345", None])], "i int, t string")
+    assert [r["c"] for r in rows.select("i", tariff_code(F.col("t")).alias("c")).orderBy("i").collect()] == ["420222", None, "4202221230", "4202221234", None, None, None]
+
+
+def test_labels_that_a_text_lacks_are_passed_over(spark):
+    """A text's words are asked first, and whatever a pattern finds is found with them, too: accents, signs and odd capitals."""
+    labels = ["Masse nette totale (kg)", "Pays d'origine", "Total a payer", "Code P. origine", "TG", "Waybill No"]
+    texts = [f"x {x}{gap}12,5 {tail}" for label in labels for x in (label, label.upper(), label.replace("e", "é"), label.replace("a", "À"), label.replace("s", "ſ").replace("i", "ı"), label.replace(" ", "\n-")) for gap in (" : ", " ", "") for tail in ("FR", "")] + ["", "KG", "é́ 12"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("w", words_of(F.col("t")))
+    plain, quick = (F.array(*(extract.any_of(F.col("t"), "amount", [(x, gap)], w) for x in labels for gap in ("next", "line"))) for w in (None, F.col("w")))
+    got = rows.select(plain.alias("plain"), quick.alias("quick"), tariff.codes(F.col("t")).alias("a"), tariff.codes(F.col("t"), words=F.col("w")).alias("b"), totals.choice(F.col("t")).alias("c"), totals.choice(F.col("t"), F.col("w")).alias("d")).collect()
+    assert all(r["plain"] == r["quick"] and r["a"] == r["b"] and r["c"] == r["d"] for r in got)
+    assert sum(v is not None for r in got for v in r["quick"]) > 100
+
+
+def test_codes_with_and_without_words_agree(spark):
+    rows = spark.createDataFrame([(t,) for t, _ in CODES], "t string").withColumn("w", words_of(F.col("t")))
+    got = rows.select(tariff.codes(F.col("t")).alias("a"), tariff.codes(F.col("t"), words=F.col("w")).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in got) and any(r["b"] for r in got)
