@@ -19,7 +19,7 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 #: Rows of a side that may be broadcast once they have been counted; a larger side meets its rows by a salted join.
 BROADCAST_ROWS = 100_000
 #: In force while a scratch table is written: shuffle files go at the end of the query, and rows reach Python in small batches.
-_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+_WHILE_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8m"}
 
 #: Scratch tables that still exist: path to (file system, path), which outlive the session that wrote them.
 _made: dict[str, tuple] = {}

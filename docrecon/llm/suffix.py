@@ -29,6 +29,8 @@ CHUNK_BYTES = 2 << 20
 BUCKET_BYTES, TASK_BYTES = 20 << 20, 40 << 20
 #: Depth of the multikey quicksort, in bytes; groups that still agree go to blind tries.
 SHALLOW = 24
+#: Windows of a bucket that are sorted at once; bytes of a chunk whose anchors are looked for at once.
+SORTED_WINDOWS, BLOCK = 1 << 18, 1 << 18
 _SPAN = LENGTH - GRAM + 1
 _LETTER = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STEP = np.uint64(0xD6E8FEB86659FD93)
@@ -200,6 +202,29 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
+def _least(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the grams of buf, and for each window the place of the one of least hash."""
+    h = _LETTER[buf]
+    two = h[:-1] * _STEP + h[1:]
+    del h
+    four = two[:-2] * _STEP + two[2:]
+    del two
+    eight = four[:-4] * _STEP + four[4:]
+    sixteen = eight[:-8] * _STEP + eight[8:]
+    del eight
+    gram = mix64(sixteen[:-4] * _STEP + four[16:])
+    del four, sixteen
+    value, place = gram, np.arange(len(gram), dtype=np.int32)
+    width = 1
+    while width < _SPAN:
+        by = min(width, _SPAN - width)
+        less = value[by:] < value[:-by]
+        value = np.where(less, value[by:], value[:-by])
+        place = np.where(less, place[by:], place[:-by])
+        width += by
+    return gram, place
+
+
 class Chunk:
     """The anchors of a chunk's windows: for the i-th, hashes[i] at place p[i] serves windows lo[i] to hi[i] of document doc[i]."""
 
@@ -210,39 +235,24 @@ class Chunk:
         self.ids = ids.fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
         n = len(self.buf)
         sizes = np.diff(self.at)
-        valid = np.zeros(n + 1, np.int32)
+        valid = np.zeros(n + 1, np.int8)
         full = sizes >= LENGTH
         np.add.at(valid, self.at[:-1][full], 1)
         np.add.at(valid, self.at[1:][full] - LENGTH + 1, -1)
-        starts = np.flatnonzero(np.cumsum(valid[:-1]))
-        if not len(starts):
-            self.hashes = np.zeros(0, np.uint64)
-            self.p = self.lo = self.hi = self.doc = np.zeros(0, np.int64)
-            return
-        h = _LETTER[self.buf]
-        two = h[:-1] * _STEP + h[1:]
-        del h
-        four = two[:-2] * _STEP + two[2:]
-        del two
-        eight = four[:-4] * _STEP + four[4:]
-        sixteen = eight[:-8] * _STEP + eight[8:]
-        del eight
-        gram = mix64(sixteen[:-4] * _STEP + four[16:])
-        del four, sixteen
-        value, place = gram, np.arange(len(gram), dtype=np.int32)
-        width = 1
-        while width < _SPAN:
-            by = min(width, _SPAN - width)
-            less = value[by:] < value[:-by]
-            value = np.where(less, value[by:], value[:-by])
-            place = np.where(less, place[by:], place[:-by])
-            width += by
-        p = place[starts]
-        first = np.flatnonzero(np.diff(p, prepend=-1))
-        self.p = p[first].astype(np.int64)
-        self.lo = starts[first]
-        self.hi = starts[np.append(first[1:], len(starts)) - 1]
-        self.hashes = gram[self.p]
+        starts = np.flatnonzero(np.cumsum(valid[:-1], dtype=np.int8))
+        p, lo, hashes, last = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], -1
+        for a in range(0, n - LENGTH + 1, BLOCK):
+            own = starts[np.searchsorted(starts, a) : np.searchsorted(starts, a + BLOCK)]
+            if len(own):
+                gram, place = _least(self.buf[a : a + BLOCK + LENGTH - 1])
+                q = place[own - a].astype(np.int64)
+                new = np.diff(q, prepend=last - a) != 0
+                last = int(q[-1]) + a
+                p.append(q[new] + a)
+                lo.append(own[new])
+                hashes.append(gram[q[new]])
+        self.p, self.lo, self.hashes = np.concatenate(p), np.concatenate(lo), np.concatenate(hashes)
+        self.hi = starts[np.append(np.searchsorted(starts, self.lo)[1:], len(starts)) - 1] if len(starts) else self.lo
         self.doc = np.searchsorted(self.at, self.p, "right") - 1
 
     def region(self, i: int) -> bytes:
@@ -361,57 +371,83 @@ def _regions(buckets: int):
 _FOUND = np.dtype([("anchor", "<i4"), ("lo", "<i2"), ("hi", "<i2")])
 
 
+def _elsewhere(buf: np.ndarray, begin: np.ndarray, place: np.ndarray, windows: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """For each region a bit a window, set where an equal window has a smaller document.
+
+    Equal windows hold their anchor at the same distance from their start: where an anchor has many regions, windows are sorted
+    by some distances at a time, so that at most SORTED_WINDOWS, or one for each region, are sorted at once.
+    """
+    bits, step = np.zeros(len(begin), np.uint32), int(max(1, _SPAN * SORTED_WINDOWS // max(1, int(windows.sum()))))
+    for v in range(0, _SPAN, step):
+        lo, hi = np.maximum(place - v - step + 1, 0), np.minimum(place - v, windows - 1)
+        n = np.maximum(hi - lo + 1, 0)
+        region = np.repeat(np.arange(len(begin)), n)
+        if not len(region):
+            continue
+        inside = lo[region] + np.arange(len(region)) - np.repeat(np.cumsum(n) - n, n)
+        at = begin[region] + inside  # in order, as regions lie one behind another
+        order, runs = deep_shallow(buf, at)
+        back = np.searchsorted(at, order)
+        doc = least[region[back]]
+        hit = back[doc > np.repeat(np.minimum.reduceat(doc, runs), np.diff(np.append(runs, len(order))))]
+        np.bitwise_or.at(bits, region[hit], np.uint32(1) << inside[hit].astype(np.uint32))
+    return bits
+
+
+def _found(raw: memoryview, heads: np.ndarray, begin: np.ndarray, ends: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the heads in part, all of some anchors in hash order: heads, first and last windows of what starts in a smaller document too."""
+    # the same region under the same anchor counts once, with the least document
+    own = heads[part]
+    same = np.frombuffer(b"".join([xxhash.xxh3_128_digest(raw[x:y]) for x, y in zip(begin[part].tolist(), ends[part].tolist(), strict=True)]), np.uint64).reshape(-1, 2)
+    order = np.lexsort((same[:, 1], same[:, 0], own["place"], own["hash"]))
+    new = np.ones(len(order), bool)
+    new[1:] = (same[order[1:]] != same[order[:-1]]).any(axis=1) | (own["place"][order[1:]] != own["place"][order[:-1]]) | (own["hash"][order[1:]] != own["hash"][order[:-1]])
+    one = np.empty(len(order), np.int64)
+    one[order] = np.cumsum(new) - 1
+    least = np.minimum.reduceat(own["doc"][order], np.flatnonzero(new))
+    later = own["doc"] > least[one]
+    # suffixes of the regions of anchors that have several
+    sample = order[new]
+    h = own["hash"][sample]
+    several = np.append(False, h[1:] == h[:-1]) | np.append(h[1:] == h[:-1], False)
+    texts = sample[several]
+    size = own["size"][texts].astype(np.int64)
+    buf = np.frombuffer(b"".join([raw[x:y] for x, y in zip(begin[part[texts]].tolist(), ends[part[texts]].tolist(), strict=True)]) + bytes(LENGTH + 8), np.uint8)
+    bits = np.zeros(len(sample), np.uint32)
+    bits[several] = _elsewhere(buf, np.cumsum(size) - size, own["place"][texts].astype(np.int64), size - LENGTH + 1, least[several])
+    # a region of a later document goes whole, of one of the least the ranges of windows
+    mine = np.flatnonzero(~later & (bits[one] != 0))
+    b = bits[one[mine]]
+    edge = lambda x: np.nonzero(np.unpackbits(x.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little"))
+    (which, lo), (_, hi) = edge(b & ~(b << np.uint32(1))), edge(b & ~(b >> np.uint32(1)))
+    whole = part[later]
+    return np.append(whole, part[mine[which]]), np.append(np.zeros(len(whole), np.int64), lo), np.append(heads["size"][whole].astype(np.int64) - LENGTH, hi)
+
+
 def _sorted_bucket(table: pa.Table) -> pa.Table:
     """For one bucket: rows (chunk, found) with the windows lo to hi (after the region's first) of an anchor that start in a smaller document too."""
     expand = zstandard.ZstdDecompressor().decompress
     each = [np.frombuffer(expand(x.as_buffer()), _REGION) for x in table.column("heads")]
     counts, heads = [len(x) for x in each], np.concatenate(each)
     owner = np.repeat(np.arange(len(counts)), counts)
-    raw = b"".join(expand(x.as_buffer()) for x in table.column("bytes"))
     ends = np.cumsum(heads["size"].astype(np.int64))
     begin = ends - heads["size"]
-    # the same region under the same anchor counts once, with the least document
+    raw, at = memoryview(bytearray(int(ends[-1]))), 0
+    for x in table.column("bytes"):
+        text = expand(x.as_buffer())
+        raw[at : at + len(text)] = text
+        at += len(text)
+    # anchors are worked on some at a time, as no window is equal under another one; of each: head, first and last window of what is found
     order = np.argsort(heads["hash"], kind="stable")
-    ids: dict = {}
-    one = np.empty(len(heads), np.int64)
-    for i, x, y, h, p in zip(order.tolist(), begin[order].tolist(), ends[order].tolist(), heads["hash"][order].tolist(), heads["place"][order].tolist(), strict=True):
-        one[i] = ids.setdefault((h, p, raw[x:y]), len(ids))
-    least = np.full(len(ids), np.iinfo(np.int64).max)
-    np.minimum.at(least, one, heads["doc"])
-    sample = np.empty(len(ids), np.int64)
-    sample[one] = np.arange(len(heads))
-    later = heads["doc"] > least[one]
-    # suffixes of the regions of anchors that have several
-    h = heads["hash"][sample]
-    several = np.append(False, h[1:] == h[:-1]) | np.append(h[1:] == h[:-1], False)
-    rows = np.flatnonzero(several)
-    windows = heads["size"][sample[rows]].astype(np.int64) - LENGTH + 1
-    total = int(windows.sum())
-    inside = np.arange(total) - np.repeat(np.cumsum(windows) - windows, windows)
-    place = np.repeat(begin[sample[rows]], windows) + inside
-    region = np.repeat(rows, windows)
-    hit = np.zeros(total, bool)
-    if total:
-        buf = np.frombuffer(raw + bytes(LENGTH + 8), np.uint8)
-        by_place = np.argsort(place)
-        order, runs = deep_shallow(buf, place)
-        back = by_place[np.searchsorted(place[by_place], order)]
-        doc = least[region[back]]
-        first = np.minimum.reduceat(doc, runs)
-        hit[back] = doc > np.repeat(first, np.diff(np.append(runs, len(order))))
-    # ranges of windows for each region, then for each occurrence of least document
-    firsts = np.flatnonzero(hit & np.append(True, ~hit[:-1] | (region[1:] != region[:-1]))) if total else np.zeros(0, np.int64)
-    lasts = np.flatnonzero(hit & np.append(~hit[1:] | (region[1:] != region[:-1]), True)) if total else firsts
-    of = region[firsts]
-    cut = np.searchsorted(of, np.arange(len(ids) + 1))
-    mine = np.flatnonzero(~later & (cut[one + 1] > cut[one]))
-    n = cut[one[mine] + 1] - cut[one[mine]]
-    pick = np.repeat(cut[one[mine]], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-    found = np.zeros(int(later.sum()) + len(pick), _FOUND)
-    k = int(later.sum())
-    found["anchor"][:k], found["hi"][:k] = heads["anchor"][later], heads["size"][later] - LENGTH
-    found["anchor"][k:], found["lo"][k:], found["hi"][k:] = np.repeat(heads["anchor"][mine], n), inside[firsts[pick]], inside[lasts[pick]]
-    whose = np.concatenate([owner[later], np.repeat(owner[mine], n)])
+    s = heads["hash"][order]
+    firsts = np.flatnonzero(np.append(True, s[1:] != s[:-1]))
+    windows = np.cumsum(np.add.reduceat(heads["size"][order].astype(np.int64) - LENGTH + 1, firsts))
+    cuts = firsts[np.flatnonzero(np.diff(windows // SORTED_WINDOWS, prepend=-1))]
+    parts = [_found(raw, heads, begin, ends, order[x:y]) for x, y in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)], strict=True)]
+    of, lo, hi = (np.concatenate(x) for x in zip(*parts, strict=True))
+    found = np.zeros(len(of), _FOUND)
+    found["anchor"], found["lo"], found["hi"] = heads["anchor"][of], lo, hi
+    whose = owner[of]
     order = np.argsort(whose, kind="stable")
     cuts = np.searchsorted(whose[order], np.arange(len(counts) + 1))
     found = found[order]

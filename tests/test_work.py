@@ -110,3 +110,34 @@ def test_codes_with_and_without_words_agree(spark):
     rows = spark.createDataFrame([(t,) for t, _ in CODES], "t string").withColumn("w", words_of(F.col("t")))
     got = rows.select(tariff.codes(F.col("t")).alias("a"), tariff.codes(F.col("t"), words=F.col("w")).alias("b")).collect()
     assert all(r["a"] == r["b"] for r in got) and any(r["b"] for r in got)
+
+
+def test_passages_are_sorted_some_at_a_time(monkeypatch):
+    """A bucket sorts few windows at once, also those of one anchor that many documents have in other words; anchors are looked for block by block."""
+    np, pa = pytest.importorskip("numpy"), pytest.importorskip("pyarrow")
+    suffix = pytest.importorskip("docrecon.llm.suffix")
+    rng = random.Random(5)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(70))
+    say = lambda n: "".join(rng.choice("klmnopé ") for _ in range(n))
+    texts = [say(rng.choice([0, 9, 40])) + line[: rng.choice([30, 55, 70])] + say(rng.choice([0, 5, 60])) for _ in range(300)] + ["it " * 60, "", line[:49], "it " * 40]
+    blobs = [suffix._pack(pa.record_batch([pa.array(range(x, x + 76), pa.int64()), pa.array(texts[x : x + 76], pa.large_string())], names=["i", "t"])) for x in range(0, 304, 76)]
+    limit, widest, plain, hashed, letters = 500, [], suffix.deep_shallow, [], suffix._LETTER
+    monkeypatch.setattr(suffix, "SORTED_WINDOWS", limit, raising=False)
+    monkeypatch.setattr(suffix, "BLOCK", 300, raising=False)
+    monkeypatch.setattr(suffix, "deep_shallow", lambda buf, at: widest.append(len(at)) or plain(buf, at))
+    monkeypatch.setattr(suffix, "_LETTER", type("Letters", (), {"__getitem__": lambda _, x: hashed.append(len(x)) or letters[x]})())
+    chunks = pa.table({"chunk": pa.array(range(len(blobs)), pa.int64()), "blob": pa.array(blobs, pa.binary())})
+    shared = suffix._shared(pa.Table.from_batches(suffix._seen(1)(chunks.to_batches())))
+    of = lambda table, c: table.filter(pa.compute.equal(table.column("chunk"), c))
+    regions = pa.concat_tables([suffix._regions(1)(of(chunks, c), of(shared, c)) for c in range(len(blobs))])
+    assert len(set(range(4)) & set(regions.column("chunk").to_pylist())) == 4
+    found = suffix._sorted_bucket(regions)
+    got = [row["n_removed"] for c in range(len(blobs)) for row in suffix._digest(of(chunks, c), of(found, c)).to_pylist()]
+    seen: set = set()
+    for text, n in zip(texts, got, strict=True):
+        b = text.encode()
+        windows = [b[i : i + 50] for i in range(len(b) - 49)]
+        gone = {j for i, w in enumerate(windows) if w in seen for j in range(i, i + 50)}
+        seen.update(windows)
+        assert n == len(gone)
+    assert sum(widest) > 3 * limit and max(widest) <= 2 * limit and max(hashed) < 400
