@@ -98,6 +98,20 @@ def total_duties(text: Column) -> Column:
 #: A row of a forwarder's table: a code, what it is charged on, the word, the rate, the duty; and the characters after it that may hold its taxes.
 DUTY_ROW, ROW_WINDOW = r"(?iU)\b(\d{10})\s+([\d.,]+)\s+Droits\s+de\s+Douane\s+([\d.,]+)\s+([\d.,]+)", 400
 _ROW_TAXES = {"tva": (r"TVA\s+[àa]\s+l['’ ]importation\s+([\d.,]+)\s+([\d.,]+)", [("base_tva", 1), ("tva", 2)]), "at": (r"Autres\s+Taxes\s+([\d.,]+)\s+([\d.,]+)", [("at", 2)]), "total": (r"Total\s*EUR\s*:?\s*([\d.,]+)", [("total", 1)])}
+# A digit is asked for first: the edge of a word is dear to tell, and most places of a text have no digit.
+_ROW_AND_WINDOW = rf"(?U)(?=\d)(?=({DUTY_ROW}(?s:.{{0,{ROW_WINDOW}}}))){DUTY_ROW}"
+
+
+def _tax(kind: str) -> str:
+    """The pattern of a tax. Its first letter, a T or an A, which have no odd capitals, is asked for as it is before capitals are compared."""
+    pattern = _ROW_TAXES[kind][0]
+    return f"(?=[{pattern[0].upper()}{pattern[0].lower()}])(?iU){pattern}"
+
+
+def _value(text: Column) -> Column:
+    """The amount of digits and signs, those at the end left out. Digits with one decimal sign at most, or nothing, need no more steps."""
+    plain = F.translate(text, ",", ".").try_cast("double")
+    return F.when(text == "", F.lit(None)).when(text.rlike(r"\A[0-9]+(?:[.,][0-9]+)?\z"), plain).otherwise(let(F.regexp_replace(text, r"[.,]+\z", ""), amount))
 
 
 def duty_rows(text: Column) -> Column:
@@ -106,22 +120,33 @@ def duty_rows(text: Column) -> Column:
     A row's taxes are the first of their kind within ROW_WINDOW characters after it; these windows overlap, so that a row whose
     taxes are printed behind the next row's has them, too. Null fields were not printed. Null of a null text.
     """
-    # a digit is asked for first: the edge of a word is dear to tell, and most places of a text have no digit
-    whole = rf"(?U)(?=\d)(?=({DUTY_ROW}(?s:.{{0,{ROW_WINDOW}}}))){DUTY_ROW}"
-    value = lambda x, pattern, k: let(F.regexp_replace(F.regexp_extract(x, pattern, k), r"[.,]+\z", ""), amount)
+    value = lambda x, pattern, k: let(F.regexp_extract(x, pattern, k), _value)
 
     def one(row: Column, window: Column) -> Column:
         own = [value(row, DUTY_ROW, k).alias(n) for n, k in (("base", 2), ("rate", 3), ("dd", 4))]
-        found = F.struct(*(F.regexp_extract(window, f"(?iU){pattern}", 0).alias(kind) for kind, (pattern, _) in _ROW_TAXES.items()))
+        found = F.struct(*(F.regexp_extract(window, _tax(kind), 0).alias(kind) for kind in _ROW_TAXES))
         taxes = lambda t: [value(t[kind], f"(?iU){pattern}", k).alias(n) for kind, (pattern, fields) in _ROW_TAXES.items() for n, k in fields]
         return let(found, lambda t: F.struct(F.regexp_extract(row, DUTY_ROW, 1).alias("hs_code"), *own, *taxes(t)))
 
     cut = lambda p: let(F.regexp_extract(p, DUTY_ROW, 0), lambda row: one(row, F.substr(p, F.length(row) + 1)))
-    return F.transform(F.regexp_extract_all(text, F.lit(whole), F.lit(1)), cut)
+    return F.transform(F.regexp_extract_all(text, F.lit(_ROW_AND_WINDOW), F.lit(1)), cut)
+
+
+def _sums(rows: DataFrame, id_col: str, prefix: str = "") -> DataFrame:
+    total = lambda c: F.round(F.sum(F.col(prefix + c)), 2).alias(c)
+    return rows.groupBy(id_col, F.col(prefix + "hs_code").alias("hs_code")).agg(F.count(F.lit(1)).alias("n_rows"), total("dd"), total("tva"), total("at"))
 
 
 def by_code(documents: DataFrame, id_col: str = "id", rows_col: str = "duty_rows") -> DataFrame:
     """(id, hs_code, n_rows, dd, tva, at): a document's duties by tariff code, null where no row of the code prints one."""
-    rows = documents.select(id_col, F.explode(rows_col).alias("r"))
-    total = lambda c: F.round(F.sum(F.col(f"r.{c}")), 2).alias(c)
-    return rows.groupBy(id_col, F.col("r.hs_code").alias("hs_code")).agg(F.count(F.lit(1)).alias("n_rows"), total("dd"), total("tva"), total("at"))
+    return _sums(documents.select(id_col, F.explode(rows_col).alias("r")), id_col, "r.")
+
+
+def by_code_of_texts(documents: DataFrame, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """What by_code gives of duty_rows of the texts. A table's row becomes a row before its fields are read, and only those that are summed are."""
+    rows = documents.select(id_col, F.explode(F.regexp_extract_all(text_col, F.lit(_ROW_AND_WINDOW), F.lit(1))).alias("p"))
+    rows = rows.withColumn("row", F.regexp_extract("p", DUTY_ROW, 0))
+    window = F.substr(F.col("p"), F.length("row") + 1)
+    rows = rows.select(id_col, F.substring("row", 1, 10).alias("hs_code"), F.regexp_extract("row", DUTY_ROW, 4).alias("dd"), window.alias("window"))
+    rows = rows.select(id_col, "hs_code", "dd", *(F.regexp_extract("window", _tax(kind), 2).alias(kind) for kind in ("tva", "at")))
+    return _sums(rows.withColumns({n: _value(F.col(n)) for n in ("dd", "tva", "at")}), id_col)

@@ -494,14 +494,20 @@ SELECT id, hs::VARCHAR AS hs_code, count(*) AS n_rows, round(sum(a / 100::DOUBLE
 def forwarder_duties(spark, d: str) -> DataFrame:
     """Duties by code of a forwarder's invoice an order, a row of its table a line: taxes after a row, too far from it, or none."""
     money = lambda n: F.concat(F.floor(n / 100).cast("string"), F.lit(","), F.lpad((n % 100).cast("string"), 2, "0"))
-    a, b, n = F.col("l_partkey") * 7 % 90000 + 100, F.col("l_suppkey") % 500 + 9, F.col("l_linenumber") % 4
-    row = F.concat((F.col("l_partkey") % 7 + 4202000000).cast("string"), F.lit(" 900,00 Droits de Douane 3,50 "), money(a), F.lit("\n"))
-    tva, at = F.concat(F.lit("TVA à l'importation 1000,00 "), money(a + b), F.lit("\n")), F.concat(F.lit("Autres Taxes 5,00 "), b.cast("string"), F.lit(",00\n"))
     far = F.rpad(F.lit(""), duties.ROW_WINDOW, "x ")
-    text = F.concat(row, F.when(n.isin(0, 1), F.concat(tva, at)).when(n == 2, tva).otherwise(""), F.when(n >= 2, F.concat(far, F.lit("\n"), F.when(n == 3, tva).otherwise(""))).otherwise(F.lit("Total EUR: 9,99\n")))
-    rows = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", text.alias("t")))), lambda x: x["t"])
-    texts = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("id")).agg(F.array_join(rows, "").alias("text"))
-    return duties.by_code(texts.select("id", duties.duty_rows(F.col("text")).alias("duty_rows")))
+
+    def printed(line):
+        a, b, n = line["l_partkey"] * 7 % 90000 + 100, line["l_suppkey"] % 500 + 9, line["l_linenumber"] % 4
+        row = F.concat((line["l_partkey"] % 7 + 4202000000).cast("string"), F.lit(" 900,00 Droits de Douane 3,50 "), money(a), F.lit("\n"))
+        tva, at = F.concat(F.lit("TVA à l'importation 1000,00 "), money(a + b), F.lit("\n")), F.concat(F.lit("Autres Taxes 5,00 "), b.cast("string"), F.lit(",00\n"))
+        text = F.concat(row, F.when(n.isin(0, 1), F.concat(tva, at)).when(n == 2, tva).otherwise(""), F.when(n >= 2, F.concat(far, F.lit("\n"), F.when(n == 3, tva).otherwise(""))).otherwise(F.lit("Total EUR: 9,99\n")))
+        return F.struct(line["l_linenumber"].alias("n"), text.alias("t"))
+
+    # keys are shuffled, and lines are printed where the order's are together
+    lines = F.sort_array(F.transform(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey")), printed))
+    text = F.array_join(F.transform(lines, lambda x: x["t"]), "").alias("text")
+    texts = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_orderkey").alias("id")).agg(text)
+    return duties.by_code_of_texts(texts)
 
 
 _FORMATS = ["declaration_delta_ie_dhl", "declaration_delta_ie_akanea", "declaration_dau", "invoice_entity", "invoice_entity_proforma", "invoice_entity_delivery_note", "invoice_dhl_hawb"]

@@ -141,3 +141,21 @@ def test_passages_are_sorted_some_at_a_time(monkeypatch):
         seen.update(windows)
         assert n == len(gone)
     assert sum(widest) > 3 * limit and max(widest) <= 2 * limit and max(hashed) < 400
+
+
+def test_rows_of_duties_are_rows_before_they_are_read(spark, tmp_path):
+    """The query shuffles no texts and reads fields outside of lambdas; whatever by_code finds in odd texts is found so, too."""
+    from docrecon.plans import registry
+
+    spark.createDataFrame([(1, 2, 3, 1)], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{tmp_path}/lineitem.parquet")
+    plan = registry.forwarder_duties(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate explode(regexp_extract_all(" in plan and "transform(regexp_extract_all(" not in plan
+    assert "collect_list(struct(l_linenumber, l_linenumber#" in plan and "l_partkey, l_partkey#" in plan
+    head, tva, at = "4202220000 900,00 Droits de Douane 3,50 ", "TVA à l'importation 10,00 ", "Autres Taxes 5 "
+    amounts = ["7", "7,5", "7.5.", "1.234,50", "1,234.5,", ".", ",5", "12,", "\u0663", "9" * 400, "1.2.3", "007"]
+    texts = [f"{head}{x}\n{gap}{t}{y} z {u}{x}" for x in amounts for y in amounts[:8] for gap in ("", "x " * 195) for t, u in ((tva, at), (tva.upper().replace("À", "A"), at.lower()), ("tVa\u00a0A l’IMPORTATION 1 ", "autres\ntaxes 1\t"))]
+    texts += [f"{head}7,00 {head}8 {tva}3\nTotal {at}4 TVA", f"é{head}7", f"\U0001f600 {head.replace('4', '\u0664', 1)}7\n{at}2", "", None, head, f"{head}7\n" * 3 + at + "1"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    old, new = duties.by_code(docs.select("id", duties.duty_rows(F.col("text")).alias("duty_rows"))), duties.by_code_of_texts(docs)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(old) == rows(new) and len(rows(new)) > len(amounts) * 8 and sum(r["at"] is not None for r in new.collect()) > 100
